@@ -7,14 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from inkwell.llm.common import table
+from inkwell.llm.license_scan import license_scan
+from inkwell.llm.mixing import mix
 from inkwell.llm.quality_rules import MEASURES, quality_rules
 from inkwell.llm.token_counts import token_counts
+from inkwell.llm.url_filter import ORACLE_SQL as URL_FILTER_SQL
+from inkwell.llm.url_filter import op5_url_filter
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules(table(spark, sf_dir, "documents"))
     return found.select("doc_id", *MEASURES, "base_failed", "kept")
@@ -22,10 +34,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_license_scan": op2_license_scan,
         "op3_token_counts": op3_token_counts,
+        "op5_url_filter": op5_url_filter,
+        "op7_mixing": op7_mixing,
         "op10_quality_rules": op10_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_url_filter": URL_FILTER_SQL}
