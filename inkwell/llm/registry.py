@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from inkwell.llm.common import table
 from inkwell.llm.license_scan import license_scan
 from inkwell.llm.mixing import mix
+from inkwell.llm.piece_transducer import encode_digests
+from inkwell.llm.quality_classifier import classify
 from inkwell.llm.quality_rules import MEASURES, quality_rules
 from inkwell.llm.token_counts import token_counts
 from inkwell.llm.url_filter import ORACLE_SQL as URL_FILTER_SQL
@@ -23,10 +25,18 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op9_piece_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_digests(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules(table(spark, sf_dir, "documents"))
     return found.select("doc_id", *MEASURES, "base_failed", "kept")
@@ -36,8 +46,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_license_scan": op2_license_scan,
         "op3_token_counts": op3_token_counts,
+        "op4_quality_classifier": op4_quality_classifier,
         "op5_url_filter": op5_url_filter,
         "op7_mixing": op7_mixing,
+        "op9_piece_transducer": op9_piece_transducer,
         "op10_quality_rules": op10_quality_rules,
     }
 
