@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from inkwell.llm.common import table
 from inkwell.llm.license_scan import license_scan
+from inkwell.llm.minhash import minhash_dedup
 from inkwell.llm.mixing import mix
 from inkwell.llm.piece_transducer import encode_digests
 from inkwell.llm.quality_classifier import classify
@@ -17,6 +18,10 @@ from inkwell.llm.url_filter import ORACLE_SQL as URL_FILTER_SQL
 from inkwell.llm.url_filter import op5_url_filter
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup(table(spark, sf_dir, "documents"), width=2)
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
@@ -44,6 +49,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_minhash_dedup": op1_minhash_dedup,
         "op2_license_scan": op2_license_scan,
         "op3_token_counts": op3_token_counts,
         "op4_quality_classifier": op4_quality_classifier,
