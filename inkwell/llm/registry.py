@@ -16,6 +16,7 @@ from inkwell.llm.quality_rules import MEASURES, quality_rules
 from inkwell.llm.token_counts import token_counts
 from inkwell.llm.url_filter import ORACLE_SQL as URL_FILTER_SQL
 from inkwell.llm.url_filter import op5_url_filter
+from inkwell.llm.vector_graph import vector_dedup
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +39,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op8_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op9_piece_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"))
 
@@ -55,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality_classifier": op4_quality_classifier,
         "op5_url_filter": op5_url_filter,
         "op7_mixing": op7_mixing,
+        "op8_vector_dedup": op8_vector_dedup,
         "op9_piece_transducer": op9_piece_transducer,
         "op10_quality_rules": op10_quality_rules,
     }
