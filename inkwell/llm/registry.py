@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from inkwell.llm.backoff_lm import backoff_scores
 from inkwell.llm.common import table
 from inkwell.llm.license_scan import license_scan
 from inkwell.llm.minhash import minhash_dedup
@@ -35,6 +36,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff_scores(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
@@ -59,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_counts": op3_token_counts,
         "op4_quality_classifier": op4_quality_classifier,
         "op5_url_filter": op5_url_filter,
+        "op6_backoff_lm": op6_backoff_lm,
         "op7_mixing": op7_mixing,
         "op8_vector_dedup": op8_vector_dedup,
         "op9_piece_transducer": op9_piece_transducer,
