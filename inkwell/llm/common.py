@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of an Arrow batch: texts can be long, so that batches stay small.
 BATCH_ROWS = 1000
@@ -43,7 +44,7 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return session_of(df).read.schema(df.schema).parquet(path)
 
 
-def map_arrow(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     """``mapInArrow`` over batches of at most ``BATCH_ROWS`` rows."""
     spark = session_of(df)
     if int(spark.conf.get(ARROW_ROWS)) > BATCH_ROWS:
@@ -51,6 +52,17 @@ def map_arrow(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(step, schema)
 
 
+def with_verdict(docs: DataFrame, name: str, judge: Callable[[list[bytes]], list[bool]], text_col: str = "text") -> DataFrame:
+    """``docs`` with a boolean column that ``judge`` gives for the texts of a batch; no row moves."""
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.BooleanType())])
+
+    def step(batches):
+        for batch in batches:
+            yield pa.record_batch([*batch.columns, pa.array(judge(utf8(batch, text_col)), pa.bool_())], names=[*batch.schema.names, name])
+
+    return map_arrow(docs, step, schema)
+
+
 def utf8(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """The UTF-8 bytes of a string column; null counts as empty."""
     return [b or b"" for b in batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()]

@@ -210,3 +210,9 @@ def minhash_dedup(docs: DataFrame, width: int = 5, threshold: int = 80, loose: i
     found = sketch.select("doc_id", "n_shingles", "set_key").join(written(groups, "groups"), "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def deduplicated(docs: DataFrame, **parameters) -> DataFrame:
+    """The rows of ``docs`` that stay, one document of each component, with their columns."""
+    dropped = minhash_dedup(docs, **parameters).where("not kept").select(F.col("doc_id").alias("_dropped")).distinct()
+    return docs.join(dropped, F.col("doc_id").cast("long") == F.col("_dropped"), "left_anti")

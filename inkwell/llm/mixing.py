@@ -33,12 +33,12 @@ def topic_of(text):
     )
 
 
-def with_cells(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(doc_id, source, lang, topic, n_tokens)."""
+def cell_of(text_col: str = "text"):
+    """struct(source, lang, topic, n_tokens) of a row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     words = F.length(text) - F.length(F.translate(text, " \t\r\n", "")) + 1
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    return docs.select("doc_id", empty("source").alias("source"), empty("lang").alias("lang"), topic_of(text).alias("topic"), words.cast("long").alias("n_tokens"))
+    return F.struct(empty("source").alias("source"), empty("lang").alias("lang"), topic_of(text).alias("topic"), words.cast("long").alias("n_tokens"))
 
 
 def tempered(observed: dict[str, float], power: float) -> dict[str, float]:
@@ -130,17 +130,28 @@ def cell_weights(
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.5}
 
 
-def mix(docs: DataFrame, powers: dict[str, float] | None = None, targets: dict[str, dict[str, float]] | None = None, seed: int = 17, text_col: str = "text", **fit) -> DataFrame:
-    """One row per document: doc_id, source, lang, topic, n_tokens, weight, probability, sampled."""
-    rows = with_cells(docs, text_col)
-    cells = rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens"))
+def drawn(docs: DataFrame, powers: dict[str, float] | None, targets: dict[str, dict[str, float]] | None, seed: int, text_col: str, **fit) -> DataFrame:
+    """``docs`` with ``_mix``: a struct of cell, n_tokens, weight, probability and sampled."""
+    rows = docs.withColumn("_mix", cell_of(text_col))
+    cells = rows.select("_mix.*").groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens"))
     weights, bounded = cell_weights(cells, powers or POWERS, targets, **fit)
     top = weights.agg(F.max("weight")).first()[0] or 1.0
-    if bounded:
-        joined = rows.join(F.broadcast(weights), list(MARGINS))
-    else:
-        key = F.to_json(F.struct(*MARGINS))
-        joined = join_salted(rows.withColumn("_cell", key), written(weights.select(key.alias("_cell"), "weight"), "weights"), "_cell", "doc_id").drop("_cell")
+    named = F.to_json(F.struct(*(F.col(f"_mix.{m}") for m in MARGINS)))
+    weights = weights.select(F.to_json(F.struct(*MARGINS)).alias("_cell"), F.col("weight").alias("_weight"))
+    rows = rows.withColumn("_cell", named)
+    joined = rows.join(F.broadcast(weights), "_cell") if bounded else join_salted(rows, written(weights, "weights"), "_cell", "doc_id", "inner")
     draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) / F.lit(float(2**53))
-    probability = F.col("weight") / F.lit(float(top))
-    return joined.select("doc_id", *MARGINS, "n_tokens", "weight", probability.alias("probability"), (draw < probability).alias("sampled"))
+    probability = F.col("_weight") / F.lit(float(top))
+    mixed = F.struct("_mix.*", F.col("_weight").alias("weight"), probability.alias("probability"), (draw < probability).alias("sampled"))
+    return joined.withColumn("_mix", mixed).drop("_cell", "_weight")
+
+
+def mix(docs: DataFrame, powers: dict[str, float] | None = None, targets: dict[str, dict[str, float]] | None = None, seed: int = 17, text_col: str = "text", **fit) -> DataFrame:
+    """One row per document: doc_id, source, lang, topic, n_tokens, weight, probability, sampled."""
+    docs = docs.select("doc_id", "source", "lang", text_col)
+    return drawn(docs, powers, targets, seed, text_col, **fit).select("doc_id", "_mix.*")
+
+
+def sampled(docs: DataFrame, powers: dict[str, float] | None = None, targets: dict[str, dict[str, float]] | None = None, seed: int = 17, text_col: str = "text", **fit) -> DataFrame:
+    """The rows of ``docs`` that the mixture draws, with their columns; texts don't move."""
+    return drawn(docs, powers, targets, seed, text_col, **fit).where("_mix.sampled").select(docs.columns)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import map_arrow, utf8
+from inkwell.llm.common import map_arrow, utf8, with_verdict
 
 ALPHABET = 64
 #: Upper bounds of the classes of a text's share of repeating bigrams and of distinct words.
@@ -231,3 +231,12 @@ def classify(docs: DataFrame, labels: DataFrame, text_col: str = "text", thresho
     return score(docs, model, text_col).select(
         "doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )
+
+
+def accepted(docs: DataFrame, labels: DataFrame, text_col: str = "text", threshold: float = 0.5, **parameters) -> DataFrame:
+    """The rows of ``docs`` with a score of at least ``threshold``, with their columns; texts don't move."""
+    model = fit(training_rows(docs, labels, text_col), **parameters)
+    if model is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return with_verdict(docs, "_good", lambda texts: (shared.value.scores(texts) >= threshold).tolist(), text_col).where("_good").drop("_good")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import join_salted, map_arrow, utf8, written
+from inkwell.llm.common import join_salted, map_arrow, utf8, with_verdict, written
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\r\x0b\x0c"
@@ -116,3 +116,23 @@ def quality_rules(
     return join_salted(rows, verdicts, "host", "doc_id").select(
         "doc_id", *MEASURES, "base_failed", (~F.col("base_failed") & ~F.col("host_refused")).alias("kept"), "host", "host_rate"
     )
+
+
+def accepted(docs: DataFrame, text_col: str = "text", min_words: int = 50, max_repeat_percent: int = 50, host_limit: float = 0.6, max_broadcast_hosts: int = 10_000) -> DataFrame:
+    """The rows of ``docs`` that ``quality_rules`` keeps, with their columns; texts don't move.
+
+    The refused hosts go to all tasks where they are at most ``max_broadcast_hosts``, else they are joined.
+    """
+
+    def fails(texts: list[bytes]) -> list[bool]:
+        return [n < min_words or 100 * r > max_repeat_percent * n for n, *_, r in map(measure, texts)]
+
+    judged = with_verdict(docs, "_failed", fails, text_col)
+    host = F.coalesce(F.col("source").cast("string"), F.lit(""))
+    verdicts = host_verdicts(judged.select(host.alias("host"), F.col("_failed").alias("failed")), host_limit)
+    refused = written(verdicts.where("host_refused").select(F.col("host").alias("_host")), "hosts")
+    n = refused.limit(max_broadcast_hosts + 1).count()
+    passed = judged.where("not _failed").drop("_failed")
+    if not n:
+        return passed
+    return passed.join(F.broadcast(refused) if n <= max_broadcast_hosts else refused, host == F.col("_host"), "left_anti")
