@@ -44,6 +44,16 @@ def leader_clusters(marks: DataFrame, keys: list[str], threshold: float, assign:
     return near.groupBy(*keys, "sig_id").agg(F.coalesce(own, other).alias("label"))
 
 
+def unreached(reach, threshold: float):
+    """A vectorised predicate: no broadcast leader lies within the threshold."""
+
+    @F.pandas_udf("boolean")
+    def open_(v: pd.Series) -> pd.Series:
+        return pd.Series((np.array(v.tolist()) @ reach.value.T < threshold).all(axis=1) if len(v) else np.zeros(0, bool))
+
+    return open_
+
+
 def corpus_leaders(marks: DataFrame, threshold: float, block_rows: int = 2000) -> list[tuple[int, np.ndarray]]:
     """Leaders of a whole corpus in id order, taken block by block.
 
@@ -61,12 +71,7 @@ def corpus_leaders(marks: DataFrame, threshold: float, block_rows: int = 2000) -
             if not any(v @ lv >= threshold for _, lv in found):
                 found.append((row["sig_id"], v))
         last = block[-1]["sig_id"]
-        reach = marks.sparkSession.sparkContext.broadcast(np.array([lv for _, lv in found]))
-
-        @F.pandas_udf("boolean")
-        def open_(v: pd.Series, reach=reach) -> pd.Series:
-            return pd.Series((np.array(v.tolist()) @ reach.value.T < threshold).all(axis=1) if len(v) else [])
-
+        open_ = unreached(marks.sparkSession.sparkContext.broadcast(np.array([lv for _, lv in found])), threshold)
         left = left.where((F.col("sig_id") > last) & open_("v"))
 
 

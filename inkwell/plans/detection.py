@@ -10,11 +10,11 @@ from inkwell.operators import boxes as ob
 from inkwell.plans.base import annotations, boxes, objects, query, read, truths, with_views
 
 r6 = lambda c: F.round(c, 6)
-b = F.col("b")
 
 
 @query("c16_rescaled_boxes", with_views("box") + " SELECT id, round(x0 * 1.5, 6) AS x0, round(y0 * 0.75, 6) AS y0, round(x1 * 1.5, 6) AS x1, round(y1 * 0.75, 6) AS y1 FROM box")
 def c16(spark, d):
+    b = F.col("b")
     r = g.rescaled(b, F.lit(1.5), F.lit(0.75))
     return boxes(spark, d).select("id", *(r6(r[c]).alias(c) for c in ("x0", "y0", "x1", "y1")))
 
@@ -22,6 +22,7 @@ def c16(spark, d):
 @query("c17_a20_annotation_boxes", with_views("ann") + """, p AS (SELECT *, bbox::DOUBLE[] AS q FROM ann) SELECT id, image_id, round(q[1] * 800, 4) AS x0, round(q[2] * 1000, 4) AS y0, round((q[1] + q[3]) * 800, 4) AS x1, round((q[2] + q[4]) * 1000, 4) AS y1,
 trunc((q[1] + q[3]) * 800)::INT AS whole_x1 FROM p WHERE q[3] > 0 AND q[4] > 0""")
 def c17(spark, d):
+    b = F.col("b")
     q = F.from_json("bbox", "array<double>")
     rows = annotations(spark, d).withColumn("q", q)
     at = lambda i: F.get("q", F.lit(i))
@@ -33,6 +34,7 @@ def c17(spark, d):
 @query("c18_padded_boxes", with_views("box") + """ SELECT id, round(greatest(0, x0 - greatest(6, 0.12 * w)), 6) AS x0, round(greatest(0, y0 - greatest(6, 0.12 * h)), 6) AS y0,
 round(least(420, x1 + greatest(6, 0.12 * w)), 6) AS x1, round(least(520, y1 + greatest(6, 0.12 * h)), 6) AS y1 FROM box""")
 def c18(spark, d):
+    b = F.col("b")
     margin = lambda lo, hi: F.greatest(F.lit(6.0), 0.12 * (b[hi] - b[lo]))
     p = g.padded(b, margin("x0", "x1"), margin("y0", "y1"), F.lit(420.0), F.lit(520.0))
     return boxes(spark, d).select("id", *(r6(p[c]).alias(c) for c in ("x0", "y0", "x1", "y1")))
@@ -44,6 +46,7 @@ PAIRED = with_views("box", "gt") + """, p AS (SELECT a.id, t.id AS tid, greatest
 
 @query("c19_c21_overlaps", PAIRED + " SELECT id, tid, round(i / ar, 6) AS covered, round(i / least(ar, tr), 6) AS of_smaller, round(i / (ar + tr - i), 6) AS iou FROM p WHERE i > 0")
 def c19(spark, d):
+    b = F.col("b")
     p = boxes(spark, d).join(truths(spark, d).select("page", F.col("id").alias("tid"), F.col("b").alias("t")), "page").where(g.overlap(b, F.col("t")) > 0)
     t = F.col("t")
     return p.select("id", "tid", r6(g.covered_fraction(b, t)).alias("covered"), r6(g.overlap_of_smaller(b, t)).alias("of_smaller"), r6(g.iou(b, t)).alias("iou"))
@@ -52,6 +55,7 @@ def c19(spark, d):
 @query("c22_c23_placements", with_views("box") + """, m AS (SELECT id, w * h / 8000 AS ratio, w / 100 AS sw, h / 32 AS sh, w FROM box) SELECT id, round(ratio, 4) AS page_area_ratio, round(sw, 4) AS span_w, round(sh, 4) AS span_h,
 CASE WHEN w - 60 > 1 THEN round((id % 700) / ((w - 60) / 72), 1) END AS effective_dpi, ratio >= 0.8 OR (greatest(sw, sh) >= 0.95 AND ratio >= 0.3) AS full_page FROM m""")
 def c22(spark, d):
+    b = F.col("b")
     w, h = b["x1"] - b["x0"], b["y1"] - b["y0"]
     ratio, sw, sh = w * h / 8000, w / 100, h / 32
     return boxes(spark, d).select(
