@@ -5,17 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from inkwell.llm.backoff_lm import backoff_scores
 from inkwell.llm.common import table
 from inkwell.llm.license_scan import license_scan
 from inkwell.llm.minhash import minhash_dedup
 from inkwell.llm.mixing import mix
+from inkwell.llm.oracles import ORACLES
 from inkwell.llm.piece_transducer import encode_digests
 from inkwell.llm.quality_classifier import classify
 from inkwell.llm.quality_rules import MEASURES, quality_rules
 from inkwell.llm.token_counts import token_counts
-from inkwell.llm.url_filter import ORACLE_SQL as URL_FILTER_SQL
 from inkwell.llm.url_filter import op5_url_filter
 from inkwell.llm.vector_graph import vector_dedup
 
@@ -37,7 +38,8 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backoff_scores(table(spark, sf_dir, "documents"))
+    found = backoff_scores(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_tokens", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,4 +75,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filter": URL_FILTER_SQL}
+    return dict(ORACLES)
