@@ -78,16 +78,17 @@ def greedy_matches(predictions: DataFrame, truths: DataFrame, key: str, least: f
 
 
 def operating_points(predictions: DataFrame, truths: DataFrame, key: str, thresholds: tuple[float, ...] = (0.3, 0.5, 0.7, 0.9), least: float = 0.5) -> DataFrame:
-    """(conf, tp, fp, fn, recall, precision, pred_over_true) at score thresholds (bounds included)."""
-    spark = predictions.sparkSession
-    points = spark.createDataFrame([(t,) for t in thresholds], "conf double")
-    crossed = predictions.join(F.broadcast(points)).where(F.col("score") >= F.col("conf"))
-    keyed = crossed.withColumn("_k", F.struct("conf", key))
-    truth = truths.join(F.broadcast(points)).withColumn("_k", F.struct("conf", key))
-    matched = greedy_matches(keyed.select("_k", "id", "score", "b"), truth.select("_k", "id", "b"), "_k", least)
-    tp = matched.groupBy(F.col("_k.conf").alias("conf")).agg(F.count("truth_id").alias("tp"), F.count("*").alias("n"))
-    total = truths.agg(F.count("*").alias("t"))
-    rows = points.join(tp, "conf", "left").fillna(0).join(F.broadcast(total))
+    """(conf, tp, fp, fn, recall, precision, pred_over_true) at score thresholds (bounds included).
+
+    Matching goes by falling score, so what a threshold leaves is a head of the one order:
+    predictions are matched once and counted at each threshold.
+    """
+    matched = greedy_matches(predictions, truths, key, least)
+    counts = matched.agg(*(x for t in thresholds for x in (
+        F.count_if(F.col("score") >= t).alias(f"n_{t}"), F.count_if((F.col("score") >= t) & F.col("truth_id").isNotNull()).alias(f"tp_{t}"),
+    )))
+    parts = ", ".join(f"{t}D, `n_{t}`, `tp_{t}`" for t in thresholds)
+    rows = counts.join(F.broadcast(truths.agg(F.count("*").alias("t")))).select("t", F.expr(f"stack({len(thresholds)}, {parts}) as (conf, n, tp)"))
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
     return rows.select(
         "conf", "tp", (F.col("n") - F.col("tp")).alias("fp"), (F.col("t") - F.col("tp")).alias("fn"),
@@ -98,9 +99,7 @@ def operating_points(predictions: DataFrame, truths: DataFrame, key: str, thresh
 def average_precision(matches: DataFrame, n_truths: DataFrame) -> DataFrame:
     """101-point interpolated average precision by label from (label, id, score, truth_id).
 
-    The running sums need all of a label's matches in score order; labels are a few classes,
-    so each is range-partitioned by score first and the running counts are built from
-    per-range totals.
+    A label's matches are ranked in one order; labels are a detector's few classes.
     """
     ordered = W.partitionBy("label").orderBy(F.desc("score"), "id").rowsBetween(W.unboundedPreceding, 0)
     hit = F.when(F.col("truth_id").isNotNull(), 1).otherwise(0)

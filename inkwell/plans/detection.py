@@ -164,13 +164,17 @@ def e16(spark, d):
     return ob.greedy_matches(boxes(spark, d), truths(spark, d), "page")
 
 
-@query("f40_operating_points")
+@query("f40_operating_points", GREEDY + """, c AS (SELECT conf, count_if(score / 40 >= conf) AS n, count_if(score / 40 >= conf AND truth_id IS NOT NULL) AS tp FROM matches CROSS JOIN (VALUES (0.3::DOUBLE), (0.5), (0.7), (0.9)) v(conf) GROUP BY conf), t AS (SELECT count(*) AS t FROM gt)
+SELECT conf, tp, n - tp AS fp, t - tp AS fn, round(tp / t, 6) AS recall, round(tp / n, 6) AS precision, round(n / t, 6) AS pred_over_true FROM c CROSS JOIN t""")
 def f40(spark, d):
     points = ob.operating_points(boxes(spark, d).withColumn("score", F.col("score") / 40), truths(spark, d), "page")
     return points.select("conf", "tp", "fp", "fn", r6(F.col("recall")).alias("recall"), r6(F.col("precision")).alias("precision"), r6(F.col("pred_over_true")).alias("pred_over_true"))
 
 
-@query("f41_average_precision")
+@query("f41_average_precision", GREEDY + """, t AS (SELECT (id % 3) AS label, count(*) AS t FROM gt GROUP BY 1),
+r AS (SELECT id % 3 AS label, sum(CASE WHEN truth_id IS NULL THEN 0 ELSE 1 END) OVER w AS tp, count(*) OVER w AS n FROM matches WINDOW w AS (PARTITION BY id % 3 ORDER BY score DESC, id ROWS UNBOUNDED PRECEDING)),
+c AS (SELECT r.label, tp / t AS recall, tp / n AS precision FROM r JOIN t ON r.label = t.label), g AS (SELECT label, k, (SELECT max(precision) FROM c WHERE c.label = t.label AND c.recall + 1e-11 >= k / 100) AS p FROM t CROSS JOIN (SELECT unnest(range(101)) AS k) q)
+SELECT label, round(sum(coalesce(p, 0)) / 101, 6) AS ap FROM g GROUP BY label""")
 def f41(spark, d):
     m = ob.greedy_matches(boxes(spark, d), truths(spark, d), "page").withColumn("label", F.col("id") % 3)
     t = truths(spark, d).groupBy((F.col("id") % 3).alias("label")).agg(F.count("*").alias("t"))
