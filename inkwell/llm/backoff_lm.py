@@ -38,7 +38,7 @@ from inkwell.llm.minhash import ODD, mix
 
 HEAD, HOT = 1 << 18, 1024
 #: Tokens that a task packs at a time, and tokens of a shard, about.
-FLUSH, SHARD = 3_000_000, 2_000_000
+FLUSH, SHARD = 1_500_000, 2_000_000
 #: Of a packed pair: both words in the head; or how the rare word stands in it.
 BOTH, RARE_LAST, RARE_FIRST, RARE_TWO_FIRST, RARE_TWO_LAST, RARE_ALONE = range(6)
 
@@ -77,6 +77,19 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select("text"), step, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent(words: DataFrame) -> DataFrame:
+    """The most frequent words, ``HEAD`` at most: those above a count that a coarse histogram gives.
+
+    A top-k by sorting would send each task's ``HEAD`` rows to the driver; the histogram has
+    a row for each sixteenth of a power of two.
+    """
+    step = F.floor(F.log2("n") * 16)
+    rows = sorted(words.groupBy(step.alias("step")).count().collect(), reverse=True)
+    sums = np.cumsum([r["count"] for r in rows])
+    fits = int(np.searchsorted(sums, HEAD, "right"))
+    return words.where(step >= rows[fits - 1]["step"]) if fits else words.limit(0)
+
+
 class Head:
     """The most frequent words by hash, with their counts; the first ``HOT`` ranks are hot."""
 
@@ -264,7 +277,7 @@ def backoff_scores(docs: DataFrame, min_count: int = 2, alpha: float = 0.4, text
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     words = written(word_counts(docs), "words")
     total = words.agg(F.sum("n")).first()[0] or 0
-    top = words.orderBy(F.desc("n"), "word").limit(HEAD).toPandas()
+    top = frequent(words).toPandas().sort_values(["n", "word"], ascending=[False, True])
     head = docs.sparkSession.sparkContext.broadcast(Head(top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), total))
     shards = max(1, math.ceil(total / SHARD))
     pairs = exploded(docs, head, hot_pairs(docs, head), shards, min_count, alpha)
