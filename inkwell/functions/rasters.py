@@ -45,6 +45,16 @@ def ink_canvas(grey: np.ndarray, side: int = 224, margin: int = 8) -> np.ndarray
     return out
 
 
+def binary_canvas(grey: np.ndarray, height: int = 128, width: int = 256) -> np.ndarray:
+    """Black on white at the threshold, scaled with its aspect and centred on a white canvas."""
+    scale = min(height / grey.shape[0], width / grey.shape[1])
+    h, w = max(1, round(grey.shape[0] * scale)), max(1, round(grey.shape[1] * scale))
+    out = np.full((height, width), 255.0)
+    y, x = (height - h) // 2, (width - w) // 2
+    out[y : y + h, x : x + w] = np.where(resized(grey, h, w) > otsu(grey), 255.0, 0.0)
+    return out
+
+
 def ink_patches(ink: np.ndarray, size: int = 14, least: float = 0.08) -> np.ndarray:
     """By patch: whether its mean ink is above ``least``."""
     h, w = ink.shape[0] // size, ink.shape[1] // size

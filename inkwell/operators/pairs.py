@@ -27,32 +27,65 @@ def pairs_within(marks: DataFrame, key: str, order: str = "sig_id", vector: str
     return joined.withColumn("cosine", dot(F.col(f"a.{vector}"), F.col(f"b.{vector}"), dims))
 
 
+def block_cells(marks: DataFrame, block_rows: int, vector: str, keep: list[str]) -> DataFrame:
+    """Rows (lo, hi, own, sig_id, keep, v): each mark once for every block that its own block meets."""
+    blocks = max(1, math.ceil(marks.count() / block_rows))
+    u = unit_vectors(marks, vector).select("sig_id", *keep, F.col(vector).alias("v"), F.pmod(F.xxhash64("sig_id"), F.lit(blocks)).alias("own"))
+    rows = u.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return rows.select(F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "sig_id", *keep, "v")
+
+
+def sides(cell: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray]:
+    """A cell's two blocks and their cosines, NaN where a pair belongs to its mirror image."""
+    lo, hi = cell["lo"].iloc[0], cell["hi"].iloc[0]
+    left, right = cell[cell["own"] == lo], cell[cell["own"] == hi]
+    if not len(left) or not len(right):
+        return left, right, np.zeros((len(left), len(right)))
+    sims = np.array(left["v"].tolist()) @ np.array(right["v"].tolist()).T
+    if lo == hi:
+        sims[left["sig_id"].to_numpy()[:, None] >= right["sig_id"].to_numpy()[None]] = np.nan
+    return left, right, sims
+
+
 def blocked_pairs(marks: DataFrame, floor: float, block_rows: int = 2000, vector: str = "v") -> DataFrame:
     """(sig_a, sig_b, cosine) of all pairs of at least ``floor``, without a nested-loop join.
 
     Marks are dealt to blocks; each pair of blocks is one task's matrix product, and only
     pairs above the floor leave it. Rows are copied once for each block, not for each mark.
     """
-    n = marks.count()
-    blocks = max(1, math.ceil(n / block_rows))
-    u = unit_vectors(marks, vector).select("sig_id", F.col(vector).alias("v"), F.pmod(F.xxhash64("sig_id"), F.lit(blocks)).alias("own"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    rows = u.select("*", every.alias("other")).select(
-        F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "sig_id", "v"
-    )
 
     def cell(part: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = part["lo"].iloc[0], part["hi"].iloc[0]
-        left, right = part[part["own"] == lo], part[part["own"] == hi]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"sig_a": [], "sig_b": [], "cosine": []}).astype({"sig_a": "int64", "sig_b": "int64", "cosine": "float64"})
-        sims = np.array(left["v"].tolist()) @ np.array(right["v"].tolist()).T
+        left, right, sims = sides(part)
         i, j = np.nonzero(sims >= floor)
         a, b = left["sig_id"].to_numpy()[i], right["sig_id"].to_numpy()[j]
-        keep = a != b if lo != hi else a < b
-        return pd.DataFrame({"sig_a": np.minimum(a, b)[keep], "sig_b": np.maximum(a, b)[keep], "cosine": sims[i, j][keep]})
+        return pd.DataFrame({"sig_a": np.minimum(a, b), "sig_b": np.maximum(a, b), "cosine": sims[i, j]})
+
+    return block_cells(marks, block_rows, vector, []).groupBy("lo", "hi").applyInPandas(cell, "sig_a long, sig_b long, cosine double")
+
 
-    return rows.groupBy("lo", "hi").applyInPandas(cell, "sig_a long, sig_b long, cosine double")
+def blocked_statistics(marks: DataFrame, by: str, block_rows: int = 2000, vector: str = "v") -> DataFrame:
+    """(a, b, n, total, top) of all pairs by the value of ``by`` of the lower and the higher id.
+
+    Each cell adds up its pairs, so that what leaves it has a row for each two values.
+    """
+
+    def cell(part: pd.DataFrame) -> pd.DataFrame:
+        left, right, sims = sides(part)
+        kl, kr, il, ir = left[by].to_numpy(), right[by].to_numpy(), left["sig_id"].to_numpy(), right["sig_id"].to_numpy()
+        rows = []
+        for x in set(kl):
+            for y in set(kr):
+                s = sims[np.ix_(kl == x, kr == y)]
+                first = il[kl == x][:, None] < ir[kr == y][None]
+                for a, b, mask in ((x, y, first), (y, x, ~first)):
+                    chosen = s[mask & ~np.isnan(s)]
+                    if len(chosen):
+                        rows.append((a, b, len(chosen), float(chosen.sum()), float(chosen.max())))
+        return pd.DataFrame(rows, columns=["a", "b", "n", "total", "top"])
+
+    kind = dict(marks.dtypes)[by]
+    parts = block_cells(marks, block_rows, vector, [by]).groupBy("lo", "hi").applyInPandas(cell, f"a {kind}, b {kind}, n long, total double, top double")
+    return parts.groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("top").alias("top"))
 
 
 def best_signers(targets: DataFrame, references: DataFrame, threshold: float, dims: int | None = None, max_broadcast_rows: int = 50_000) -> DataFrame:

@@ -291,3 +291,19 @@ def l5(spark, d):
     large = F.col("total") % 8
     shard = F.when(at < large * (small + 1), F.floor(at / (small + 1))).otherwise(large + F.floor((at - large * (small + 1)) / small))
     return ranked.groupBy(shard.cast("bigint").alias("shard")).agg(F.count("*").alias("n"), F.min("page_id").alias("first"), F.max("page_id").alias("last"))
+
+
+@query("d8_d9_placed_candidates", with_views("box") + " SELECT id, w, h FROM box WHERE w >= 60 AND h >= 20 AND NOT (w * h / 8000 >= 0.8 OR (greatest(w / 100, h / 32) >= 0.95 AND w * h / 8000 >= 0.3)) AND w * h > 0")
+def d8(spark, d):
+    b = F.col("b")
+    w, h = b["x1"] - b["x0"], b["y1"] - b["y0"]
+    full = g.is_full_page(w * h / 8000, w / 100, h / 32)
+    return boxes(spark, d).where((w >= 60) & (h >= 20) & ~full & (g.area(b) > 0)).select("id", w.alias("w"), h.alias("h"))
+
+
+@query("e9_b14_crop_index", with_views("box") + " SELECT x.page, x.id, p.url, ceil(x.w * 2)::BIGINT AS crop_px_w, ceil(x.h * 2)::BIGINT AS crop_px_h FROM box x JOIN pages p ON x.page = p.page_id WHERE x.score >= 20")
+def e9(spark, d):
+    b = F.col("b")
+    pages = read(spark, d, "pages").select(F.col("page_id").alias("page"), "url")
+    px = lambda lo, hi: F.ceil((b[hi] - b[lo]) * 2)
+    return boxes(spark, d).where("score >= 20").join(pages, "page").select("page", "id", "url", px("x0", "x1").alias("crop_px_w"), px("y0", "y1").alias("crop_px_h"))

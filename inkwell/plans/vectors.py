@@ -76,10 +76,8 @@ def e2(spark, d):
 
 @query("e2_corpus_pair_statistics", with_views("pairs") + " SELECT ra, rb, count(*) AS n, round(avg(cosine), 6) AS mean, round(max(cosine), 6) AS top FROM pairs GROUP BY ra, rb")
 def e2_stats(spark, d):
-    u = pairs.unit_vectors(sig(spark, d))
-    a, b = u.alias("a"), u.alias("b")
-    p = a.join(b, F.col("a.sig_id") < F.col("b.sig_id")).select(F.col("a.role").alias("ra"), F.col("b.role").alias("rb"), dot(F.col("a.v"), F.col("b.v"), DIMS).alias("c"))
-    return p.groupBy("ra", "rb").agg(F.count("*").alias("n"), r6(F.avg("c")).alias("mean"), r6(F.max("c")).alias("top"))
+    p = pairs.blocked_statistics(sig(spark, d), "role")
+    return p.select(F.col("a").alias("ra"), F.col("b").alias("rb"), "n", r6(F.col("total") / F.col("n")).alias("mean"), r6(F.col("top")).alias("top"))
 
 
 def floor_pairs(spark, d, least=0.2):

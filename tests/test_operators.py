@@ -231,7 +231,22 @@ def test_rasters():
     assert rasters.masked_ssim(grey, grey, np.zeros((20, 20), bool)) == 0.0
     assert rasters.staffs(mask) and rasters.white_fraction(grey) == 1 - mask.mean()
     assert rasters.window_extreme(mask, 1).sum() > mask.sum() > rasters.window_extreme(mask, 1, False).sum()
+    assert rasters.binary_canvas(grey).shape == (128, 256) and set(np.unique(rasters.binary_canvas(grey))) == {0.0, 255.0}
     assert rasters.erased(grey, (0, 0, 1, 1)).min() == 255
     diagonal = np.eye(3, dtype=bool)
     assert rasters.labelled(diagonal).max() == 1
     assert (rasters.perturbed(grey, 3) == rasters.perturbed(grey, 3)).all()
+
+
+def test_blocked_statistics(spark):
+    rows, df = marks(spark, 40)
+    want = {}
+    for a in rows:
+        for b in rows:
+            if a[0] < b[0]:
+                c = unit(a[2]) @ unit(b[2])
+                n, total, top = want.get((a[1], b[1]), (0, 0.0, -2.0))
+                want[a[1], b[1]] = (n + 1, total + c, max(top, c))
+    for block in (9, 1000):
+        got = {(r["a"], r["b"]): (r["n"], r["total"], r["top"]) for r in pairs.blocked_statistics(df, "pdf", block_rows=block).collect()}
+        assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
