@@ -10,8 +10,12 @@ Links are found without pairing up the members of a band's bucket:
 1. Documents of equal sets form a class, of which the smallest id goes on.
 2. In each bucket every member is compared with two hubs (the members of least and
    greatest hashed id), on full sets. Pairs of at least ``loose`` build zones, pairs of at
-   least the threshold build components.
-3. Zones whose members don't all lie in one component are settled on full sets in blocks:
+   least the threshold build components. What links with a member that is ``loose`` plus
+   100 less the threshold near to a hub is ``loose`` near to it as well (distances of sets
+   obey the triangle inequality), so that such members are done with in that bucket.
+3. The others of a bucket, if several, stay open: large groups get new hubs from among
+   them as long as that halves their rows, and in what is left all meet all in blocks.
+4. Zones whose members don't all lie in one component are settled on full sets in blocks:
    the members outside the zone's largest component meet all members, a block of the one
    against a block of the other in a task. This finds links that no hub saw.
 
@@ -42,8 +46,10 @@ MULTIPLIERS = _rng.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64
 ADDENDS = _rng.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)
 BAND_MIXERS = _rng.integers(0, 2**63, ROWS_OF_BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ODD = np.uint64(0x9E3779B97F4A7C15)
-#: Rows of a block, and hashes in it at most, in step 3.
+#: Rows of a block, and hashes in it at most, in steps 3 and 4.
 BLOCK_ROWS, BLOCK_HASHES = 64, 200_000
+#: Rows and hashes, on average, that the cells of a pack hold together in step 3.
+PACK_ROWS, PACK_HASHES = 2000, 1_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -115,7 +121,8 @@ def lists(batch: pa.RecordBatch, name: str) -> list[np.ndarray]:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: int, loose: int) -> DataFrame:
-    """(a, b, linked) of pairs (node, hub) whose percent of similarity reaches ``loose``."""
+    """(a, b, linked, closed) of pairs (node, hub) whose percent of similarity reaches ``loose``."""
+    shut = loose + 100 - threshold
     one = sets.select("node", F.col("rep").alias("a"), F.col("hashes").alias("x"))
     two = sets.select(F.col("node").alias("hub"), F.col("rep").alias("b"), F.col("hashes").alias("y"))
 
@@ -125,10 +132,76 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: int, loose: int) -> D
             both = np.array(both, np.int64)
             union = np.array([len(x) for x in lists(batch, "x")], np.int64) + np.array([len(y) for y in lists(batch, "y")], np.int64) - both
             near = pa.array(100 * both >= loose * union)
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(100 * both >= threshold * union)], names=["a", "b", "linked"]).filter(near)
+            linked, closed = pa.array(100 * both >= threshold * union), pa.array(100 * both >= shut * union)
+            yield pa.record_batch([batch.column(0), batch.column(1), linked, closed], names=["a", "b", "linked", "closed"]).filter(near)
 
     rows = pairs.join(one, "node").join(two, "hub").select("a", "b", "x", "y")
-    return map_arrow(rows, step, "a long, b long, linked boolean")
+    return map_arrow(rows, step, "a long, b long, linked boolean, closed boolean")
+
+
+def hub_edges(stars: DataFrame, sets: DataFrame, threshold: int, loose: int) -> DataFrame:
+    """``verified`` of the members of ``stars`` (rep, node, lo, hi) with their two hubs."""
+    pairs = stars.select("node", F.explode(F.array("lo", "hi")).alias("hub")).where("node <> hub")
+    pairs = pairs.select(F.least("node", "hub").alias("node"), F.greatest("node", "hub").alias("hub")).distinct()
+    return written(verified(pairs, sets, threshold, loose), "edges")
+
+
+def still_open(stars: DataFrame, edges: DataFrame) -> DataFrame:
+    """Members of ``stars`` that are no hub and that neither hub closes, where a group has several."""
+    shut = edges.where("closed").select(F.xxhash64("a").alias("node"), F.xxhash64("b").alias("hub"))
+    shut = shut.union(shut.select("hub", "node"))
+    rest = stars.where("node <> lo and node <> hi")
+    for hub in ("lo", "hi"):
+        rest = rest.join(shut.withColumnRenamed("hub", hub), ["node", hub], "left_anti")
+    rest = written(rest.select("rep", "node", "lo", "hi"), "open")
+    groups = rest.groupBy("lo", "hi").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.max("node").alias("most"))
+    return rest.join(written(groups.where("n > 1"), "groups"), ["lo", "hi"])
+
+
+def remainder(stars: DataFrame, edges: DataFrame, sets: DataFrame, threshold: int, loose: int) -> tuple[DataFrame, DataFrame | None]:
+    """Edges with those of further hubs, and the links (a, b) between members that no hub closes."""
+    parts, before, found = [], None, edges
+    while True:
+        rest = still_open(stars, found)
+        large = rest.where(F.col("n") > BLOCK_ROWS)
+        now = large.count()
+        if not now or (before is not None and 2 * now > before):
+            parts.append(rest)
+            break
+        parts.append(rest.where(F.col("n") <= BLOCK_ROWS))
+        stars, before = written(large.select("rep", "node", F.col("least").alias("lo"), F.col("most").alias("hi")).distinct(), "stars"), now
+        found = hub_edges(stars, sets, threshold, loose)
+        edges = edges.union(found)
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.union(part)
+    return edges, met(rows.select("rep", "node", "lo", "hi").distinct(), sets, threshold)
+
+
+def met(rows: DataFrame, sets: DataFrame, threshold: int) -> DataFrame | None:
+    """Links (a, b) within the groups (lo, hi) of ``rows``, all against all in blocks."""
+    rows = written(rows.join(sets.select("node", F.size("hashes").alias("n_hashes")), "node"), "open")
+    sizes = rows.groupBy("lo", "hi").agg(F.count("*").alias("n"), F.sum("n_hashes").alias("h"))
+    sizes = written(sizes.withColumn("n_blocks", blocks(F.col("n"), F.col("h"))), "blocks")
+    total = sizes.agg(F.sum(F.col("n") * (F.col("n_blocks") + 1)), F.sum(F.col("h") * (F.col("n_blocks") + 1))).first()
+    if not total[0]:
+        return None
+    packs = int(max(total[0] // PACK_ROWS, total[1] // PACK_HASHES, 1))
+    rows = rows.join(sizes.select("lo", "hi", "n_blocks"), ["lo", "hi"]).withColumn("k", F.pmod(F.xxhash64("node", F.lit(3)), "n_blocks").cast("int"))
+    members = rows.select("lo", "hi", F.col("k").alias("mb"), F.explode(F.sequence("k", F.col("n_blocks") - 1)).alias("pb"), F.lit(False).alias("probe"), "node")
+    probes = rows.select("lo", "hi", F.explode(F.sequence(F.lit(0), "k")).alias("mb"), F.col("k").alias("pb"), F.lit(True).alias("probe"), "node")
+    cells = members.union(probes).select(F.xxhash64("lo", "hi", "mb", "pb").alias("cell"), "probe", "node")
+    cells = cells.join(sets.select("node", "rep", F.col("rep").alias("comp"), "hashes"), "node").drop("node")
+    packed = cells.groupBy(F.pmod("cell", F.lit(packs)).alias("pack"))
+
+    def links(pack: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([block_links(cell, threshold) for _, cell in pack.groupby("cell", sort=False)])
+
+    return written(packed.applyInPandas(links, "a long, b long").distinct(), "links")
+
+
+def blocks(rows, hashes):
+    return F.greatest(F.ceil(rows / BLOCK_ROWS), F.ceil(hashes / BLOCK_HASHES), F.lit(1)).cast("int")
 
 
 def block_links(cell: pd.DataFrame, threshold: int) -> pd.DataFrame:
@@ -165,9 +238,6 @@ def settled(edges: DataFrame, linked: DataFrame, sets: DataFrame, threshold: int
     at_stake = nodes.join(several, "zone").join(sets.select(F.col("rep").alias("id"), F.size("hashes").alias("n_hashes")), "id")
     at_stake = written(at_stake.withColumn("outside", F.col("comp") != F.col("main")), "at-stake")
 
-    def blocks(rows, hashes):
-        return F.greatest(F.ceil(rows / BLOCK_ROWS), F.ceil(hashes / BLOCK_HASHES), F.lit(1)).cast("int")
-
     sizes = at_stake.groupBy("zone").agg(
         F.count("*").alias("m"),
         F.sum("n_hashes").alias("mh"),
@@ -199,13 +269,13 @@ def minhash_dedup(docs: DataFrame, width: int = 5, threshold: int = 80, loose: i
     stars = written(banded.join(written(hubs, "hubs"), "bucket").select("rep", "node", "lo", "hi").distinct(), "stars")
     wanted = stars.select("node", "rep").distinct()
     sets = written(sets_of(docs, wanted, width, text_col).dropDuplicates(["node"]), "sets")
-    pairs = stars.select("node", F.explode(F.array("lo", "hi")).alias("hub")).where("node <> hub")
-    pairs = pairs.select(F.least("node", "hub").alias("node"), F.greatest("node", "hub").alias("hub")).distinct()
-    edges = written(verified(pairs, sets, threshold, loose), "edges")
-    linked = components(edges.where("linked").select("a", "b"))
+    edges, beside = remainder(stars, hub_edges(stars, sets, threshold, loose), sets, threshold, loose)
+    links = edges.where("linked").select("a", "b")
+    links = links if beside is None else links.union(beside)
+    linked = components(links)
     more = settled(edges, linked, sets, threshold)
     if more is not None and more.limit(1).count():
-        linked = components(edges.where("linked").select("a", "b").union(more))
+        linked = components(links.union(more))
     groups = classes.join(linked.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("component_id", "rep").alias("component_id"))
     found = sketch.select("doc_id", "n_shingles", "set_key").join(written(groups, "groups"), "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))

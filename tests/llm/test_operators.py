@@ -100,6 +100,27 @@ def test_minhash_against_all_pairs(spark, width):
     assert sorted(stay) == sorted(set(want.values()))
 
 
+def test_minhash_in_buckets_of_weakly_similar_texts(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = [rng.choice(60, 20, replace=False).tolist() for _ in range(800)]
+    for k in range(100):
+        # 19 words in common and one of each text's own: 19 of 21
+        texts.append([*texts[k][:19], next(w for w in rng.permutation(60).tolist() if w not in texts[k])])
+    docs = docs_of(spark, [(i, " ".join(f"p{w}" for w in t)) for i, t in enumerate(texts)])
+    # few bands, so that a pair meets in one or two buckets
+    whole = minhash.sketches
+    monkeypatch.setattr(minhash, "sketches", lambda *a: whole(*a).withColumn("bands", F.slice("bands", 1, 3)))
+    bands = {r["doc_id"]: set(r["bands"]) for r in minhash.sketches(docs, 1).collect()}
+    met = [(k, 800 + k) for k in range(100) if bands[k] & bands[800 + k]]
+    got = collected(minhash.minhash_dedup(docs, width=1))
+    assert len(met) > 50 and all(got[a]["component_id"] == got[b]["component_id"] for a, b in met)
+    assert all(got[i]["component_id"] in (i, i - 800) for i in range(900))
+    # the same with new hubs and several blocks
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 3)
+    again = collected(minhash.minhash_dedup(docs, width=1))
+    assert {i: r["component_id"] for i, r in again.items()} == {i: r["component_id"] for i, r in got.items()}
+
+
 def test_minhash_defined_cases(spark):
     got = collected(minhash.minhash_dedup(docs_of(spark, ODD), width=2))
     assert [got[i]["n_shingles"] for i in (0, 1, 2, 3, 4, 5)] == [0, 0, 0, 1, 1, 3]
