@@ -2,8 +2,9 @@
 
 Documents fall into cells of source, language and topic. The cells' token sums are raked
 until they meet the target shares of all three marginals; a cell's weight is its fitted
-over its observed tokens. Documents are sampled with a probability in proportion to the
-weight of their cell (1 for the heaviest), so that expected shares equal the targets.
+over its observed tokens. A document is drawn weight times ``rate`` times: the whole part
+as copies, and one more with the fraction's probability, so that expected shares equal the
+targets and expected tokens are ``rate`` times the observed ones, however heavy a cell is.
 
 Defined cases: a null source, language or text counts as an empty one; a document weighs
 one token at least; a target for a value without documents is left out and the others
@@ -130,28 +131,30 @@ def cell_weights(
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.5}
 
 
-def drawn(docs: DataFrame, powers: dict[str, float] | None, targets: dict[str, dict[str, float]] | None, seed: int, text_col: str, **fit) -> DataFrame:
-    """``docs`` with ``_mix``: a struct of cell, n_tokens, weight, probability and sampled."""
+def drawn(docs: DataFrame, powers: dict[str, float] | None, targets: dict[str, dict[str, float]] | None, seed: int, text_col: str, rate: float = 1.0, **fit) -> DataFrame:
+    """``docs`` with ``_mix``: a struct of cell, n_tokens, weight, probability (of one copy at least), sampled and copies."""
     rows = docs.withColumn("_mix", cell_of(text_col))
     cells = rows.select("_mix.*").groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens"))
     weights, bounded = cell_weights(cells, powers or POWERS, targets, **fit)
-    top = weights.agg(F.max("weight")).first()[0] or 1.0
     named = F.to_json(F.struct(*(F.col(f"_mix.{m}") for m in MARGINS)))
     weights = weights.select(F.to_json(F.struct(*MARGINS)).alias("_cell"), F.col("weight").alias("_weight"))
     rows = rows.withColumn("_cell", named)
     joined = rows.join(F.broadcast(weights), "_cell") if bounded else join_salted(rows, written(weights, "weights"), "_cell", "doc_id", "inner")
     draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) / F.lit(float(2**53))
-    probability = F.col("_weight") / F.lit(float(top))
-    mixed = F.struct("_mix.*", F.col("_weight").alias("weight"), probability.alias("probability"), (draw < probability).alias("sampled"))
+    wanted = F.col("_weight") * F.lit(float(rate))
+    copies = (F.floor(wanted) + (draw < wanted - F.floor(wanted)).cast("long")).cast("long")
+    mixed = F.struct("_mix.*", F.col("_weight").alias("weight"), F.least(wanted, F.lit(1.0)).alias("probability"), (copies > 0).alias("sampled"), copies.alias("copies"))
     return joined.withColumn("_mix", mixed).drop("_cell", "_weight")
 
 
 def mix(docs: DataFrame, powers: dict[str, float] | None = None, targets: dict[str, dict[str, float]] | None = None, seed: int = 17, text_col: str = "text", **fit) -> DataFrame:
-    """One row per document: doc_id, source, lang, topic, n_tokens, weight, probability, sampled."""
+    """One row per document: doc_id, source, lang, topic, n_tokens, weight, probability, sampled, copies."""
     docs = docs.select("doc_id", "source", "lang", text_col)
     return drawn(docs, powers, targets, seed, text_col, **fit).select("doc_id", "_mix.*")
 
 
 def sampled(docs: DataFrame, powers: dict[str, float] | None = None, targets: dict[str, dict[str, float]] | None = None, seed: int = 17, text_col: str = "text", **fit) -> DataFrame:
-    """The rows of ``docs`` that the mixture draws, with their columns; texts don't move."""
-    return drawn(docs, powers, targets, seed, text_col, **fit).where("_mix.sampled").select(docs.columns)
+    """The rows of ``docs`` that the mixture draws, with their columns, as often as it draws them; texts don't move."""
+    found = drawn(docs, powers, targets, seed, text_col, **fit).where("_mix.sampled")
+    again = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix.copies")))
+    return found.withColumn("_copy", again).select(docs.columns)

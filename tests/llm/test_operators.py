@@ -264,6 +264,19 @@ def test_given_targets(spark):
     assert all(abs(r["weight"] - (1 / 3 if r["source"] == "a" else 3.0)) < 1e-9 for r in rows)
 
 
+def test_a_rare_cell_does_not_thin_the_others(spark):
+    docs = docs_of(spark, [(i, "some plain words") for i in range(401)], {i: "a" if i < 400 else "rare" for i in range(401)})
+    rows = collected(mixing.mix(docs))
+    weight = rows[400]["weight"]
+    assert weight > 10 and all(r["probability"] == min(r["weight"], 1.0) for r in rows.values())
+    assert all(r["copies"] in (math.floor(r["weight"]), math.floor(r["weight"]) + 1) and r["sampled"] == (r["copies"] > 0) for r in rows.values())
+    assert abs(sum(r["copies"] for r in rows.values()) - 401) < 40
+    drawn = collections.Counter(r["doc_id"] for r in mixing.sampled(docs).collect())
+    assert drawn == {i: r["copies"] for i, r in rows.items() if r["copies"]}
+    half = mixing.mix(docs, rate=0.5).collect()
+    assert abs(sum(r["copies"] for r in half) - 200) < 40
+
+
 def vectors_of(seed=2):
     rng = np.random.default_rng(seed)
     rows, i = [], 0
