@@ -19,6 +19,14 @@ def by_target_and_signer(matches: DataFrame, signers: DataFrame) -> DataFrame:
     return joined.select("pdf", "signer", zero("n", 0), zero("mean", 0.0), zero("top", 0.0), zero("low", 0.0))
 
 
+def pivot_signers(signers: DataFrame, most: int = 1000) -> list:
+    """The distinct signers of a one-column table in order; an error beyond ``most``, as none may go missing."""
+    found = sorted(r[0] for r in signers.distinct().limit(most + 1).collect())
+    if len(found) > most:
+        raise ValueError(f"more than {most} signers for the columns of a pivot: take the long form (f25_presence_long)")
+    return found
+
+
 def presence_pivot(stats: DataFrame, signers: list) -> DataFrame:
     """A row for each target with count, presence and similarity of each signer."""
     wide = stats.groupBy("pdf").pivot("signer", signers).agg(F.first("n").alias("Count"), F.first("mean").alias("Similarity"))

@@ -129,7 +129,7 @@ def pivot_sql() -> str:
 @query("f22_f23_f24_presence_pivot", pivot_sql())
 def f22(spark, d):
     """Signers of the reference are read first (a few values), so that the pivot needs one pass."""
-    signers = sorted(r[0] for r in sig(spark, d).where("role = 'reference'").select("writer").distinct().limit(1000).collect())
+    signers = crossref.pivot_signers(sig(spark, d).where("role = 'reference'").select("writer"))
     return crossref.presence_pivot(target_stats(spark, d), signers)
 
 

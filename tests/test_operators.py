@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkwell.functions import geometry, rasters, strings, vectors, verdicts
-from inkwell.operators import boxes, calibration, clusters, pairs
+from inkwell.operators import boxes, calibration, clusters, crossref, pairs
 from inkwell.sources import archives, files, sinks
 
 BOX = "page long, id long, score double, b struct<x0:double,y0:double,x1:double,y1:double>"
@@ -109,6 +109,13 @@ def test_corpus_leaders_in_blocks(spark):
     assert [i for i, _ in got] == [i for i, _ in want]
 
 
+def test_pivot_signers_are_all_or_an_error(spark):
+    signers = spark.createDataFrame([(w,) for w in (3, 1, 2, 3)], "writer int")
+    assert crossref.pivot_signers(signers, most=3) == [1, 2, 3]
+    with pytest.raises(ValueError, match="f25"):
+        crossref.pivot_signers(signers, most=2)
+
+
 def test_blocked_pairs(spark):
     rows, df = marks(spark, 50)
     want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and unit(a[2]) @ unit(b[2]) >= 0.5}
