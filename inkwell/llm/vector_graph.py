@@ -1,20 +1,29 @@
 """Near-duplicate vectors by a robust-pruned flat graph (operator 8).
 
 Vectors of one label are compared by cosine in double precision. Equal vectors form a
-class, of which the smallest id goes on. Large labels are cut into overlapping shards:
-every vector joins those of its ``overlap`` nearest centroids (k-means on a bounded sample).
-
-Each shard builds adjacency lists (nearest candidates, pruned so that a neighbour isn't
-covered by a nearer one). A vector's lists from all its shards are united. Each vector then
-searches in each of its shards: greedily from the shard's medoid with a beam, then over all
-nodes in range until none is new; what it finds is verified. A link is counted in the
-first shard that both share, so that counts add up without writing pairs. A sample of each
-shard's searches is audited against a scan of the shard; a shard that misses any is scanned.
+class, of which one goes on. A label of more than ``SHARD`` classes is cut into cells around
+centroids (k-means on a bounded sample of the label), a cell of many members into blocks;
+each is a shard. Every class is a node of its own shard and of one of its second nearest
+cell, so that shards overlap.
+
+1. Each shard builds a flat graph by insertion: a node searches the graph so far, greedily
+   from the medoid, and robust pruning picks its neighbours from what the search met.
+2. A node's lists from all its shards are united.
+3. Every class searches each shard in which something that links with it can have its
+   place: the own cell, and all cells whose border with the own cell is no farther than a
+   link is long (a bound that is exact, see ``reachable``), with all their blocks. The search
+   is greedy from the shard's medoid with a beam, then expands over all nodes in range
+   until none is new; what it finds is verified. A link counts in the other's own shard, so
+   that counts add up without writing pairs.
+4. A sample of each task's searches is audited against a scan of the shard; where one misses
+   anything, all of that task's searches are scans.
 
 Defined cases: a vector that is null, empty, zero or has a null or non-finite component, or
 has no label, links with nothing and is kept; vectors of unequal length never link; rows
-that repeat an id share their verdict; a null id takes no part (component null, kept); with
-no rows there are none; other columns are ignored.
+that repeat an id with one vector count each, with several vectors they share their
+component; a group of near copies larger than a shard is dealt to blocks, each of which
+all its members search; a null id takes no part (component null, kept); with no rows there
+are none; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,17 +37,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import components, map_arrow, written
+from inkwell.llm.common import components, join_salted, map_arrow, written
 
-#: A label of more classes than this is cut; a shard aims at so many members.
-SHARD = 500
-#: Centroids over all labels at most, and vectors of the sample they are fitted on.
-MAX_CENTROIDS, MAX_SAMPLE = 8192, 40_000
-CANDIDATES, DEGREE, ALPHA, BEAM = 32, 16, 1.2, 12
+#: Classes of a cell, about; nodes of a block and queries of a task at most, about.
+SHARD, BLOCK, QUERIES = 2000, 6000, 4000
+#: Centroids of a label at most (beyond, cells grow and fall into more blocks); sample rows for each.
+MAX_CELLS, SAMPLE = 2048, 16
+#: Rows that are placed in one task, about.
+PLACED = 20_000
+DEGREE, ALPHA, BEAM, POOL = 16, 1.2, 32, 64
 #: Searches leave the range by so much cosine, so that in-range nodes stay connected.
 SLACK = 0.06
-AUDIT = 32
-ROW_BLOCK = 512
+AUDIT, BATCH = 64, 128
 
 
 def unit(values: np.ndarray) -> np.ndarray:
@@ -53,18 +63,20 @@ def usable(vector) -> bytes | None:
     if not np.isfinite(v).all():
         return None
     norm = np.linalg.norm(v)
-    return v.tobytes() if norm > 0 and np.isfinite(norm) else None
+    return (v + 0.0).tobytes() if norm > 0 and np.isfinite(norm) else None  # -0.0 and 0.0 are one value
 
 
 def keyed(vectors: DataFrame) -> DataFrame:
-    """(vec_id, label, dims, key, values) of every row; key and values are null where nothing links."""
+    """(vec_id, label, dims, key, values) of every row; key and values are null where nothing links.
+
+    The key is a digest of label and vector: rows of one key are one class.
+    """
 
     def step(batches):
         for batch in batches:
-            raw = [None if label is None else usable(v) for v, label in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            # -0.0 and 0.0 are one value
-            raw = [None if r is None else (np.frombuffer(r) + 0.0).tobytes() for r in raw]
-            keys = [None if r is None else hashlib.blake2b(r, digest_size=16).digest() for r in raw]
+            labels = batch.column(1).to_pylist()
+            raw = [None if label is None else usable(v) for v, label in zip(batch.column(2).to_pylist(), labels, strict=True)]
+            keys = [None if r is None else hashlib.blake2b(r, digest_size=16, key=hashlib.sha256(label.encode()).digest()).digest() for r, label in zip(raw, labels, strict=True)]
             dims = pa.array([0 if r is None else len(r) // 8 for r in raw], pa.int32())
             yield pa.record_batch([batch.column(0), batch.column(1), dims, pa.array(keys, pa.binary()), pa.array(raw, pa.binary())], names=["vec_id", "label", "dims", "key", "values"])
 
@@ -81,186 +93,305 @@ def centroids_of(sample: np.ndarray, k: int, seed: int, rounds: int = 6) -> np.n
     rng = np.random.default_rng(seed)
     centres = sample[rng.choice(len(sample), min(k, len(sample)), replace=False)]
     for _ in range(rounds):
-        near = (sample @ centres.T).argmax(1)
         sums = np.zeros_like(centres)
-        np.add.at(sums, near, sample)
-        full = np.linalg.norm(sums, axis=1) > 1e-12
-        centres = np.where(full[:, None], sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12), centres)
+        for at in range(0, len(sample), 4096):
+            part = sample[at : at + 4096]
+            np.add.at(sums, (part @ centres.T).argmax(1), part)
+        length = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(length > 1e-12, sums / np.maximum(length, 1e-12), centres)
     return centres
 
 
-def fitted_centroids(firsts: DataFrame, overlap: int) -> dict[tuple[str, int], np.ndarray]:
-    """Centroids by (label, dims) for those with more than ``SHARD`` classes; all in all bounded."""
-    large = firsts.groupBy("label", "dims").count().where(F.col("count") > SHARD).orderBy(F.desc("count"), "label", "dims").limit(MAX_CENTROIDS // 4).collect()
-    if not large:
-        return {}
-    total = sum(r["count"] for r in large)
-    shrink = min(1.0, MAX_CENTROIDS * SHARD / (overlap * total))
-    want = F.least(F.lit(1.0), F.lit(1.2 * MAX_SAMPLE / total))
-    draw = F.shiftrightunsigned(F.xxhash64("vec_id", F.lit(5)), 11) / F.lit(float(2**53))
-    named = firsts.join(F.broadcast(firsts.sparkSession.createDataFrame([(r["label"], r["dims"]) for r in large], "label string, dims int")), ["label", "dims"])
-    rows = named.where(draw < want).orderBy(F.xxhash64("vec_id"), "vec_id").limit(MAX_SAMPLE).select("label", "dims", "values").toPandas()
-    found = {}
-    for (label, dims), part in rows.groupby(["label", "dims"]):
-        n = next(r["count"] for r in large if (r["label"], r["dims"]) == (label, dims))
-        k = max(1, math.ceil(shrink * overlap * n / SHARD))
-        found[label, int(dims)] = centroids_of(unit(matrix(list(part["values"]))), k, 11)
-    return found
+def reachable(x: np.ndarray, centres: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By unit vector: its nearest cell, the second one, and a row of booleans over the cells it must search.
 
+    A vector v of cell j has v.j >= v.h for every other centroid h. If u links with v they
+    lie at most d = sqrt(2 - 2 threshold) apart, so that u.j >= u.h - d |j - h| for u's own h:
+    no other cell can hold a link.
+    """
+    sims = x @ centres.T
+    home = sims.argmax(1)
+    best = sims[np.arange(len(x)), home]
+    square = (centres**2).sum(1)
+    apart = np.sqrt(np.maximum(square[home][:, None] + square[None] - 2 * centres[home] @ centres.T, 0.0))
+    reach = best[:, None] - sims <= math.sqrt(max(2 - 2 * threshold, 0.0)) * apart + 1e-9
+    sims[np.arange(len(x)), home] = -np.inf
+    return home, sims.argmax(1) if len(centres) > 1 else home, reach
+
+
+def placed(firsts: DataFrame, threshold: float) -> DataFrame:
+    """(label, dims, node, rep, n, values, near, reach): the cells of each class as a node, and those it searches."""
+    sizes = firsts.groupBy("label", "dims").count().where(F.col("count") > SHARD)
+    sizes = written(sizes.select("label", "dims", "count", F.least(F.lit(MAX_CELLS), F.ceil(F.col("count") / SHARD)).cast("int").alias("k")), "labels")
+    place = "label string, dims int, node long, rep long, n long, values binary, near array<int>, reach array<int>"
+    small = firsts.join(sizes, ["label", "dims"], "left_anti")
+    small = small.select("label", "dims", "node", "rep", "n", "values", F.array(F.lit(0)).alias("near"), F.array(F.lit(0)).alias("reach"))
+    if not sizes.limit(1).count():
+        return small
+    large = firsts.join(sizes, ["label", "dims"])
+    draw = F.shiftrightunsigned(F.xxhash64("node", F.lit(5)), 11) / F.lit(float(2**53))
+    sample = large.where(draw < F.col("k") * SAMPLE / F.col("count"))
+
+    def fit(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("node")
+        centres = centroids_of(unit(matrix(list(part["values"]))), int(part["k"].iloc[0]), 11)
+        return pd.DataFrame({"label": part["label"].iloc[0], "dims": part["dims"].iloc[0], "cell": range(len(centres)), "centre": [c.tobytes() for c in centres]})
+
+    centres = written(sample.groupBy("label", "dims").applyInPandas(fit, "label string, dims int, cell int, centre binary"), "centres")
+    parts = F.ceil(F.col("count") / PLACED).cast("int")
+    rows = large.withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), parts).cast("int")).drop("k", "count")
+    dealt = centres.join(sizes, ["label", "dims"]).select(*(F.col(c).alias(c) for c in ("label", "dims", "cell", "centre")), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+
+    def locate(part: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
+        out = part[["label", "dims", "node", "rep", "n", "values"]]
+        if not len(part):
+            return out.assign(near=[], reach=[])
+        # a label whose sample came out empty is one cell
+        c = matrix(list(centres.sort_values("cell")["centre"])) if len(centres) else np.zeros((1, int(part["dims"].iloc[0])))
+        near, reach = [], []
+        for at in range(0, len(part), 1024):
+            home, second, cells = reachable(unit(matrix(list(part["values"].iloc[at : at + 1024]))), c, threshold)
+            near += [[int(a), int(b)] if a != b else [int(a)] for a, b in zip(home, second, strict=True)]
+            reach += [np.flatnonzero(r).tolist() for r in cells]
+        return out.assign(near=near, reach=reach)
+
+    keys = ["label", "dims", "part"]
+    return small.unionByName(rows.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInPandas(locate, place))
+
+
+def sharded(firsts: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Nodes (shard, node, rep, n, own, values) and queries (shard, node, rep, values).
+
+    ``own``: the shard that a class counts in. A node has one row for each of its cells, a
+    query one for each block of every cell in reach.
+    """
+    where = written(placed(firsts, threshold), "placed")
+    cell = F.concat_ws("/", "dims", "cell", "label")
+    nodes = where.select("label", "dims", "node", "rep", "n", "values", F.posexplode("near").alias("rank", "cell")).withColumn("cell", cell)
+    blocks = nodes.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    blocks = written(blocks, "blocks")
+    shard = F.concat_ws("/", "block", "cell").alias("shard")
+    nodes = join_salted(nodes, blocks, "cell", "node", "inner").withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")))
+    nodes = nodes.select(shard, "node", "rep", "n", (F.col("rank") == 0).alias("own"), "values")
+    asked = where.select("label", "dims", "node", "rep", "values", F.explode("reach").alias("cell")).withColumn("cell", cell)
+    asked = join_salted(asked, blocks, "cell", "node", "inner").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return written(nodes, "nodes"), asked.select(shard, "node", "rep", "values")
+
+
+class Flat:
+    """A flat graph over unit vectors; ``lists`` has the neighbours of each row, -1 where there is none."""
+
+    def __init__(self, x: np.ndarray, lists: np.ndarray):
+        self.x, self.lists = x, lists
+        self.medoid = int((x @ x.mean(0)).argmax()) if len(x) else 0
+
+    def beam(self, q: np.ndarray, width: int, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Greedy search for rows of ``q``: numbers and cosines of the best ``width`` nodes met (-1: none), and all that were met."""
+        b, x = len(q), self.x
+        met = np.zeros((b, len(x)), bool)
+        ids, sims = np.full((b, width), -1), np.full((b, width), -np.inf)
+        ids[:, 0], sims[:, 0] = start, q @ x[start]
+        met[:, start] = True
+        open_ = ids >= 0
+        rows = np.arange(b)
+        while len(rows):
+            # the best unopened node of each query that has one
+            at = np.where(open_[rows], sims[rows], -np.inf).argmax(1)
+            live = open_[rows, at]
+            rows, at = rows[live], at[live]
+            if not len(rows):
+                break
+            open_[rows, at] = False
+            near = self.lists[ids[rows, at]]
+            fresh = (near >= 0) & ~met[rows[:, None], near]
+            met[np.broadcast_to(rows[:, None], near.shape)[fresh], near[fresh]] = True
+            new = np.where(fresh, np.einsum("brd,bd->br", x[near], q[rows]), -np.inf)
+            both_ids, both_sims = np.hstack([ids[rows], np.where(fresh, near, -1)]), np.hstack([sims[rows], new])
+            both_open = np.hstack([open_[rows], fresh])
+            best = np.argpartition(-both_sims, width - 1, axis=1)[:, :width]
+            ids[rows], sims[rows], open_[rows] = (np.take_along_axis(v, best, 1) for v in (both_ids, both_sims, both_open))
+        return ids, sims, met
+
+    def pruned(self, p: np.ndarray, pool: np.ndarray) -> np.ndarray:
+        """Neighbours of rows ``p`` from a pool (-1: none): the nearest first, unless a nearer one covers it."""
+        x = self.x
+        pool = np.where(pool == p[:, None], -1, pool)
+        sims = np.where(pool >= 0, np.einsum("bcd,bd->bc", x[pool], x[p]), -np.inf)
+        order = np.argsort(-sims, axis=1, kind="stable")[:, :POOL]
+        pool, sims = np.take_along_axis(pool, order, 1), np.take_along_axis(sims, order, 1)
+        alive, far = pool >= 0, 1 - sims
+        y = x[pool]
+        found, taken = np.full((len(p), DEGREE), -1), np.zeros(len(p), int)
+        for i in range(pool.shape[1]):
+            keep = np.flatnonzero(alive[:, i] & (taken < DEGREE))
+            if not len(keep):
+                continue
+            found[keep, taken[keep]] = pool[keep, i]
+            taken[keep] += 1
+            between = 1 - np.einsum("bcd,bd->bc", y[keep], y[keep, i])
+            alive[keep] &= (ALPHA * between > far[keep]) & (np.arange(pool.shape[1]) > i)
+        return found
+
+
+def built(x: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Neighbour lists of all rows, inserted in ``order`` by batches that double."""
+    graph = Flat(x, np.full((len(x), DEGREE), -1))
+    order = np.concatenate([[graph.medoid], order[order != graph.medoid]]).astype(int)
+    at, size = 1, 1
+    while at < len(order):
+        p = order[at : at + size]
+        pool = graph.beam(x[p], BEAM, graph.medoid)[0]
+        if len(p) > 1:  # members of one batch don't find each other in the graph
+            sims = x[p] @ x[p].T
+            np.fill_diagonal(sims, -np.inf)
+            k = min(DEGREE, len(p) - 1)
+            pool = np.hstack([pool, p[np.argpartition(-sims, k - 1, axis=1)[:, :k]]])
+        found = graph.pruned(p, pool)
+        graph.lists[p] = found
+        # the way back: each new neighbour hears of the node, and prunes if it has no room
+        back, source = found[found >= 0], np.broadcast_to(p[:, None], found.shape)[found >= 0]
+        by = np.lexsort((source, back))
+        back, source = back[by], source[by]
+        hubs, first, n = np.unique(back, return_index=True, return_counts=True)
+        for lo in range(0, len(hubs), BATCH):
+            h, f, c = hubs[lo : lo + BATCH], first[lo : lo + BATCH], n[lo : lo + BATCH]
+            wide = np.full((len(h), int(c.max())), -1)
+            for r, (a, k) in enumerate(zip(f, c, strict=True)):
+                wide[r, :k] = source[a : a + k]
+            known = (wide[:, :, None] == graph.lists[h][:, None, :]).any(2)
+            pool = np.hstack([graph.lists[h], np.where(known, -1, wide)])
+            full = (pool >= 0).sum(1) > DEGREE
+            packed = np.take_along_axis(pool, np.argsort(pool < 0, axis=1, kind="stable"), 1)[:, :DEGREE]
+            if full.any():
+                packed[full] = graph.pruned(h[full], pool[full])
+            graph.lists[h] = packed
+        at += len(p)
+        size = min(2 * size, BATCH)
+    return graph.lists
 
-def sharded(firsts: DataFrame, overlap: int) -> DataFrame:
-    """(label, dims, shard, vec_id, n, shards, values): a row for each shard that a class joins."""
-    shared = firsts.sparkSession.sparkContext.broadcast(fitted_centroids(firsts, overlap))
 
-    def step(batches):
-        for batch in batches:
-            ids, labels, dims, values = (batch.column(i).to_pylist() for i in (0, 1, 2, 4))
-            shards: list[list[int]] = [[0]] * len(ids)
-            by: dict[tuple[str, int], list[int]] = {}
-            for i, where in enumerate(zip(labels, dims, strict=True)):
-                by.setdefault(where, []).append(i)
-            for where, rows in by.items():
-                centres = shared.value.get(where)
-                if centres is None:
-                    continue
-                sims = unit(matrix([values[i] for i in rows])) @ centres.T
-                k = min(overlap, len(centres))
-                near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-                for i, own, s in zip(rows, near, sims, strict=True):
-                    shards[i] = [int(c) for c in own[np.argsort(-s[own], kind="stable")]]
-            yield pa.record_batch([batch.column(i) for i in range(5)] + [pa.array(shards, pa.list_(pa.int32()))], names=["vec_id", "label", "dims", "n", "values", "shards"])
-
-    rows = firsts.select("vec_id", "label", "dims", "n", "values")
-    placed = map_arrow(rows, step, "vec_id long, label string, dims int, n long, values binary, shards array<int>")
-    return placed.select("label", "dims", F.explode("shards").alias("shard"), "vec_id", "n", "shards", "values")
-
-
-def pruned_lists(x: np.ndarray) -> list[np.ndarray]:
-    """By row of unit vectors: the numbers of its neighbours after robust pruning."""
-    m, found = len(x), []
-    for at in range(0, m, ROW_BLOCK):
-        sims = x[at : at + ROW_BLOCK] @ x.T
-        sims[np.arange(len(sims)), at + np.arange(len(sims))] = -np.inf
-        k = min(CANDIDATES, m - 1)
-        if k < 1:
-            return [np.zeros(0, int)] * m
-        near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-        for s, own in zip(sims, near, strict=True):
-            own = own[np.argsort(-s[own], kind="stable")]
-            far = 1 - s[own]
-            between = 1 - x[own] @ x[own].T
-            alive, kept = np.ones(len(own), bool), []
-            for i in range(len(own)):
-                if alive[i]:
-                    kept.append(own[i])
-                    if len(kept) == DEGREE:
-                        break
-                    alive &= ALPHA * between[i] > far
-            found.append(np.array(kept))
-    return found
+def build_shard(shard: pd.DataFrame) -> pd.DataFrame:
+    """(node, near): neighbour lists of one shard."""
+    shard = shard.sort_values("node", ignore_index=True)
+    nodes = shard["node"].to_numpy()
+    lists = built(unit(matrix(list(shard["values"]))), np.random.default_rng(len(nodes)).permutation(len(nodes)))
+    return pd.DataFrame({"node": nodes, "near": [nodes[near[near >= 0]].tolist() for near in lists]})
 
 
-def build_shard(shard: pd.DataFrame) -> pd.DataFrame:
-    """(vec_id, near): adjacency lists of one shard."""
-    shard = shard.sort_values("vec_id", ignore_index=True)
-    ids = shard["vec_id"].to_numpy()
-    near = pruned_lists(unit(matrix(list(shard["values"]))))
-    return pd.DataFrame({"vec_id": ids, "near": [ids[n].tolist() for n in near]})
-
-
-def in_range(x: np.ndarray, lists: list[np.ndarray], q: int, medoid: int, threshold: float) -> np.ndarray:
-    """Rows found for row q: a greedy beam search, then the expansion over nodes in range."""
-    target = x[q]
-    seen = {medoid}
-    beam = [(float(x[medoid] @ target), medoid)]
-    open_ = list(beam)
-    while open_:
-        best = max(open_)
-        open_.remove(best)
-        if len(beam) >= BEAM and best[0] < beam[-1][0]:
-            break
-        new = [j for j in lists[best[1]] if j not in seen]
-        if new:
-            seen.update(new)
-            found = list(zip((x[new] @ target).tolist(), new, strict=True))
-            beam = sorted(beam + found, reverse=True)[:BEAM]
-            floor = beam[-1][0]
-            open_ = [o for o in open_ if o[0] >= floor] + [f for f in found if f[0] >= floor]
-    reach = {q} | {j for s, j in beam if s >= threshold - SLACK}
-    edge = list(reach)
-    while edge:
-        new = {j for i in edge for j in lists[i]} - reach
-        if not new:
-            break
-        new = np.fromiter(new, int, len(new))
-        edge = new[x[new] @ target >= threshold - SLACK].tolist()
-        reach.update(edge)
-    reach.discard(q)
-    return np.fromiter(reach, int, len(reach))
-
-
-def linked(raw: np.ndarray, norms: np.ndarray, q: int, rows: np.ndarray, threshold: float) -> np.ndarray:
-    """Of ``rows`` those whose cosine with row q reaches the threshold: the verification."""
-    return rows[(raw[rows] @ raw[q]) / (norms[rows] * norms[q]) >= threshold] if len(rows) else rows
-
-
-def search_shard(shard: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """(vec_id, links, root): links counted here, and a member that stands for the part it links into."""
-    shard = shard.sort_values("vec_id", ignore_index=True)
-    here = int(shard["shard"].iloc[0])
-    ids, n = shard["vec_id"].to_numpy(), shard["n"].to_numpy()
-    number = {v: i for i, v in enumerate(ids)}
-    raw = matrix(list(shard["values"]))
-    norms = np.linalg.norm(raw, axis=1)
-    x = raw / norms[:, None]
-    lists = [[number[v] for v in near if v in number] for near in shard["near"]]
-    medoid = int((x @ x.mean(0)).argmax())
-    everyone = np.arange(len(ids))
-
-    def scanned(q: int) -> np.ndarray:
-        return linked(raw, norms, q, everyone[everyone != q], threshold)
-
-    sample = np.unique(np.linspace(0, len(ids) - 1, min(AUDIT, len(ids))).astype(int))
-    exact = any(len(scanned(q)) > len(linked(raw, norms, q, in_range(x, lists, q, medoid, threshold), threshold)) for q in sample)
-    earlier = [set(own[: list(own).index(here)]) for own in shard["shards"]]
-    members = [set(own) for own in shard["shards"]]
-    root = list(range(len(ids)))
-
-    def top(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    links = np.zeros(len(ids), np.int64)
-    for q in everyone:
-        found = scanned(q) if exact else linked(raw, norms, q, in_range(x, lists, q, medoid, threshold), threshold)
-        if earlier[q]:
-            links[q] = sum(n[j] for j in found if not earlier[q] & members[j])
-        else:
-            links[q] = n[found].sum()
-        for j in found:
-            a, b = top(q), top(j)
-            root[max(a, b)] = min(a, b)
-    return pd.DataFrame({"vec_id": ids, "links": links, "root": ids[[top(i) for i in everyone]]})
+def in_range(graph: Flat, q: np.ndarray, own: np.ndarray, floor: float) -> np.ndarray:
+    """Booleans (query, node): nodes found whose cosine reaches ``floor``, from a beam search and expansion.
 
+    ``own``: the query's number where it is a node as well, else -1.
+    """
+    x, b, m = graph.x, len(q), len(graph.x)
+    ids, sims, _ = graph.beam(q, BEAM, graph.medoid)
+    found, tested = np.zeros((b, m), bool), np.zeros((b, m), bool)
+    r, c = np.nonzero((ids >= 0) & (sims >= floor))
+    found[r, ids[r, c]] = True
+    known = np.flatnonzero(own >= 0)
+    found[known, own[known]] = True
+    tested |= found
+    r, j = np.nonzero(found)
+    product = None
+    while len(r):
+        near = graph.lists[j]
+        new = np.zeros((b, m), bool)
+        ok = near >= 0
+        new[np.broadcast_to(r[:, None], near.shape)[ok], near[ok]] = True
+        new &= ~tested
+        tested |= new
+        r, j = np.nonzero(new)
+        if product is None and 8 * len(r) > b * m:  # the range covers much of the shard: one product is less work
+            product = q @ x.T
+        keep = (np.einsum("pd,pd->p", x[j], q[r]) if product is None else product[r, j]) >= floor
+        r, j = r[keep], j[keep]
+        found[r, j] = True
+    return found
 
-def vector_dedup(vectors: DataFrame, threshold: float = 0.98, overlap: int = 3) -> DataFrame:
+
+def search_shard(nodes: pd.DataFrame, asked: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """(node, links, a, b): links of a query that count here, and (a, b) ids that links join, null for none."""
+    out = {"node": np.zeros(0, np.int64), "links": np.zeros(0, np.int64), "a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)}
+    if not len(nodes) or not len(asked):
+        return pd.DataFrame(out)
+    nodes, asked = nodes.sort_values("node", ignore_index=True), asked.sort_values("node", ignore_index=True)
+    raw, wanted = matrix(list(nodes["values"])), matrix(list(asked["values"]))
+    norms, lengths = np.linalg.norm(raw, axis=1), np.linalg.norm(wanted, axis=1)
+    names = nodes["node"].to_numpy()
+    number = pd.Series(np.arange(len(names)), index=names)
+    width = max(1, max(map(len, nodes["near"])))
+    lists = np.full((len(names), width), -1)
+    for i, near in enumerate(nodes["near"]):
+        here = number.reindex(near).dropna().to_numpy(int)
+        lists[i, : len(here)] = here
+    graph = Flat(raw / norms[:, None], lists)
+    own = number.reindex(asked["node"]).fillna(-1).to_numpy(int)
+    counted = np.where(nodes["own"].to_numpy(bool), nodes["n"].to_numpy(np.int64), 0)
+
+    def scanned(rows: np.ndarray) -> np.ndarray:
+        near = (wanted[rows] @ raw.T) / (lengths[rows, None] * norms) >= threshold
+        near[np.flatnonzero(own[rows] >= 0), own[rows][own[rows] >= 0]] = False
+        return near
+
+    def searched(rows: np.ndarray) -> np.ndarray:
+        near = in_range(graph, wanted[rows] / lengths[rows, None], own[rows], threshold - SLACK)
+        if 8 * near.sum() > near.size:  # the verification
+            near &= (wanted[rows] @ raw.T) / (lengths[rows, None] * norms) >= threshold
+        else:
+            i, k = np.nonzero(near)
+            near[i, k] = np.einsum("pd,pd->p", wanted[rows[i]], raw[k]) / (lengths[rows[i]] * norms[k]) >= threshold
+        near[np.flatnonzero(own[rows] >= 0), own[rows][own[rows] >= 0]] = False
+        return near
+
+    links, root, first = np.zeros(len(asked), np.int64), np.arange(len(names)), np.full(len(asked), -1)
+
+    def settle(find) -> None:
+        for at in range(0, len(asked), BATCH):
+            rows = np.arange(at, min(at + BATCH, len(asked)))
+            near = find(rows)
+            links[rows] = near @ counted
+            for i in rows[near.any(1)]:
+                ends = near[i - at]
+                tops = np.unique(root[ends])
+                if len(tops) > 1:
+                    root[np.isin(root, tops)] = tops[0]
+                first[i] = np.flatnonzero(ends)[0]
+
+    settle(searched)
+    # half of the sample are searches that found something: their surroundings are where links are missed
+    some = np.flatnonzero(first >= 0)
+    pick = lambda rows: rows[np.unique(np.linspace(0, len(rows) - 1, min(AUDIT // 2, len(rows))).astype(int))] if len(rows) else rows
+    sample = np.union1d(pick(some), pick(np.arange(len(asked))))
+    if ((scanned(sample) @ counted) > links[sample]).any():
+        settle(scanned)
+    reps, ids = nodes["rep"].to_numpy(), asked["rep"].to_numpy()
+    joined = np.flatnonzero(root != np.arange(len(names)))
+    ends = np.where(first >= 0, reps[root[np.maximum(first, 0)]], ids)
+    none = np.zeros(len(joined), np.int64)
+    return pd.DataFrame({"node": np.append(asked["node"].to_numpy(), names[joined]), "links": np.append(links, none), "a": np.append(ids, reps[joined]), "b": np.append(ends, reps[root[joined]])})
+
+
+def vector_dedup(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
     rows = written(keyed(vectors), "vectors")
     known = rows.where("key is not null and vec_id is not null")
-    classes = written(known.groupBy("label", "key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "classes")
-    firsts = known.join(classes.withColumnRenamed("rep", "vec_id"), ["label", "key", "vec_id"]).dropDuplicates(["vec_id", "label", "key"])
-    members = written(sharded(firsts, overlap), "shards")
-    lists = members.groupBy("label", "dims", "shard").applyInPandas(build_shard, "vec_id long, near array<long>")
-    united = written(lists.groupBy("vec_id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph")
-    found = members.join(united, "vec_id").groupBy("label", "dims", "shard").applyInPandas(lambda s: search_shard(s, threshold), "vec_id long, links long, root long")
-    found = written(found, "found")
-    joined = components(found.where("vec_id <> root").select(F.col("vec_id").alias("a"), F.col("root").alias("b")))
-    counted = found.groupBy("vec_id").agg(F.sum("links").alias("links")).withColumnRenamed("vec_id", "rep")
-    groups = classes.join(counted, "rep", "left").join(joined.withColumnRenamed("id", "rep"), "rep", "left")
-    groups = written(groups.select("label", "key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id")), "groups")
-    out = rows.select("vec_id", "label", "key").join(groups, ["label", "key"], "left")
+    classes = written(known.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "classes")
+    firsts = known.join(classes, (known.key == classes.key) & (known.vec_id == classes.rep)).select(known.key, "label", "dims", "rep", "n", "values")
+    firsts = firsts.dropDuplicates(["key", "rep"]).withColumn("node", F.xxhash64("key"))
+    nodes, asked = sharded(firsts, threshold)
+    lists = nodes.groupBy("shard").applyInPandas(build_shard, "node long, near array<long>")
+    united = written(lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph")
+    asked = written(asked, "queries")
+    parts = written(asked.groupBy("shard").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts")), "parts")
+    graph = nodes.join(united, "node").join(parts, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = join_salted(asked, parts, "shard", "node", "inner").withColumn("part", F.pmod(F.xxhash64("node", F.lit(9)), F.col("parts")).cast("int"))
+    cells = graph.select("shard", "part", "node", "rep", "n", "own", "values", "near").groupBy("shard", "part").cogroup(dealt.select("shard", "part", "node", "rep", "values").groupBy("shard", "part"))
+    found = written(cells.applyInPandas(lambda n, q: search_shard(n, q, threshold), "node long, links long, a long, b long"), "found")
+    joined = components(found.where("a <> b").select("a", "b"))
+    counted = found.groupBy("node").agg(F.sum("links").alias("links"))
+    groups = classes.withColumn("node", F.xxhash64("key")).join(counted, "node", "left").join(joined.withColumnRenamed("id", "rep"), "rep", "left")
+    groups = written(groups.select("key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id")), "groups")
+    out = join_salted(rows.select("vec_id", "key"), groups, "key", "vec_id")
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 

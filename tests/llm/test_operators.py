@@ -293,6 +293,9 @@ def vectors_of(seed=2):
 @pytest.mark.parametrize("shard", [vector_graph.SHARD, 20])
 def test_vectors_against_all_pairs(spark, shard, monkeypatch):
     monkeypatch.setattr(vector_graph, "SHARD", shard)
+    if shard == 20:  # several cells, blocks and tasks of queries
+        monkeypatch.setattr(vector_graph, "BLOCK", 15)
+        monkeypatch.setattr(vector_graph, "QUERIES", 25)
     rows = vectors_of()
     root = {i: i for i, _, _ in rows}
     links = collections.Counter()
@@ -316,6 +319,35 @@ def test_vectors_against_all_pairs(spark, shard, monkeypatch):
         assert vector_graph.audit_recall(df, every=3) >= 0.9
 
 
+@pytest.mark.parametrize(("copies", "others", "labels", "scale"), [(5000, 0, 1, 0.08), (2500, 3000, 2, 0.13)])
+def test_near_copies_beyond_a_shard(spark, copies, others, labels, scale):
+    """Jittered copies of one vector, more than a shard holds, alone and among unrelated vectors."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=64)
+    x = np.concatenate([base + rng.normal(size=(copies, 64)) * scale * np.linalg.norm(base) / 8, rng.normal(size=(others, 64))])
+    label = rng.integers(0, labels, len(x))
+    df = spark.createDataFrame([(i, v, int(c)) for i, (v, c) in enumerate(zip(x.tolist(), label, strict=True))], "vec_id long, embedding array<double>, label int")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.98) & (label[:, None] == label[None])
+    want = near.sum(1) - 1
+    got = collected(vector_graph.vector_dedup(df), "vec_id")
+    links = np.array([got[i]["n_links"] for i in range(len(x))])
+    assert (links <= want).all() and links.sum() >= 0.99 * want.sum()
+    asked = np.arange(0, len(x), 50)  # the stated queries against all rows
+    assert links[asked].sum() >= 0.99 * want[asked].sum()
+    assert vector_graph.audit_recall(df) >= 0.99
+
+
+def test_cells_in_reach_hold_every_link():
+    rng = np.random.default_rng(4)
+    u = rng.normal(size=(300, 8))
+    u = np.concatenate([u, u + rng.normal(scale=0.06, size=u.shape)])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    home, second, reach = vector_graph.reachable(u, vector_graph.centroids_of(u[::3], 40, 1), 0.98)
+    a, b = np.nonzero(u @ u.T >= 0.98)
+    assert reach[a, home[b]].all() and (home[a] != home[b]).any() and (home != second).all() and not reach.all()
+
+
 def test_vector_defined_cases(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, None, 1, 5), (1, [0.0, 0.0], 1, 5), (2, [nan, 1.0], 1, 5), (3, [inf, 1.0], 1, 5), (4, [None, 1.0], 1, 5), (5, [], 1, 5), (6, [1.0, 1.0], None, 5), (7, [1.0, 1.0], None, 5), (8, [1.0, 1.0], 2, 5), (8, [1.0, 1.0], 2, 5), (9, [2.0, 2.0], 2, 5), (None, [1.0, 1.0], 2, 5), (10, [1.0, 1.0, 1.0], 2, 5)]
