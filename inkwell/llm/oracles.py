@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkwell.llm.license_scan import BASE, TEMPLATES
+from inkwell.llm.license_scan import templates
 from inkwell.llm.url_filter import ORACLE_SQL as URL_FILTER
 
 FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -57,15 +57,9 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
-
 def license_templates() -> str:
     """VALUES of (t, base, label, words, key_at, key_n)."""
-    rows = []
-    for base, label, words, key in [*((True, label, text, text) for text, label in BASE), *((False, *x) for x in TEMPLATES)]:
-        w, k = words.split(), key.split()
-        at = next(i for i in range(len(w)) if w[i : i + len(k)] == k)
-        rows.append(f"({len(rows)}, {base}, '{label}', [{', '.join(map(repr, w))}], {at}, {len(k)})")
-    return ",\n".join(rows)
+    return ",\n".join(f"({t}, {e['base']}, '{e['label']}', [{', '.join(map(repr, e['words']))}], {e['key_at']}, {len(e['key'])})" for t, e in enumerate(templates()))
 
 
 LICENSES = rf"""
@@ -75,7 +69,7 @@ tok AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM d),
 tw AS (SELECT t, base, label, key_at, key_n, len(words) AS n, unnest(words) AS w, unnest(range(len(words))) AS o FROM tpl),
 df AS (SELECT w, count(DISTINCT doc_id) AS df FROM tok WHERE w IN (SELECT w FROM tw) GROUP BY w),
 ranked AS (SELECT tw.*, row_number() OVER (PARTITION BY t ORDER BY coalesce(df, 0), o) AS r FROM tw LEFT JOIN df ON tw.w = df.w WHERE o >= key_at AND o < key_at + key_n),
-starts AS (SELECT DISTINCT tok.doc_id, ranked.t, tok.i - ranked.o AS start FROM tok JOIN ranked ON tok.w = ranked.w WHERE r <= CASE WHEN base THEN 1 ELSE 2 END),
+starts AS (SELECT tok.doc_id, ranked.t, tok.i - ranked.o AS start FROM tok JOIN ranked ON tok.w = ranked.w WHERE r <= 2 GROUP BY ALL HAVING count(DISTINCT r) = 2),
 placed AS (SELECT s.doc_id, s.t, s.start, tw.base, tw.label, tw.n, tw.key_n, CASE WHEN tok.w = tw.w THEN 1 ELSE 0 END AS hit, CASE WHEN tok.w = tw.w AND tw.o >= tw.key_at AND tw.o < tw.key_at + tw.key_n THEN 1 ELSE 0 END AS key_hit
   FROM starts s JOIN tw ON s.t = tw.t LEFT JOIN tok ON tok.doc_id = s.doc_id AND tok.i = s.start + tw.o),
 judged AS (SELECT doc_id, start, base, label, sum(hit) / n AS cover, sum(key_hit) = key_n AS key FROM placed GROUP BY doc_id, t, start, base, label, n, key_n),
