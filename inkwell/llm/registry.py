@@ -13,7 +13,7 @@ from inkwell.llm.license_scan import license_scan
 from inkwell.llm.minhash import minhash_dedup
 from inkwell.llm.mixing import mix
 from inkwell.llm.oracles import ORACLES
-from inkwell.llm.piece_transducer import encode_digests
+from inkwell.llm.piece_transducer import round_trips
 from inkwell.llm.quality_classifier import classify
 from inkwell.llm.quality_rules import MEASURES, quality_rules
 from inkwell.llm.token_counts import token_counts
@@ -51,7 +51,7 @@ def op8_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_piece_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_digests(table(spark, sf_dir, "documents"))
+    return round_trips(table(spark, sf_dir, "documents"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

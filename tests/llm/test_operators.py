@@ -3,6 +3,7 @@
 import collections
 import math
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -35,7 +36,7 @@ OPERATORS = {
     "tokens": token_counts.token_counts,
     "lm": backoff_lm.backoff_scores,
     "mix": mixing.mix,
-    "pieces": piece_transducer.encode_digests,
+    "pieces": piece_transducer.round_trips,
     "rules": quality_rules.quality_rules,
 }
 
@@ -148,6 +149,33 @@ def test_license_places(spark):
     assert got[6]["first_word"] == 1 and got[8]["n_words"] == 0 and got[8]["score"] == 0.0
 
 
+def test_license_texts_and_near_misses(spark):
+    whole = {label: text for label, text, _ in license_scan.TEXTS}
+    mit = whole["mit-full"].split()
+    texts = [
+        (0, whole["mit-full"]), (1, "Foo. " + whole["bsd-full"].upper() + " end"), (2, " ".join([*mit[:20], "extra", *mit[20:]])),  # shifted: words before the gap no longer stand
+        (3, " ".join(mit[:40])), (4, " ".join(w if i % 9 else "x" for i, w in enumerate(whole["zlib"].split()))), (5, whole["gpl-header"].replace("version 3", "version 2")),
+    ]
+    got = collected(license_scan.license_scan(docs_of(spark, texts)))
+    labels = {i: r["labels"].split(",") for i, r in got.items()}
+    assert "mit-full" in labels[0] and "mit-text" in labels[0] and got[0]["score"] == 1.0
+    assert "bsd-full" in labels[1] and "bsd" in labels[1]
+    assert "mit-full" in labels[2] and 0.75 < got[2]["score"] <= 1.0
+    assert "mit-full" not in labels[3] and "zlib" not in labels[4]
+    assert "gpl-header" in labels[5] and "gpl" in labels[5]
+
+
+@pytest.mark.parametrize("phrase", ["cc by", "mit license", "released under the mit license apache license version 2 0"])
+def test_license_words_without_end(spark, phrase):
+    """100,000 license words in one text: work in proportion to them."""
+    times = 100_000 // len(phrase.split())
+    began = time.time()
+    got = license_scan.license_scan(docs_of(spark, [(0, " ".join([phrase] * times))])).first()
+    assert time.time() - began < 40
+    assert got["n_words"] == times * len(phrase.split())
+    assert got["n_base"] == times * (2 if "apache" in phrase else 1)
+
+
 def test_tokens_equal_the_library_and_are_cached(spark, tmp_path):
     path = public_tokenizers.path(token_counts.MODEL)
     lib = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -175,7 +203,45 @@ def test_transducer_round_trip(spark):
     texts = [(i, t) for i, t in ODD if i is not None and i != 6]
     back = collected(piece_transducer.decode(piece_transducer.encode(docs_of(spark, texts))))
     assert {i: r["text"] for i, r in back.items()} == {i: t or "" for i, t in texts}
-    assert all(r["round_trip"] for r in piece_transducer.encode_digests(docs_of(spark, [x for x in texts if x[1] is not None])).collect())
+    found = collected(piece_transducer.round_trips(docs_of(spark, texts)))
+    fallback = set(mine.bytes.values())
+    for i, t in texts:
+        ids = lib.encode(t or "")
+        r = found[i]
+        assert (r["ids"], r["n_pieces"], r["n_bytes_pieces"], r["round_trip"]) == (ids, len(ids), len([x for x in ids if x in fallback]), lib.decode(ids) == (t or ""))
+
+
+def test_neighbours_fit_where_merging_keeps_them():
+    machine = piece_transducer.PieceTransducer(public_tokenizers.path(piece_transducer.MODEL))
+    rng = random.Random(6)
+    made = [p for p in machine.scores if len(p) == 1 or p in machine.halves]
+    runs = [c * n for c in ("a", "-", "=", " ".replace(" ", piece_transducer.MARK)) for n in range(1, 17) if c * n in machine.halves or n == 1]
+    pairs = [(rng.choice(made), rng.choice(made)) for _ in range(20_000)] + [(a, b) for a in runs for b in runs]
+    assert machine.ordered and all(machine.follows(a, b) == (machine.merged(a + b)[0] == [a, b]) for a, b in pairs)
+
+
+@pytest.mark.parametrize("fallback", [True, False])
+def test_pieces_of_a_unigram_model(tmp_path, fallback):
+    """The same pieces and scores read as a unigram model: the library's best path."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    model = pb.ModelProto()
+    with open(public_tokenizers.path(piece_transducer.MODEL), "rb") as f:
+        model.ParseFromString(f.read())
+    model.trainer_spec.model_type = piece_transducer.UNIGRAM
+    rng = random.Random(7)
+    for p in model.pieces:
+        p.score = -rng.randrange(1, 4096) / 4 if p.type == piece_transducer.NORMAL else p.score
+    if not fallback:
+        model.trainer_spec.byte_fallback = False
+        kept = [p for p in model.pieces if p.type != piece_transducer.BYTE]
+        del model.pieces[:]
+        model.pieces.extend(kept)
+    (tmp_path / "m.model").write_bytes(model.SerializeToString())
+    mine, lib = piece_transducer.PieceTransducer(str(tmp_path / "m.model")), sentencepiece.SentencePieceProcessor(model_file=str(tmp_path / "m.model"))
+    for _ in range(300):
+        text = "".join(rng.choice("abcdeth  \n.!\u00e9\u6f22\U0001f642\ue000\ue001") for _ in range(rng.randrange(40)))
+        assert mine.encode(text) == lib.encode(text), text
 
 
 def test_classifier_on_held_out_rows(spark):
