@@ -40,11 +40,11 @@ from pyspark.sql import functions as F
 from inkwell.llm.common import components, join_salted, map_arrow, written
 
 #: Classes of a cell, about; nodes of a block and queries of a task at most, about.
-SHARD, BLOCK, QUERIES = 2000, 6000, 4000
+SHARD, BLOCK, QUERIES = 8000, 16_000, 8000
 #: Centroids of a label at most (beyond, cells grow and fall into more blocks); sample rows for each.
 MAX_CELLS, SAMPLE = 2048, 16
 #: Rows that are placed in one task, about.
-PLACED = 20_000
+PLACED = 5000
 DEGREE, ALPHA, BEAM, POOL = 16, 1.2, 32, 64
 #: Searches leave the range by so much cosine, so that in-range nodes stay connected.
 SLACK = 0.06
