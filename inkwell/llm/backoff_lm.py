@@ -1,24 +1,30 @@
-"""Stupid-backoff scores of all documents under bigram counts of the same corpus (operator 6).
+"""Stupid-backoff scores of all documents under trigram counts of the same corpus (operator 6).
 
-S(w | v) is c(v w) / c(v) where c(v w) reaches ``min_count``, else ``alpha`` c(w) / N; a
-first word scores c(w) / N. A document's score is the sum of their logs.
+S(w | u v) is c(u v w) / c(u v) where c(u v w) reaches ``min_count``, else ``alpha`` S(w | v);
+S(w | v) is c(v w) / c(v) where c(v w) reaches it, else ``alpha`` c(w) / N. A first word
+scores c(w) / N, a second one S(w | v). A document's score is the sum of their logs.
 
-The count tables are partitioned by hash and the exploded n-grams meet them there:
+A word's log score is that of its unigram, plus what the bigram changes if it is found,
+plus what the trigram changes if it is found; each change belongs to the n-gram alone. So
+every order is one relational step:
 
-1. Words are counted over the whole corpus; the ``HEAD`` most frequent, a bounded table,
-   go to all tasks. Pairs of the ``HOT`` most frequent words are counted in one bounded
-   matrix and scored where they stand, so that no frequent pair gathers its documents.
-2. The other pairs go, packed by ``FLUSH`` tokens, to shards: by the pair's hash if both
-   words are in the head table, else by the hash of the rare word, whose own count then
-   is complete in its shard. A pair of two rare words goes to both: one adds what its
-   score has if it is found, the other what it has if not.
-3. Shards send back sums by document, which are added up.
+1. Its n-grams are exploded from the texts, added up in each task and grouped by their hash:
+   the count table. Counts of contexts come from the table of the order below; with them a
+   row gets its n-gram's change. N-grams below ``min_count`` change nothing and stay out.
+2. The n-grams exploded from the texts with their document join the table by hash, and the
+   changes are summed by document.
 
-Words are 64-bit hashes of what white space parts, A-Z folded.
+The n-grams that hold at least one in ``HOT`` of all places of their order, a bounded table,
+go to all tasks and are summed up where they stand, so that no frequent n-gram gathers its
+documents. An order's n-grams are taken in ``slices`` by their hash, so that only a slice's
+exploded rows are on disk at a time.
 
-Defined cases: a null or empty text has no tokens, log score 0 and null mean; repeated rows
-count and are scored each; null ids stay; with no rows there are none; other columns are
-ignored.
+Words are what white space parts, A-Z folded. Words, n-grams and texts are known by 64-bit
+hashes; two that share one would be taken as one.
+
+Defined cases: a null or empty text has no tokens, log score 0 and null mean; very long
+texts are read piece by piece; repeated rows count and are scored each; null ids stay;
+with no rows there are none; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,263 +32,196 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import map_arrow, utf8, written
+from inkwell.llm.common import join_salted, map_arrow, utf8, written
 from inkwell.llm.minhash import ODD, mix
 
-HEAD, HOT = 1 << 18, 1024
-#: Tokens that a task packs at a time, and tokens of a shard, about.
-FLUSH, SHARD = 1_500_000, 2_000_000
-#: Of a packed pair: both words in the head; or how the rare word stands in it.
-BOTH, RARE_LAST, RARE_FIRST, RARE_TWO_FIRST, RARE_TWO_LAST, RARE_ALONE = range(6)
-
-
-def hashes_of(text: bytes) -> np.ndarray:
-    words = text.lower().split()
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+ORDERS, HOT = 3, 100_000
+#: Bytes of text, and documents, that a task works on at a time.
+CHUNK_BYTES, CHUNK_DOCS = 2 << 20, 20_000
+#: Rows of an Arrow batch that leaves a task.
+OUT_ROWS = 100_000
+_rng = np.random.default_rng(20240607)
+BYTE_VALUES = _rng.integers(0, 2**64, 256, dtype=np.uint64)
+BASE = int(_rng.integers(0, 2**63)) * 2 + 1
+INVERSE = pow(BASE, -1, 2**64)
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+UPPER = np.arange(256, dtype=np.uint8)
+UPPER[65:91] += 32
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    found = np.full(n, base, np.uint64)
+    found[0] = 1
+    return np.cumprod(found)
+
+
+class Hasher:
+    """Hashes of the words of a byte string: sums of byte values times powers, moved to the word's start."""
+
+    def __init__(self):
+        self.up, self.down = powers(BASE, CHUNK_BYTES + 1), powers(INVERSE, CHUNK_BYTES + 1)
+
+    def __call__(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes, starts) of a string of at most ``CHUNK_BYTES``."""
+        raw = UPPER[np.frombuffer(text, np.uint8)]
+        gap = np.ones(len(raw) + 2, bool)
+        gap[1:-1] = SPACE[raw]
+        edges = np.flatnonzero(gap[1:] != gap[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(BYTE_VALUES[raw] * self.up[: len(raw)], out=sums[1:])
+        return mix((sums[ends] - sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64) * ODD), starts
+
+
+def pieces(text: bytes):
+    """``text`` in parts of at most ``CHUNK_BYTES``, cut after white space where there is any."""
+    at = 0
+    while len(text) - at > CHUNK_BYTES:
+        part = text[at : at + CHUNK_BYTES]
+        end = max((part.rfind(c) for c in b"\t\n\x0b\x0c\r "), default=-1) + 1
+        yield part[:end] if end else part
+        at += end or CHUNK_BYTES
+    yield text[at:]
+
+
+def chunks(batches):
+    """Yields (text ids, word counts by text, word hashes) of several documents at a time."""
+    hasher, texts, size = Hasher(), [], 0
+
+    def worked(texts):
+        ids = np.array([xxhash.xxh3_64_intdigest(t) for t in texts], np.uint64).view(np.int64)
+        sizes = np.array([len(t) + 1 for t in texts])
+        hashes, starts = hasher(b"\n".join(texts))
+        return ids, np.diff(np.append(np.searchsorted(starts, np.cumsum(sizes) - sizes), len(starts))), hashes
 
-
-def gathered(batches, columns: int):
-    """Yields (ids, hash arrays) of about ``FLUSH`` tokens."""
-    ids, words, n = [], [], 0
     for batch in batches:
-        given = batch.column(0).to_pylist() if columns > 1 else [None] * batch.num_rows
-        for i, text in zip(given, utf8(batch, "text"), strict=True):
-            h = hashes_of(text)
-            ids.append(i)
-            words.append(h)
-            n += len(h)
-            if n >= FLUSH:
-                yield ids, words
-                ids, words, n = [], [], 0
-    if ids:
-        yield ids, words
-
-
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n): the unigram table, added up in each task before it is dealt out."""
+        for text in utf8(batch, "text"):
+            if len(text) >= CHUNK_BYTES:
+                hashes = np.concatenate([hasher(p)[0] for p in pieces(text)])
+                yield np.array([xxhash.xxh3_64_intdigest(text)], np.uint64).view(np.int64), np.array([len(hashes)]), hashes
+                continue
+            if texts and (size + len(text) + 1 > CHUNK_BYTES or len(texts) == CHUNK_DOCS):
+                yield worked(texts)
+                texts, size = [], 0
+            texts.append(text)
+            size += len(text) + 1
+    if texts:
+        yield worked(texts)
+
+
+def n_grams(words: np.ndarray, counts: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(places, n-gram, context, tail): places where one ends, its hash, and those of all but the last and the first word."""
+    place = np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts)
+    at = np.flatnonzero(place >= order - 1)
+    if order == 1:
+        return at, words, words, words
+    pair = np.zeros(len(words), np.uint64)
+    pair[1:] = mix(words[:-1] * ODD + mix(words[1:]))
+    if order == 2:
+        return at, pair[at], words[at - 1], words[at]
+    return at, mix(pair[at - 1] * ODD + mix(words[at])), pair[at - 1], pair[at]
+
+
+def batches_of(names: list[str], *columns: np.ndarray):
+    for at in range(0, len(columns[0]), OUT_ROWS):
+        yield pa.record_batch([pa.array(c[at : at + OUT_ROWS]) for c in columns], names=names)
+
+
+def documents(texts: DataFrame) -> DataFrame:
+    """(doc_id, tid, n_tokens) of every row; ``tid`` stands for the text."""
 
     def step(batches):
-        for _, words in gathered(batches, 1):
-            w, n = np.unique(np.concatenate(words), return_counts=True)
-            for at in range(0, len(w), 100_000):
-                yield pa.record_batch([pa.array(w[at : at + 100_000].view(np.int64)), pa.array(n[at : at + 100_000])], names=["word", "n"])
-
-    return map_arrow(docs.select("text"), step, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def frequent(words: DataFrame) -> DataFrame:
-    """The most frequent words, ``HEAD`` at most: those above a count that a coarse histogram gives.
-
-    A top-k by sorting would send each task's ``HEAD`` rows to the driver; the histogram has
-    a row for each sixteenth of a power of two.
-    """
-    step = F.floor(F.log2("n") * 16)
-    rows = sorted(words.groupBy(step.alias("step")).count().collect(), reverse=True)
-    sums = np.cumsum([r["count"] for r in rows])
-    fits = int(np.searchsorted(sums, HEAD, "right"))
-    return words.where(step >= rows[fits - 1]["step"]) if fits else words.limit(0)
-
-
-class Head:
-    """The most frequent words by hash, with their counts; the first ``HOT`` ranks are hot."""
-
-    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int):
-        rank = np.argsort(words, kind="stable")
-        self.words, self.rank, self.counts, self.total = words[rank], rank, counts, total
+        for batch in batches:
+            raw = utf8(batch, "text")
+            ids = np.array([xxhash.xxh3_64_intdigest(t) for t in raw], np.uint64).view(np.int64)
+            yield pa.record_batch([batch.column(0), pa.array(ids), pa.array([len(t.split()) for t in raw], pa.int64())], names=["doc_id", "tid", "n_tokens"])
 
-    def ranks(self, words: np.ndarray) -> np.ndarray:
-        """Rank of each word, -1 for rare ones."""
-        if not len(self.words):
-            return np.full(len(words), -1)
-        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        return np.where(self.words[at] == words, self.rank[at], -1)
+    return map_arrow(texts, step, "doc_id long, tid long, n_tokens long")
 
 
-def hot_pairs(docs: DataFrame, head) -> np.ndarray:
-    """Counts of all pairs of hot words: a bounded matrix."""
+def counted(texts: DataFrame, order: int, part: int, slices: int, min_count: int) -> DataFrame:
+    """(gram, context, tail, n): the count table of a slice."""
 
     def step(batches):
-        counts = np.zeros(HOT * HOT, np.int64)
-        for _, words in gathered(batches, 1):
-            ranks = head.value.ranks(np.concatenate(words))
-            first = np.zeros(len(ranks) + 1, bool)
-            first[np.cumsum([0, *map(len, words)])] = True
-            a, b = ranks[:-1], ranks[1:]
-            both = (a >= 0) & (a < HOT) & (b >= 0) & (b < HOT) & ~first[1:-1]
-            counts += np.bincount(a[both] * HOT + b[both], minlength=HOT * HOT)
-        at = np.flatnonzero(counts)
-        yield pa.record_batch([pa.array(at), pa.array(counts[at])], names=["pair", "n"])
-
-    rows = map_arrow(docs.select("text"), step, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
-    found = np.zeros(HOT * HOT, np.int64)
-    found[rows["pair"].to_numpy()] = rows["n"].to_numpy()
-    return found.reshape(HOT, HOT)
-
-
-PACKED = "shard int, flush long, role int, words binary, others binary, runs binary, docs binary, times binary"
-
-
-def packed(keys: tuple[np.ndarray, np.ndarray], docs: np.ndarray, role: int, shard: np.ndarray, flush: int):
-    """One row for each shard: its distinct pairs, and the documents of each with their counts."""
-    words, others = keys
-    one = mix(words * ODD + mix(others))
-    order = np.lexsort((docs, one, shard))
-    shard, one, docs = shard[order], one[order], docs[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (shard[1:] != shard[:-1]) | (one[1:] != one[:-1])
-    entry = new.copy()
-    entry[1:] |= docs[1:] != docs[:-1]
-    starts = np.flatnonzero(entry)
-    times = np.diff(np.append(starts, len(order)))
-    first = np.flatnonzero(new)
-    runs = np.diff(np.append(np.searchsorted(starts, first), len(starts)))
-    words, others, docs, where = words[order][first], others[order][first], docs[starts], shard[first]
-    cuts = np.flatnonzero(np.diff(where, prepend=-1, append=-1))
-    ends = np.cumsum(runs)
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        lo, hi = int(ends[a] - runs[a]), int(ends[b - 1])
-        yield (
-            int(where[a]), flush, role, words[a:b].tobytes(), others[a:b].tobytes() if role else b"",
-            runs[a:b].astype(np.uint32).tobytes(), docs[lo:hi].astype(np.uint32).tobytes(), times[lo:hi].astype(np.uint16 if times.max() < 65536 else np.uint32).tobytes(),
-        )
-
-
-#: Role of the row that carries a flush's document ids, token counts and what was scored in place.
-DOCS_ROW = -1
-
-
-def exploded(docs: DataFrame, head, hot: np.ndarray, shards: int, min_count: int, alpha: float) -> DataFrame:
-    """Packed pairs by shard; pairs of hot words are scored here."""
-    matrix = docs.sparkSession.sparkContext.broadcast(hot)  # HOT * HOT counts: 8 MB
+        for _, counts, words in chunks(batches):
+            _, gram, context, tail = n_grams(words, counts, order)
+            own = gram % np.uint64(slices) == part
+            found, first, n = np.unique(gram[own], return_index=True, return_counts=True)
+            yield from batches_of(["gram", "context", "tail", "n"], *(c.view(np.int64) for c in (found, context[own][first], tail[own][first])), n.astype(np.int64))
+
+    rows = map_arrow(texts.select("text"), step, "gram long, context long, tail long, n long").groupBy("gram")
+    table = rows.agg(F.sum("n").alias("n"), F.min("context").alias("context"), F.min("tail").alias("tail"))
+    return table if order == 1 else table.where(F.col("n") >= min_count)
+
+
+def changes(table: DataFrame, below: DataFrame | None, order: int, total: int, alpha: float) -> DataFrame:
+    """(gram, n, context_n, change): with the counts that the order below has of its parts."""
+    n, penalty = F.log("n"), F.lit(math.log(alpha))
+    if order == 1:
+        return table.select("gram", "n", F.lit(total).cast("long").alias("context_n"), (n - math.log(max(total, 1))).alias("change"))
+    context = below.select(F.col("gram").alias("context"), F.col("n").alias("context_n"))
+    tail = below.select(F.col("gram").alias("tail"), F.col("n").alias("tail_n"), F.col("context_n").alias("tail_context_n"))
+    # a common word is the context of many bigrams
+    joined = join_salted(join_salted(table, context, "context", "gram", "inner", salts=4), tail, "tail", "gram", "inner", salts=4)
+    lower = F.log("tail_n") - F.log("tail_context_n")
+    return joined.select("gram", "n", "context_n", (n - F.log("context_n") - penalty - lower).alias("change"))
+
+
+def summed(texts: DataFrame, table: DataFrame, order: int, part: int, slices: int, places: int) -> DataFrame:
+    """(tid, change): what a slice's n-grams change in each text, once for each row that holds it."""
+    hot = table.where(F.col("n") * HOT >= max(places, 1)).select("gram", "change").toPandas().sort_values("gram")  # HOT rows at most
+    shared = texts.sparkSession.sparkContext.broadcast((hot["gram"].to_numpy(np.int64), hot["change"].to_numpy(np.float64)))
 
     def step(batches):
-        table, pairs = head.value, matrix.value
-        log_n, log_c, penalty = math.log(max(table.total, 1)), np.log(np.maximum(table.counts, 1)), math.log(alpha)
-        by = np.uint64(shards)
-        for k, (ids, words) in enumerate(gathered(batches, 2)):
-            # the partition's number and the order of its rows don't change when a task is run again
-            flush = TaskContext.get().partitionId() << 24 | k
-            sizes = np.array([len(w) for w in words])
-            h = np.concatenate(words)
-            doc = np.repeat(np.arange(len(words)), sizes)
-            ranks = table.ranks(h)
-            begins = np.cumsum(sizes)[sizes > 0] - sizes[sizes > 0]
-            scores = np.zeros(len(words))
-            known = begins[ranks[begins] >= 0]
-            np.add.at(scores, doc[known], log_c[ranks[known]] - log_n)
-            after = np.ones(len(h), bool)
-            after[begins] = False
-            at = np.flatnonzero(after)
-            a, b, ha, hb, d = ranks[at - 1], ranks[at], h[at - 1], h[at], doc[at]
-            is_hot = (a >= 0) & (a < HOT) & (b >= 0) & (b < HOT)
-            n = pairs[a[is_hot], b[is_hot]]
-            found = n >= min_count
-            np.add.at(scores, d[is_hot], np.where(found, np.log(np.maximum(n, 1)) - log_c[a[is_hot]], penalty + log_c[b[is_hot]] - log_n))
-            rows = [(flush % shards, flush, DOCS_ROW, np.array([-1 if i is None else i for i in ids], np.int64).tobytes(), bytes(i is None for i in ids), sizes.astype(np.uint32).tobytes(), b"", scores.tobytes())]
-            both = (a >= 0) & (b >= 0) & ~is_hot
-            key = a[both].astype(np.uint64) << np.uint64(32) | b[both].astype(np.uint64)
-            parts = [(BOTH, key, np.zeros(len(key), np.uint64), d[both], key)]
-            last, first, two = (a >= 0) & (b < 0), (a < 0) & (b >= 0), (a < 0) & (b < 0)
-            parts.append((RARE_LAST, hb[last], a[last].astype(np.uint64), d[last], hb[last]))
-            parts.append((RARE_FIRST, ha[first], b[first].astype(np.uint64), d[first], ha[first]))
-            parts.append((RARE_TWO_FIRST, ha[two], hb[two], d[two], ha[two]))
-            parts.append((RARE_TWO_LAST, hb[two], ha[two], d[two], hb[two]))
-            alone = begins[ranks[begins] < 0]
-            parts.append((RARE_ALONE, h[alone], np.zeros(len(alone), np.uint64), doc[alone], h[alone]))
-            for role, w, o, dd, dealt in parts:
-                if len(w):
-                    rows += packed((w, o), dd, role, (mix(dealt) % by).astype(np.int64), flush)
-            for at in range(0, len(rows), 64):
-                part = list(zip(*rows[at : at + 64], strict=True))
-                kinds = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 5]
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(part, kinds, strict=True)], names=[x.split()[0] for x in PACKED.split(", ")])
-
-    return map_arrow(docs.select("doc_id", "text"), step, PACKED)
-
-
-def settle_shard(shard: pd.DataFrame, head, min_count: int, alpha: float) -> pd.DataFrame:
-    """(flush, docs, sums): what the shard's pairs add to the scores of each flush's documents."""
-    table = head.value
-    log_n, penalty = math.log(max(table.total, 1)), math.log(alpha)
-    log_c = np.log(np.maximum(table.counts, 1))
-    rows = shard[shard["role"] >= 0]
-    out = [(int(r.flush), b"", r.times, r.words, r.others, r.runs) for r in shard[shard["role"] == DOCS_ROW].itertuples()]
-    opened = []
-    for r in rows.itertuples():
-        words = np.frombuffer(r.words, np.uint64)
-        others = np.frombuffer(r.others, np.uint64) if r.role else np.zeros(len(words), np.uint64)
-        runs, docs = np.frombuffer(r.runs, np.uint32), np.frombuffer(r.docs, np.uint32)
-        times = np.frombuffer(r.times, np.uint16 if len(r.times) == 2 * len(docs) else np.uint32).astype(np.int64)
-        ends = np.cumsum(runs.astype(np.int64))
-        opened.append((int(r.flush), int(r.role), words, others, runs, docs, times, np.add.reduceat(times, ends - runs)))
-    # own counts of the rare words: each occurrence is the last of a pair, or stands first
-    ends = [x for x in opened if x[1] in (RARE_LAST, RARE_TWO_LAST, RARE_ALONE)]
-    rare, at = np.unique(np.concatenate([x[2] for x in ends]) if ends else np.zeros(0, np.uint64), return_inverse=True)
-    own = np.bincount(at, np.concatenate([x[7] for x in ends]) if ends else None, len(rare)) if len(rare) else np.zeros(0)
-    totals = {}
-    for role in range(6):
-        same = [x for x in opened if x[1] == role]
-        if not same:
-            continue
-        words, others, n = (np.concatenate([x[i] for x in same]) for i in (2, 3, 7))
-        keys, inverse = np.unique(mix(words * ODD + mix(others)), return_inverse=True)
-        pair = np.bincount(inverse, n, len(keys))[inverse]
-        found, log_pair = pair >= min_count, np.log(pair)
-        log_own = np.log(own[np.searchsorted(rare, words)]) if role else None
-        if role == BOTH:
-            a, b = (words >> np.uint64(32)).astype(int), (words & np.uint64(0xFFFFFFFF)).astype(int)
-            value = np.where(found, log_pair - log_c[a], penalty + log_c[b] - log_n)
-        elif role == RARE_LAST:
-            value = np.where(found, log_pair - log_c[others.astype(int)], penalty + log_own - log_n)
-        elif role == RARE_FIRST:
-            value = np.where(found, log_pair - log_own, penalty + log_c[others.astype(int)] - log_n)
-        elif role == RARE_TWO_FIRST:
-            value = np.where(found, log_pair - log_own, 0.0)
-        elif role == RARE_TWO_LAST:
-            value = np.where(found, 0.0, penalty + log_own - log_n)
-        else:
-            value = log_own - log_n
-        totals[role] = iter(np.split(value, np.cumsum([len(x[2]) for x in same])[:-1]))
-    sums: dict[int, list] = {}
-    for flush, role, _, _, runs, docs, times, _ in opened:
-        sums.setdefault(flush, []).append((docs, np.repeat(next(totals[role]), runs) * times))
-    for flush, parts in sums.items():
-        docs, inverse = np.unique(np.concatenate([d for d, _ in parts]), return_inverse=True)
-        value = np.bincount(inverse, np.concatenate([v for _, v in parts]), len(docs))
-        out.append((flush, docs.astype(np.uint32).tobytes(), value.tobytes(), b"", b"", b""))
-    return pd.DataFrame(out, columns=["flush", "docs", "sums", "ids", "nulls", "sizes"])
-
-
-def add_up(flush: pd.DataFrame) -> pd.DataFrame:
-    """(doc_id, n_tokens, log_score) of one flush's documents."""
-    named = flush["sizes"].map(len) > 0
-    base = flush[named].iloc[0]
-    ids, scores = np.frombuffer(base["ids"], np.int64), np.frombuffer(base["sums"]).copy()
-    for r in flush[~named].itertuples():
-        np.add.at(scores, np.frombuffer(r.docs, np.uint32), np.frombuffer(r.sums))
-    doc_id = pd.array(ids, dtype="Int64")
-    doc_id[np.frombuffer(base["nulls"], np.uint8).astype(bool)] = pd.NA
-    return pd.DataFrame({"doc_id": doc_id, "n_tokens": np.frombuffer(base["sizes"], np.uint32).astype(np.int64), "log_score": scores})
-
-
-def backoff_scores(docs: DataFrame, min_count: int = 2, alpha: float = 0.4, text_col: str = "text") -> DataFrame:
+        known, change = shared.value
+        for ids, counts, words in chunks(batches):
+            at, gram, _, _ = n_grams(words, counts, order)
+            doc = np.repeat(np.arange(len(ids)), counts)[at]
+            own = gram % np.uint64(slices) == part
+            doc, gram = doc[own], gram[own].view(np.int64)
+            where = np.minimum(np.searchsorted(known, gram), max(len(known) - 1, 0))
+            is_hot = known[where] == gram if len(known) else np.zeros(len(gram), bool)
+            here = np.bincount(doc[is_hot], change[where[is_hot]] if len(known) else None, len(ids))
+            some = np.flatnonzero(here)
+            # what is summed up already needs no partner: it goes by the text's own hash
+            tid, key = np.append(ids[some], ids[doc[~is_hot]]), np.append(ids[some], gram[~is_hot])
+            done = np.append(here[some], np.full(len(tid) - len(some), np.nan))
+            for lo in range(0, len(tid), OUT_ROWS):
+                cut = slice(lo, lo + OUT_ROWS)
+                yield pa.record_batch([pa.array(tid[cut]), pa.array(key[cut]), pa.array(done[cut], mask=np.isnan(done[cut]))], names=["tid", "gram", "done"])
+
+    rows = map_arrow(texts.select("text"), step, "tid long, gram long, done double")
+    joined = rows.join(table.select("gram", "change").hint("shuffle_hash"), "gram", "left")
+    change = F.coalesce("done", "change")
+    return joined.where(change.isNotNull()).groupBy("tid").agg(F.sum(change).alias("change"))
+
+
+def backoff_scores(docs: DataFrame, min_count: int = 2, alpha: float = 0.4, slices: int = 2, text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_tokens, log_score, mean_log_score."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    words = written(word_counts(docs), "words")
-    total = words.agg(F.sum("n")).first()[0] or 0
-    top = frequent(words).toPandas().sort_values(["n", "word"], ascending=[False, True])
-    head = docs.sparkSession.sparkContext.broadcast(Head(top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), total))
-    shards = max(1, math.ceil(total / SHARD))
-    pairs = exploded(docs, head, hot_pairs(docs, head), shards, min_count, alpha)
-    parts = pairs.groupBy("shard").applyInPandas(
-        lambda s: settle_shard(s, head, min_count, alpha), "flush long, docs binary, sums binary, ids binary, nulls binary, sizes binary"
-    )
-    scored = parts.groupBy("flush").applyInPandas(add_up, "doc_id long, n_tokens long, log_score double")
-    return scored.withColumn("mean_log_score", F.when(F.col("n_tokens") > 0, F.col("log_score") / F.col("n_tokens")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = written(documents(texts), "documents")
+    sizes = rows.agg(*(F.sum(F.greatest(F.col("n_tokens") - k, F.lit(0))).alias(f"k{k}") for k in range(ORDERS))).first()
+    places = [s or 0 for s in sizes]
+    sums, below = None, None
+    for order in range(1, ORDERS + 1):
+        parts, tables = 1 if order == 1 else slices, None
+        for part in range(parts):
+            table = changes(written(counted(texts, order, part, parts, min_count), "counts"), below, order, places[0], alpha)
+            table = written(table, "grams")
+            found = written(summed(texts, table, order, part, parts, places[order - 1]), "sums")
+            sums = found if sums is None else sums.union(found)
+            tables = table if tables is None else tables.union(table)
+        below = tables
+    same = rows.groupBy("tid").agg(F.count("*").alias("same"))
+    by_text = same.join(sums.groupBy("tid").agg(F.sum("change").alias("change")), "tid").select("tid", (F.col("change") / F.col("same")).alias("change"))
+    scored = join_salted(rows, written(by_text, "scores"), "tid", "doc_id")
+    # every word behind the first starts one step below its longest context, behind the second two
+    penalties = sum((F.greatest(F.col("n_tokens") - k, F.lit(0)) for k in range(1, ORDERS)), F.lit(0))
+    log_score = F.coalesce("change", F.lit(0.0)) + penalties * math.log(alpha)
+    return scored.select("doc_id", "n_tokens", log_score.alias("log_score"), F.when(F.col("n_tokens") > 0, log_score / F.col("n_tokens")).alias("mean_log_score"))

@@ -23,11 +23,13 @@ FROM documents d JOIN c ON d.doc_id = c.a LEFT JOIN n ON d.doc_id = n.doc_id
 
 BACKOFF = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({FOLDED}, {WORDS}) AS ws FROM documents),
-t AS (SELECT doc_id, i, w, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS v FROM (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM d) q),
-u AS (SELECT w, count(*) AS c FROM t GROUP BY w), p AS (SELECT v, w, count(*) AS c FROM t WHERE v IS NOT NULL GROUP BY v, w),
-total AS (SELECT count(*) AS n FROM t),
-x AS (SELECT t.doc_id, CASE WHEN t.v IS NULL THEN ln(u.c / total.n) WHEN p.c >= 2 THEN ln(p.c / uv.c) ELSE ln(0.4 * u.c / total.n) END AS s
-  FROM t JOIN u ON t.w = u.w CROSS JOIN total LEFT JOIN u uv ON t.v = uv.w LEFT JOIN p ON t.v = p.v AND t.w = p.w),
+t AS (SELECT doc_id, i, w, lag(w) OVER p AS v, lag(w, 2) OVER p AS u FROM (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM d) q WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+c1 AS (SELECT w, count(*) AS c FROM t GROUP BY w), c2 AS (SELECT v, w, count(*) AS c FROM t WHERE v IS NOT NULL GROUP BY v, w),
+c3 AS (SELECT u, v, w, count(*) AS c FROM t WHERE u IS NOT NULL GROUP BY u, v, w HAVING count(*) >= 2), total AS (SELECT count(*) AS n FROM t),
+x AS (SELECT t.doc_id, CASE WHEN c3.c >= 2 THEN ln(c3.c / uv.c) WHEN vw.c >= 2 THEN ln(vw.c / cv.c) + CASE WHEN t.u IS NULL THEN 0 ELSE ln(0.4) END
+  ELSE ln(cw.c / total.n) + ln(0.4) * least(t.i, 2) END AS s
+  FROM t JOIN c1 cw ON t.w = cw.w CROSS JOIN total LEFT JOIN c1 cv ON t.v = cv.w LEFT JOIN c2 vw ON t.v = vw.v AND t.w = vw.w
+  LEFT JOIN c2 uv ON t.u = uv.v AND t.v = uv.w LEFT JOIN c3 ON t.u = c3.u AND t.v = c3.v AND t.w = c3.w),
 g AS (SELECT doc_id, count(*) AS n, sum(s) AS s FROM x GROUP BY doc_id)
 SELECT documents.doc_id, coalesce(g.n, 0) AS n_tokens, round(coalesce(g.s, 0), 4) AS log_score, round(g.s / g.n, 6) AS mean_log_score FROM documents LEFT JOIN g ON documents.doc_id = g.doc_id
 """
