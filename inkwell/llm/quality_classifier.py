@@ -1,19 +1,22 @@
 """Quality classifier with naive Bayes support vectors (operator 4).
 
-Features are indicators of n-grams: runs of one to three symbols of a 64-letter
-alphabet (letters folded, capitals, digits, white space and the ASCII marks apart), so
-that every n-gram has a number of its own; and, of the word bigrams, how many repeat a word, with the
-share of distinct words, in classes. Each indicator is scaled by the log ratio of
-its smoothed class counts; a linear hinge-loss model over the scaled features is fitted by
-dual coordinate descent, and its margin is turned into a probability by a logistic curve
-fitted on the same rows' margins out of fold.
+Features are indicators of n-grams: runs of one to three symbols of a 128-letter alphabet
+(letters folded, capitals, digits, white space and the ASCII marks apart, and of the bytes
+of other scripts their lower six bits), so that every n-gram has a number of its own; and,
+of the word bigrams, how many repeat a word, with the share of distinct words, in classes.
+Each indicator is scaled by the log ratio of its smoothed class counts; a linear hinge-loss
+model over the scaled features is fitted by dual coordinate descent, and its margin is
+turned into a probability by a logistic curve fitted on the same rows' margins out of fold.
 
 Class counts are taken over all training rows. The linear model is fitted on a bounded
-sample of them (``max_fit_rows``, chosen by a digest of the id, balanced by class).
-
-Defined cases: a null or empty text has no features and scores by the bias alone; without
-training rows of both classes every score is 0.5; repeated rows count each; a label other
-than 0 or 1 or null is no training row; other columns are passed over.
+sample of them (``max_fit_rows``, chosen by a digest of the id, balanced by class) of texts
+of any length: what reaches the driver is a row's n-gram numbers, not its text.
+
+Defined cases: a null or empty text has no features and scores by the bias alone; very long
+texts are read whole and weigh as one row; without training rows of both classes every
+score is 0.5; repeated rows count each; a label other than 0 or 1 or null is no training
+row, and neither is a document whose labels contradict each other; other columns are
+passed over.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from inkwell.llm.common import map_arrow, utf8, with_verdict
 
-ALPHABET = 64
+ALPHABET = 128
 #: Upper bounds of the classes of a text's share of repeating bigrams and of distinct words.
 SHARES = np.array([0.0, 0.005, 0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.65, 0.8, 0.95])
 #: Feature numbers: one symbol, two symbols, three symbols, then the two classes.
@@ -39,7 +42,8 @@ LETTERS, MARKS = b"abcdefghijklmnopqrstuvwxyz", b"!\"#$%&'()*+,-./:;<=>?@[]_{|}~
 
 def symbol_table() -> np.ndarray:
     """By byte: the symbol's number."""
-    table = np.full(256, 63, np.uint32)  # all other control and non-ASCII bytes
+    table = np.full(256, 63, np.uint32)  # all other control bytes
+    table[128:] = 64 + (np.arange(128, 256) & 63)
     for i, b in enumerate(LETTERS):
         table[b] = i
     table[ord("A") : ord("Z") + 1] = 26
@@ -90,7 +94,7 @@ class Model:
 
 
 def dual_coordinate_descent(rows: list[np.ndarray], ratio: np.ndarray, y: np.ndarray, cost: np.ndarray, epochs: int, seed: int) -> tuple[np.ndarray, float]:
-    """Hinge-loss weights over indicators scaled by ``ratio`` and divided by the root of their number."""
+    """Weights and bias of least half squared norm plus ``cost`` times hinge loss, over indicators scaled by ``ratio``."""
     rng = np.random.default_rng(seed)
     w, bias = np.zeros(len(ratio)), 0.0
     alpha = np.zeros(len(rows))
@@ -157,11 +161,22 @@ def class_counts(training: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return counts[:, N_FEATURES], counts[:, :N_FEATURES]
 
 
-def fit(training: DataFrame, max_fit_rows: int = 6000, max_fit_bytes: int = 20_000, cost: float = 1.0, epochs: int = 12, seed: int = 7) -> Model | None:
+def featured(rows: DataFrame) -> DataFrame:
+    """(doc_id, label, features) of rows (doc_id, text, label)."""
+
+    def step(batches):
+        seen = np.zeros(N_FEATURES, bool)
+        for batch in batches:
+            found = pa.array([features(t, seen).astype(np.int32) for t in utf8(batch, "text")], pa.list_(pa.int32()))
+            yield pa.record_batch([batch.column(0), batch.column(2), found], names=["doc_id", "label", "features"])
+
+    return map_arrow(rows.select("doc_id", "text", "label"), step, f"doc_id {dict(rows.dtypes)['doc_id']}, label long, features array<int>")
+
+
+def fit(training: DataFrame, max_fit_rows: int = 6000, cost: float = 1.0, epochs: int = 12, seed: int = 7) -> Model | None:
     """A model from rows (doc_id, text, label 0 or 1); None without rows of both classes.
 
-    ``max_fit_rows`` and ``max_fit_bytes`` bound only the hinge-loss sample on the driver:
-    at most so many rows, and longer texts than that stay out of the sample.
+    ``max_fit_rows`` bounds only the hinge-loss sample on the driver.
     """
     n, counts = class_counts(training)
     if not n.all():
@@ -173,13 +188,12 @@ def fit(training: DataFrame, max_fit_rows: int = 6000, max_fit_bytes: int = 20_0
     for label in (0, 1):
         own = min(1.0, 1.5 * max_fit_rows / 2 / n[label])
         draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20))
-        rows = training.where((F.col("label") == label) & (draw < int(own * (1 << 20)) + 1) & (F.octet_length("text") <= max_fit_bytes))
-        parts.append(rows.select("text", "label", "doc_id").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id").limit(max_fit_rows // 2))
-    sample = parts[0].select("text", "label").union(parts[1].select("text", "label")).toPandas()
+        rows = featured(training.where((F.col("label") == label) & (draw < int(own * (1 << 20)) + 1)))
+        parts.append(rows.orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id").limit(max_fit_rows // 2))
+    sample = parts[0].select("features", "label").union(parts[1].select("features", "label")).toPandas()
     if sample["label"].nunique() < 2:
         return None
-    seen = np.zeros(N_FEATURES, bool)
-    rows = [features(t.encode(), seen) for t in sample["text"]]
+    rows = [np.asarray(f, np.int64) for f in sample["features"]]
     y = np.where(sample["label"].to_numpy() == 1, 1.0, -1.0)
     each = np.where(y > 0, len(y) / 2 / (y > 0).sum(), len(y) / 2 / (y < 0).sum())  # classes weigh the same
     fold = np.arange(len(y)) % 3
@@ -199,7 +213,7 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataF
     rows = docs.select("doc_id", F.col(text_col).alias("text"))
     if model is None:
         return rows.select("doc_id", F.lit(0.5).alias("score"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # N_FEATURES doubles: 2 MB
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # N_FEATURES doubles: 17 MB
 
     def step(batches):
         for batch in batches:
@@ -220,7 +234,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, text_col: str = "text") ->
     The labels are joined by id; they are few beside the texts and pre-filtered, so the
     smaller side builds the table and no text is sorted.
     """
-    known = labels.where(F.col("quality").isin(0, 1) & ~held_out()).select("doc_id", F.col("quality").cast("long").alias("label")).distinct()
+    known = labels.where(F.col("quality").isin(0, 1) & ~held_out()).select("doc_id", F.col("quality").cast("long").alias("label"))
+    known = known.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("_other")).where("label = _other").drop("_other")
     rows = docs.where(~held_out()).select("doc_id", F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.join(known.hint("shuffle_hash"), "doc_id")
 
