@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,6 +16,7 @@ from pyspark.sql import types as T
 #: Rows of an Arrow batch: texts can be long, so that batches stay small.
 BATCH_ROWS = 1000
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def session_of(df: DataFrame) -> SparkSession:
@@ -25,9 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where none is set."""
+    """The folder that all executors share; one of our own only in a local session where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="inkwell-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -37,10 +42,25 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """A session setting for as long as a block runs."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: cuts lineage and survives lost executors."""
+    """``df`` written to the shared folder and read again: cuts lineage and survives lost executors.
+
+    What the write shuffled is of no use afterwards and is removed with it.
+    """
     path = fresh_path(session_of(df), what)
-    df.write.parquet(path)
+    with setting(session_of(df), CLEAN_UP, "true"):
+        df.write.parquet(path)
     return session_of(df).read.schema(df.schema).parquet(path)
 
 

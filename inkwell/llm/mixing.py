@@ -81,7 +81,7 @@ def rake_frames(cells: DataFrame, powers: dict[str, float], targets: dict[str, d
         worst = 0.0
         for m in MARGINS:
             now = state.groupBy(m).agg(F.sum("fitted").alias("now")).join(goals[m], m, "left")
-            factor = written(now.select(m, F.coalesce(F.when(F.col("now") > 0, F.coalesce("goal", F.lit(0.0)) / F.col("now")), F.lit(0.0)).alias("factor")), "factors")
+            factor = written(now.select(m, F.when(F.col("now") > 0, F.coalesce("goal", F.lit(0.0)) / F.col("now")).otherwise(1.0).alias("factor")), "factors")
             worst = max(worst, factor.agg(F.max(F.abs(F.col("factor") - 1))).first()[0] or 0.0)
             state = join_salted(state, factor, m, "topic").withColumn("fitted", F.col("fitted") * F.col("factor")).drop("factor")
         state = written(state, "cells")
