@@ -4,6 +4,7 @@ import collections
 import math
 import random
 import time
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -266,6 +267,50 @@ def test_dual_descent_separates():
     assert all((w[r].sum() + bias) * v > 0 for r, v in zip(rows, y, strict=True))
 
 
+def test_dual_descent_against_projected_gradient():
+    """The same dual problem solved plainly: gradient steps on all multipliers at once, cut to their bounds."""
+    rng = np.random.default_rng(2)
+    rows = [np.unique(rng.integers(0, 12, 4)) for _ in range(40)]
+    ratio, y, cost = rng.normal(size=12), np.where(rng.random(40) < 0.5, 1.0, -1.0), np.full(40, 0.5)
+    x = np.zeros((40, 13))
+    for i, r in enumerate(rows):
+        x[i, r], x[i, 12] = ratio[r], 1.0  # the bias is one more feature
+    z = y[:, None] * x
+    alpha, rate = np.zeros(40), 1 / np.linalg.eigvalsh(z @ z.T).max()
+    for _ in range(50_000):
+        alpha = np.clip(alpha + rate * (1 - z @ (z.T @ alpha)), 0, cost)
+    want = z.T @ alpha
+    w, bias = quality_classifier.dual_coordinate_descent(rows, ratio, y, cost, 3000, 1)
+    assert np.abs(np.append(w, bias) - want).max() < 1e-2
+
+
+def test_classifier_training_rows(spark):
+    """Contradicting labels train nothing, long texts and other scripts train like any other."""
+    texts = [(i, ("\u043b\u043e\u0448\u0430\u0434\u044c " if i % 2 else "\u6f22\u5b57 ") * (4000 if i < 4 else 30)) for i in range(40)]
+    labels = [(i, i % 2, 0) for i in range(40)] + [(7, 0, 0), (8, 0, 1)]
+    df = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    rows = {r["doc_id"]: r["label"] for r in quality_classifier.training_rows(docs_of(spark, texts), df).collect()}
+    assert 7 not in rows and all(rows[i] == i % 2 for i in rows)
+    assert {i for i in range(40)} - set(rows) - {7} == {i for i in range(40) if zlib.crc32(str(i).encode()) % 3 == 1} - {7}
+    got = collected(quality_classifier.classify(docs_of(spark, texts), df))
+    assert all(r["predicted"] == i % 2 for i, r in got.items())
+
+
+def test_class_counts_against_sets(spark):
+    texts = [(i, t) for i, t in enumerate(["aB1", "ab\n", "", "zz zz \u00e9", "aB1", "x"])]
+    rows = spark.createDataFrame([(i, t, i % 2) for i, t in texts], "doc_id long, text string, label long")
+    n, counts = quality_classifier.class_counts(rows)
+    assert n.tolist() == [3, 3]
+    a, size = quality_classifier.SYMBOLS.astype(int), quality_classifier.ALPHABET
+    want = np.zeros((2, quality_classifier.N_GRAMS), int)
+    for i, t in texts:
+        s = a[list(t.encode())]
+        found = {x for x in s} | {size + x * size + y for x, y in zip(s, s[1:])} | {size + size**2 + (x * size + y) * size + z for x, y, z in zip(s, s[1:], s[2:])}
+        for f in found:
+            want[i % 2, f] += 1
+    assert (counts[:, : quality_classifier.N_GRAMS] == want).all()
+
+
 def test_url_intervals_and_precedence(spark):
     day = "2024-01-%02d"
     events = [("a.org", "block", day % 2, "add"), ("a.org", "block", day % 10, "remove"), ("x.a.org", "allow", day % 5, "add"), ("b.org/in", "block", day % 1, "add"), ("b.org/in", "block", day % 1, "add"), (None, "block", day % 1, "add"), ("c.org", "block", None, "add")]
@@ -280,26 +325,36 @@ def test_url_intervals_and_precedence(spark):
     assert all(r["kept"] for r in url_filter.url_filter(caps, ev.limit(0)).collect())
 
 
-@pytest.mark.parametrize("head", [backoff_lm.HEAD, 12])
-def test_backoff_against_counters(spark, head, monkeypatch):
-    monkeypatch.setattr(backoff_lm, "HEAD", head)
-    monkeypatch.setattr(backoff_lm, "SHARD", 200)
+@pytest.mark.parametrize(("hot", "slices", "chunk"), [(100_000, 1, 1 << 21), (30, 3, 64), (0, 2, 300)])
+def test_backoff_against_counters(spark, hot, slices, chunk, monkeypatch):
+    monkeypatch.setattr(backoff_lm, "HOT", hot)
+    monkeypatch.setattr(backoff_lm, "CHUNK_BYTES", chunk)
     rng = random.Random(5)
-    words = [f"w{k}" for k in range(60)]
-    texts = [(i, " ".join(rng.choices(words, [1 / (k + 1) for k in range(60)], k=rng.randrange(0, 40)))) for i in range(60)]
+    words = [f"w{k}" for k in range(30)]
+    texts = [(i, "  ".join(rng.choices(words, [1 / (k + 1) for k in range(30)], k=rng.randrange(0, 60))).replace("w1", "W1")) for i in range(80)]
     texts[3] = (3, None)
-    count, pairs = collections.Counter(), collections.Counter()
+    texts += [(80, texts[5][1]), (81, texts[5][1]), (None, "w0 w1 w2 w3"), (82, "w0"), (83, "w1 w0")]
+    one, two, three = collections.Counter(), collections.Counter(), collections.Counter()
     for _, t in texts:
-        w = (t or "").split()
-        count.update(w)
-        pairs.update(zip(w, w[1:]))
-    n = sum(count.values())
-    got = collected(backoff_lm.backoff_scores(docs_of(spark, texts)))
+        w = (t or "").lower().split()
+        one.update(w)
+        two.update(zip(w, w[1:]))
+        three.update(zip(w, w[1:], w[2:]))
+    n = sum(one.values())
+    got = collected(backoff_lm.backoff_scores(docs_of(spark, texts), slices=slices))
     for i, t in texts:
-        w = (t or "").split()
-        want = math.log(count[w[0]] / n) if w else 0.0
-        for p in zip(w, w[1:]):
-            want += math.log(pairs[p] / count[p[0]]) if pairs[p] >= 2 else math.log(0.4 * count[p[1]] / n)
+        w, want = (t or "").lower().split(), 0.0
+        for k in range(len(w)):
+            step = 0.0
+            if k > 1 and three[tuple(w[k - 2 : k + 1])] >= 2:
+                want += math.log(three[tuple(w[k - 2 : k + 1])] / two[w[k - 2], w[k - 1]])
+                continue
+            step += math.log(0.4) if k > 1 else 0.0
+            if k > 0 and two[w[k - 1], w[k]] >= 2:
+                want += step + math.log(two[w[k - 1], w[k]] / one[w[k - 1]])
+                continue
+            step += math.log(0.4) if k > 0 else 0.0
+            want += step + math.log(one[w[k]] / n)
         assert got[i]["n_tokens"] == len(w) and abs(got[i]["log_score"] - want) < 1e-8
     assert got[3]["mean_log_score"] is None
 
