@@ -5,19 +5,19 @@ S(w | v) is c(v w) / c(v) where c(v w) reaches it, else ``alpha`` c(w) / N. A fi
 scores c(w) / N, a second one S(w | v). A document's score is the sum of their logs.
 
 A word's log score is that of its unigram, plus what the bigram changes if it is found,
-plus what the trigram changes if it is found; each change belongs to the n-gram alone. So
-every order is one relational step:
+plus what the trigram changes if it is found; each change belongs to the n-gram alone:
 
-1. Its n-grams are exploded from the texts, added up in each task and grouped by their hash:
-   the count table. Counts of contexts come from the table of the order below; with them a
-   row gets its n-gram's change. N-grams below ``min_count`` change nothing and stay out.
-2. The n-grams exploded from the texts with their document join the table by hash, and the
+1. N-grams are exploded from the texts, added up in each task and grouped by their hash:
+   the count tables. N-grams below ``min_count`` change nothing and stay out.
+2. The tables join themselves, an n-gram with those of all but its last and all but its
+   first word, and each row gets its n-gram's change.
+3. The n-grams exploded from the texts with their document join the tables by hash, and the
    changes are summed by document.
 
-The n-grams that hold at least one in ``HOT`` of all places of their order, a bounded table,
-go to all tasks and are summed up where they stand, so that no frequent n-gram gathers its
-documents. An order's n-grams are taken in ``slices`` by their hash, so that only a slice's
-exploded rows are on disk at a time.
+The n-grams that hold at least one in ``HOT`` of all places, a bounded table, go to all tasks
+and are summed up where they stand, so that no frequent n-gram gathers its documents.
+N-grams are taken in ``slices`` by their hash, so that only a slice's exploded rows are on
+disk at a time; each slice reads the texts again.
 
 Words are what white space parts, A-Z folded. Words, n-grams and texts are known by 64-bit
 hashes; two that share one would be taken as one.
@@ -30,14 +30,16 @@ with no rows there are none; other columns are ignored.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import join_salted, map_arrow, utf8, written
+from inkwell.llm.common import join_salted, join_weighted, map_arrow, utf8, written
 from inkwell.llm.minhash import ODD, mix
 
 ORDERS, HOT = 3, 100_000
@@ -145,53 +147,70 @@ def documents(texts: DataFrame) -> DataFrame:
     return map_arrow(texts, step, "doc_id long, tid long, n_tokens long")
 
 
-def counted(texts: DataFrame, order: int, part: int, slices: int, min_count: int) -> DataFrame:
-    """(gram, context, tail, n): the count table of a slice."""
+def counted(texts: DataFrame, part: int, slices: int, min_count: int) -> DataFrame:
+    """(size, gram, context, tail, n): the count tables of a slice, of n-grams of one to ``ORDERS`` words.
+
+    A task adds up what it reads at a time, so that even the most common n-gram has one row
+    for each of these chunks, and meets its others by hash.
+    """
 
     def step(batches):
         for _, counts, words in chunks(batches):
-            _, gram, context, tail = n_grams(words, counts, order)
-            own = gram % np.uint64(slices) == part
-            found, first, n = np.unique(gram[own], return_index=True, return_counts=True)
-            yield from batches_of(["gram", "context", "tail", "n"], *(c.view(np.int64) for c in (found, context[own][first], tail[own][first])), n.astype(np.int64))
+            for order in range(1, ORDERS + 1):
+                _, gram, context, tail = n_grams(words, counts, order)
+                own = np.flatnonzero(gram % np.uint64(slices) == part)
+                found, first, n = np.unique(gram[own], return_index=True, return_counts=True)
+                first = own[first]
+                yield from batches_of(["size", "gram", "context", "tail", "n"], np.full(len(found), order, np.int32), *(c.view(np.int64) for c in (found, context[first], tail[first])), n.astype(np.int64))
+
+    rows = map_arrow(texts.select("text"), step, "size int, gram long, context long, tail long, n long").repartition("gram")
+    table = rows.groupBy("gram").agg(F.first("size").alias("size"), F.sum("n").alias("n"), F.first("context").alias("context"), F.first("tail").alias("tail"))
+    return table.where((F.col("size") == 1) | (F.col("n") >= min_count))
 
-    rows = map_arrow(texts.select("text"), step, "gram long, context long, tail long, n long").groupBy("gram")
-    table = rows.agg(F.sum("n").alias("n"), F.min("context").alias("context"), F.min("tail").alias("tail"))
-    return table if order == 1 else table.where(F.col("n") >= min_count)
 
+def changes(table: DataFrame, total: int, alpha: float) -> DataFrame:
+    """(part, gram, n, change): what finding an n-gram changes, by its own count and those of its parts.
 
-def changes(table: DataFrame, below: DataFrame | None, order: int, total: int, alpha: float) -> DataFrame:
-    """(gram, n, context_n, change): with the counts that the order below has of its parts."""
+    Words come from nothing, so that theirs is their whole log score.
+    """
     n, penalty = F.log("n"), F.lit(math.log(alpha))
-    if order == 1:
-        return table.select("gram", "n", F.lit(total).cast("long").alias("context_n"), (n - math.log(max(total, 1))).alias("change"))
+    words = table.where("size = 1").select("part", "gram", "n", F.lit(total).cast("long").alias("context_n"))
+    context = words.select(F.col("gram").alias("context"), F.col("n").alias("context_n"))
+    # a common word is the context of many bigrams
+    pairs = join_salted(table.where("size = 2"), context, "context", "gram", "inner", salts=4)
+    below = written(words.unionByName(pairs.select("part", "gram", "n", "context_n")), "contexts")
     context = below.select(F.col("gram").alias("context"), F.col("n").alias("context_n"))
     tail = below.select(F.col("gram").alias("tail"), F.col("n").alias("tail_n"), F.col("context_n").alias("tail_context_n"))
-    # a common word is the context of many bigrams
-    joined = join_salted(join_salted(table, context, "context", "gram", "inner", salts=4), tail, "tail", "gram", "inner", salts=4)
+    longer = table.where("size > 1").join(context, "context").join(tail, "tail")
     lower = F.log("tail_n") - F.log("tail_context_n")
-    return joined.select("gram", "n", "context_n", (n - F.log("context_n") - penalty - lower).alias("change"))
+    longer = longer.select("part", "gram", "n", (n - F.log("context_n") - penalty - lower).alias("change"))
+    return words.select("part", "gram", "n", (n - math.log(max(total, 1))).alias("change")).unionByName(longer)
 
 
-def summed(texts: DataFrame, table: DataFrame, order: int, part: int, slices: int, places: int) -> DataFrame:
+def summed(texts: DataFrame, table: DataFrame, hot: pd.DataFrame, part: int, slices: int) -> DataFrame:
     """(tid, change): what a slice's n-grams change in each text, once for each row that holds it."""
-    hot = table.where(F.col("n") * HOT >= max(places, 1)).select("gram", "change").toPandas().sort_values("gram")  # HOT rows at most
     shared = texts.sparkSession.sparkContext.broadcast((hot["gram"].to_numpy(np.int64), hot["change"].to_numpy(np.float64)))
 
     def step(batches):
         known, change = shared.value
         for ids, counts, words in chunks(batches):
-            at, gram, _, _ = n_grams(words, counts, order)
-            doc = np.repeat(np.arange(len(ids)), counts)[at]
-            own = gram % np.uint64(slices) == part
-            doc, gram = doc[own], gram[own].view(np.int64)
-            where = np.minimum(np.searchsorted(known, gram), max(len(known) - 1, 0))
-            is_hot = known[where] == gram if len(known) else np.zeros(len(gram), bool)
-            here = np.bincount(doc[is_hot], change[where[is_hot]] if len(known) else None, len(ids))
-            some = np.flatnonzero(here)
+            here, keys, owners = np.zeros(len(ids)), [], []
+            for order in range(1, ORDERS + 1):
+                at, gram, _, _ = n_grams(words, counts, order)
+                own = np.flatnonzero(gram % np.uint64(slices) == part)
+                doc, gram = np.repeat(np.arange(len(ids)), counts)[at[own]], gram[own].view(np.int64)
+                if len(known):
+                    where = np.minimum(np.searchsorted(known, gram), len(known) - 1)
+                    is_hot = known[where] == gram
+                    here += np.bincount(doc[is_hot], change[where[is_hot]], len(ids))
+                    doc, gram = doc[~is_hot], gram[~is_hot]
+                keys.append(gram)
+                owners.append(ids[doc])
             # what is summed up already needs no partner: it goes by the text's own hash
-            tid, key = np.append(ids[some], ids[doc[~is_hot]]), np.append(ids[some], gram[~is_hot])
-            done = np.append(here[some], np.full(len(tid) - len(some), np.nan))
+            some = np.flatnonzero(here)
+            tid, key = np.concatenate([ids[some], *owners]), np.concatenate([ids[some], *keys])
+            done = np.full(len(tid), np.nan)
+            done[: len(some)] = here[some]
             for lo in range(0, len(tid), OUT_ROWS):
                 cut = slice(lo, lo + OUT_ROWS)
                 yield pa.record_batch([pa.array(tid[cut]), pa.array(key[cut]), pa.array(done[cut], mask=np.isnan(done[cut]))], names=["tid", "gram", "done"])
@@ -202,25 +221,19 @@ def summed(texts: DataFrame, table: DataFrame, order: int, part: int, slices: in
     return joined.where(change.isNotNull()).groupBy("tid").agg(F.sum(change).alias("change"))
 
 
-def backoff_scores(docs: DataFrame, min_count: int = 2, alpha: float = 0.4, slices: int = 2, text_col: str = "text") -> DataFrame:
+def backoff_scores(docs: DataFrame, min_count: int = 2, alpha: float = 0.4, slices: int = 4, text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_tokens, log_score, mean_log_score."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = written(documents(texts), "documents")
-    sizes = rows.agg(*(F.sum(F.greatest(F.col("n_tokens") - k, F.lit(0))).alias(f"k{k}") for k in range(ORDERS))).first()
-    places = [s or 0 for s in sizes]
-    sums, below = None, None
-    for order in range(1, ORDERS + 1):
-        parts, tables = 1 if order == 1 else slices, None
-        for part in range(parts):
-            table = changes(written(counted(texts, order, part, parts, min_count), "counts"), below, order, places[0], alpha)
-            table = written(table, "grams")
-            found = written(summed(texts, table, order, part, parts, places[order - 1]), "sums")
-            sums = found if sums is None else sums.union(found)
-            tables = table if tables is None else tables.union(table)
-        below = tables
-    same = rows.groupBy("tid").agg(F.count("*").alias("same"))
-    by_text = same.join(sums.groupBy("tid").agg(F.sum("change").alias("change")), "tid").select("tid", (F.col("change") / F.col("same")).alias("change"))
-    scored = join_salted(rows, written(by_text, "scores"), "tid", "doc_id")
+    total = rows.agg(F.sum("n_tokens")).first()[0] or 0
+    parts = [written(counted(texts, k, slices, min_count).withColumn("part", F.lit(k)), "counts") for k in range(slices)]
+    table = written(changes(reduce(DataFrame.unionByName, parts), total, alpha), "grams")
+    hot = table.where(F.col("n") * HOT >= max(total, 1)).select("gram", "change").toPandas().sort_values("gram")  # HOT rows at most of each size
+    sums = [written(summed(texts, table.where(F.col("part") == k), hot, k, slices), "sums") for k in range(slices)]
+    found = reduce(DataFrame.unionByName, sums).groupBy("tid").agg(F.sum("change").alias("change"))
+    same = rows.groupBy("tid").agg(F.count("*").alias("n"))
+    by_text = same.join(found, "tid").select("tid", "n", (F.col("change") / F.col("n")).alias("change"))
+    scored = join_weighted(rows, written(by_text, "scores"), ["tid"], "left")
     # every word behind the first starts one step below its longest context, behind the second two
     penalties = sum((F.greatest(F.col("n_tokens") - k, F.lit(0)) for k in range(1, ORDERS)), F.lit(0))
     log_score = F.coalesce("change", F.lit(0.0)) + penalties * math.log(alpha)
