@@ -100,6 +100,21 @@ def join_salted(rows: DataFrame, small: DataFrame, key: str, by: str, how: str =
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
+def join_weighted(rows: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", weight: str = "n", most: int = 1000) -> DataFrame:
+    """Equi-join on ``keys`` where ``small`` says by ``weight`` how many rows a key has.
+
+    Keys of at least one in ``most`` rows, ``most`` of them at the outside, go to all tasks
+    with what ``small`` has of them; the others meet by hash, and none of them fills a task.
+    Both tables are read twice and had better be written ones.
+    """
+    total = small.agg(F.sum(weight)).first()[0] or 0
+    heavy = F.broadcast(small.where(F.col(weight) * most >= total).drop(weight))
+    light = small.where(F.col(weight) * most < total).drop(weight)
+    there = rows.join(heavy, keys)
+    rest = rows.join(heavy.select(*keys), keys, "left_anti").join(light, keys, how)
+    return there.unionByName(rest)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, component_id) of every end of the undirected edges (a, b): the smallest id reachable.
 

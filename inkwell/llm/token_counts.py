@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import fresh_path, map_arrow, session_of, utf8
+from inkwell.llm.common import fresh_path, join_weighted, map_arrow, session_of, utf8, written
 
 MODEL = "piece_bpe_32k.model"
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
@@ -66,15 +66,16 @@ def token_counts(docs: DataFrame, cache: str | None = None, model_path: str | No
     run = uuid.uuid4().hex
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select("doc_id", text.alias("text"))
-    keyed = texts.select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes"))
-    chosen = keyed.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
+    keyed = written(texts.select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes")), "digests")
+    chosen = written(keyed.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "misses")
     if cache is None:
         known, counts_path = None, fresh_path(spark, "token-counts")
     else:
         stored = spark.read.schema(CACHE_SCHEMA + ", run string").parquet(cache) if has_rows(spark, cache) else None
         known = stored and stored.where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
         counts_path = f"{cache.rstrip('/')}/run={run}"
-    misses = chosen if known is None else chosen.join(known, "digest", "left_anti")
+    misses = chosen.drop("n")
+    misses = misses if known is None else misses.join(known, "digest", "left_anti")
     of_text = F.unhex(F.sha2("text", 256))
     rows = texts.select("doc_id", of_text.alias("digest"), "text")
     # by digest and id together, equal texts spread over all tasks
@@ -90,7 +91,9 @@ def token_counts(docs: DataFrame, cache: str | None = None, model_path: str | No
         path = fresh_path(spark, "token-lookup")
         fresh.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")).write.parquet(path)
         fresh = spark.read.schema("digest binary, n_tokens long").parquet(path)
-    return keyed.join(fresh, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    # a common text's rows don't meet in one task
+    counted = written(fresh.join(chosen.select("digest", "n"), "digest"), "token-lookup")
+    return join_weighted(keyed, counted, ["digest"]).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def has_repeated_rows(lookup: DataFrame) -> bool:
