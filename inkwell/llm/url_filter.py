@@ -5,7 +5,7 @@ every capture with the entries active on its day. A key is a host, a parent doma
 host with its first path segment; the longest active key decides, allow before block.
 
 Defined cases: a null or unparsable URL or a null day matches nothing and stays; repeated
-captures keep their rows; an "add" while active renews the entry; two events of a day
+captures keep their rows; very long URLs are matched like any other; an "add" while active renews the entry; two events of a day
 apply in the order add, remove; an empty list keeps every capture; other columns of the
 captures are passed over.
 """
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import table, written
+from inkwell.llm.common import join_salted, join_weighted, table, written
 
 FAR_DAY = "9999-12-31"
 
@@ -54,15 +54,18 @@ def url_filter(captures: DataFrame, events: DataFrame) -> DataFrame:
     The verdict depends on the URL and the day alone: it is found once for each pair, so
     that a URL captured often does not load one task.
     """
-    captures = captures.select("page_id", "url", "fetched")
-    asked = captures.where("url is not null and fetched is not null").select("url", "fetched").distinct()
+    captures = written(captures.select("page_id", "url", "fetched"), "captures")
+    times = written(captures.where("url is not null and fetched is not null").groupBy("url", "fetched").agg(F.count("*").alias("n")), "captured")
+    asked = times.select("url", "fetched")
     keyed = asked.select("url", "fetched", F.explode(keys_of(F.col("url"))).alias("key"))
     spans = written(intervals(events), "url-list")
-    active = keyed.join(spans, "key").where((F.col("valid_from") <= F.col("fetched")) & (F.col("fetched") < F.col("valid_to")))
+    # a host may hold a third of all pages
+    active = join_salted(keyed, spans, "key", "url", "inner").where((F.col("valid_from") <= F.col("fetched")) & (F.col("fetched") < F.col("valid_to")))
     rank = F.struct(F.length("key").alias("n"), (F.col("verdict") == "allow").alias("allow"), "key", "verdict")
     best = active.groupBy("url", "fetched").agg(F.max(rank).alias("best"))
-    verdicts = written(best.select("url", "fetched", "best.verdict", F.col("best.key").alias("matched_key")), "url-verdicts")
-    return captures.join(verdicts, ["url", "fetched"], "left").select(
+    found = best.select("url", "fetched", "best.verdict", F.col("best.key").alias("matched_key"))
+    verdicts = written(times.join(found, ["url", "fetched"]), "url-verdicts")
+    return join_weighted(captures, verdicts, ["url", "fetched"], "left").select(
         "page_id",
         "url",
         "fetched",
