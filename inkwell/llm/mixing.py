@@ -7,9 +7,9 @@ as copies, and one more with the fraction's probability, so that expected shares
 targets and expected tokens are ``rate`` times the observed ones, however heavy a cell is.
 
 Defined cases: a null source, language or text counts as an empty one; a document weighs
-one token at least; a target for a value without documents is left out and the others
-are rescaled; without rows the result is empty; repeated rows share their fate (the draw
-depends on id and seed); other columns are passed over.
+one token at least, a very long one all of its tokens; a target for a value without documents is left out and the others
+are rescaled; without rows the result is empty; repeated rows, and all rows without an id,
+share their fate (the draw depends on id and seed); other columns are passed over.
 """
 
 from __future__ import annotations
@@ -24,9 +24,10 @@ MARGINS = ("source", "lang", "topic")
 
 
 def topic_of(text):
-    """A coarse topic from the text's form."""
+    """A coarse topic from the text's form, where documents have none of their own."""
+    low = F.lower(text)
     return (
-        F.when(text.rlike(r"(?i)licen[sc]e"), "licensed")
+        F.when(low.contains("license") | low.contains("licence"), "licensed")
         .when(text.contains(" | "), "tabular")
         .when(text.rlike(r"[#$%&*]{3}"), "marked")
         .when(text.contains("!!"), "shouted")
@@ -34,12 +35,18 @@ def topic_of(text):
     )
 
 
-def cell_of(text_col: str = "text"):
-    """struct(source, lang, topic, n_tokens) of a row."""
+def cell_of(text_col: str = "text", topic_col: str | None = None, tokens_col: str | None = None):
+    """struct(source, lang, topic, n_tokens) of a row.
+
+    ``topic_col`` and ``tokens_col`` name columns that hold topics and token counts (of
+    ``token_counts``, say); without them topics come from ``topic_of``, and a token is what
+    white space ends.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    words = F.length(text) - F.length(F.translate(text, " \t\r\n", "")) + 1
+    gaps = sum((F.octet_length(text) - F.octet_length(F.replace(text, F.lit(c), F.lit(""))) for c in " \t\r\n"), F.lit(1))
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    return F.struct(empty("source").alias("source"), empty("lang").alias("lang"), topic_of(text).alias("topic"), words.cast("long").alias("n_tokens"))
+    tokens = F.greatest(F.coalesce(F.col(tokens_col), F.lit(0)), F.lit(1)) if tokens_col else gaps
+    return F.struct(empty("source").alias("source"), empty("lang").alias("lang"), (empty(topic_col) if topic_col else topic_of(text)).alias("topic"), tokens.cast("long").alias("n_tokens"))
 
 
 def tempered(observed: dict[str, float], power: float) -> dict[str, float]:
@@ -131,9 +138,9 @@ def cell_weights(
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.5}
 
 
-def drawn(docs: DataFrame, powers: dict[str, float] | None, targets: dict[str, dict[str, float]] | None, seed: int, text_col: str, rate: float = 1.0, **fit) -> DataFrame:
+def drawn(docs: DataFrame, powers: dict[str, float] | None, targets: dict[str, dict[str, float]] | None, seed: int, text_col: str, rate: float = 1.0, topic_col: str | None = None, tokens_col: str | None = None, **fit) -> DataFrame:
     """``docs`` with ``_mix``: a struct of cell, n_tokens, weight, probability (of one copy at least), sampled and copies."""
-    rows = docs.withColumn("_mix", cell_of(text_col))
+    rows = docs.withColumn("_mix", cell_of(text_col, topic_col, tokens_col))
     cells = rows.select("_mix.*").groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens"))
     weights, bounded = cell_weights(cells, powers or POWERS, targets, **fit)
     named = F.to_json(F.struct(*(F.col(f"_mix.{m}") for m in MARGINS)))
@@ -149,7 +156,7 @@ def drawn(docs: DataFrame, powers: dict[str, float] | None, targets: dict[str, d
 
 def mix(docs: DataFrame, powers: dict[str, float] | None = None, targets: dict[str, dict[str, float]] | None = None, seed: int = 17, text_col: str = "text", **fit) -> DataFrame:
     """One row per document: doc_id, source, lang, topic, n_tokens, weight, probability, sampled, copies."""
-    docs = docs.select("doc_id", "source", "lang", text_col)
+    docs = docs.select("doc_id", "source", "lang", text_col, *(c for c in (fit.get("topic_col"), fit.get("tokens_col")) if c))
     return drawn(docs, powers, targets, seed, text_col, **fit).select("doc_id", "_mix.*")
 
 
