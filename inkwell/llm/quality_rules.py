@@ -83,7 +83,11 @@ def host_verdicts(failures: DataFrame, host_limit: float) -> DataFrame:
     The prior's mean is the failure rate of all documents; its strength comes from the
     spread of the hosts' rates (method of moments), and is at least one document's worth.
     """
-    hosts = failures.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("failed").cast("long")).alias("k"))
+    return shrunk_verdicts(failures.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("failed").cast("long")).alias("k")), host_limit)
+
+
+def shrunk_verdicts(hosts: DataFrame, host_limit: float) -> DataFrame:
+    """The same from counts (host, n, k) of a host's documents and failures."""
     rate = F.col("k") / F.col("n")
     prior = hosts.agg(
         (F.sum("k") / F.sum("n")).alias("mean"),
@@ -127,12 +131,14 @@ def accepted(docs: DataFrame, text_col: str = "text", min_words: int = 50, max_r
     def fails(texts: list[bytes]) -> list[bool]:
         return [n < min_words or 100 * r > max_repeat_percent * n for n, *_, r in map(measure, texts)]
 
-    judged = with_verdict(docs, "_failed", fails, text_col)
-    host = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    verdicts = host_verdicts(judged.select(host.alias("host"), F.col("_failed").alias("failed")), host_limit)
-    refused = written(verdicts.where("host_refused").select(F.col("host").alias("_host")), "hosts")
+    # texts are measured once: what passes is written, and each host's failures are its rows less those
+    passed = written(with_verdict(docs, "_failed", fails, text_col).where("not _failed").drop("_failed"), "passed")
+    host = F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host")
+    every, kept = (df.groupBy(host).agg(F.count("*").alias(n)) for df, n in ((docs, "n"), (passed, "passed")))
+    counts = every.join(kept, "host", "left").select("host", "n", (F.col("n") - F.coalesce("passed", F.lit(0))).alias("k"))
+    refused = written(shrunk_verdicts(counts, host_limit).where("host_refused").select(F.col("host").alias("_host")), "hosts")
     n = refused.limit(max_broadcast_hosts + 1).count()
-    passed = judged.where("not _failed").drop("_failed")
     if not n:
         return passed
+    host = F.coalesce(F.col("source").cast("string"), F.lit(""))
     return passed.join(F.broadcast(refused) if n <= max_broadcast_hosts else refused, host == F.col("_host"), "left_anti")
