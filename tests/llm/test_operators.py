@@ -305,7 +305,9 @@ def test_class_counts_against_sets(spark):
     want = np.zeros((2, quality_classifier.N_GRAMS), int)
     for i, t in texts:
         s = a[list(t.encode())]
-        found = {x for x in s} | {size + x * size + y for x, y in zip(s, s[1:])} | {size + size**2 + (x * size + y) * size + z for x, y, z in zip(s, s[1:], s[2:])}
+        found = {x for x in s} | {size + x * size + y for x, y in zip(s, s[1:])}
+        c, few = quality_classifier.COARSE_SYMBOLS.astype(int)[list(t.encode())], quality_classifier.COARSE
+        found |= {size + size**2 + (x * few + y) * few + z for x, y, z in zip(c, c[1:], c[2:])}
         for f in found:
             want[i % 2, f] += 1
     assert (counts[:, : quality_classifier.N_GRAMS] == want).all()
