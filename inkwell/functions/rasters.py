@@ -86,6 +86,12 @@ def aligned(moving: np.ndarray, fixed: np.ndarray) -> np.ndarray:
     return np.where(inside, value, 0.0)
 
 
+def ink_aspect(mask: np.ndarray) -> float:
+    """Width over height of the box around the ink, 0 without any."""
+    y, x = np.nonzero(mask)
+    return float((np.ptp(x) + 1) / (np.ptp(y) + 1)) if len(x) else 0.0
+
+
 def window_extreme(mask: np.ndarray, radius: int, most: bool = True) -> np.ndarray:
     """Maximum (or minimum) over a square of side 2 ``radius`` + 1: dilation and erosion."""
     out = np.pad(mask, radius, mode="edge")
@@ -131,92 +137,140 @@ def longest_runs(mask: np.ndarray, axis: int = 0) -> np.ndarray:
     return best
 
 
+def on_runs(mask: np.ndarray, axis: int, least: int) -> np.ndarray:
+    """The pixels that lie on a run of True of at least ``least`` along an axis."""
+    lines = np.moveaxis(mask, axis, 1)
+    flat = np.pad(lines, ((0, 0), (1, 1))).ravel()
+    edges = np.flatnonzero(flat[1:] != flat[:-1]) + 1
+    starts, ends = edges[::2], edges[1::2]
+    long_ = ends - starts >= least
+    turns = np.zeros(len(flat) + 1, int)
+    turns[starts[long_]] += 1
+    turns[ends[long_]] -= 1
+    found = (np.cumsum(turns[:-1]) > 0).reshape(lines.shape[0], lines.shape[1] + 2)[:, 1:-1]
+    return np.moveaxis(found, 1, axis)
+
+
+def widened(mask: np.ndarray, reach: int) -> np.ndarray:
+    """Dilated by ``reach`` columns to either side; nothing comes in over the edges."""
+    sums = np.cumsum(np.pad(mask.astype(int), ((0, 0), (reach + 1, reach))), axis=1)
+    return sums[:, 2 * reach + 1 :] > sums[:, : mask.shape[1]]
+
+
+def spans(line: np.ndarray) -> list[tuple[int, int]]:
+    """First and last place of every run of True in a line."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], line.astype(int), [0]]))).reshape(-1, 2)
+    return [(int(a), int(b) - 1) for a, b in edges]
+
+
 def staffs(mask: np.ndarray, height: float = 0.45, lean: float = 0.030, least_width: float = 0.004) -> list[tuple[int, int]]:
     """Column ranges whose leaning strokes reach a share of the height."""
-    reach = max(1, round(lean * mask.shape[1]))
-    wide = mask.copy()
-    for k in range(1, reach + 1):
-        wide[:, k:] |= mask[:, :-k]
-        wide[:, :-k] |= mask[:, k:]
+    width = mask.shape[1]
+    wide = widened(mask, max(int(lean * width), 1))
     tall = longest_runs(wide) >= height * mask.shape[0]
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], tall.astype(int), [0]])))
-    return [(int(a), int(b) - 1) for a, b in edges.reshape(-1, 2) if b - a >= least_width * mask.shape[1]]
+    return [(a, b) for a, b in spans(tall) if b - a + 1 >= max(int(least_width * width), 1)]
 
 
 def staff_gaps(found: list[tuple[int, int]], height: int, close: float = 0.35) -> tuple[list[float], int]:
-    """Gaps between neighbours over the height, and how many are close."""
-    gaps = [(b[0] - a[1]) / height for a, b in zip(found, found[1:], strict=False)]
+    """Distances between the centres of neighbours over the height, in hundredths, and how many are close."""
+    centres = [(a + b) / 2 for a, b in found]
+    gaps = [round((b - a) / height, 2) for a, b in zip(centres, centres[1:], strict=False)]
     return gaps, sum(g <= close for g in gaps)
 
 
-def without_rules(mask: np.ndarray) -> np.ndarray:
-    """Without horizontal rules: bands of low height whose rows hold a long run."""
-    h, w = mask.shape
-    long_ = longest_runs(mask, 1) >= max(0.35 * w, 30)
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], long_.astype(int), [0]]))).reshape(-1, 2)
-    out = mask.copy()
-    for a, b in edges:
-        if b - a <= max(0.045 * h, 4):
-            out[a:b] = False
-    return out
-
+def rule_pixels(mask: np.ndarray, share: float = 0.35, least: int = 30, thickness: float = 0.045) -> np.ndarray:
+    """Pixels of printed rules: long level runs, in bands of few rows.
 
-def tall_strokes(mask: np.ndarray, share: float = 0.15, least: int = 12) -> np.ndarray:
-    """Pixels of vertical runs that are long enough."""
-    need = max(share * mask.shape[0], least)
-    out = np.zeros_like(mask)
-    for x in range(mask.shape[1]):
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], mask[:, x].astype(int), [0]]))).reshape(-1, 2)
-        for a, b in edges:
-            out[a:b, x] = b - a >= need
-    return out
+    A picture no wider than the run has none. What crosses a rule loses only the run's pixels.
+    """
+    need = max(int(share * mask.shape[1]), least)
+    if need >= mask.shape[1]:
+        return np.zeros_like(mask)
+    level = on_runs(mask, 1, need)
+    for a, b in spans(level.any(1)):
+        if b - a + 1 > max(thickness * mask.shape[0], 4):
+            level[a : b + 1] = False
+    return level
 
 
-def erased(grey: np.ndarray, area: tuple[float, float, float, float], mode: str = "box") -> np.ndarray:
-    """A box given by fractions made white: all of it, its grey (above 80) only, or all but tall strokes."""
-    h, w = grey.shape
-    x0, y0, x1, y1 = (round(f * s) for f, s in zip(area, (w, h, w, h), strict=True))
-    out = grey.copy()
-    part = out[y0:y1, x0:x1]
-    if mode == "box":
-        part[:] = 255
-    elif mode == "grey":
-        part[part > 80] = 255
-    else:
-        part[~tall_strokes(part < otsu(grey) + 1)] = 255
+def without_rules(mask: np.ndarray) -> np.ndarray:
+    return mask & ~rule_pixels(mask)
+
+
+def tall_strokes(mask: np.ndarray, share: float = 0.15, least: int = 12, lean: float = 0.012) -> np.ndarray:
+    """Ink of tall strokes that may lean: runs are sought in the ink widened by the lean, and widened back."""
+    need, reach = max(int(share * mask.shape[0]), least), max(int(lean * mask.shape[1]), 3)
+    if need >= mask.shape[0]:
+        return mask.copy()
+    return widened(on_runs(widened(mask, reach), 0, need), reach) & mask
+
+
+def erased(ink: np.ndarray, grey: np.ndarray, areas: list[tuple[str, float, float, float, float]]) -> np.ndarray:
+    """Ink without what lies in areas (mode, left, top, right, bottom as fractions).
+
+    ``box``: all of it; ``grey``: what is lighter than 80; ``vkeep``: all but tall strokes of the whole picture.
+    """
+    h, w = ink.shape
+    out = ink.copy()
+    for mode, *area in areas:
+        x0, y0, x1, y1 = (int(f * s) for f, s in zip(area, (w, h, w, h), strict=True))
+        part = (slice(y0, y1), slice(x0, x1))
+        if mode == "box":
+            out[part] = False
+        elif mode == "grey":
+            out[part] &= grey[part] <= 80
+        elif mode == "vkeep":
+            out[part] &= tall_strokes(out)[part]
+        else:
+            raise ValueError(f"unknown mode: {mode}")
     return out
 
 
 def labelled(mask: np.ndarray) -> np.ndarray:
-    """8-connected parts numbered from 1 in reading order, 0 elsewhere."""
+    """8-connected parts numbered from 1 in reading order, 0 elsewhere: runs of rows joined to those above that touch them."""
     h, w = mask.shape
-    label = np.where(mask, np.arange(1, h * w + 1).reshape(h, w), 0)
-    while True:
-        pad = np.pad(np.where(label > 0, label, h * w + 1), 1, constant_values=h * w + 1)
-        low = label.copy()
-        for dy in range(3):
-            for dx in range(3):
-                low = np.minimum(np.where(label > 0, low, 0), np.where(label > 0, pad[dy : dy + h, dx : dx + w], 0))
-        if (low == label).all():
-            break
-        label = low
-    return np.unique(label, return_inverse=True)[1].reshape(h, w) if (label == 0).any() else np.unique(label, return_inverse=True)[1].reshape(h, w) + 1
+    flat = np.pad(mask, ((0, 0), (1, 1))).ravel()
+    edges = np.flatnonzero(flat[1:] != flat[:-1]) + 1
+    starts, ends = edges[::2], edges[1::2]
+    row, first, last = starts // (w + 2), starts % (w + 2), (ends - 1) % (w + 2)
+    root = list(range(len(starts)))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    above = 0
+    for k in range(len(starts)):
+        while above < k and (row[above] < row[k] - 1 or (row[above] == row[k] - 1 and last[above] < first[k] - 1)):
+            above += 1
+        j = above
+        while j < k and row[j] == row[k] - 1 and first[j] <= last[k] + 1:
+            a, b = top(j), top(k)
+            root[max(a, b)] = min(a, b)
+            j += 1
+    number = np.unique([top(k) for k in range(len(starts))], return_inverse=True)[1] + 1 if len(starts) else np.zeros(0, int)
+    out = np.zeros((h, w), int)
+    for k in range(len(starts)):
+        out[row[k], first[k] - 1 : last[k]] = number[k]
+    return out
 
 
 def cleaned(mask: np.ndarray, least: int = 8, share: float = 0.30) -> np.ndarray:
-    """Without specks, without rules, and without parts far smaller than the largest."""
+    """Without rules, specks, parts shaped like a rule, and parts far smaller than the largest left.
+
+    Where every part is shaped like a rule, none is taken for one.
+    """
     parts = labelled(without_rules(mask))
-    out = np.zeros_like(mask)
-    boxes = {}
+    known = {}
     for k in range(1, parts.max() + 1):
         y, x = np.nonzero(parts == k)
         if len(x) >= least:
-            boxes[k] = float(np.hypot(np.ptp(y) + 1, np.ptp(x) + 1))
-    top = max(boxes.values(), default=0.0)
-    for k, size in boxes.items():
-        if size >= share * top:
-            out |= parts == k
-    return out
+            known[k] = (np.ptp(x) + 1, np.ptp(y) + 1)
+    strokes = {k: s for k, s in known.items() if not (s[0] >= 0.55 * mask.shape[1] and s[1] <= 0.06 * s[0])} or known
+    top = max((float(np.hypot(*s)) for s in strokes.values()), default=0.0)
+    return np.isin(parts, [k for k, s in strokes.items() if np.hypot(*s) >= share * top])
 
 
 def gradient_histograms(grey: np.ndarray, cell: int = 16, bins: int = 9) -> np.ndarray:
