@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from inkwell.functions.geometry import covered_fraction, iou, overlap_of_smaller
+from inkwell.operators.staging import materialised
 
 BOX = "struct<id:bigint,score:double,b:struct<x0:double,y0:double,x1:double,y1:double>>"
 #: What explains a box, the most specific first.
@@ -57,24 +64,156 @@ def reconcile_on_grid(boxes: DataFrame, objects: DataFrame, keys: list[str], cel
     return boxes.select(*keys, "id").join(best, [*keys, "id"], "left").select(*keys, "id", name.alias("classification"))
 
 
+def candidates(predictions: DataFrame, truths: DataFrame, keys: list[str], least: float) -> DataFrame:
+    """(keys, id, score, b, truth_id, tb, iou): predictions with each truth they overlap by ``least``, or with none."""
+    on = [F.col(f"p.{k}") == F.col(f"t.{k}") for k in keys]
+    apart = (F.col("p.b.x0") < F.col("t.b.x1")) & (F.col("t.b.x0") < F.col("p.b.x1")) & (F.col("p.b.y0") < F.col("t.b.y1")) & (F.col("t.b.y0") < F.col("p.b.y1"))
+    overlap = iou(F.col("p.b"), F.col("t.b"))
+    if least > 0:
+        on += [apart, overlap >= least]
+    joined = predictions.alias("p").join(truths.alias("t"), reduce(and_, on), "left")
+    return joined.select(*(F.col(f"p.{k}").alias(k) for k in keys), "p.id", "p.score", "p.b", F.col("t.id").alias("truth_id"), F.col("t.b").alias("tb"), F.when(F.col("t.id").isNotNull(), overlap).alias("iou"))
+
+
+def in_turn(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Candidates of a key in one task, predictions by falling score (ties: the smaller id), the best overlap first."""
+    order = [*keys, F.desc("score"), "id", F.desc("iou"), "truth_id"]
+    return rows.repartition(*keys).sortWithinPartitions(*order)
+
+
 def greedy_matches(predictions: DataFrame, truths: DataFrame, key: str, least: float = 0.5) -> DataFrame:
     """(key, id, score, truth_id): predictions by score (ties: the smaller id), each to its best free truth.
 
     The best truth is the one of largest IoU (ties: the smaller id) among those not taken;
-    null where none reaches ``least``. A prediction without any is a false positive.
+    null where none reaches ``least``. A prediction without any is a false positive. Only
+    pairs that reach ``least`` are taken in turn; what is kept meanwhile is a key's taken truths.
+    """
+    kinds = dict(predictions.dtypes)
+    rows = in_turn(candidates(predictions, truths, [key], least), [key]).select(key, "id", "score", F.col("truth_id").cast("long").alias("truth_id"))
+
+    def take(batches):
+        here, taken, last = None, set(), None  # last: the prediction whose turn it is, and its truth
+        for batch in batches:
+            out = []
+            for k, i, s, t in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                if last is not None and (k, i) != last[:2]:
+                    out.append(last)
+                    last = None
+                if k != here:
+                    here, taken = k, set()
+                free = t if t is not None and t not in taken else None
+                if last is None:
+                    last = (k, i, s, free)
+                elif last[3] is None and free is not None:
+                    last = (k, i, s, free)
+                else:
+                    continue
+                if free is not None:
+                    taken.add(free)
+            yield pa.RecordBatch.from_pylist([dict(zip((key, "id", "score", "truth_id"), r, strict=True)) for r in out], schema)
+        if last is not None:
+            yield pa.RecordBatch.from_pylist([dict(zip((key, "id", "score", "truth_id"), last, strict=True))], schema)
+
+    columns = f"`{key}` {kinds[key]}, id {kinds['id']}, score {kinds['score']}, truth_id long"
+    schema = to_arrow_schema(T._parse_datatype_string(columns))
+    return rows.mapInArrow(take, columns)
+
+
+#: Overlaps and size ranges (squared pixels) of detection benchmarks.
+OVERLAPS = tuple(round(0.5 + 0.05 * k, 2) for k in range(10))
+SIZES = (("all", 0.0, 1e10), ("small", 0.0, 32.0**2), ("medium", 32.0**2, 96.0**2), ("large", 96.0**2, 1e10))
+HIT, MISS, IGNORED = 1, 0, 2
+
+
+def benchmark_matches(predictions: DataFrame, truths: DataFrame, most: int = 100) -> DataFrame:
+    """(page, label, id, score, codes) of the ``most`` best predictions of a page and label.
+
+    ``codes`` holds HIT, MISS or IGNORED for every size range and overlap. In each of them
+    predictions take their best free truth of the range in turn; what finds only truths of
+    other sizes, or finds none and is of another size itself, is ignored.
+    """
+    keys = ["page", "label"]
+    best = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("score"), "id"))
+    kept = predictions.withColumn("_r", best).where(F.col("_r") <= most).drop("_r")
+    area = lambda b: (F.col(f"{b}.x1") - F.col(f"{b}.x0")) * (F.col(f"{b}.y1") - F.col(f"{b}.y0"))
+    rows = in_turn(candidates(kept, truths, keys, OVERLAPS[0]), keys).select(*keys, "id", "score", area("b").alias("area"), "truth_id", area("tb").alias("t_area"), "iou")
+
+    def judged(area: float, found: list, taken: list[set]) -> list[int]:
+        codes = []
+        for s, (_, low, high) in enumerate(SIZES):
+            for o, least in enumerate(OVERLAPS):
+                mine = taken[s * len(OVERLAPS) + o]
+                free = [(t, low <= a <= high) for t, a, v in found if v >= least - 1e-10 and t not in mine]
+                inside = [t for t, fits in free if fits]
+                if free:
+                    mine.add(inside[0] if inside else free[0][0])
+                codes.append(HIT if inside else IGNORED if free or not low <= area <= high else MISS)
+        return codes
+
+    def take(batches):
+        here, taken, turn, found = None, [], None, []
+
+        def closed():
+            return (*turn[:4], judged(turn[4], found, taken))
+
+        for batch in batches:
+            out = []
+            for p, label, i, s, a, t, ta, v in zip(*(batch.column(c).to_pylist() for c in range(8)), strict=True):
+                if turn is None or (p, label, i) != turn[:3]:
+                    if turn is not None:
+                        out.append(closed())
+                    if (p, label) != here:
+                        here, taken = (p, label), [set() for _ in range(len(SIZES) * len(OVERLAPS))]
+                    turn, found = (p, label, i, s, a), []
+                if t is not None:
+                    found.append((t, ta, v))
+            yield from rows_of(out)
+        if turn is not None:
+            yield from rows_of([closed()])
+
+    def rows_of(out):
+        yield pa.RecordBatch.from_pylist([dict(zip(("page", "label", "id", "score", "codes"), r, strict=True)) for r in out], schema)
+
+    kinds = dict(kept.dtypes)
+    columns = ", ".join(f"{c} {kinds[c]}" for c in ("page", "label", "id", "score")) + ", codes array<int>"
+    schema = to_arrow_schema(T._parse_datatype_string(columns))
+    return rows.mapInArrow(take, columns)
+
+
+def running_totals(rows: DataFrame, by: list[str], order: list, sums: list[str]) -> DataFrame:
+    """``rows`` with ``run_x`` for each column x of ``sums``: its total up to the row within ``by``, in one order.
+
+    Rows are dealt out by ranges of the order and summed within; only a range's totals, a
+    row for each, meet in one place.
     """
-    truth = truths.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("id", "b"))).alias("truths"))
-    guess = predictions.groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("neg"), "id", "b"))).alias("guesses"))
-    empty = F.array().cast("array<struct<id:bigint,score:double,truth_id:bigint>>")
+    parts = materialised(rows.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()))
+    totals = parts.groupBy(*by, "_part").agg(*(F.sum(c).alias(f"_t_{c}") for c in sums))
+    earlier = W.partitionBy(*by).orderBy("_part")
+    before = totals.select(*by, "_part", *((F.sum(f"_t_{c}").over(earlier) - F.col(f"_t_{c}")).alias(f"_b_{c}") for c in sums))
+    inside = W.partitionBy(*by, "_part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    found = parts.join(before, [*by, "_part"])
+    return found.select(*rows.columns, *((F.sum(c).over(inside) + F.col(f"_b_{c}")).alias(f"run_{c}") for c in sums))
 
-    def step(acc, d):
-        taken = F.transform(acc, lambda m: m["truth_id"])
-        free = F.filter(F.coalesce(F.col("truths"), F.array().cast("array<struct<id:bigint,b:struct<x0:double,y0:double,x1:double,y1:double>>>")), lambda t: ~F.coalesce(F.array_contains(taken, t["id"]), F.lit(False)))
-        ranked = F.array_sort(F.filter(F.transform(free, lambda t: F.struct((-iou(d["b"], t["b"])).alias("neg"), t["id"].cast("bigint").alias("id"))), lambda t: -t["neg"] >= least))
-        return F.concat(acc, F.array(F.struct(d["id"].cast("bigint").alias("id"), (-d["neg"]).alias("score"), F.get(ranked, F.lit(0))["id"].alias("truth_id"))))
 
-    folded = guess.join(truth, key, "left").select(key, F.explode(F.aggregate("guesses", empty, step)).alias("m"))
-    return folded.select(key, "m.id", "m.score", "m.truth_id")
+def benchmark_table(predictions: DataFrame, truths: DataFrame, most: int = 100) -> DataFrame:
+    """(label, size, overlap, truths, ap, ar): 101-point average precision and recall of every label, size and overlap.
+
+    Labels and sizes without truths are left out.
+    """
+    area = (F.col("b.x1") - F.col("b.x0")) * (F.col("b.y1") - F.col("b.y0"))
+    sizes = F.explode(F.array(*(F.struct(F.lit(n).alias("size"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for n, lo, hi in SIZES)))
+    counted = truths.select("label", area.alias("area"), sizes.alias("s")).where((F.col("area") >= F.col("s.lo")) & (F.col("area") <= F.col("s.hi"))).groupBy("label", F.col("s.size").alias("size")).agg(F.count("*").alias("truths"))
+    cells = F.array(*(F.struct(F.lit(n).alias("size"), F.lit(o).alias("overlap")) for n, _, _ in SIZES for o in OVERLAPS))
+    rows = benchmark_matches(predictions, truths, most).select("label", "page", "id", "score", F.explode(F.arrays_zip(cells.alias("cell"), F.col("codes").alias("code"))).alias("x"))
+    rows = rows.select("label", F.col("x.cell.size").alias("size"), F.col("x.cell.overlap").alias("overlap"), "page", "id", "score", F.col("x.code").alias("code")).where(F.col("code") != IGNORED)
+    rows = rows.withColumn("hit", (F.col("code") == HIT).cast("long")).withColumn("one", F.lit(1).cast("long"))
+    run = running_totals(rows.drop("code"), ["label", "size", "overlap"], [F.desc("score"), "page", "id"], ["hit", "one"])
+    curve = run.join(F.broadcast(counted), ["label", "size"]).select("label", "size", "overlap", "truths", (F.col("run_hit") / F.col("truths")).alias("recall"), (F.col("run_hit") / F.col("run_one")).alias("precision"))
+    by = ["label", "size", "overlap"]
+    every = counted.select("label", "size", "truths", F.explode(F.array(*map(F.lit, OVERLAPS))).alias("overlap"))
+    reached = curve.groupBy(*by).agg(F.max("recall").alias("ar"))
+    found = every.join(interpolated(curve, by), by, "left").join(reached, by, "left")
+    return found.select(*by, "truths", F.coalesce("ap", F.lit(0.0)).alias("ap"), F.coalesce("ar", F.lit(0.0)).alias("ar"))
 
 
 def operating_points(predictions: DataFrame, truths: DataFrame, key: str, thresholds: tuple[float, ...] = (0.3, 0.5, 0.7, 0.9), least: float = 0.5) -> DataFrame:
@@ -96,18 +235,16 @@ def operating_points(predictions: DataFrame, truths: DataFrame, key: str, thresh
     )
 
 
-def average_precision(matches: DataFrame, n_truths: DataFrame) -> DataFrame:
-    """101-point interpolated average precision by label from (label, id, score, truth_id).
+def interpolated(curve: DataFrame, by: list[str]) -> DataFrame:
+    """(by, ap) of (by, recall, precision): the mean over 101 recalls of the best precision there or beyond."""
+    points = curve.groupBy(*by, F.least(F.floor(F.col("recall") * 100 + 1e-9), F.lit(100)).alias("up_to")).agg(F.max("precision").alias("p"))
+    steps = points.select(*by, F.explode(F.sequence(F.lit(0), F.col("up_to"))).alias("at"), "p").groupBy(*by, "at").agg(F.max("p").alias("p"))
+    return steps.groupBy(*by).agg((F.sum("p") / 101).alias("ap"))
 
-    A label's matches are ranked in one order; labels are a detector's few classes.
-    """
-    ordered = W.partitionBy("label").orderBy(F.desc("score"), "id").rowsBetween(W.unboundedPreceding, 0)
-    hit = F.when(F.col("truth_id").isNotNull(), 1).otherwise(0)
-    run = matches.select("label", "score", "id", F.sum(hit).over(ordered).alias("tp"), F.count("*").over(ordered).alias("n"))
-    curve = run.join(F.broadcast(n_truths), "label").select("label", (F.col("tp") / F.col("t")).alias("recall"), (F.col("tp") / F.col("n")).alias("precision"))
-    best = curve.groupBy("label", "recall").agg(F.max("precision").alias("precision"))
-    reached = best.select("label", "precision", F.least(F.floor(F.col("recall") * 100 + 1e-9), F.lit(100)).alias("up_to"))
-    points = reached.groupBy("label", "up_to").agg(F.max("precision").alias("p"))
-    # the envelope at a recall is the best precision at it or beyond
-    steps = points.select("label", F.explode(F.sequence(F.lit(0), F.col("up_to"))).alias("at"), "p").groupBy("label", "at").agg(F.max("p").alias("p"))
-    return n_truths.join(steps.groupBy("label").agg((F.sum("p") / 101).alias("ap")), "label", "left").select("label", F.coalesce("ap", F.lit(0.0)).alias("ap"))
+
+def average_precision(matches: DataFrame, n_truths: DataFrame) -> DataFrame:
+    """101-point interpolated average precision by label from (label, id, score, truth_id)."""
+    rows = matches.select("label", "score", "id", F.col("truth_id").isNotNull().cast("long").alias("hit"), F.lit(1).cast("long").alias("one"))
+    run = running_totals(rows, ["label"], [F.desc("score"), "id"], ["hit", "one"])
+    curve = run.join(F.broadcast(n_truths), "label").select("label", (F.col("run_hit") / F.col("t")).alias("recall"), (F.col("run_hit") / F.col("run_one")).alias("precision"))
+    return n_truths.join(interpolated(curve, ["label"]), "label", "left").select("label", F.coalesce("ap", F.lit(0.0)).alias("ap"))

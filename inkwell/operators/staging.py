@@ -1,20 +1,43 @@
-"""Cutting the lineage of iterative operators in a folder that all executors share."""
+"""Cutting the lineage of iterative operators in a folder that all executors share, and ranks over all rows."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 
-def materialised(df: DataFrame) -> DataFrame:
-    """``df`` written below spark.checkpoint.dir and read again; a folder of our own only where none is set."""
-    spark = df.sparkSession
+def fresh_folder(spark: SparkSession, what: str = "stage") -> str:
+    """A new folder below spark.checkpoint.dir; below one of our own only in a local session where none is set."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         shared = tempfile.mkdtemp(prefix="inkwell-")
         spark.conf.set("spark.checkpoint.dir", shared)
-    path = f"{shared.rstrip('/')}/stage-{uuid.uuid4().hex}"
+    return f"{shared.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """``df`` written to a folder that all executors share and read again."""
+    spark = df.sparkSession
+    path = fresh_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ranked(df: DataFrame, order: list, name: str) -> DataFrame:
+    """``df`` with the place of each row, from 1, in one order over all rows.
+
+    Rows are dealt out by ranges of the order and numbered within; only the sizes of the
+    ranges, a row for each, are added up in one place.
+    """
+    parts = materialised(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(W.partitionBy("_part").orderBy(*order)) + F.col("_before")
+    return parts.join(F.broadcast(before), "_part").withColumn(name, place.cast("bigint")).drop("_part", "_before")

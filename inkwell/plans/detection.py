@@ -181,6 +181,43 @@ def f41(spark, d):
     return ob.average_precision(m, t).select("label", r6(F.col("ap")).alias("ap"))
 
 
+def labelled_boxes(spark, d):
+    """Predictions and truths of three labels: those of a box and of the truth beside it agree but for every seventh."""
+    p = boxes(spark, d).withColumn("label", F.col("id") % 3)
+    t = truths(spark, d).withColumn("label", F.when(F.col("id") % 7 == 0, (F.col("id") + 1) % 3).otherwise((F.col("id") - 1000000) % 3))
+    return p, t
+
+
+COCO = with_views("box", "gt") + """, th AS (SELECT unnest(range(10)) AS k), g3 AS (SELECT *, CASE WHEN id % 7 = 0 THEN (id + 1) % 3 ELSE (id - 1000000) % 3 END AS label FROM gt),
+b3 AS (SELECT * FROM (SELECT *, id % 3 AS label, row_number() OVER (PARTITION BY page, id % 3 ORDER BY score DESC, id) AS rn FROM box) q WHERE rn <= 100),
+c AS (SELECT *, i / ((bx1 - bx0) * (by1 - by0) + (gx1 - gx0) * (gy1 - gy0) - i) AS v FROM (SELECT b.page, b.label, b.id, b.score, g.id AS tid, b.x0 AS bx0, b.x1 AS bx1, b.y0 AS by0, b.y1 AS by1, g.x0 AS gx0, g.x1 AS gx1, g.y0 AS gy0, g.y1 AS gy1,
+  greatest(0, least(b.x1, g.x1) - greatest(b.x0, g.x0)) * greatest(0, least(b.y1, g.y1) - greatest(b.y0, g.y0)) AS i FROM b3 b JOIN g3 g ON b.page = g.page AND b.label = g.label) q),
+o AS (SELECT page, label, k, list(struct_pack(id := id, tid := tid) ORDER BY score DESC, id, v DESC, tid) AS xs FROM c JOIN th ON c.v >= 0.5 + 0.05 * k - 1e-9 GROUP BY page, label, k),
+f AS (SELECT page, label, k, list_reduce(list_transform(xs, lambda x: [x]), lambda acc, e: CASE WHEN len(list_filter(acc, lambda m: m.id = e[1].id OR m.tid = e[1].tid)) > 0 THEN acc ELSE list_concat(acc, e) END) AS ms FROM o),
+h AS (SELECT label, k, unnest(ms).id AS id FROM f), a AS (SELECT b3.label, th.k, b3.page, b3.id, b3.score, h.id IS NOT NULL AS hit FROM b3 CROSS JOIN th LEFT JOIN h ON b3.id = h.id AND th.k = h.k AND b3.label = h.label),
+n AS (SELECT label, count(*) AS truths FROM g3 GROUP BY label),
+r AS (SELECT a.label, a.k, n.truths, sum(hit::INT) OVER w / truths AS recall, sum(hit::INT) OVER w / count(*) OVER w AS precision FROM a JOIN n ON a.label = n.label WINDOW w AS (PARTITION BY a.label, a.k ORDER BY a.score DESC, a.page, a.id ROWS UNBOUNDED PRECEDING)),
+p AS (SELECT label, k, least(floor(recall * 100 + 1e-9), 100) AS up, max(precision) AS p, max(recall) AS rec FROM r GROUP BY 1, 2, 3),
+e AS (SELECT n.label, th.k, q.at, coalesce((SELECT max(p.p) FROM p WHERE p.label = n.label AND p.k = th.k AND p.up >= q.at), 0) AS best FROM n CROSS JOIN th CROSS JOIN (SELECT unnest(range(101)) AS at) q)"""
+
+
+@query("f41_benchmark_by_overlap", COCO + """ SELECT e.label, round((0.5 + 0.05 * e.k)::DOUBLE, 2) AS overlap, max(n.truths) AS truths, round(sum(best) / 101, 6) AS ap, round(coalesce(max(m.rec), 0), 6) AS ar
+FROM e JOIN n ON e.label = n.label LEFT JOIN (SELECT label, k, max(rec) AS rec FROM p GROUP BY label, k) m ON e.label = m.label AND e.k = m.k GROUP BY e.label, e.k""")
+def f41_overlaps(spark, d):
+    t = ob.benchmark_table(*labelled_boxes(spark, d)).where("size = 'all'")
+    return t.select("label", "overlap", "truths", r6(F.col("ap")).alias("ap"), r6(F.col("ar")).alias("ar"))
+
+
+@query("f41_benchmark_summary")
+def f41_summary(spark, d):
+    """By size, and by label of all sizes: mean average precision and recall over all overlaps, and at 0.5 and 0.75."""
+    t = ob.benchmark_table(*labelled_boxes(spark, d))
+    at = lambda o: F.avg(F.when(F.col("overlap") == o, F.col("ap")))
+    means = [r6(F.avg("ap")).alias("map"), r6(at(0.5)).alias("map_50"), r6(at(0.75)).alias("map_75"), r6(F.avg("ar")).alias("mar_100")]
+    by_label = t.where("size = 'all'").groupBy("label").agg(*means).select(F.concat(F.lit("label "), F.col("label").cast("string")).alias("part"), "map", "map_50", "map_75", "mar_100")
+    return t.groupBy(F.col("size").alias("part")).agg(*means).unionByName(by_label)
+
+
 @query("g1_page_mark_numbers", with_views("box") + " SELECT page, id, row_number() OVER (PARTITION BY page ORDER BY score DESC, x0, id) AS number FROM box")
 def g1(spark, d):
     order = W.partitionBy("page").orderBy(F.desc("score"), F.col("b.x0"), "id")
