@@ -1,8 +1,9 @@
 """Clustering of marks into signers.
 
-Leader clustering is a fold in one order, so its groups are bounded blocks (a document, a
-signer's group); over a whole corpus only the leaders are folded, block by block, and all
-members are assigned in a parallel join.
+Order-dependent folds are rounds over a neighbour graph: a mark leads if no smaller mark in
+reach leads, which a few joins settle for all marks at once. Distances to clusters come from
+the clusters' sums. Only Ward's clustering needs all distances of a group in one task, and is
+bounded by ``MAX_WARD`` marks.
 """
 
 from __future__ import annotations
@@ -10,161 +11,196 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from inkwell.functions.vectors import dot
-from inkwell.operators.pairs import unit_vectors
+from inkwell.operators.pairs import blocked_pairs, in_blocks, pairs_within, unit_vectors
 from inkwell.operators.staging import materialised
 
-LEADER = "struct<id:bigint,v:array<double>>"
+#: Marks of a group at most for which hierarchical clustering is tried.
+MAX_WARD = 3000
+#: What the adaptive clustering tries.
+LEADER, SIMPLE, EPS, SAMPLES = 0.85, 0.8, (0.1, 0.15, 0.2, 0.25, 0.3), (2, 3)
 
 
-def leaders(marks: DataFrame, keys: list[str], threshold: float) -> DataFrame:
-    """(keys, leader_id, leader_no, lv): marks in id order that no earlier leader reaches."""
-    ordered = F.array_sort(F.collect_list(F.struct(F.col("sig_id").cast("bigint").alias("id"), "v")))
-    fold = F.aggregate(
-        ordered,
-        F.array().cast(f"array<{LEADER}>"),
-        lambda acc, d: F.when(F.exists(acc, lambda k: dot(d["v"], k["v"]) >= threshold), acc).otherwise(F.concat(acc, F.array(d))),
-    )
-    found = unit_vectors(marks).groupBy(*keys).agg(fold.alias("found"))
-    return found.select(*keys, F.posexplode("found").alias("leader_no", "l")).select(*keys, "leader_no", F.col("l.id").alias("leader_id"), F.col("l.v").alias("lv"))
+def neighbours(marks: DataFrame, keys: list[str], floor: float) -> DataFrame:
+    """(keys, a, b, cosine) of pairs a < b of at least ``floor`` that share ``keys``, written."""
+    if not keys:
+        found = blocked_pairs(marks, floor).select(F.col("sig_a").alias("a"), F.col("sig_b").alias("b"), "cosine")
+        return materialised(found)
+    packed = marks.withColumn("_k", F.struct(*keys))
+    found = pairs_within(packed, "_k").where(F.col("cosine") >= floor)
+    return materialised(found.select(*(F.col(f"a.{k}").alias(k) for k in keys), F.col("a.sig_id").alias("a"), F.col("b.sig_id").alias("b"), "cosine"))
 
 
-def leader_clusters(marks: DataFrame, keys: list[str], threshold: float, assign: str = "last") -> DataFrame:
-    """(keys, sig_id, label): label is the number of the last or first leader in reach, in id order.
+def leading(nodes: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
+    """(by, sig_id): nodes that no smaller leading node reaches by an edge (by, a, b), a < b.
 
-    A leader keeps its own number; a member is only reached by leaders before it.
+    A node without a smaller neighbour that is still open leads, and closes its neighbours;
+    that is repeated until none is open.
     """
-    lead = leaders(marks, keys, threshold)
-    u = unit_vectors(marks).select(*keys, "sig_id", "v")
-    near = u.join(lead, keys).where((F.col("leader_id") == F.col("sig_id")) | ((F.col("leader_id") < F.col("sig_id")) & (dot(F.col("v"), F.col("lv")) >= threshold)))
-    own = F.max(F.when(F.col("leader_id") == F.col("sig_id"), F.col("leader_no")))
-    other = (F.max if assign == "last" else F.min)("leader_no")
-    return near.groupBy(*keys, "sig_id").agg(F.coalesce(own, other).alias("label"))
+    open_, live, found = nodes.select(*by, "sig_id"), edges.select(*by, "a", "b"), None
+    while True:
+        waiting = live.select(*by, F.col("b").alias("sig_id")).distinct()
+        new = materialised(open_.join(waiting, [*by, "sig_id"], "left_anti"))
+        found = new if found is None else found.union(new)
+        if not new.limit(1).count():
+            return found
+        shut = live.join(new.withColumnRenamed("sig_id", "a"), [*by, "a"], "left_semi").select(*by, F.col("b").alias("sig_id"))
+        gone = materialised(new.union(shut).distinct())
+        open_ = materialised(open_.join(gone, [*by, "sig_id"], "left_anti"))
+        for end in ("a", "b"):
+            live = live.join(gone.withColumnRenamed("sig_id", end), [*by, end], "left_anti")
+        live = materialised(live)
 
 
-def unreached(reach, threshold: float):
-    """A vectorised predicate: no broadcast leader lies within the threshold."""
+def leader_labels(nodes: DataFrame, edges: DataFrame, by: list[str], assign: str = "last") -> DataFrame:
+    """(by, sig_id, label): the id of the last or first leader in reach; a leader's is its own."""
+    lead = materialised(leading(nodes, edges, by).withColumn("own", F.col("sig_id")))
+    near = edges.select(*by, "a", F.col("b").alias("sig_id")).join(lead.select(*by, F.col("sig_id").alias("a")), [*by, "a"])
+    near = near.groupBy(*by, "sig_id").agg((F.max if assign == "last" else F.min)("a").alias("near"))
+    found = nodes.select(*by, "sig_id").join(lead, [*by, "sig_id"], "left").join(near, [*by, "sig_id"], "left")
+    return found.select(*by, "sig_id", F.coalesce("own", "near").alias("label"))
 
-    @F.pandas_udf("boolean")
-    def open_(v: pd.Series) -> pd.Series:
-        return pd.Series((np.array(v.tolist()) @ reach.value.T < threshold).all(axis=1) if len(v) else np.zeros(0, bool))
 
-    return open_
+def leader_clusters(marks: DataFrame, keys: list[str], threshold: float, assign: str = "last") -> DataFrame:
+    """(keys, sig_id, label): label is the number of the last or first leader in reach, in id order, within ``keys``."""
+    edges = neighbours(marks, keys, threshold)
+    found = materialised(leader_labels(marks, edges, keys, assign))
+    leads = found.where("sig_id = label").select(*keys, "label", (F.row_number().over(W.partitionBy(*keys).orderBy("label")) - 1).alias("number"))
+    return found.join(leads, [*keys, "label"]).select(*keys, "sig_id", F.col("number").alias("label"))
 
 
-def corpus_leaders(marks: DataFrame, threshold: float, block_rows: int = 2000) -> list[tuple[int, np.ndarray]]:
-    """Leaders of a whole corpus in id order, taken block by block.
+def cluster_sums(marks: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n, total): how many unit vectors a cluster has, and their sum."""
+    u = unit_vectors(marks)
+    sums = u.select(*by, F.posexplode("v").alias("i", "x")).groupBy(*by, "i").agg(F.sum("x").alias("x"), F.count("*").alias("n"))
+    total = F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"])
+    return sums.groupBy(*by).agg(F.max("n").alias("n"), total.alias("total"))
 
-    Each round drops in parallel what the leaders so far reach; of what is left the next
-    block alone is folded on the driver. Memory holds the leaders (one for each signer).
-    """
-    left = unit_vectors(marks).select(F.col("sig_id").cast("bigint").alias("sig_id"), "v")
-    found: list[tuple[int, np.ndarray]] = []
-    while True:
-        block = left.orderBy("sig_id").limit(block_rows).collect()
-        if not block:
-            return found
-        for row in block:
-            v = np.array(row["v"])
-            if not any(v @ lv >= threshold for _, lv in found):
-                found.append((row["sig_id"], v))
-        last = block[-1]["sig_id"]
-        open_ = unreached(marks.sparkSession.sparkContext.broadcast(np.array([lv for _, lv in found])), threshold)
-        left = left.where((F.col("sig_id") > last) & open_("v"))
 
+def confidence(marks: DataFrame, by: list[str]) -> DataFrame:
+    """(by, confidence): mean cosine of all of a cluster's pairs, 0.5 for single members.
 
-def confidence(pairs: DataFrame, members: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, confidence): mean cosine of a cluster's pairs, 0.5 for single members."""
-    mean = pairs.groupBy(*keys).agg(F.avg("cosine").alias("m"))
-    return members.select(*keys).distinct().join(mean, keys, "left").select(*keys, F.coalesce("m", F.lit(0.5)).alias("confidence"))
+    The squared length of the summed unit vectors is their number plus twice the pairs' cosines.
+    """
+    square = F.aggregate("total", F.lit(0.0), lambda s, x: s + x * x)
+    pairs = F.col("n") * (F.col("n") - 1)
+    return cluster_sums(marks, by).select(*by, F.when(F.col("n") > 1, (square - F.col("n")) / pairs).otherwise(0.5).alias("confidence"))
 
 
-def silhouette(marks: DataFrame, label: str = "label") -> DataFrame:
-    """(sig_id, label, a, b, s) with cosine distances; members of single clusters have s = 0.
+def silhouette(marks: DataFrame, label: str = "label", by: list[str] | None = None) -> DataFrame:
+    """(by, sig_id, label, a, b, s) with cosine distances; members of single clusters have s = 0.
 
-    Distances are summed by mark and cluster against cluster sums: the mean cosine to a
-    cluster is the product with its summed unit vectors, so that no pairs are made.
+    The mean cosine to a cluster is the product with its summed unit vectors, so that no
+    pairs are made; blocks of marks meet blocks of clusters.
     """
-    u = unit_vectors(marks).select("sig_id", F.col(label).alias("label"), "v")
-    sums = (
-        u.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.sum("x").alias("x"))
-        .groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("total"))
-        .join(u.groupBy("label").agg(F.count("*").alias("n")), "label")
-    )
-    # as many rows as clusters go to all tasks; a clustering has few clusters beside marks
-    rows = u.join(sums.withColumnRenamed("label", "other"))
-    own = F.col("label") == F.col("other")
-    product = dot(F.col("v"), F.col("total"))
-    a = F.max(F.when(own & (F.col("n") > 1), 1 - (product - dot(F.col("v"), F.col("v"))) / (F.col("n") - 1)))
-    b = F.min(F.when(~own, 1 - product / F.col("n")))
-    scored = rows.groupBy("sig_id", "label").agg(a.alias("a"), b.alias("b"))
-    s = F.when(F.col("a").isNull() | F.col("b").isNull(), F.lit(0.0)).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
+    by = by or []
+    u = unit_vectors(marks).select(*by, "sig_id", F.col(label).alias("label"), "v")
+    sums = cluster_sums(u, [*by, "label"])
+    kinds = dict(u.dtypes)
+    columns = [*by, "sig_id", "label"]
+
+    def distances(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = left[columns].assign(a=np.nan, b=np.nan)
+        if not len(left) or not len(right):
+            return out
+        v, n = np.array(left["v"].tolist()), right["n"].to_numpy(float)
+        product = v @ np.array(right["total"].tolist()).T
+        own = left["label"].to_numpy()[:, None] == right["label"].to_numpy()[None]
+        inside = np.where(n > 1, 1 - (product - (v * v).sum(1)[:, None]) / np.maximum(n - 1, 1), np.nan)
+        out["a"] = np.where(own, np.nan_to_num(inside, nan=-1.0), -1.0).max(1)
+        out["b"] = np.where(own, np.inf, 1 - product / n).min(1)
+        return out
+
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", a double, b double"
+    cells = in_blocks(u, materialised(sums), by, ("sig_id", "label"), distances, schema)
+    # -1 and infinity stand for what a cell doesn't hold
+    a, b = F.max(F.when(F.col("a") > -1, F.col("a"))), F.min(F.when(F.col("b") < float("inf"), F.col("b")))
+    scored = cells.groupBy(*columns).agg(a.alias("a"), b.alias("b"))
+    top = F.greatest("a", "b")
+    s = F.when(F.col("a").isNull() | F.col("b").isNull() | (top <= 0), F.lit(0.0)).otherwise((F.col("b") - F.col("a")) / top)
     return scored.withColumn("s", s)
 
 
-def density_clusters(marks: DataFrame, edges: DataFrame, min_samples: int) -> DataFrame:
-    """(sig_id, label): DBSCAN over a neighbour graph (a, b) without loops; label -1 is noise.
+def density_clusters(marks: DataFrame, edges: DataFrame, min_samples, by: list[str] | None = None) -> DataFrame:
+    """(by, sig_id, label): DBSCAN over neighbour graphs (by, a, b) without loops; label -1 is noise.
 
-    A core mark has ``min_samples`` marks in reach, itself included. Components of core marks
-    are numbered by their smallest id; border marks join the lowest-numbered in reach.
+    A core mark has ``min_samples`` (a number, or a column of ``marks``) marks in
+    reach, itself included. Components of core marks are named by their smallest id; border
+    marks join the lowest in reach.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    core = both.groupBy("a").agg((F.count("*") + 1).alias("n")).where(F.col("n") >= min_samples).select("a")
-    if min_samples <= 1:
-        core = marks.select(F.col("sig_id").alias("a"))
-    inner = both.join(core, "a", "left_semi").join(core.withColumnRenamed("a", "b"), "b", "left_semi")
-    state = core.select("a", F.col("a").alias("root"))
-    for _ in range(100):
+    by = by or []
+    need = F.lit(min_samples) if isinstance(min_samples, int) else F.col(min_samples)
+    both = edges.select(*by, "a", "b").union(edges.select(*by, F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    degree = marks.withColumn("_need", need).select(*by, F.col("sig_id").alias("a"), "_need").join(both.groupBy(*by, "a").agg(F.count("*").alias("n")), [*by, "a"], "left")
+    core = materialised(degree.where(F.coalesce("n", F.lit(0)) + 1 >= F.col("_need")).select(*by, "a"))
+    inner = materialised(both.join(core, [*by, "a"], "left_semi").join(core.withColumnRenamed("a", "b"), [*by, "b"], "left_semi"))
+    state = core.select(*by, "a", F.col("a").alias("root"))
+    while True:
         state = materialised(state)
-        step = inner.join(state.select(F.col("a").alias("b"), F.col("root").alias("r")), "b").groupBy("a").agg(F.min("r").alias("r"))
-        new = state.join(step, "a", "left").select("a", F.least("root", F.coalesce("r", "root")).alias("root"))
-        jumped = new.join(new.select(F.col("a").alias("root"), F.col("root").alias("up")), "root", "left").select("a", F.least("root", F.coalesce("up", "root")).alias("root"))
-        if not jumped.join(state.withColumnRenamed("root", "old"), "a").where("root <> old").limit(1).count():
+        step = inner.join(state.select(*by, F.col("a").alias("b"), F.col("root").alias("r")), [*by, "b"]).groupBy(*by, "a").agg(F.min("r").alias("r"))
+        new = state.join(step, [*by, "a"], "left").select(*by, "a", F.least("root", F.coalesce("r", "root")).alias("root"))
+        up = new.select(*by, F.col("a").alias("root"), F.col("root").alias("up"))
+        jumped = materialised(new.join(up, [*by, "root"], "left").select(*by, "a", F.least("root", F.coalesce("up", "root")).alias("root")))
+        if not jumped.join(state.withColumnRenamed("root", "old"), [*by, "a"]).where("root <> old").limit(1).count():
             break
         state = jumped
-    border = both.join(state.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("root").alias("near"))
-    found = marks.select(F.col("sig_id").alias("a")).join(state, "a", "left").join(border, "a", "left")
-    return found.select(F.col("a").alias("sig_id"), F.coalesce("root", "near", F.lit(-1)).alias("label"))
+    border = both.join(state.withColumnRenamed("a", "b"), [*by, "b"]).groupBy(*by, "a").agg(F.min("root").alias("near"))
+    found = marks.select(*by, F.col("sig_id").alias("a")).join(state, [*by, "a"], "left").join(border, [*by, "a"], "left")
+    return found.select(*by, F.col("a").alias("sig_id"), F.coalesce("root", "near", F.lit(-1)).alias("label"))
 
 
-def ward_labels(vectors: np.ndarray, k: int) -> np.ndarray:
-    """Labels of ``k`` clusters by Ward's update on cosine distances, ties to the lowest pair."""
+def ward_cuts(vectors: np.ndarray, most: int) -> dict[int, np.ndarray]:
+    """By number of clusters up to ``most``: labels of Ward's clustering on cosine distances, ties to the lowest pair."""
     n = len(vectors)
     x = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
     d = 1 - x @ x.T
     np.fill_diagonal(d, np.inf)
-    size, alive, label = np.ones(n), np.ones(n, bool), np.arange(n)
-    for _ in range(n - k):
-        i, j = np.unravel_index(np.argmin(d), d.shape)
-        i, j = min(i, j), max(i, j)
+    size, label, found = np.ones(n), np.arange(n), {}
+    near = d.argmin(1)  # by row its nearest, the first of ties
+    alive = np.ones(n, bool)
+    for k in range(n, 1, -1):
+        if k <= most:
+            found[k] = np.unique(label, return_inverse=True)[1]
+        best = np.where(alive, d[np.arange(n), near], np.inf)
+        i = int(best.argmin())
+        i, j = sorted((i, int(near[i])))
         s = size + size[i] + size[j]
         merged = np.sqrt(np.maximum(((size + size[i]) * d[i] ** 2 + (size + size[j]) * d[j] ** 2 - size * d[i, j] ** 2) / s, 0))
-        merged[~alive | (np.arange(n) == i) | (np.arange(n) == j)] = np.inf
+        alive[j] = False
+        merged[~alive] = np.inf
+        merged[i] = np.inf
         d[i], d[:, i] = merged, merged
         d[j], d[:, j] = np.inf, np.inf
         size[i] += size[j]
-        alive[j] = False
         label[label == label[j]] = label[i]
-    return np.unique(label, return_inverse=True)[1]
+        near[i] = d[i].argmin()
+        for r in np.flatnonzero(alive & ((near == i) | (near == j) | (merged <= d[np.arange(n), near]))):
+            near[r] = d[r].argmin()
+    return found
 
 
 def mean_silhouette(vectors: np.ndarray, labels: np.ndarray) -> float:
+    """Of cosine distances; single clusters count 0."""
     x = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-    d = 1 - x @ x.T
-    total = 0.0
-    for i, own in enumerate(labels):
-        same = (labels == own) & (np.arange(len(x)) != i)
-        if same.any():
-            a = d[i, same].mean()
-            b = min(d[i, labels == c].mean() for c in set(labels) - {own})
-            total += (b - a) / max(a, b) if max(a, b) > 0 else 0.0
-    return total / len(x)
+    names, at, n = np.unique(labels, return_inverse=True, return_counts=True)
+    sums = np.zeros((len(names), x.shape[1]))
+    np.add.at(sums, at, x)
+    product, rows = x @ sums.T, np.arange(len(x))
+    a = 1 - (product[rows, at] - (x * x).sum(1)) / np.maximum(n[at] - 1, 1)
+    other = 1 - product / n
+    other[rows, at] = np.inf
+    b = other.min(1)
+    top = np.maximum(a, b)
+    return float(np.where((n[at] > 1) & (top > 0) & np.isfinite(b), (b - a) / np.where(top > 0, top, 1), 0.0).mean())
 
 
 def hierarchical_clusters(marks: DataFrame, keys: list[str], max_k: int = 8) -> DataFrame:
-    """(keys, sig_id, label, score): Ward clusters of each block, the number of clusters by silhouette."""
+    """(keys, sig_id, label, score): Ward clusters of each group, the number of clusters by silhouette.
+
+    All distances of a group are in one task: groups are documents, or at most ``MAX_WARD`` marks.
+    """
     kinds = dict(marks.dtypes)
 
     def block(part: pd.DataFrame) -> pd.DataFrame:
@@ -174,8 +210,8 @@ def hierarchical_clusters(marks: DataFrame, keys: list[str], max_k: int = 8) ->
         if len(x) == 2:
             unit = x / np.linalg.norm(x, axis=1, keepdims=True)
             best = (0.0, np.array([0, 0 if unit[0] @ unit[1] >= 0.85 else 1]))
-        for k in range(2, min(len(x) - 1, max_k) + 1) if len(x) > 2 else ():
-            labels = ward_labels(x, k)
+        cuts = ward_cuts(x, min(len(x) - 1, max_k)) if len(x) > 2 else {}
+        for k, labels in sorted(cuts.items()):
             score = mean_silhouette(x, labels)
             if score > best[0] + 1e-12:
                 best = (score, labels)
@@ -185,16 +221,78 @@ def hierarchical_clusters(marks: DataFrame, keys: list[str], max_k: int = 8) ->
     return marks.select(*keys, "sig_id", "v").groupBy(*keys).applyInPandas(block, schema)
 
 
-def best_method(scores: dict[str, tuple[float, int, int]]) -> str | None:
-    """Name of the strictly best valid method; valid: at least 2 clusters and fewer than marks.
+def scored(labelled: DataFrame, marks: DataFrame, by: list[str], keep: list[str]) -> DataFrame:
+    """(keep, by, score, k): mean silhouette and clusters of label tables (keep, by, sig_id, label)."""
+    keys = [*keep, *by]
+    s = silhouette(labelled.join(marks.select("sig_id", "v"), "sig_id"), by=keys)
+    return s.groupBy(*keys).agg(F.avg("s").alias("score"), F.countDistinct("label").alias("k"))
+
+
+def first_best(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """Of each group the row of the highest score above -1, the first in ``order`` where scores tie."""
+    place = F.row_number().over(W.partitionBy(*by).orderBy(F.desc("score"), *order))
+    return rows.where("score > -1").withColumn("_r", place).where("_r = 1").drop("_r")
+
+
+def adaptive_clusters(marks: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, sig_id, label, method): of hierarchical, leader and density clustering the best by silhouette.
 
-    ``scores``: by method (silhouette, clusters, marks), in the order in which they are tried.
+    Chosen for each group of ``by`` (none: the whole corpus). Density clustering is tried with
+    all of ``EPS`` and ``SAMPLES`` and judged without its noise; hierarchical clustering only
+    for groups of at most ``MAX_WARD`` marks. A method counts if it finds at least two
+    clusters and fewer than marks; if none does, first leaders at ``SIMPLE`` are taken. One
+    mark is one cluster, two are one from ``LEADER`` on.
     """
-    found, best = None, float("-inf")
-    for name, (score, clusters, marks) in scores.items():
-        if 2 <= clusters < marks and score > best:
-            found, best = name, score
-    return found
+    by = by or ["_all"]
+    whole = by == ["_all"]
+    marks = materialised((marks.withColumn("_all", F.lit(0)) if whole else marks).select(*by, F.col("sig_id").cast("long").alias("sig_id"), "v"))
+    edges = neighbours(marks, [] if whole else by, 1 - max(EPS))
+    edges = edges.withColumn("_all", F.lit(0)) if whole else edges
+    sizes = materialised(marks.groupBy(*by).agg(F.count("*").alias("n")))
+    large = marks.join(sizes.where("n > 2"), by, "left_semi")
+    labels = [leader_labels(large, edges.where(F.col("cosine") >= LEADER), by).withColumn("method", F.lit(1))]
+    ward = hierarchical_clusters(large.join(sizes.where(F.col("n") <= MAX_WARD), by, "left_semi"), by).drop("score")
+    labels.append(ward.withColumn("label", F.col("label").cast("long")).withColumn("method", F.lit(0)))
+    grid = F.explode(F.array(*(F.struct(F.lit(i).alias("no"), F.lit(1 - e).alias("floor"), F.lit(m).alias("need")) for i, (e, m) in enumerate((e, m) for e in EPS for m in SAMPLES))))
+    tried = large.select(*by, "sig_id", grid.alias("g")).select(*by, "sig_id", F.col("g.no").alias("no"), F.col("g.need").alias("need"))
+    links = edges.withColumn("g", grid).where(F.col("cosine") >= F.col("g.floor") - 1e-12).select(*by, "a", "b", F.col("g.no").alias("no"))
+    dense = materialised(density_clusters(tried, links, "need", [*by, "no"]))
+    best = first_best(scored(dense.where("label >= 0"), large, [*by, "no"], []).where("k > 1"), by, ["no"]).select(*by, "no")
+    own = large.select(*by, "sig_id", F.col("sig_id").alias("label")).join(best, by, "left_anti")
+    labels.append(dense.join(best, [*by, "no"], "left_semi").select(*by, "sig_id", "label").unionByName(own).withColumn("method", F.lit(2)))
+    every = labels[0].unionByName(labels[1]).unionByName(labels[2])
+    every = materialised(every.select(*by, "sig_id", F.col("label").cast("long").alias("label"), "method"))
+    valid = scored(every, large, by, ["method"]).join(sizes, by).where("k >= 2 and k < n")
+    chosen = materialised(first_best(valid, by, ["method"]).select(*by, "method"))
+    names = F.element_at(F.array(*map(F.lit, ("hierarchical", "threshold", "dbscan"))), F.col("method") + 1)
+    found = every.join(chosen, [*by, "method"], "left_semi").select(*by, "sig_id", "label", names.alias("method"))
+    simple = leader_labels(large.join(chosen, by, "left_anti"), edges.where(F.col("cosine") >= SIMPLE), by, "first").withColumn("method", F.lit("similarity"))
+    few = marks.join(sizes.where("n <= 2"), by, "left_semi")
+    few = leader_labels(few, edges.where(F.col("cosine") >= LEADER), by).withColumn("method", F.lit("few"))
+    out = found.unionByName(simple).unionByName(few)
+    return out.drop("_all") if whole else out
+
+
+def two_level_clusters(marks: DataFrame) -> DataFrame:
+    """(sig_id, level1, label, confidence): adaptive clusters, and again inside each of them.
+
+    Confidence is 1.0 for a group of one mark, 0.8 for a group that was clustered again.
+    """
+    first = materialised(adaptive_clusters(marks).select("sig_id", F.col("label").alias("level1")))
+    second = adaptive_clusters(marks.join(first, "sig_id"), ["level1"])
+    alone = F.count("*").over(W.partitionBy("level1")) == 1
+    return second.select("sig_id", "level1", "label", F.when(alone, 1.0).otherwise(0.8).alias("confidence"))
+
+
+def signer_profiles(marks: DataFrame, labels: DataFrame) -> DataFrame:
+    """(label, n_signatures, n_documents, documents, representative, confidence) of clusters (sig_id, label).
+
+    ``documents`` holds the first of their names, 500 characters at most.
+    """
+    rows = materialised(marks.join(labels.select("sig_id", "label"), "sig_id").select("sig_id", "pdf", "label", "v"))
+    names = rows.select("label", "pdf").distinct().groupBy("label").agg(F.count("*").alias("n_documents"), F.substring(F.array_join(F.array_sort(F.collect_list("pdf")), ","), 1, 500).alias("documents"))
+    sizes = rows.groupBy("label").agg(F.count("*").alias("n_signatures"), F.min("sig_id").alias("representative"))
+    return sizes.join(names, "label").join(confidence(rows, ["label"]), "label")
 
 
 def numbered(label: Column, prefix: str = "Signer") -> Column:

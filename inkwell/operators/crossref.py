@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Parts of the signers that targets meet.
+PARTS = 16
+
 
 def by_target_and_signer(matches: DataFrame, signers: DataFrame) -> DataFrame:
     """(pdf, signer, n, mean, top, low) for every target and signer, zero where nothing matched.
 
-    ``matches``: (pdf, signer, similarity), signer null where unmatched. The signers of one
-    reference are a few rows.
+    ``matches``: (pdf, signer, similarity), signer null where unmatched. The result has a row
+    for every target and signer; signers are dealt to parts, so that no side goes to all tasks.
     """
-    frame = matches.select("pdf").distinct().join(signers.select("signer").distinct())
+    part = F.pmod(F.xxhash64("signer"), F.lit(PARTS))
+    targets = matches.select("pdf").distinct().withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+    frame = targets.join(signers.select("signer").distinct().withColumn("_part", part), "_part").select("pdf", "signer")
     stats = matches.where("signer is not null").groupBy("pdf", "signer").agg(F.count("*").alias("n"), F.avg("similarity").alias("mean"), F.max("similarity").alias("top"), F.min("similarity").alias("low"))
     joined = frame.join(stats, ["pdf", "signer"], "left")
     zero = lambda c, z: F.coalesce(c, F.lit(z)).alias(c)

@@ -71,43 +71,81 @@ def blocked_statistics(marks: DataFrame, by: str, block_rows: int = 2000, vector
 
     def cell(part: pd.DataFrame) -> pd.DataFrame:
         left, right, sims = sides(part)
-        kl, kr, il, ir = left[by].to_numpy(), right[by].to_numpy(), left["sig_id"].to_numpy(), right["sig_id"].to_numpy()
-        rows = []
-        for x in set(kl):
-            for y in set(kr):
-                s = sims[np.ix_(kl == x, kr == y)]
-                first = il[kl == x][:, None] < ir[kr == y][None]
-                for a, b, mask in ((x, y, first), (y, x, ~first)):
-                    chosen = s[mask & ~np.isnan(s)]
-                    if len(chosen):
-                        rows.append((a, b, len(chosen), float(chosen.sum()), float(chosen.max())))
-        return pd.DataFrame(rows, columns=["a", "b", "n", "total", "top"])
+        names, at = np.unique(np.concatenate([left[by].to_numpy(), right[by].to_numpy()]), return_inverse=True)
+        i, j = np.nonzero(~np.isnan(sims))
+        s, x, y = sims[i, j], at[: len(left)][i], at[len(left) :][j]
+        first = left["sig_id"].to_numpy()[i] < right["sig_id"].to_numpy()[j]
+        code = np.where(first, x, y) * len(names) + np.where(first, y, x)
+        order = np.argsort(code, kind="stable")
+        found, begin, n = np.unique(code[order], return_index=True, return_counts=True)
+        total, top = (f.reduceat(s[order], begin) if len(found) else s for f in (np.add, np.maximum))
+        return pd.DataFrame({"a": names[found // max(len(names), 1)], "b": names[found % max(len(names), 1)], "n": n, "total": total, "top": top})
 
     kind = dict(marks.dtypes)[by]
     parts = block_cells(marks, block_rows, vector, [by]).groupBy("lo", "hi").applyInPandas(cell, f"a {kind}, b {kind}, n long, total double, top double")
     return parts.groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("top").alias("top"))
 
 
-def best_signers(targets: DataFrame, references: DataFrame, threshold: float, dims: int | None = None, max_broadcast_rows: int = 50_000) -> DataFrame:
+def blocked_top(marks: DataFrame, k: int, block_rows: int = 2000, vector: str = "v") -> DataFrame:
+    """(sig_a, sig_b, cosine) of the ``k`` most alike pairs of all; ties go to the smaller ids.
+
+    A cell sends its own ``k`` best.
+    """
+
+    def cell(part: pd.DataFrame) -> pd.DataFrame:
+        left, right, sims = sides(part)
+        sims = np.where(np.isnan(sims), -np.inf, sims)
+        at = np.flatnonzero(sims.ravel() >= (np.partition(sims.ravel(), -k)[-k] if sims.size > k else -np.inf))
+        i, j = np.unravel_index(at, sims.shape)
+        a, b = left["sig_id"].to_numpy()[i], right["sig_id"].to_numpy()[j]
+        found = pd.DataFrame({"sig_a": np.minimum(a, b), "sig_b": np.maximum(a, b), "cosine": sims[i, j]})
+        found = found[np.isfinite(found["cosine"])]
+        return found.sort_values(["cosine", "sig_a", "sig_b"], ascending=[False, True, True]).head(k)
+
+    cells = block_cells(marks, block_rows, vector, []).groupBy("lo", "hi")
+    return cells.applyInPandas(cell, "sig_a long, sig_b long, cosine double").orderBy(F.desc("cosine"), "sig_a", "sig_b").limit(k)
+
+
+def in_blocks(left: DataFrame, right: DataFrame, keys: list[str], sides_by: tuple[str, str], step, schema: str, block_rows: int = 4000) -> DataFrame:
+    """``step(left rows, right rows)`` for every pair of blocks of two tables that share ``keys``.
+
+    Both tables are dealt to blocks by a digest of a column of theirs, so that a task holds
+    two blocks, however large a key is; a row is copied once for each block of the other table.
+    """
+    n = [max(1, math.ceil(t.count() / block_rows)) for t in (left, right)]
+    of = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    x = left.withColumn("_l", of(sides_by[0], n[0])).withColumn("_r", every(n[1]))
+    y = right.withColumn("_r", of(sides_by[1], n[1])).withColumn("_l", every(n[0]))
+    cells = [*keys, "_l", "_r"]
+    return x.groupBy(*cells).cogroup(y.groupBy(*cells)).applyInPandas(step, schema)
+
+
+def best_signers(targets: DataFrame, references: DataFrame, threshold: float, block_rows: int = 4000) -> DataFrame:
     """Each target's best signer over all references: (target columns, signer, similarity, matched).
 
     Similarities start at 0 and the first signer wins ties; below the threshold the signer
-    is null, but its similarity is reported. References go to all tasks while they are at
-    most ``max_broadcast_rows``; beyond, they are dealt out in blocks with the targets.
+    is null, but its similarity is reported. Blocks of targets meet blocks of references in
+    matrix products; each sends a target's best signer on.
     """
-    t, r = unit_vectors(targets), unit_vectors(references).select(F.col("writer").alias("signer"), F.col("v").alias("rv"))
-    n = r.limit(max_broadcast_rows + 1).count()
-    if n <= max_broadcast_rows:
-        joined = t.join(F.broadcast(r))
-    else:
-        parts = 256
-        spread = t.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-        joined = spread.join(r.withColumn("_part", F.pmod(F.xxhash64("rv"), F.lit(parts))), "_part")
+    t = unit_vectors(targets)
+    r = unit_vectors(references).select(F.col("writer").alias("signer"), "v")
     keys = [c for c in t.columns if c != "v"]
-    scored = joined.select(*keys, "signer", F.greatest(F.lit(0.0), dot(F.col("v"), F.col("rv"), dims)).alias("s"))
-    best = scored.groupBy(*keys, "signer").agg(F.max("s").alias("s")).groupBy(*keys).agg(F.min(F.struct((-F.col("s")).alias("s"), "signer")).alias("best"))
+    kinds = dict(t.dtypes) | {"signer": dict(r.dtypes)["signer"]}
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return left[keys].assign(signer=None, s=0.0).head(0)
+        right = right.sort_values("signer", ignore_index=True)
+        sims = np.maximum(np.array(left["v"].tolist()) @ np.array(right["v"].tolist()).T, 0.0)
+        at = sims.argmax(1)  # the first of ties, and so the first signer
+        return left[keys].assign(signer=right["signer"].to_numpy()[at], s=sims[np.arange(len(left)), at])
+
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, "signer"]) + ", s double"
+    cells = in_blocks(t, r, [], (keys[0], "v"), best, schema, block_rows)
+    found = cells.groupBy(*keys).agg(F.min(F.struct((-F.col("s")).alias("s"), "signer")).alias("best"))
     similarity = -F.col("best.s")
-    return best.select(*keys, F.when((similarity >= threshold) & (similarity > 0), F.col("best.signer")).alias("signer"), similarity.alias("similarity"))
+    return found.select(*keys, F.when((similarity >= threshold) & (similarity > 0), F.col("best.signer")).alias("signer"), similarity.alias("similarity"))
 
 
 def mutual_matches(similarities: DataFrame, floor: float = 0.5) -> DataFrame:

@@ -18,7 +18,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 VIEWS = {
-    "sig": """sig AS (SELECT vec_id AS sig_id, label AS writer, embedding::DOUBLE[] AS v, vec_id % 40 AS pdf, vec_id % 7 + 1 AS page,
+    "sig": """sig AS (SELECT vec_id AS sig_id, label AS writer, embedding::DOUBLE[] AS v, vec_id // 50 AS pdf, vec_id % 7 + 1 AS page,
         CASE WHEN vec_id % 10 < 2 THEN 'reference' WHEN vec_id % 10 < 4 THEN 'control' ELSE 'questioned' END AS role FROM embeddings)""",
     "uni": """uni AS (SELECT sig_id, writer, pdf, page, role, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM sig)""",
     "box": """box AS (SELECT *, x0 + w AS x1, y0 + h AS y1 FROM (SELECT user_id AS page, event_id AS id, value AS score, (event_id * 37 % 400)::DOUBLE AS x0,
@@ -79,7 +79,7 @@ def sig(spark: SparkSession, d: str) -> DataFrame:
     role = F.when(F.col("vec_id") % 10 < 2, "reference").when(F.col("vec_id") % 10 < 4, "control").otherwise("questioned")
     return read(spark, d, "embeddings").select(
         F.col("vec_id").alias("sig_id"), F.col("label").alias("writer"), F.col("embedding").cast("array<double>").alias("v"),
-        (F.col("vec_id") % 40).alias("pdf"), (F.col("vec_id") % 7 + 1).alias("page"), role.alias("role"),
+        F.expr("vec_id div 50").alias("pdf"), (F.col("vec_id") % 7 + 1).alias("page"), role.alias("role"),
     )
 
 

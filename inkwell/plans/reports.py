@@ -14,7 +14,7 @@ r6 = lambda c: F.round(c, 6)
 SCORERS = ["cosine", "vgg", "vit"]
 KIND = """CASE WHEN ra = 'reference' AND rb = 'reference' THEN 'ref-ref (same writer)' WHEN (ra = 'reference' AND rb = 'control') OR (rb = 'reference' AND ra = 'control') THEN 'ref-control (diff writer)'
 WHEN (ra = 'reference' AND rb = 'questioned') OR (rb = 'reference' AND ra = 'questioned') THEN 'ref-questioned (THE QUESTION)' WHEN ra = 'questioned' AND rb = 'questioned' THEN 'q-q' WHEN ra <> rb THEN 'q-control (diff writer)' ELSE 'control-control (diff writer)' END"""
-CASE = with_views("docpairs") + f""", rl AS (SELECT sig_id, CASE WHEN sig_id // 40 % 5 < 2 THEN 'reference' WHEN sig_id // 40 % 5 < 4 THEN 'control' ELSE 'questioned' END AS role FROM sig),
+CASE = with_views("docpairs") + f""", rl AS (SELECT sig_id, CASE WHEN sig_id % 5 < 2 THEN 'reference' WHEN sig_id % 5 < 4 THEN 'control' ELSE 'questioned' END AS role FROM sig),
 cp AS (SELECT p.*, a.role AS ra, b.role AS rb FROM docpairs p JOIN rl a ON p.sig_a = a.sig_id JOIN rl b ON p.sig_b = b.sig_id), ck AS (SELECT *, {KIND} AS kind, (cosine + vgg + vit) / 3 AS mean_score FROM cp),
 ls AS (SELECT pdf, kind, sig_a, sig_b, 'cosine' AS scorer, cosine AS s FROM ck UNION ALL SELECT pdf, kind, sig_a, sig_b, 'vgg', vgg FROM ck UNION ALL SELECT pdf, kind, sig_a, sig_b, 'vit', vit FROM ck),
 bd AS (SELECT scorer, min(CASE WHEN kind LIKE 'ref-ref%' THEN s END) AS ceil_lo, avg(CASE WHEN kind LIKE 'ref-ref%' THEN s END) AS ceil_mean, max(CASE WHEN kind LIKE 'ref-ref%' THEN s END) AS ceil_hi,
@@ -23,7 +23,7 @@ min(CASE WHEN kind LIKE 'ref-control%' THEN s END) AS floor_lo, avg(CASE WHEN ki
 
 def case_pairs(spark, d):
     """Pairs of a document with scores, kind and mean; roles by position in the document."""
-    part = F.expr("sig_id div 40 % 5")
+    part = F.col("sig_id") % 5
     role = F.when(part < 2, "reference").when(part < 4, "control").otherwise("questioned")
     roles = sig(spark, d).select("sig_id", role.alias("role"))
     p = document_pairs(spark, d)

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import verdicts
 from inkwell.functions.vectors import cosine, dot, fused, mean_of, norm, normalised, weighted_mean
-from inkwell.operators import clusters, pairs
-from inkwell.operators.staging import materialised
+from inkwell.operators import clusters, duplicates, pairs
+from inkwell.operators.staging import materialised, ranked
 from inkwell.plans.base import query, sig, with_views
 
 DIMS = 64
@@ -80,18 +80,10 @@ def e2_stats(spark, d):
     return p.select(F.col("a").alias("ra"), F.col("b").alias("rb"), "n", r6(F.col("total") / F.col("n")).alias("mean"), r6(F.col("top")).alias("top"))
 
 
-def floor_pairs(spark, d, least=0.2):
-    """Pairs of at least ``least`` with both sides' writer, role and document."""
-    p = pairs.blocked_pairs(sig(spark, d), least)
-    side = sig(spark, d).select("sig_id", "writer", "role", "pdf")
-    for s in ("a", "b"):
-        p = p.join(side.select(F.col("sig_id").alias(f"sig_{s}"), F.col("writer").alias(f"w{s}"), F.col("role").alias(f"r{s}"), F.col("pdf").alias(f"p{s}")), f"sig_{s}")
-    return p
-
-
-@query("e3_cross_writer_pairs", with_views("pairs") + " SELECT wa, wb, count(*) AS n, round(max(cosine), 6) AS top FROM pairs WHERE wa <> wb AND cosine >= 0.2 GROUP BY wa, wb")
+@query("e3_cross_writer_pairs", with_views("pairs") + " SELECT wa, wb, count(*) AS n, round(max(cosine), 6) AS top FROM pairs WHERE wa <> wb GROUP BY wa, wb")
 def e3(spark, d):
-    return floor_pairs(spark, d).where("wa <> wb").groupBy("wa", "wb").agg(F.count("*").alias("n"), r6(F.max("cosine")).alias("top"))
+    p = pairs.blocked_statistics(sig(spark, d), "writer").where("a <> b")
+    return p.select(F.col("a").alias("wa"), F.col("b").alias("wb"), "n", r6(F.col("top")).alias("top"))
 
 
 MATCH_SQL = with_views("uni") + """, s AS (SELECT t.sig_id, t.pdf, r.writer AS signer, max(greatest(0, list_dot_product(t.u, r.u))) AS s
@@ -102,7 +94,7 @@ matched AS (SELECT sig_id, pdf, CASE WHEN s >= 0.3 THEN signer END AS signer, s
 
 def matched(spark, d, threshold=0.3):
     s = sig(spark, d)
-    return pairs.best_signers(s.where("role = 'questioned'").select("sig_id", "pdf", "v"), s.where("role = 'reference'").select("writer", "v"), threshold, DIMS)
+    return pairs.best_signers(s.where("role = 'questioned'").select("sig_id", "pdf", "v"), s.where("role = 'reference'").select("writer", "v"), threshold)
 
 
 @query("e4_j12_best_signer", MATCH_SQL + " SELECT sig_id, pdf, signer, round(similarity, 6) AS similarity FROM matched")
@@ -110,12 +102,12 @@ def j12(spark, d):
     return matched(spark, d).select("sig_id", "pdf", "signer", r6(F.col("similarity")).alias("similarity"))
 
 
-@query("e15_mutual_matches", with_views("uni") + """, m AS (SELECT a.pdf AS grp, a.sig_id AS a, b.sig_id AS b, list_dot_product(a.u, b.u) AS s FROM uni a JOIN uni b ON a.pdf = b.pdf AND a.sig_id % 2 = 0 AND b.pdf = a.pdf AND a.sig_id <> b.sig_id AND (b.sig_id // 40) % 2 = 1 AND (a.sig_id // 40) % 2 = 0),
+@query("e15_mutual_matches", with_views("uni") + """, m AS (SELECT a.pdf AS grp, a.sig_id AS a, b.sig_id AS b, list_dot_product(a.u, b.u) AS s FROM uni a JOIN uni b ON a.pdf = b.pdf AND a.sig_id % 4 = 0 AND b.sig_id % 2 = 1),
 r AS (SELECT *, row_number() OVER (PARTITION BY grp, a ORDER BY s DESC, b) AS ra, row_number() OVER (PARTITION BY grp, b ORDER BY s DESC, a) AS rb FROM m)
 SELECT grp AS "group", a, b, round(s, 6) AS s FROM r WHERE ra = 1 AND rb = 1 AND s >= 0.05""")
 def e15(spark, d):
     u = pairs.unit_vectors(sig(spark, d))
-    a, b = u.where("sig_id % 2 = 0 and (sig_id div 40) % 2 = 0").alias("a"), u.where("(sig_id div 40) % 2 = 1").alias("b")
+    a, b = u.where("sig_id % 4 = 0").alias("a"), u.where("sig_id % 2 = 1").alias("b")
     m = a.join(b, F.col("a.pdf") == F.col("b.pdf")).select(F.col("a.pdf").alias("group"), F.col("a.sig_id").alias("a"), F.col("b.sig_id").alias("b"), dot(F.col("a.v"), F.col("b.v"), DIMS).alias("s"))
     return pairs.mutual_matches(m, 0.05).select("group", "a", "b", r6(F.col("s")).alias("s"))
 
@@ -162,7 +154,7 @@ def f16(spark, d):
 
 @query("g4_h4_top_pairs", with_views("pairs") + " SELECT sig_a, sig_b, round(cosine, 6) AS cosine FROM pairs ORDER BY pairs.cosine DESC, sig_a, sig_b LIMIT 50")
 def g4(spark, d):
-    return pairs.blocked_pairs(sig(spark, d), 0.3).orderBy(F.desc("cosine"), "sig_a", "sig_b").limit(50).select("sig_a", "sig_b", r6(F.col("cosine")).alias("cosine"))
+    return pairs.blocked_top(sig(spark, d), 50).select("sig_a", "sig_b", r6(F.col("cosine")).alias("cosine"))
 
 
 LEADERS = """, g AS (SELECT pdf, list_sort(list(struct_pack(id := sig_id, u := u))) AS xs FROM uni GROUP BY pdf),
@@ -212,40 +204,26 @@ def j5(spark, d):
 
 @query("j6_j8_auto_clusters")
 def j6(spark, d):
-    """The best of three methods by silhouette over the corpus; the candidates' scores decide on the driver."""
+    """The best of three methods by silhouette over the corpus."""
+    return clusters.adaptive_clusters(sig(spark, d))
+
+
+@query("j8_j9_signer_profiles")
+def j8(spark, d):
+    """Signers of the whole corpus, numbered by their first mark, with their profiles."""
     s = sig(spark, d)
-    n = s.count()
-    by_leader = materialised(leader_labels(spark, s, 0.3))
-    edges = materialised(pairs.blocked_pairs(s, 0.3).select(F.col("sig_a").alias("a"), F.col("sig_b").alias("b")))
-    by_density = materialised(clusters.density_clusters(s, edges, 3))
-    scores = {}
-    for name, labels in (("threshold", by_leader), ("dbscan", by_density)):
-        live = labels.where("label >= 0")
-        k = live.select("label").distinct().count()
-        score = clusters.silhouette(s.join(live, "sig_id")).agg(F.avg("s")).first()[0] if 2 <= k < n else None
-        scores[name] = (score if score is not None else float("-inf"), k, n)
-    chosen = clusters.best_method(scores) or "threshold"
-    return {"threshold": by_leader, "dbscan": by_density}[chosen].select("sig_id", "label", F.lit(chosen).alias("method"))
-
-
-def leader_labels(spark, s, threshold):
-    """Corpus-wide leaders by blocks, members assigned in parallel to the last one in reach."""
-    found = clusters.corpus_leaders(s, threshold)
-    lead = spark.createDataFrame([(i, no, v.tolist()) for no, (i, v) in enumerate(found)], "leader_id long, leader_no int, lv array<double>")
-    u = pairs.unit_vectors(s).select("sig_id", "v")
-    near = u.join(lead, (F.col("leader_id") == F.col("sig_id")) | ((F.col("leader_id") < F.col("sig_id")) & (dot(F.col("v"), F.col("lv"), DIMS) >= threshold)))
-    own = F.max(F.when(F.col("leader_id") == F.col("sig_id"), F.col("leader_no")))
-    return near.groupBy("sig_id").agg(F.coalesce(own, F.max("leader_no")).cast("bigint").alias("label"))
-
-
-@query("j11_two_level_clusters", with_views("uni") + """, k AS (SELECT sig_id, writer AS level1, pdf % 4 AS level2 FROM uni), d AS (SELECT *, dense_rank() OVER (ORDER BY level1, level2) AS no, count(*) OVER (PARTITION BY level1, level2) AS n FROM k)
-SELECT sig_id, level1, 'Signer_' || printf('%03d', no) AS signer, CASE WHEN n = 1 THEN 1.0 ELSE 0.8 END AS confidence FROM d""")
+    p = clusters.signer_profiles(s, materialised(clusters.adaptive_clusters(s)))
+    p = ranked(p, ["representative"], "number")
+    return p.select(clusters.numbered(F.col("number")).alias("signer"), "n_signatures", "n_documents", "documents", "representative", r6(F.col("confidence")).alias("confidence"))
+
+
+@query("j11_two_level_clusters")
 def j11(spark, d):
-    """Groups within groups, numbered globally: numbers come from the small table of groups."""
-    k = sig(spark, d).select("sig_id", F.col("writer").alias("level1"), (F.col("pdf") % 4).alias("level2"))
-    groups = k.groupBy("level1", "level2").agg(F.count("*").alias("n"))
-    groups = groups.withColumn("no", F.dense_rank().over(W.orderBy("level1", "level2")))
-    return k.join(groups, ["level1", "level2"]).select("sig_id", "level1", clusters.numbered(F.col("no")).alias("signer"), F.when(F.col("n") == 1, 1.0).otherwise(0.8).alias("confidence"))
+    """Clusters within clusters, numbered over all by their first mark."""
+    k = materialised(clusters.two_level_clusters(sig(spark, d)))
+    firsts = k.groupBy("level1", "label").agg(F.min("sig_id").alias("first"))
+    numbers = ranked(firsts, ["first"], "number").select("level1", "label", "number")
+    return k.join(numbers, ["level1", "label"]).select("sig_id", "level1", clusters.numbered(F.col("number")).alias("signer"), "confidence")
 
 
 @query("f18_signer_profiles", with_views("sig") + """ SELECT writer, count(*) AS n_signatures, count(DISTINCT pdf) AS n_documents, substr(array_to_string(list_sort(list(DISTINCT pdf)), ','), 1, 500) AS documents, min(sig_id) AS representative FROM sig GROUP BY writer""")
@@ -254,13 +232,10 @@ def f18(spark, d):
     return sig(spark, d).groupBy("writer").agg(F.count("*").alias("n_signatures"), F.countDistinct("pdf").alias("n_documents"), F.substring(docs, 1, 500).alias("documents"), F.min("sig_id").alias("representative"))
 
 
-@query("f19_cluster_confidence", with_views("uni") + """, p AS (SELECT a.writer, a.pdf % 20 AS part, avg(list_dot_product(a.u, b.u)) AS m FROM uni a JOIN uni b ON a.writer = b.writer AND a.pdf % 20 = b.pdf % 20 AND a.sig_id < b.sig_id GROUP BY a.writer, a.pdf % 20),
-k AS (SELECT DISTINCT writer, pdf % 20 AS part FROM uni) SELECT k.writer, k.part, round(coalesce(p.m, 0.5), 6) AS confidence FROM k LEFT JOIN p ON k.writer = p.writer AND k.part = p.part""")
+@query("f19_cluster_confidence", with_views("pairs") + """, p AS (SELECT wa AS writer, avg(cosine) AS m FROM pairs WHERE wa = wb GROUP BY wa)
+SELECT k.writer, round(coalesce(p.m, 0.5), 6) AS confidence FROM (SELECT DISTINCT writer FROM uni) k LEFT JOIN p ON k.writer = p.writer""")
 def f19(spark, d):
-    s = sig(spark, d).withColumn("part", F.col("pdf") % 20)
-    keyed = s.withColumn("k", F.concat_ws("/", "writer", "part"))
-    p = pairs.pairs_within(keyed, "k", dims=DIMS).select(F.col("a.writer").alias("writer"), F.col("a.part").alias("part"), "cosine")
-    return clusters.confidence(p, s, ["writer", "part"]).select("writer", "part", r6(F.col("confidence")).alias("confidence"))
+    return clusters.confidence(sig(spark, d), ["writer"]).select("writer", r6(F.col("confidence")).alias("confidence"))
 
 
 @query("f20_clustering_summary", with_views("sig") + """, w AS (SELECT writer, count(*) AS n, count(DISTINCT pdf) AS docs FROM sig GROUP BY writer)
@@ -270,17 +245,36 @@ def f20(spark, d):
     return w.agg(F.count("*").alias("n_signers"), F.sum("n").alias("n_signatures"), F.round(F.avg("n"), 4).alias("per_signer"), F.count_if(F.col("n") == 1).alias("singletons"), F.count_if(F.col("docs") > 1).alias("multi_document"))
 
 
+@query("j14_duplicate_levels", with_views("sig") + """, q AS (SELECT sig_id, v, list_transform(v, lambda x: floor((x - list_min(v)) / (list_max(v) - list_min(v)) * 15 + 0.5)) AS px, list_transform(v, lambda x: x > 0) AS bits FROM sig),
+f AS (SELECT *, min(sig_id) OVER (PARTITION BY v) AS raw_first, min(sig_id) OVER (PARTITION BY px) AS px_first FROM q), r AS (SELECT * FROM f WHERE sig_id = px_first),
+c AS (SELECT sig_id, bits, list_transform(v, lambda x: x - list_avg(v)) AS z FROM r),
+n AS (SELECT a.sig_id AS sig_a, b.sig_id AS sig_b FROM c a JOIN c b ON a.sig_id < b.sig_id AND len(list_filter(list_zip(a.bits, b.bits), lambda p: p[1] <> p[2])) <= 2
+  AND list_dot_product(a.z, b.z) / sqrt(list_dot_product(a.z, a.z) * list_dot_product(b.z, b.z)) >= 0.99)
+SELECT 'L0' AS level, raw_first AS sig_a, sig_id AS sig_b FROM f WHERE sig_id <> raw_first UNION ALL
+SELECT 'L1', px_first, sig_id FROM f WHERE sig_id = raw_first AND sig_id <> px_first UNION ALL SELECT 'L2', sig_a, sig_b FROM n""")
+def j14(spark, d):
+    """Duplicates by level: equal streams, equal pixels (16 greys), and sign hashes within two bits with a correlation of 0.99.
+
+    A copy is paired with the first of its class; only firsts go on to the next level.
+    Hashes within two bits of 64 agree in one of three bands at least.
+    """
+    return duplicates.levels(sig(spark, d)).select("level", "sig_a", "sig_b")
+
+
 @query("j14_perceptual_duplicates", with_views("sig") + """, k AS (SELECT sig_id, array_to_string(list_transform(list_slice(v, 1, 8), lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS bits FROM sig)
 SELECT bits, count(*) AS n, min(sig_id) AS first_id FROM k GROUP BY bits HAVING count(*) > 1""")
-def j14(spark, d):
-    """Marks whose leading sign bits agree: one band of a sign hash."""
-    bits = F.array_join(F.transform(F.slice("v", 1, 8), lambda x: F.when(x > 0, "1").otherwise("0")), "")
+def j14_bands(spark, d):
+    """Marks whose leading sign bits agree: one band of the sign hash."""
+    bits = F.substring(duplicates.sign_hash(F.col("v")), 1, 8)
     return sig(spark, d).groupBy(bits.alias("bits")).agg(F.count("*").alias("n"), F.min("sig_id").alias("first_id")).where("n > 1")
 
 
 @query("k1_pair_types", with_views("pairs") + """ SELECT CASE WHEN ra = 'reference' AND rb = 'reference' THEN 'ref-ref (same writer)' WHEN (ra = 'reference' AND rb = 'control') OR (rb = 'reference' AND ra = 'control') THEN 'ref-control (diff writer)'
 WHEN (ra = 'reference' AND rb = 'questioned') OR (rb = 'reference' AND ra = 'questioned') THEN 'ref-questioned (THE QUESTION)' WHEN ra = 'questioned' AND rb = 'questioned' THEN 'q-q'
-WHEN ra <> rb THEN 'q-control (diff writer)' ELSE 'control-control (diff writer)' END AS kind, count(*) AS n, count_if(wa <> wb) AS cross_group FROM pairs WHERE cosine >= 0.2 GROUP BY 1""")
+WHEN ra <> rb THEN 'q-control (diff writer)' ELSE 'control-control (diff writer)' END AS kind, count(*) AS n, count_if(wa <> wb) AS cross_group FROM pairs GROUP BY 1""")
 def k1(spark, d):
-    p = floor_pairs(spark, d)
-    return p.groupBy(verdicts.pair_type(F.col("ra"), F.col("rb")).alias("kind")).agg(F.count("*").alias("n"), F.count_if(F.col("wa") != F.col("wb")).alias("cross_group"))
+    both = F.concat_ws("/", "role", F.col("writer").cast("string"))
+    p = pairs.blocked_statistics(sig(spark, d).withColumn("both", both), "both")
+    part = lambda side, i: F.split(side, "/")[i]
+    kind = verdicts.pair_type(part("a", 0), part("b", 0))
+    return p.groupBy(kind.alias("kind")).agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(part("a", 1) != part("b", 1), F.col("n"))), F.lit(0)).alias("cross_group"))
