@@ -185,10 +185,12 @@ def e20(spark, d):
     return docs.where("doc_id % 2 = 0").select(name.alias("name")).join(masks, "name", "left_anti")
 
 
-@query("e21_i6_unseen_archives", "SELECT DISTINCT source FROM documents WHERE doc_id % 5 = 3 EXCEPT SELECT source FROM documents WHERE doc_id < 20")
+@query("e21_i6_unseen_archives", """WITH a AS (SELECT doc_id, source || '/' || lang || '/part' || doc_id % 13 || '.zip' AS archive FROM documents)
+SELECT DISTINCT archive FROM a WHERE doc_id % 5 = 3 AND archive IS NOT NULL EXCEPT SELECT archive FROM a WHERE doc_id % 4 = 0""")
 def e21(spark, d):
-    docs = read(spark, d, "documents")
-    return docs.where("doc_id % 5 = 3").select("source").distinct().join(docs.where("doc_id < 20").select("source"), "source", "left_anti")
+    part = F.format_string("part%d.zip", F.col("doc_id") % 13)
+    a = read(spark, d, "documents").select("doc_id", F.concat("source", F.lit("/"), "lang", F.lit("/"), part).alias("archive"))
+    return a.where("doc_id % 5 = 3 and archive is not null").select("archive").distinct().join(a.where("doc_id % 4 = 0").select("archive"), "archive", "left_anti")
 
 
 @query("i4_names_of_pairs", "SELECT DISTINCT n FROM (SELECT user_id::VARCHAR AS n FROM events UNION ALL SELECT event_type FROM events) q")

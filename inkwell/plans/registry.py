@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkwell.plans import base, corpus, detection, rasters, reports, streams, vectors  # noqa: F401  registers the queries
+from inkwell.plans import base, corpus, detection, rasters, reports, streams, vectors, workbooks  # noqa: F401  registers the queries
 from inkwell.plans.base import ORACLES, QUERIES, Query
 
 

@@ -15,7 +15,8 @@ ANNOTATIONS = "id int, image_id int, category_id int, bbox string"
 
 def relative(root: str):
     """Path below a root, whatever the file system's prefix."""
-    return F.regexp_replace(F.col("path"), "^.*?" + root.rstrip("/").split(":")[-1].lstrip("/") + "/", "")
+    below, path = root.rstrip("/").split(":")[-1].lstrip("/") + "/", F.col("path")
+    return F.substring(path, F.locate(below, path) + len(below), F.length(path))
 
 
 def discover(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkwell.functions import geometry, rasters, strings, vectors, verdicts
-from inkwell.operators import boxes, calibration, clusters, crossref, pairs
+from inkwell.operators import boxes, calibration, clusters, crossref, duplicates, pairs, staging
 from inkwell.sources import archives, files, sinks
 
 BOX = "page long, id long, score double, b struct<x0:double,y0:double,x1:double,y1:double>"
@@ -99,14 +99,14 @@ def test_leader_clusters_against_a_loop(spark, assign):
     assert got == want
 
 
-def test_corpus_leaders_in_blocks(spark):
+def test_corpus_leaders_in_rounds(spark):
     rows, df = marks(spark, 90)
     want = []
     for i, _, v in rows:
         if not any(unit(v) @ u >= 0.6 for _, u in want):
             want.append((i, unit(v)))
-    got = clusters.corpus_leaders(df, 0.6, block_rows=20)
-    assert [i for i, _ in got] == [i for i, _ in want]
+    got = clusters.leading(df, clusters.neighbours(df, [], 0.6), [])
+    assert sorted(r["sig_id"] for r in got.collect()) == [i for i, _ in want]
 
 
 def test_pivot_signers_are_all_or_an_error(spark):
@@ -123,11 +123,205 @@ def test_blocked_pairs(spark):
     assert {(r["sig_a"], r["sig_b"]) for r in got} == want and len(got) == len(want)
 
 
-def test_best_signer_without_broadcast(spark):
+def test_best_signer_in_blocks(spark):
     rows, df = marks(spark, 40)
-    refs = df.where("sig_id < 10").select((F.col("sig_id") % 3).alias("writer"), "v")
-    both = [sorted(map(tuple, pairs.best_signers(df.select("sig_id", "v"), refs, 0.5, max_broadcast_rows=n).collect())) for n in (100, 5)]
-    assert [(a, b, round(c, 9)) for a, b, c in both[0]] == [(a, b, round(c, 9)) for a, b, c in both[1]]
+    refs = [(i % 3, v) for i, _, v in rows if i < 10]
+    asked = spark.createDataFrame(refs, "writer long, v array<double>")
+    want = []
+    for i, _, v in rows:
+        s, w = max(((max(float(unit(v) @ unit(u)), 0.0), -w) for w, u in refs))
+        want.append((i, -w if s >= 0.5 else None, round(s, 9)))
+    for block in (4000, 7):
+        got = pairs.best_signers(df.select("sig_id", "v"), asked, 0.5, block_rows=block).collect()
+        assert sorted((a, b, round(c, 9)) for a, b, c in got) == want
+
+
+def test_top_pairs_without_a_floor(spark):
+    rows, df = marks(spark, 30)
+    every = sorted(((-(unit(a[2]) @ unit(b[2])), a[0], b[0]) for a in rows for b in rows if a[0] < b[0]))
+    for k, block in ((50, 7), (10_000, 1000)):
+        got = pairs.blocked_top(df, k, block_rows=block).collect()
+        assert [(r["sig_a"], r["sig_b"]) for r in got] == [(a, b) for _, a, b in every[:k]]
+
+
+def test_ranks_and_running_totals(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, int(rng.integers(3)), int(rng.integers(10)), int(rng.integers(5))) for i in range(200)]
+    df = spark.createDataFrame(rows, "i long, g long, x long, n long").repartition(3)
+    placed = {r["i"]: r["place"] for r in staging.ranked(df, ["x", "i"], "place").collect()}
+    assert placed == {i: k + 1 for k, (_, i) in enumerate(sorted((x, i) for i, _, x, _ in rows))}
+    got = {r["i"]: r["run_n"] for r in boxes.running_totals(df, ["g"], ["x", "i"], ["n"]).collect()}
+    assert got == {i: sum(n for j, h, y, n in rows if h == g and (y, j) <= (x, i)) for i, g, x, _ in rows}
+
+
+def silhouette_of(x, labels):
+    d = 1 - x @ x.T
+    total = 0.0
+    for i, own in enumerate(labels):
+        same = [j for j, c in enumerate(labels) if c == own and j != i]
+        if same:
+            a, b = d[i, same].mean(), min(d[i, [j for j, c in enumerate(labels) if c == o]].mean() for o in set(labels) - {own})
+            total += (b - a) / max(a, b)
+    return total / len(x)
+
+
+def dbscan_of(x, floor, need):
+    n = len(x)
+    near = [[j for j in range(n) if x[i] @ x[j] >= floor - 1e-12] for i in range(n)]  # itself included
+    core, label = [len(v) >= need for v in near], [-1] * n
+    for i in range(n):
+        if core[i] and label[i] < 0:
+            todo, label[i] = [i], i
+            while todo:
+                for j in near[todo.pop()]:
+                    if core[j] and label[j] < 0:
+                        label[j] = i
+                        todo.append(j)
+    return [label[i] if core[i] else min((label[j] for j in near[i] if core[j]), default=-1) for i in range(n)]
+
+
+def ward_of(x, k):
+    d = {(i, j): 1 - x[i] @ x[j] for i in range(len(x)) for j in range(i)}
+    members = {i: [i] for i in range(len(x))}
+    get = lambda a, b: d[max(a, b), min(a, b)]
+    while len(members) > k:
+        _, i, j = min((get(a, b), min(a, b), max(a, b)) for a in members for b in members if a < b)
+        for m in members:
+            if m not in (i, j):
+                ni, nj, nm = len(members[i]), len(members[j]), len(members[m])
+                d[max(i, m), min(i, m)] = (((nm + ni) * get(i, m) ** 2 + (nm + nj) * get(j, m) ** 2 - nm * get(i, j) ** 2) / (ni + nj + nm)) ** 0.5
+        members[i] += members.pop(j)
+    return [next(c for c, m in members.items() if i in m) for i in range(len(x))]
+
+
+def adaptive_of(x):
+    """(method, labels) of the three methods tried one after the other."""
+    n, tried = len(x), []
+    best = (-1.0, None)
+    for k in range(2, min(n - 1, 8) + 1):
+        labels = ward_of(x, k)
+        if silhouette_of(x, labels) > best[0] + 1e-12:
+            best = (silhouette_of(x, labels), labels)
+    tried.append(("hierarchical", best[1]))
+    labels, leads = [-1] * n, []
+    for i in range(n):
+        if labels[i] < 0:
+            leads.append(i)
+            labels[i] = i
+            for j in range(i + 1, n):
+                labels[j] = i if x[i] @ x[j] >= clusters.LEADER else labels[j]
+    tried.append(("threshold", labels))
+    best = (-1.0, list(range(n)))
+    for eps in clusters.EPS:
+        for need in clusters.SAMPLES:
+            labels = dbscan_of(x, 1 - eps, need)
+            live = [i for i in range(n) if labels[i] >= 0]
+            if len({labels[i] for i in live}) > 1:
+                s = silhouette_of(x[live], [labels[i] for i in live])
+                best = (s, labels) if s > best[0] + 1e-12 else best
+    tried.append(("dbscan", best[1]))
+    valid = [(m, c) for m, c in tried if 2 <= len(set(c)) < n]
+    top = max(silhouette_of(x, c) for _, c in valid)
+    return next((m, c) for m, c in valid if silhouette_of(x, c) > top - 1e-12)
+
+
+def parted(labels):
+    """The groups of equal labels, by position."""
+    return {frozenset(i for i, c in labels.items() if c == own) for own in labels.values()}
+
+
+@pytest.mark.parametrize(("seed", "scale"), [(1, 0.35), (2, 0.9)])
+def test_adaptive_clusters_against_loops(spark, seed, scale):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(4, 6)) * 2
+    rows = [(g * 100 + i, g, (centres[(i + g) % 4] + rng.normal(scale=scale, size=6)).tolist()) for g in range(2) for i in range(18)]
+    rows += [(300, 2, [1.0] * 6), (301, 2, [1.0] * 5 + [1.1]), (302, 3, [1.0] * 6)]  # two alike, and one alone
+    df = spark.createDataFrame(rows, "sig_id long, pdf long, v array<double>")
+    got = clusters.adaptive_clusters(df, ["pdf"]).collect()
+    assert len(got) == len(rows)
+    for g in range(2):
+        method, labels = adaptive_of(np.array([unit(v) for _, p, v in rows if p == g]))
+        assert {r["method"] for r in got if r["pdf"] == g} == {method}
+        assert parted({r["sig_id"] - g * 100: r["label"] for r in got if r["pdf"] == g}) == parted(dict(enumerate(labels)))
+    assert len({r["label"] for r in got if r["pdf"] == 2}) == 1
+    two = clusters.two_level_clusters(df.where("pdf < 2")).collect()
+    first = parted({r["sig_id"]: r["level1"] for r in two})
+    assert first == parted({r["sig_id"]: r["label"] for r in clusters.adaptive_clusters(df.where("pdf < 2")).collect()})
+    for group in first:
+        inside = {r["sig_id"]: r["label"] for r in two if r["sig_id"] in group}
+        if len(group) > 2:
+            ids = sorted(group)
+            labels = adaptive_of(np.array([unit(v) for i, _, v in rows if i in group]))[1]
+            assert parted(inside) == parted(dict(zip(ids, labels)))
+        assert {r["confidence"] for r in two if r["sig_id"] in group} == {1.0 if len(group) == 1 else 0.8}
+
+
+def test_ward_cuts_and_profiles(spark):
+    rng = np.random.default_rng(3)
+    x = np.array([unit(v) for v in rng.normal(size=(25, 5))])
+    for k, labels in clusters.ward_cuts(x, 8).items():
+        assert len(set(labels)) == k and parted(dict(enumerate(labels))) == parted(dict(enumerate(ward_of(x, k))))
+    df = spark.createDataFrame([(i, i // 10, v.tolist()) for i, v in enumerate(x)], "sig_id long, pdf long, v array<double>")
+    own = {i: 0 if i == 7 else 1 + i % 3 for i in range(25)}
+    got = {r["label"]: r for r in clusters.signer_profiles(df, spark.createDataFrame(list(own.items()), "sig_id long, label long")).collect()}
+    for label, r in got.items():
+        ids = [i for i in own if own[i] == label]
+        mean = np.mean([x[a] @ x[b] for a in ids for b in ids if a < b]) if len(ids) > 1 else 0.5
+        assert (r["n_signatures"], r["representative"]) == (len(ids), min(ids)) and abs(r["confidence"] - mean) < 1e-9
+        assert r["documents"] == ",".join(map(str, sorted({i // 10 for i in ids})))
+
+
+def test_duplicate_levels(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(6, 64))
+    rows = [(i, v.tolist()) for i, v in enumerate(base)]
+    rows += [(10, rows[0][1]), (11, rows[0][1])]  # equal streams
+    rows += [(12, (base[1] * 3 + 2).tolist())]  # equal pixels
+    low = base[2].copy()
+    low[np.argmin(np.abs(low))] *= -1  # one sign bit
+    rows += [(13, low.tolist()), (14, (base[3] + rng.normal(scale=1.0, size=64)).tolist())]
+    got = duplicates.levels(spark.createDataFrame(rows, "sig_id long, v array<double>")).collect()
+    assert sorted(map(tuple, got)) == [("L0", 0, 10), ("L0", 0, 11), ("L1", 1, 12), ("L2", 2, 13)] or sorted(map(tuple, got)) == [("L0", 0, 10), ("L0", 0, 11), ("L1", 1, 12), ("L1", 2, 13)]
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_benchmark_table_against_loops(spark, seed):
+    rng = np.random.default_rng(seed)
+    scaled = lambda rows: [(p, i, s, tuple(2.5 * c for c in b), i % 2) for p, i, s, b in rows]
+    truths = scaled((p, i + 1000, s, b) for p, i, s, b in random_boxes(rng, 40))
+    guesses = scaled((p, i, s, tuple(c + float(rng.integers(-3, 4)) for c in b)) for p, i, s, b in [*random_boxes(rng, 30), *((p, i - 900, float(rng.integers(0, 8)) / 8, tuple(c / 2.5 for c in b)) for p, i, _, b, _ in truths)])
+    shape = BOX + ", label long"
+    table = boxes.benchmark_table(spark.createDataFrame(guesses, shape), spark.createDataFrame(truths, shape), most=8).collect()
+    got = {(r["label"], r["size"], r["overlap"]): (r["truths"], r["ap"], r["ar"]) for r in table}
+    seen = 0
+    for label in (0, 1):
+        for size, low, high in boxes.SIZES:
+            wanted = [t for t in truths if t[4] == label and low <= area(t[3]) <= high]
+            for least in boxes.OVERLAPS:
+                judged = []
+                for page in range(4):
+                    taken = set()
+                    for _, i, s, b, _ in sorted((g for g in guesses if g[0] == page and g[4] == label), key=lambda g: (-g[2], g[1]))[:8]:
+                        near = [(overlap(b, t[3]) / (area(b) + area(t[3]) - overlap(b, t[3])), t) for t in truths if t[0] == page and t[4] == label and t[1] not in taken]
+                        near = [(-v, t[1], low <= area(t[3]) <= high) for v, t in near if v >= least - 1e-10]
+                        inside, other = sorted(n for n in near if n[2]), sorted(n for n in near if not n[2])
+                        pick = (inside or other or [None])[0]
+                        if pick:
+                            taken.add(pick[1])
+                        if inside or (not other and low <= area(b) <= high):
+                            judged.append((-s, page, i, bool(inside)))
+                if not wanted:
+                    assert (label, size, least) not in got
+                    continue
+                hits, curve = 0, []
+                for k, (*_, hit) in enumerate(sorted(judged)):
+                    hits += hit
+                    curve.append((hits / len(wanted), hits / (k + 1)))
+                ap = sum(max((p for r, p in curve if r + 1e-11 >= k / 100), default=0.0) for k in range(101)) / 101
+                n, mine, recall = got[label, size, least]
+                assert n == len(wanted) and abs(mine - ap) < 1e-9 and abs(recall - max((r for r, _ in curve), default=0.0)) < 1e-9
+                seen += 0 < ap < 1
+    assert seen > 20
 
 
 def test_hierarchical_clusters_find_blobs(spark):
@@ -239,7 +433,7 @@ def test_rasters():
     assert rasters.staffs(mask) and rasters.white_fraction(grey) == 1 - mask.mean()
     assert rasters.window_extreme(mask, 1).sum() > mask.sum() > rasters.window_extreme(mask, 1, False).sum()
     assert rasters.binary_canvas(grey).shape == (128, 256) and set(np.unique(rasters.binary_canvas(grey))) == {0.0, 255.0}
-    assert rasters.erased(grey, (0, 0, 1, 1)).min() == 255
+    assert not rasters.erased(mask, grey, [("box", 0, 0, 1, 1)]).any() and (rasters.erased(mask, grey, [("grey", 0, 0, 1, 1)]) == mask).all()
     diagonal = np.eye(3, dtype=bool)
     assert rasters.labelled(diagonal).max() == 1
     assert (rasters.perturbed(grey, 3) == rasters.perturbed(grey, 3)).all()
@@ -257,3 +451,62 @@ def test_blocked_statistics(spark):
     for block in (9, 1000):
         got = {(r["a"], r["b"]): (r["n"], r["total"], r["top"]) for r in pairs.blocked_statistics(df, "pdf", block_rows=block).collect()}
         assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+
+
+def grown(mask, reach):
+    return np.array([[mask[y, max(0, x - reach) : x + reach + 1].any() for x in range(mask.shape[1])] for y in range(mask.shape[0])])
+
+
+def run_through(mask, y, x, axis):
+    """Length of the run of ink through a pixel along an axis, counted step by step."""
+    n = 0
+    for step in (1, -1):
+        at = [y, x]
+        while 0 <= at[0] < mask.shape[0] and 0 <= at[1] < mask.shape[1] and mask[at[0], at[1]]:
+            n, at[axis] = n + 1, at[axis] + step
+    return n - 1 if n else 0
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_stroke_kernels_against_loops(seed):
+    rng = np.random.default_rng(seed)
+    mask = rng.random((60, 90)) < 0.25
+    mask[10:13, 5:80] = True  # a rule that a leaning stroke crosses
+    mask[30:38, 2:60] = True  # too thick for a rule
+    for y in range(60):
+        mask[y, 40 + y // 8] = True
+    h, w = mask.shape
+    level = np.array([[run_through(mask, y, x, 1) >= 31 for x in range(w)] for y in range(h)])
+    rows = [y for y in range(h) if level[y].any()]
+    bands = [[y for y in rows if all(k in rows for k in range(min(y, z), max(y, z) + 1))] for z in rows]
+    for band in bands:
+        if len(band) > 4:
+            level[band] = False
+    assert (rasters.without_rules(mask) == (mask & ~level)).all() and level.any()
+    wide = grown(mask, 3)
+    tall = grown(np.array([[run_through(wide, y, x, 0) >= 12 for x in range(w)] for y in range(h)]), 3) & mask
+    assert (rasters.tall_strokes(mask) == tall).all() and mask[20, 42] and tall[20, 42]
+    kept = rasters.erased(mask, np.where(mask, 0, 255), [("vkeep", 0.0, 0.5, 1.0, 1.0)])
+    assert (kept[:30] == mask[:30]).all() and (kept[30:] == tall[30:]).all()
+    small, parts, n = mask[:25, :30] & (rng.random((25, 30)) < 0.5), np.zeros((25, 30), int), 0
+    for y, x in zip(*np.nonzero(small)):
+        if not parts[y, x]:
+            n, todo = n + 1, [(y, x)]
+            while todo:
+                a, b = todo.pop()
+                if 0 <= a < 25 and 0 <= b < 30 and small[a, b] and not parts[a, b]:
+                    parts[a, b] = n
+                    todo += [(a + i, b + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+    assert (rasters.labelled(small) == parts).all()
+
+
+def test_staff_centres_and_cleaning():
+    mask = np.zeros((100, 200), bool)
+    mask[5:95, 20:24] = mask[5:95, 50:56] = mask[0:10, 150:152] = True
+    found = rasters.staffs(mask)
+    assert len(found) == 2 and rasters.staff_gaps(found, 100) == ([0.31], 1)
+    mask[70:73, 10:190] = True  # a rule across both
+    mask[90:92, 120:122] = True  # a speck
+    left = rasters.cleaned(mask)
+    assert left[5:70, 20:24].all() and left[73:95, 50:56].all() and not left[70:73, 60:].any() and not left[90:92, 120:122].any()
+    assert not left[:, 150:152].any()  # far smaller than the largest part
