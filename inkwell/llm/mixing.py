@@ -139,29 +139,27 @@ POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.5}
 
 
 def drawn(docs: DataFrame, powers: dict[str, float] | None, targets: dict[str, dict[str, float]] | None, seed: int, text_col: str, rate: float = 1.0, topic_col: str | None = None, tokens_col: str | None = None, **fit) -> DataFrame:
-    """``docs`` with ``_mix``: a struct of cell, n_tokens, weight, probability (of one copy at least), sampled and copies."""
-    rows = docs.withColumn("_mix", cell_of(text_col, topic_col, tokens_col))
-    cells = rows.select("_mix.*").groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens"))
+    """(row, doc_id, mixed): ``row`` has all columns of ``docs``, ``mixed`` the cell, n_tokens, weight, probability (of one copy at least), sampled and copies."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", cell_of(text_col, topic_col, tokens_col).alias("mixed"))
+    cells = rows.select("mixed.*").groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens"))
     weights, bounded = cell_weights(cells, powers or POWERS, targets, **fit)
-    named = F.to_json(F.struct(*(F.col(f"_mix.{m}") for m in MARGINS)))
-    weights = weights.select(F.to_json(F.struct(*MARGINS)).alias("_cell"), F.col("weight").alias("_weight"))
-    rows = rows.withColumn("_cell", named)
-    joined = rows.join(F.broadcast(weights), "_cell") if bounded else join_salted(rows, written(weights, "weights"), "_cell", "doc_id", "inner")
+    weights = weights.select(F.to_json(F.struct(*MARGINS)).alias("cell"), "weight")
+    rows = rows.withColumn("cell", F.to_json(F.struct(*(F.col(f"mixed.{m}") for m in MARGINS))))
+    joined = rows.join(F.broadcast(weights), "cell") if bounded else join_salted(rows, written(weights, "weights"), "cell", "doc_id", "inner")
     draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) / F.lit(float(2**53))
-    wanted = F.col("_weight") * F.lit(float(rate))
+    wanted = F.col("weight") * F.lit(float(rate))
     copies = (F.floor(wanted) + (draw < wanted - F.floor(wanted)).cast("long")).cast("long")
-    mixed = F.struct("_mix.*", F.col("_weight").alias("weight"), F.least(wanted, F.lit(1.0)).alias("probability"), (copies > 0).alias("sampled"), copies.alias("copies"))
-    return joined.withColumn("_mix", mixed).drop("_cell", "_weight")
+    mixed = F.struct("mixed.*", F.col("weight").alias("weight"), F.least(wanted, F.lit(1.0)).alias("probability"), (copies > 0).alias("sampled"), copies.alias("copies"))
+    return joined.select("row", "doc_id", mixed.alias("mixed"))
 
 
 def mix(docs: DataFrame, powers: dict[str, float] | None = None, targets: dict[str, dict[str, float]] | None = None, seed: int = 17, text_col: str = "text", **fit) -> DataFrame:
     """One row per document: doc_id, source, lang, topic, n_tokens, weight, probability, sampled, copies."""
-    docs = docs.select("doc_id", "source", "lang", text_col, *(c for c in (fit.get("topic_col"), fit.get("tokens_col")) if c))
-    return drawn(docs, powers, targets, seed, text_col, **fit).select("doc_id", "_mix.*")
+    return drawn(docs, powers, targets, seed, text_col, **fit).select("doc_id", "mixed.*")
 
 
 def sampled(docs: DataFrame, powers: dict[str, float] | None = None, targets: dict[str, dict[str, float]] | None = None, seed: int = 17, text_col: str = "text", **fit) -> DataFrame:
     """The rows of ``docs`` that the mixture draws, with their columns, as often as it draws them; texts don't move."""
-    found = drawn(docs, powers, targets, seed, text_col, **fit).where("_mix.sampled")
-    again = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix.copies")))
-    return found.withColumn("_copy", again).select(docs.columns)
+    found = drawn(docs, powers, targets, seed, text_col, **fit).where("mixed.sampled")
+    again = F.explode(F.sequence(F.lit(1).cast("long"), F.col("mixed.copies")))
+    return found.select("row", again.alias("copy")).select("row.*")
