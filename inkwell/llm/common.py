@@ -61,7 +61,18 @@ def written(df: DataFrame, what: str) -> DataFrame:
     path = fresh_path(session_of(df), what)
     with setting(session_of(df), CLEAN_UP, "true"):
         df.write.parquet(path)
-    return session_of(df).read.schema(df.schema).parquet(path)
+    found = session_of(df).read.schema(df.schema).parquet(path)
+    found.__dict__["_written_to"] = path
+    return found
+
+
+def discarded(df: DataFrame) -> None:
+    """Deletes what ``written`` wrote for ``df``, once nothing reads it any more."""
+    path = df.__dict__.get("_written_to")
+    if path:
+        spark = session_of(df)
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def map_arrow(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
@@ -72,6 +83,14 @@ def map_arrow(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(step, schema)
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def with_verdict(docs: DataFrame, name: str, judge: Callable[[list[bytes]], list[bool]], text_col: str = "text") -> DataFrame:
     """``docs`` with a boolean column that ``judge`` gives for the texts of a batch; no row moves."""
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.BooleanType())])
@@ -140,7 +159,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        now = written(canonical(small), "edges")
+        old, now = now, written(canonical(small), "edges")
+        discarded(old)
         after = state(now)
         if after == before:
             break

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import components, join_salted, join_weighted, map_arrow, utf8, written
+from inkwell.llm.common import components, join_salted, join_weighted, map_arrow, spare, utf8, written
 
 PERMUTATIONS = 64
 ROWS_OF_BAND = 4
@@ -310,5 +310,5 @@ def audit_recall(docs: DataFrame, width: int = 5, threshold: int = 80, every: in
 
 def deduplicated(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of ``docs`` that stay, one document of each component, with their columns."""
-    dropped = minhash_dedup(docs, **parameters).where("not kept").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, F.col("doc_id").cast("long") == F.col("_dropped"), "left_anti")
+    dropped = minhash_dedup(docs, **parameters).where("not kept").select(F.col("doc_id").alias(spare(docs, "_dropped"))).distinct()
+    return docs.join(dropped, F.col("doc_id").cast("long") == F.col(dropped.columns[0]), "left_anti")

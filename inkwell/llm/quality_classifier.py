@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import map_arrow, utf8, with_verdict
+from inkwell.llm.common import map_arrow, spare, utf8, with_verdict
 
 ALPHABET, COARSE = 128, 64
 #: Upper bounds of the classes of a text's share of repeating bigrams and of distinct words.
@@ -258,4 +258,5 @@ def accepted(docs: DataFrame, labels: DataFrame, text_col: str = "text", thresho
     if model is None:
         return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return with_verdict(docs, "_good", lambda texts: (shared.value.scores(texts) >= threshold).tolist(), text_col).where("_good").drop("_good")
+    good = spare(docs, "_good")
+    return with_verdict(docs, good, lambda texts: (shared.value.scores(texts) >= threshold).tolist(), text_col).where(F.col(good)).drop(good)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import join_salted, map_arrow, utf8, with_verdict, written
+from inkwell.llm.common import join_salted, map_arrow, spare, utf8, with_verdict, written
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\r\x0b\x0c"
@@ -132,13 +132,14 @@ def accepted(docs: DataFrame, text_col: str = "text", min_words: int = 50, max_r
         return [n < min_words or 100 * r > max_repeat_percent * n for n, *_, r in map(measure, texts)]
 
     # texts are measured once: what passes is written, and each host's failures are its rows less those
-    passed = written(with_verdict(docs, "_failed", fails, text_col).where("not _failed").drop("_failed"), "passed")
+    failed, refused_host = spare(docs, "_failed"), spare(docs, "_host")
+    passed = written(with_verdict(docs, failed, fails, text_col).where(~F.col(failed)).drop(failed), "passed")
     host = F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host")
     every, kept = (df.groupBy(host).agg(F.count("*").alias(n)) for df, n in ((docs, "n"), (passed, "passed")))
     counts = every.join(kept, "host", "left").select("host", "n", (F.col("n") - F.coalesce("passed", F.lit(0))).alias("k"))
-    refused = written(shrunk_verdicts(counts, host_limit).where("host_refused").select(F.col("host").alias("_host")), "hosts")
+    refused = written(shrunk_verdicts(counts, host_limit).where("host_refused").select(F.col("host").alias(refused_host)), "hosts")
     n = refused.limit(max_broadcast_hosts + 1).count()
     if not n:
         return passed
     host = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    return passed.join(F.broadcast(refused) if n <= max_broadcast_hosts else refused, host == F.col("_host"), "left_anti")
+    return passed.join(F.broadcast(refused) if n <= max_broadcast_hosts else refused, host == F.col(refused_host), "left_anti")
