@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkwell.operators.pairs import blocked_pairs, in_blocks, pairs_within, unit_vectors
-from inkwell.operators.staging import materialised
+from inkwell.operators.staging import discarded, materialised
 
 #: Marks of a group at most for which hierarchical clustering is tried.
 MAX_WARD = 3000
@@ -48,10 +48,12 @@ def leading(nodes: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
             return found
         shut = live.join(new.withColumnRenamed("sig_id", "a"), [*by, "a"], "left_semi").select(*by, F.col("b").alias("sig_id"))
         gone = materialised(new.union(shut).distinct())
+        old = open_, live, gone
         open_ = materialised(open_.join(gone, [*by, "sig_id"], "left_anti"))
         for end in ("a", "b"):
             live = live.join(gone.withColumnRenamed("sig_id", end), [*by, end], "left_anti")
         live = materialised(live)
+        discarded(*old)
 
 
 def leader_labels(nodes: DataFrame, edges: DataFrame, by: list[str], assign: str = "last") -> DataFrame:
@@ -137,15 +139,17 @@ def density_clusters(marks: DataFrame, edges: DataFrame, min_samples, by: list[s
     core = materialised(degree.where(F.coalesce("n", F.lit(0)) + 1 >= F.col("_need")).select(*by, "a"))
     inner = materialised(both.join(core, [*by, "a"], "left_semi").join(core.withColumnRenamed("a", "b"), [*by, "b"], "left_semi"))
     state = core.select(*by, "a", F.col("a").alias("root"))
+    state = materialised(state)
     while True:
-        state = materialised(state)
         step = inner.join(state.select(*by, F.col("a").alias("b"), F.col("root").alias("r")), [*by, "b"]).groupBy(*by, "a").agg(F.min("r").alias("r"))
         new = state.join(step, [*by, "a"], "left").select(*by, "a", F.least("root", F.coalesce("r", "root")).alias("root"))
         up = new.select(*by, F.col("a").alias("root"), F.col("root").alias("up"))
         jumped = materialised(new.join(up, [*by, "root"], "left").select(*by, "a", F.least("root", F.coalesce("up", "root")).alias("root")))
-        if not jumped.join(state.withColumnRenamed("root", "old"), [*by, "a"]).where("root <> old").limit(1).count():
-            break
+        moved = jumped.join(state.withColumnRenamed("root", "old"), [*by, "a"]).where("root <> old").limit(1).count()
+        discarded(state)
         state = jumped
+        if not moved:
+            break
     border = both.join(state.withColumnRenamed("a", "b"), [*by, "b"]).groupBy(*by, "a").agg(F.min("root").alias("near"))
     found = marks.select(*by, F.col("sig_id").alias("a")).join(state, [*by, "a"], "left").join(border, [*by, "a"], "left")
     return found.select(*by, F.col("a").alias("sig_id"), F.coalesce("root", "near", F.lit(-1)).alias("label"))

@@ -27,7 +27,19 @@ def materialised(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = fresh_folder(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.__dict__["_written_to"] = path
+    return found
+
+
+def discarded(*tables: DataFrame) -> None:
+    """Deletes what ``materialised`` wrote for tables that nothing reads any more."""
+    for df in tables:
+        path = df.__dict__.get("_written_to")
+        if path:
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def ranked(df: DataFrame, order: list, name: str) -> DataFrame:

@@ -245,7 +245,8 @@ def f20(spark, d):
     return w.agg(F.count("*").alias("n_signers"), F.sum("n").alias("n_signatures"), F.round(F.avg("n"), 4).alias("per_signer"), F.count_if(F.col("n") == 1).alias("singletons"), F.count_if(F.col("docs") > 1).alias("multi_document"))
 
 
-@query("j14_duplicate_levels", with_views("sig") + """, q AS (SELECT sig_id, v, list_transform(v, lambda x: floor((x - list_min(v)) / (list_max(v) - list_min(v)) * 15 + 0.5)) AS px, list_transform(v, lambda x: x > 0) AS bits FROM sig),
+@query("j14_duplicate_levels", with_views("sig") + """, crops AS (SELECT sig_id, v FROM sig UNION ALL SELECT sig_id + 1000000000, CASE sig_id % 4 WHEN 0 THEN v WHEN 1 THEN list_transform(v, lambda x: x * 2 + 1) ELSE list_concat([-v[1]], list_slice(v, 2, 64)) END FROM sig WHERE sig_id % 4 < 3),
+q AS (SELECT sig_id, v, list_transform(v, lambda x: floor((x - list_min(v)) / (list_max(v) - list_min(v)) * 15 + 0.5)) AS px, list_transform(v, lambda x: x > 0) AS bits FROM crops),
 f AS (SELECT *, min(sig_id) OVER (PARTITION BY v) AS raw_first, min(sig_id) OVER (PARTITION BY px) AS px_first FROM q), r AS (SELECT * FROM f WHERE sig_id = px_first),
 c AS (SELECT sig_id, bits, list_transform(v, lambda x: x - list_avg(v)) AS z FROM r),
 n AS (SELECT a.sig_id AS sig_a, b.sig_id AS sig_b FROM c a JOIN c b ON a.sig_id < b.sig_id AND len(list_filter(list_zip(a.bits, b.bits), lambda p: p[1] <> p[2])) <= 2
@@ -255,10 +256,15 @@ SELECT 'L1', px_first, sig_id FROM f WHERE sig_id = raw_first AND sig_id <> px_f
 def j14(spark, d):
     """Duplicates by level: equal streams, equal pixels (16 greys), and sign hashes within two bits with a correlation of 0.99.
 
+    Three of four marks have a second crop: the same, a brighter one, and one that differs in its first value.
     A copy is paired with the first of its class; only firsts go on to the next level.
     Hashes within two bits of 64 agree in one of three bands at least.
     """
-    return duplicates.levels(sig(spark, d)).select("level", "sig_a", "sig_b")
+    s = sig(spark, d).select("sig_id", "v")
+    kind, v = F.col("sig_id") % 4, F.col("v")
+    second = F.when(kind == 0, v).when(kind == 1, F.transform(v, lambda x: x * 2 + 1)).otherwise(F.concat(F.array(-v[0]), F.slice(v, 2, 63)))
+    crops = s.unionByName(s.where(kind < 3).select((F.col("sig_id") + 1000000000).alias("sig_id"), second.alias("v")))
+    return duplicates.levels(crops).select("level", "sig_a", "sig_b")
 
 
 @query("j14_perceptual_duplicates", with_views("sig") + """, k AS (SELECT sig_id, array_to_string(list_transform(list_slice(v, 1, 8), lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS bits FROM sig)
