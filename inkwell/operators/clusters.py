@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from inkwell.operators.pairs import blocked_pairs, in_blocks, pairs_within, unit_vectors
+from inkwell.operators.pairs import blocked_pairs, in_blocks, pairs_in_groups, unit_vectors
 from inkwell.operators.staging import discarded, materialised
 
 #: Marks of a group at most for which hierarchical clustering is tried.
@@ -28,9 +28,8 @@ def neighbours(marks: DataFrame, keys: list[str], floor: float) -> DataFrame:
     if not keys:
         found = blocked_pairs(marks, floor).select(F.col("sig_a").alias("a"), F.col("sig_b").alias("b"), "cosine")
         return materialised(found)
-    packed = marks.withColumn("_k", F.struct(*keys))
-    found = pairs_within(packed, "_k").where(F.col("cosine") >= floor)
-    return materialised(found.select(*(F.col(f"a.{k}").alias(k) for k in keys), F.col("a.sig_id").alias("a"), F.col("b.sig_id").alias("b"), "cosine"))
+    found = pairs_in_groups(marks, keys, {"cosine": (0, None)}, floor)
+    return materialised(found.select(*keys, F.col("sig_a").alias("a"), F.col("sig_b").alias("b"), "cosine"))
 
 
 def leading(nodes: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from inkwell.functions.vectors import dot, normalised
+from inkwell.functions.vectors import normalised
 
 
 def unit_vectors(marks: DataFrame, vector: str = "v") -> DataFrame:
@@ -19,14 +19,6 @@ def unit_vectors(marks: DataFrame, vector: str = "v") -> DataFrame:
     return marks.withColumn(vector, normalised(F.col(vector)))
 
 
-def pairs_within(marks: DataFrame, key: str, order: str = "sig_id", vector: str = "v", dims: int | None = None) -> DataFrame:
-    """All unordered pairs that share a key, with their cosine: an equi-join with a residual."""
-    u = unit_vectors(marks, vector)
-    a, b = u.alias("a"), u.alias("b")
-    joined = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col(f"a.{order}") < F.col(f"b.{order}")))
-    return joined.withColumn("cosine", dot(F.col(f"a.{vector}"), F.col(f"b.{vector}"), dims))
-
-
 def block_cells(marks: DataFrame, block_rows: int, vector: str, keep: list[str]) -> DataFrame:
     """Rows (lo, hi, own, sig_id, keep, v): each mark once for every block that its own block meets."""
     blocks = max(1, math.ceil(marks.count() / block_rows))
@@ -47,6 +39,42 @@ def sides(cell: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray]:
     return left, right, sims
 
 
+def pairs_in_groups(marks: DataFrame, keys: list[str], scores: dict[str, tuple[int, int]], floor: float | None = None, block_rows: int = 2000) -> DataFrame:
+    """(keys, sig_a, sig_b, scores) of all unordered pairs that share ``keys``, as matrix products.
+
+    A score is the cosine of a stretch (start, end) of the vectors. Large groups fall into
+    blocks, so that a task holds two of them; with ``floor`` only pairs whose first score
+    reaches it are given.
+    """
+    kinds = dict(marks.dtypes)
+    blocks = marks.groupBy(*keys).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("_n"))
+    rows = marks.select(*keys, "sig_id", "v").join(blocks, keys)
+    rows = rows.withColumn("_own", F.pmod(F.xxhash64("sig_id"), F.col("_n")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    rows = rows.select(*keys, "sig_id", "v", "_own", F.least("_own", "_other").alias("_lo"), F.greatest("_own", "_other").alias("_hi"))
+    names = [*keys, "sig_a", "sig_b", *scores]
+
+    def cell(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("sig_id", ignore_index=True)
+        ids, x = part["sig_id"].to_numpy(), np.array(part["v"].tolist())
+        one, two = (np.flatnonzero(part["_own"].to_numpy() == part[c].iloc[0]) for c in ("_lo", "_hi"))
+        if part["_lo"].iloc[0] == part["_hi"].iloc[0]:
+            i, j = np.triu_indices(len(one), 1)
+        else:
+            i, j = (k.ravel() for k in np.indices((len(one), len(two))))
+        found = {}
+        for name, (a, b) in scores.items():
+            part_of = x[:, a:b] / np.maximum(np.linalg.norm(x[:, a:b], axis=1, keepdims=True), 1e-300)
+            found[name] = (part_of[one] @ part_of[two].T)[i, j]
+            if floor is not None and name == next(iter(scores)):
+                keep = found[name] >= floor
+                i, j, found[name] = i[keep], j[keep], found[name][keep]
+        a, b = ids[one[i]], ids[two[j]]
+        return pd.DataFrame({k: part[k].iloc[0] for k in keys} | {"sig_a": np.minimum(a, b), "sig_b": np.maximum(a, b)} | found, columns=names)
+
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), f"sig_a {kinds['sig_id']}", f"sig_b {kinds['sig_id']}", *(f"{s} double" for s in scores)])
+    return rows.groupBy(*keys, "_lo", "_hi").applyInPandas(cell, schema)
+
+
 def blocked_pairs(marks: DataFrame, floor: float, block_rows: int = 2000, vector: str = "v") -> DataFrame:
     """(sig_a, sig_b, cosine) of all pairs of at least ``floor``, without a nested-loop join.
 

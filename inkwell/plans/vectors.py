@@ -40,21 +40,13 @@ def c32(spark, d):
 
 
 def document_pairs(spark, d):
-    """Pairs within a document with their scores by method."""
-    u = sig(spark, d).select("sig_id", "pdf", normalised(F.col("v")).alias("u"))
-    u = u.select("*", normalised(vgg(F.col("u"))).alias("v1"), normalised(vit(F.col("u"))).alias("v2"))
-    a, b = u.alias("a"), u.alias("b")
-    joined = a.join(b, (F.col("a.pdf") == F.col("b.pdf")) & (F.col("a.sig_id") < F.col("b.sig_id")))
-    return joined.select(
-        "a.pdf", F.col("a.sig_id").alias("sig_a"), F.col("b.sig_id").alias("sig_b"), dot(F.col("a.u"), F.col("b.u"), DIMS).alias("cosine"),
-        dot(F.col("a.v1"), F.col("b.v1"), 32).alias("vgg"), dot(F.col("a.v2"), F.col("b.v2"), 32).alias("vit"),
-    )
+    """Pairs within a document with their scores by method: of the whole vector and of its halves."""
+    return pairs.pairs_in_groups(sig(spark, d), ["pdf"], {"cosine": (0, DIMS), "vgg": (0, 32), "vit": (32, 64)})
 
 
 @query("e1_pairs_within_document", with_views("docpairs") + " SELECT pdf, sig_a, sig_b, round(cosine, 6) AS cosine FROM docpairs")
 def e1(spark, d):
-    p = pairs.pairs_within(sig(spark, d), "pdf", dims=DIMS)
-    return p.select("a.pdf", F.col("a.sig_id").alias("sig_a"), F.col("b.sig_id").alias("sig_b"), r6(F.col("cosine")).alias("cosine"))
+    return pairs.pairs_in_groups(sig(spark, d), ["pdf"], {"cosine": (0, DIMS)}).select("pdf", "sig_a", "sig_b", r6(F.col("cosine")).alias("cosine"))
 
 
 @query("c33_weighted_scores", with_views("docpairs") + """ SELECT sig_a, sig_b, round((0.7 * vgg + CASE WHEN sig_a % 3 = 0 THEN 0 ELSE 0.15 * vit END + 0.15 * cosine)
