@@ -46,6 +46,23 @@ def k3(spark, d):
     return cal.verdicts(s, b).groupBy("scorer", "kind", "verdict").agg(F.count("*").alias("n"))
 
 
+LIFTED = CASE + """, l2 AS (SELECT kind, scorer, s FROM ls UNION ALL SELECT kind, 'lifted', cosine + CASE WHEN kind LIKE 'ref-ref%' THEN 1.2 WHEN kind LIKE 'ref-control%' THEN -1.2 ELSE 0 END FROM ck
+UNION ALL SELECT kind, 'one-sided', cosine FROM ck WHERE kind NOT LIKE 'ref-control%'),
+b3 AS (SELECT scorer, min(CASE WHEN kind LIKE 'ref-ref%' THEN s END) AS ceil_lo, max(CASE WHEN kind LIKE 'ref-control%' THEN s END) AS floor_hi FROM l2 GROUP BY scorer)"""
+
+
+@query("k3_verdicts_at_band_ends", LIFTED + """ SELECT l2.scorer, l2.kind, CASE WHEN ceil_lo IS NULL OR floor_hi IS NULL THEN 'NO VERDICT (uncalibrated)' WHEN ceil_lo <= floor_hi THEN 'NOT DIAGNOSTIC (bands overlap)' WHEN s >= ceil_lo THEN 'in same-writer band'
+WHEN s <= floor_hi THEN 'in diff-writer band' ELSE 'between bands' END AS verdict, count(*) AS n FROM l2 JOIN b3 ON l2.scorer = b3.scorer GROUP BY 1, 2, 3""")
+def k3_ends(spark, d):
+    """Verdicts against the bands' own ends, with a scorer whose bands are apart and one without a floor."""
+    p = case_pairs(spark, d)
+    shift = F.when(F.col("kind").startswith("ref-ref"), 1.2).when(F.col("kind").startswith("ref-control"), -1.2).otherwise(0.0)
+    lifted = p.select("kind", F.lit("lifted").alias("scorer"), (F.col("cosine") + shift).alias("s"))
+    one_sided = p.where(~F.col("kind").startswith("ref-control")).select("kind", F.lit("one-sided").alias("scorer"), F.col("cosine").alias("s"))
+    s = cal.long_scores(p, SCORERS, ["kind"]).unionByName(lifted).unionByName(one_sided)
+    return cal.verdicts(s, cal.bands(s)).groupBy("scorer", "kind", "verdict").agg(F.count("*").alias("n"))
+
+
 @query("f34_baseline_ratios", CASE + """, b AS (SELECT avg(cosine) AS c FROM ck WHERE kind LIKE 'ref-ref%') SELECT sig_a, sig_b, round(cosine / c, 4) AS cosine_vs_baseline FROM ck, b WHERE c > 1e-6 UNION ALL SELECT sig_a, sig_b, 'nan'::DOUBLE FROM ck, b WHERE c <= 1e-6""")
 def f34(spark, d):
     p = cal.against_baseline(case_pairs(spark, d), ["cosine"], "kind", "ref-ref (same writer)")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import bz2
+import gzip
 import io
+import lzma
 import tarfile
 import zipfile
 from collections.abc import Iterator
@@ -20,8 +23,26 @@ def unsafe(name: str) -> bool:
     return name.startswith(("/", "\\")) or ".." in parts or (len(parts[0]) == 2 and parts[0].endswith(":"))
 
 
+#: First bytes of single compressed files, and what opens them.
+STREAMS = ((b"\x1f\x8b", gzip.open), (b"BZh", bz2.open), (b"\xfd7zXZ\x00", lzma.open))
+
+
+def single(content: bytes, most_bytes: int) -> Iterator[tuple[str, str, int, bytes | None]]:
+    """The one file in a compressed stream; it has no name of its own."""
+    for magic, opened in STREAMS:
+        if content.startswith(magic):
+            try:
+                with opened(io.BytesIO(content)) as f:
+                    data = f.read(most_bytes + 1)
+            except (OSError, EOFError, lzma.LZMAError):
+                break
+            yield ("content", "too_large", len(data), None) if len(data) > most_bytes else ("content", "ok", len(data), data)
+            return
+    yield "", "bad", len(content), None
+
+
 def members(content: bytes, most_bytes: int) -> Iterator[tuple[str, str, int, bytes | None]]:
-    """(name, status, size, content) of each file in a zip or tar archive."""
+    """(name, status, size, content) of each file in a zip or tar archive, or of the one in a compressed stream."""
     try:
         if zipfile.is_zipfile(io.BytesIO(content)):
             with zipfile.ZipFile(io.BytesIO(content)) as z:
@@ -40,7 +61,12 @@ def members(content: bytes, most_bytes: int) -> Iterator[tuple[str, str, int, by
                         except (zipfile.BadZipFile, OSError, RuntimeError):
                             yield info.filename, "failed", info.file_size, None
             return
-        with tarfile.open(fileobj=io.BytesIO(content)) as t:
+        try:
+            tar = tarfile.open(fileobj=io.BytesIO(content))
+        except (tarfile.TarError, OSError, EOFError, lzma.LZMAError):
+            yield from single(content, most_bytes)
+            return
+        with tar as t:
             for info in t:
                 if info.isdir():
                     continue

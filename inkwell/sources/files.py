@@ -35,6 +35,21 @@ def discover(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     ).orderBy("rel_path")
 
 
+def resolved(spark: SparkSession, target: str) -> DataFrame:
+    """(rel_path, kind, size_bytes) of the inputs that a target names: one file, or the documents and pictures below a folder.
+
+    A single file that is neither raises an error when it is read; in a folder such files are passed over.
+    """
+    where = spark._jvm.org.apache.hadoop.fs.Path(target)
+    alone = where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isFile()
+    if not alone:
+        return discover(spark, target).where(F.col("kind").isNotNull()).select("rel_path", "kind", "size_bytes")
+    raw = spark.read.format("binaryFile").load(target)
+    kind = strings.classified(F.col("path"), F.col("content"))["kind"]
+    known = F.when(kind.isNotNull(), kind).otherwise(F.raise_error(F.concat(F.lit("neither a document nor a picture: "), F.col("path"))))
+    return raw.select(F.substring_index("path", "/", -1).alias("rel_path"), known.alias("kind"), F.col("length").alias("size_bytes"))
+
+
 def walk(spark: SparkSession, root: str) -> DataFrame:
     """(directory, name, extension, size_bytes): the content column is pruned, so files aren't read."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)

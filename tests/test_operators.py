@@ -1,6 +1,9 @@
 """Order-dependent operators against plain loops, and edge cases by hand."""
 
+import bz2
+import gzip
 import io
+import lzma
 import zipfile
 
 import numpy as np
@@ -405,6 +408,27 @@ def test_archives_unpack_to_depth(spark):
     assert manifest == {"a.zip": "partial", "b.zip": "bad", "a.zip!in.zip": "ok"}
 
 
+def test_single_compressed_files(spark):
+    made = [("a.gz", gzip.compress(b"one")), ("b.bz2", bz2.compress(b"two")), ("c.xz", lzma.compress(b"three")), ("d.gz", gzip.compress(b"one" * 20)[:-9]), ("e.gz", gzip.compress(b"x" * 999))]
+    df = spark.createDataFrame([(n, bytearray(c)) for n, c in made], "rel_path string, content binary")
+    got = {r["archive"]: (r["member"], r["status"], r["content"]) for r in archives.unpack_all(df, most_bytes=100).collect()}
+    assert [bytes(got[n][2]) for n in ("a.gz", "b.bz2", "c.xz")] == [b"one", b"two", b"three"]
+    assert got["d.gz"][1] == "bad" and got["e.gz"][1] == "too_large"
+
+
+def test_inputs_of_a_target(spark, tmp_path):
+    root = tmp_path / "a+b (1)"  # no pattern, though it looks like one
+    root.mkdir()
+    (root / "x.pdf").write_bytes(b"%PDF-1.4")
+    (root / "y.png").write_bytes(b"..")
+    (root / "z.txt").write_bytes(b"..")
+    got = sorted((r["rel_path"], r["kind"]) for r in files.resolved(spark, str(root)).collect())
+    assert got == [("x.pdf", "pdf"), ("y.png", "image")]
+    assert [tuple(r) for r in files.resolved(spark, str(root / "x.pdf")).collect()] == [("x.pdf", "pdf", 8)]
+    with pytest.raises(Exception, match="neither a document"):
+        files.resolved(spark, str(root / "z.txt")).collect()
+
+
 def test_files_and_sinks_round_trip(spark, tmp_path):
     root = tmp_path / "corpus" / "g"
     root.mkdir(parents=True)
