@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import join_salted, join_weighted, map_arrow, utf8, written
+from inkwell.llm.common import discarded, join_salted, join_weighted, map_arrow, utf8, written
 from inkwell.llm.minhash import ODD, mix
 
 ORDERS, HOT = 3, 100_000
@@ -169,7 +169,7 @@ def counted(texts: DataFrame, part: int, slices: int, min_count: int) -> DataFra
 
 
 def changes(table: DataFrame, total: int, alpha: float) -> DataFrame:
-    """(part, gram, n, change): what finding an n-gram changes, by its own count and those of its parts.
+    """(part, gram, n, change), written: what finding an n-gram changes, by its own count and those of its parts.
 
     Words come from nothing, so that theirs is their whole log score.
     """
@@ -184,7 +184,9 @@ def changes(table: DataFrame, total: int, alpha: float) -> DataFrame:
     longer = table.where("size > 1").join(context, "context").join(tail, "tail")
     lower = F.log("tail_n") - F.log("tail_context_n")
     longer = longer.select("part", "gram", "n", (n - F.log("context_n") - penalty - lower).alias("change"))
-    return words.select("part", "gram", "n", (n - math.log(max(total, 1))).alias("change")).unionByName(longer)
+    found = written(words.select("part", "gram", "n", (n - math.log(max(total, 1))).alias("change")).unionByName(longer), "grams")
+    discarded(below)
+    return found
 
 
 def summed(texts: DataFrame, table: DataFrame, hot: pd.DataFrame, part: int, slices: int) -> DataFrame:
@@ -221,13 +223,15 @@ def summed(texts: DataFrame, table: DataFrame, hot: pd.DataFrame, part: int, sli
     return joined.where(change.isNotNull()).groupBy("tid").agg(F.sum(change).alias("change"))
 
 
-def backoff_scores(docs: DataFrame, min_count: int = 2, alpha: float = 0.4, slices: int = 4, text_col: str = "text") -> DataFrame:
+def backoff_scores(docs: DataFrame, min_count: int = 2, alpha: float = 0.4, slices: int = 6, text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_tokens, log_score, mean_log_score."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = written(documents(texts), "documents")
     total = rows.agg(F.sum("n_tokens")).first()[0] or 0
     parts = [written(counted(texts, k, slices, min_count).withColumn("part", F.lit(k)), "counts") for k in range(slices)]
-    table = written(changes(reduce(DataFrame.unionByName, parts), total, alpha), "grams")
+    table = changes(reduce(DataFrame.unionByName, parts), total, alpha)
+    for counts in parts:
+        discarded(counts)
     hot = table.where(F.col("n") * HOT >= max(total, 1)).select("gram", "change").toPandas().sort_values("gram")  # HOT rows at most of each size
     sums = [written(summed(texts, table.where(F.col("part") == k), hot, k, slices), "sums") for k in range(slices)]
     found = reduce(DataFrame.unionByName, sums).groupBy("tid").agg(F.sum("change").alias("change"))
