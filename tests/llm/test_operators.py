@@ -443,8 +443,10 @@ def test_vectors_against_all_pairs(spark, shard, monkeypatch):
 
 
 @pytest.mark.parametrize(("copies", "others", "labels", "scale"), [(5000, 0, 1, 0.08), (2500, 3000, 2, 0.13)])
-def test_near_copies_beyond_a_shard(spark, copies, others, labels, scale):
+def test_near_copies_beyond_a_shard(spark, copies, others, labels, scale, monkeypatch):
     """Jittered copies of one vector, more than a shard holds, alone and among unrelated vectors."""
+    for name, size in (("SHARD", 1000), ("BLOCK", 1500), ("QUERIES", 1500)):
+        monkeypatch.setattr(vector_graph, name, size)
     rng = np.random.default_rng(3)
     base = rng.normal(size=64)
     x = np.concatenate([base + rng.normal(size=(copies, 64)) * scale * np.linalg.norm(base) / 8, rng.normal(size=(others, 64))])
