@@ -4,8 +4,9 @@ S(w | u v) is c(u v w) / c(u v) where c(u v w) reaches ``min_count``, else ``alp
 S(w | v) is c(v w) / c(v) where c(v w) reaches it, else ``alpha`` c(w) / N. A first word
 scores c(w) / N, a second one S(w | v). A document's score is the sum of their logs.
 
-A word's log score is that of its unigram, plus what the bigram changes if it is found,
-plus what the trigram changes if it is found; each change belongs to the n-gram alone:
+A word's log score is that of a word found once, plus what its count changes, plus what the
+bigram changes if it is found, plus what the trigram changes if it is found; each change
+belongs to the n-gram alone:
 
 1. N-grams are exploded from the texts, added up in each task and grouped by their hash:
    the count tables. N-grams below ``min_count`` change nothing and stay out.
@@ -165,13 +166,14 @@ def counted(texts: DataFrame, part: int, slices: int, min_count: int) -> DataFra
 
     rows = map_arrow(texts.select("text"), step, "size int, gram long, context long, tail long, n long").repartition("gram")
     table = rows.groupBy("gram").agg(F.first("size").alias("size"), F.sum("n").alias("n"), F.first("context").alias("context"), F.first("tail").alias("tail"))
-    return table.where((F.col("size") == 1) | (F.col("n") >= min_count))
+    # a word found once scores as every word does to begin with
+    return table.where(F.col("n") >= F.when(F.col("size") == 1, F.lit(min(min_count, 2))).otherwise(F.lit(min_count)))
 
 
 def changes(table: DataFrame, total: int, alpha: float) -> DataFrame:
     """(part, gram, n, change), written: what finding an n-gram changes, by its own count and those of its parts.
 
-    Words come from nothing, so that theirs is their whole log score.
+    Every word begins with the score of one found once; a word's own change is the rest.
     """
     n, penalty = F.log("n"), F.lit(math.log(alpha))
     words = table.where("size = 1").select("part", "gram", "n", F.lit(total).cast("long").alias("context_n"))
@@ -184,7 +186,7 @@ def changes(table: DataFrame, total: int, alpha: float) -> DataFrame:
     longer = table.where("size > 1").join(context, "context").join(tail, "tail")
     lower = F.log("tail_n") - F.log("tail_context_n")
     longer = longer.select("part", "gram", "n", (n - F.log("context_n") - penalty - lower).alias("change"))
-    found = written(words.select("part", "gram", "n", (n - math.log(max(total, 1))).alias("change")).unionByName(longer), "grams")
+    found = written(words.select("part", "gram", "n", n.alias("change")).unionByName(longer), "grams")
     discarded(below)
     return found
 
@@ -240,5 +242,5 @@ def backoff_scores(docs: DataFrame, min_count: int = 2, alpha: float = 0.4, slic
     scored = join_weighted(rows, written(by_text, "scores"), ["tid"], "left")
     # every word behind the first starts one step below its longest context, behind the second two
     penalties = sum((F.greatest(F.col("n_tokens") - k, F.lit(0)) for k in range(1, ORDERS)), F.lit(0))
-    log_score = F.coalesce("change", F.lit(0.0)) + penalties * math.log(alpha)
+    log_score = F.coalesce("change", F.lit(0.0)) + penalties * math.log(alpha) - F.col("n_tokens") * math.log(max(total, 1))
     return scored.select("doc_id", "n_tokens", log_score.alias("log_score"), F.when(F.col("n_tokens") > 0, log_score / F.col("n_tokens")).alias("mean_log_score"))
