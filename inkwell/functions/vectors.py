@@ -21,9 +21,10 @@ def norm(a: Column) -> Column:
 
 
 def normalised(a: Column) -> Column:
-    """Unit length; a zero vector stays as it is."""
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x / n)).otherwise(a)
+    """Unit length; a zero vector stays as it is. The length is bound once, not taken again for each component."""
+    bound = F.array(F.struct(a.alias("a"), norm(a).alias("n")))
+    scaled = F.transform(bound, lambda s: F.when(s["n"] > 0, F.transform(s["a"], lambda x: x / s["n"])).otherwise(s["a"]))
+    return F.get(scaled, F.lit(0))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -72,9 +72,9 @@ def leader_clusters(marks: DataFrame, keys: list[str], threshold: float, assign:
     return found.join(leads, [*keys, "label"]).select(*keys, "sig_id", F.col("number").alias("label"))
 
 
-def cluster_sums(marks: DataFrame, by: list[str]) -> DataFrame:
-    """(by, n, total): how many unit vectors a cluster has, and their sum."""
-    u = unit_vectors(marks)
+def cluster_sums(marks: DataFrame, by: list[str], unit: bool = False) -> DataFrame:
+    """(by, n, total): how many unit vectors a cluster has, and their sum; ``unit``: they are of that length already."""
+    u = marks if unit else unit_vectors(marks)
     sums = u.select(*by, F.posexplode("v").alias("i", "x")).groupBy(*by, "i").agg(F.sum("x").alias("x"), F.count("*").alias("n"))
     total = F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"])
     return sums.groupBy(*by).agg(F.max("n").alias("n"), total.alias("total"))
@@ -98,7 +98,7 @@ def silhouette(marks: DataFrame, label: str = "label", by: list[str] | None = No
     """
     by = by or []
     u = unit_vectors(marks).select(*by, "sig_id", F.col(label).alias("label"), "v")
-    sums = cluster_sums(u, [*by, "label"])
+    sums = cluster_sums(u, [*by, "label"], unit=True)
     kinds = dict(u.dtypes)
     columns = [*by, "sig_id", "label"]
 
