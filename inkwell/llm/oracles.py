@@ -80,6 +80,20 @@ found AS (SELECT doc_id, count(CASE WHEN base AND key THEN 1 END) AS n_base, min
 SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0) AS score FROM d LEFT JOIN found ON d.doc_id = found.doc_id
 """
 
+SUFFIX = r"""
+WITH b AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+s AS (SELECT doc_id, i, doc_id * 1000000000 + i AS pos, md5_number(substring(h, 2 * i + 1, 200)) AS x
+  FROM (SELECT doc_id, h, unnest(range(len(h) // 2 - 99)) AS i FROM b) q),
+f AS (SELECT doc_id, i FROM (SELECT doc_id, i, pos > min(pos) OVER (PARTITION BY x) AS again FROM s) q WHERE again),
+k AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER p + 100 OR lag(i) OVER p IS NULL THEN 1 ELSE 0 END AS fresh FROM f WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT doc_id, run, min(i) AS a, max(i) + 100 AS z FROM (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM k) q GROUP BY doc_id, run),
+g AS (SELECT doc_id, count(*) AS n_spans, sum(z - a)::BIGINT AS n_removed, list(a ORDER BY a) AS begins, list(z ORDER BY a) AS ends FROM r GROUP BY doc_id)
+SELECT b.doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN begins IS NULL THEN h ELSE list_reduce(list_transform(range(1, len(begins) + 2), lambda j:
+    substring(h, CASE WHEN j = 1 THEN 1 ELSE 2 * ends[j - 1] + 1 END, 2 * (CASE WHEN j > len(begins) THEN len(h) // 2 ELSE begins[j] END - CASE WHEN j = 1 THEN 0 ELSE ends[j - 1] END))), lambda u, v: u || v) END)) AS kept_sha256
+FROM b LEFT JOIN g ON b.doc_id = g.doc_id
+"""
+
 ORACLES = {
     "op2_license_scan": LICENSES,
     "op1_minhash_dedup": MINHASH,
@@ -87,4 +101,5 @@ ORACLES = {
     "op6_backoff_lm": BACKOFF,
     "op8_vector_dedup": VECTORS,
     "op10_quality_rules": RULES,
+    "op13_suffix_dedup": SUFFIX,
 }

@@ -16,6 +16,7 @@ from inkwell.llm.oracles import ORACLES
 from inkwell.llm.piece_transducer import round_trips
 from inkwell.llm.quality_classifier import classify
 from inkwell.llm.quality_rules import MEASURES, quality_rules
+from inkwell.llm.suffix_dedup import suffix_dedup
 from inkwell.llm.token_counts import token_counts
 from inkwell.llm.url_filter import op5_url_filter
 from inkwell.llm.vector_graph import vector_dedup
@@ -59,6 +60,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *MEASURES, "base_failed", "kept")
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_dedup": op1_minhash_dedup,
@@ -71,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_vector_dedup": op8_vector_dedup,
         "op9_piece_transducer": op9_piece_transducer,
         "op10_quality_rules": op10_quality_rules,
+        "op13_suffix_dedup": op13_suffix_dedup,
     }
 
 
