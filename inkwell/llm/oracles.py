@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from inkwell.llm.license_scan import templates
+from inkwell.llm.merkle_manifest import oracle as merkle_sql
 from inkwell.llm.url_filter import ORACLE_SQL as URL_FILTER
 
 FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -94,6 +95,8 @@ SELECT b.doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, co
 FROM b LEFT JOIN g ON b.doc_id = g.doc_id
 """
 
+MERKLE = merkle_sql()
+
 ORACLES = {
     "op2_license_scan": LICENSES,
     "op1_minhash_dedup": MINHASH,
@@ -101,5 +104,6 @@ ORACLES = {
     "op6_backoff_lm": BACKOFF,
     "op8_vector_dedup": VECTORS,
     "op10_quality_rules": RULES,
+    "op12_merkle_manifest": MERKLE,
     "op13_suffix_dedup": SUFFIX,
 }

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from inkwell.llm.backoff_lm import backoff_scores
 from inkwell.llm.common import table
 from inkwell.llm.license_scan import license_scan
+from inkwell.llm.merkle_manifest import merkle_manifest
 from inkwell.llm.minhash import minhash_dedup
 from inkwell.llm.mixing import mix
 from inkwell.llm.oracles import ORACLES
@@ -17,6 +18,7 @@ from inkwell.llm.piece_transducer import round_trips
 from inkwell.llm.quality_classifier import classify
 from inkwell.llm.quality_rules import MEASURES, quality_rules
 from inkwell.llm.suffix_dedup import suffix_dedup
+from inkwell.llm.token_alignment import token_alignment
 from inkwell.llm.token_counts import token_counts
 from inkwell.llm.url_filter import op5_url_filter
 from inkwell.llm.vector_graph import vector_dedup
@@ -60,6 +62,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *MEASURES, "base_failed", "kept")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest(table(spark, sf_dir, "documents"))
+
+
 def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
 
@@ -76,6 +86,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_vector_dedup": op8_vector_dedup,
         "op9_piece_transducer": op9_piece_transducer,
         "op10_quality_rules": op10_quality_rules,
+        "op11_token_alignment": op11_token_alignment,
+        "op12_merkle_manifest": op12_merkle_manifest,
         "op13_suffix_dedup": op13_suffix_dedup,
     }
 
