@@ -6,9 +6,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Extensions by kind.
-ARCHIVES = ("zip", "rar", "tar", "tgz", "tbz2", "txz", "gz", "bz2", "xz", "7z")
+ARCHIVES = ("zip", "rar", "7z", "tar", "gz", "tgz", "bz2", "tbz", "xz", "txz", "cab", "arj", "lzh", "z")
 IMAGES = ("png", "jpg", "jpeg", "tif", "tiff", "bmp", "webp")
-ZIP_DOCUMENTS = ("docx", "xlsx", "pptx", "odt", "ods", "odp", "jar", "apk", "epub")
+#: Documents that are zip files by nature, office files first, then open documents, then others.
+ZIP_DOCUMENTS = (
+    "docx", "docm", "dotx", "dotm",
+    "xlsx", "xlsm", "xltx", "xltm", "xlsb",
+    "pptx", "pptm", "potx", "potm", "ppsx", "ppsm",
+    "vsdx", "vsdm",
+    "odt", "ods", "odp", "odg", "odf", "odb",
+    "jar", "war", "ear", "apk", "ipa", "epub", "xpi", "crx",
+    "whl", "egg", "kmz", "3mf", "numbers", "pages", "key",
+)
+#: Suffixes of archives by kind, hexadecimal magics by kind, and later volumes of a set.
+ARCHIVE_SUFFIXES = {"zip": (".zip",), "tar": (".tar", ".tar.gz", ".tgz", ".tar.bz2", ".tbz", ".tar.xz", ".txz"), "rar": (".rar",)}
+ARCHIVE_MAGICS = (
+    ("zip", "504B0304"), ("zip", "504B0506"), ("zip", "504B0708"), ("tar", "1F8B"), ("tar", "425A68"), ("tar", "FD377A585A00"), ("7z", "377ABCAF271C"), ("rar", "526172211A07"),
+)
+LATER_VOLUME = r"(?i)(\.part0*([2-9]|[0-9]{2,})\.rar|\.r[0-9]{2}|\.z[0-9]{2})$"
 #: Hexadecimal magics of containers and images.
 CONTAINER_MAGICS = {"zip": "504B0304", "rar": "526172211A07", "gzip": "1F8B", "7z": "377ABCAF271C", "ole": "D0CF11E0A1B11AE1"}
 IMAGE_MAGICS = ("89504E470D0A1A0A", "FFD8FF", "49492A00", "4D4D002A", "424D")
@@ -32,6 +47,48 @@ def sniffed_kind(content: Column) -> Column:
     return F.when(container, F.lit(None)).when(F.instr(head.cast("string"), "%PDF-") > 0, "pdf").when(image, "image")
 
 
+def archive_kind(name: Column) -> Column:
+    """zip, tar or rar by a name's end, else null."""
+    low = F.lower(name)
+    found = F.lit(None).cast("string")
+    for kind, suffixes in ARCHIVE_SUFFIXES.items():
+        for suffix in suffixes:
+            found = F.when(low.endswith(suffix), kind).otherwise(found)
+    return found
+
+
+def sniffed_archive(content: Column) -> Column:
+    """The kind of an archive by its first bytes; a compressed stream counts as tar. Null for all else."""
+    digits = F.hex(F.substring(content, 1, 8))
+    tests = [(kind, digits.startswith(magic)) for kind, magic in ARCHIVE_MAGICS]
+    tests.insert(3, ("tar", F.substring(content, 258, 5) == F.lit(b"ustar")))
+    found = F.lit(None).cast("string")
+    for kind, test in reversed(tests):
+        found = F.when(test, kind).otherwise(found)
+    return found
+
+
+def is_zip_document(name: Column) -> Column:
+    return extension(name).isin(*ZIP_DOCUMENTS)
+
+
+def is_later_volume(name: Column) -> Column:
+    """Later volumes are opened through the first one."""
+    return name.rlike(LATER_VOLUME)
+
+
+def container_kind(name: Column, content: Column) -> Column:
+    """What an archive is by its name, else by its content; null for zip-based documents, later volumes and all else."""
+    return F.when(~is_zip_document(name) & ~is_later_volume(name), F.coalesce(archive_kind(name), sniffed_archive(content)))
+
+
+def archive_stem(name: Column) -> Column:
+    """A name without its longest archive suffix, else without its extension."""
+    suffixes = sorted((s for each in ARCHIVE_SUFFIXES.values() for s in each), key=len, reverse=True)
+    longest = "|".join(s.replace(".", r"\.") for s in suffixes)
+    return F.when(archive_kind(name).isNotNull(), F.regexp_replace(name, f"(?i)({longest})$", "")).otherwise(F.regexp_replace(name, r"(?<=[^/.])\.[^./]*$", ""))
+
+
 def classified(path: Column, content: Column) -> Column:
     """struct(kind, how): by extension, else by content; archives and unknown files have no kind."""
     ext = extension(path)

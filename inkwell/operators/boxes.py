@@ -5,6 +5,8 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -13,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from inkwell.functions.geometry import covered_fraction, iou, overlap_of_smaller
-from inkwell.operators.staging import materialised
+from inkwell.operators.staging import materialised, sent_if_small
 
 BOX = "struct<id:bigint,score:double,b:struct<x0:double,y0:double,x1:double,y1:double>>"
 #: What explains a box, the most specific first.
@@ -64,6 +66,74 @@ def reconcile_on_grid(boxes: DataFrame, objects: DataFrame, keys: list[str], cel
     return boxes.select(*keys, "id").join(best, [*keys, "id"], "left").select(*keys, "id", name.alias("classification"))
 
 
+#: Boxes of a sample that a leaf of a quad-tree holds, of a page's whole sample, and its deepest level.
+LEAF, SAMPLE, DEEPEST = 16, 2048, 8
+SQUARE = "struct<x:double,y:double,size:double>"
+
+
+def quad_trees(boxes: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, square, level, cx, cy): the leaves of each page's quad-tree over a sample of its boxes' corners.
+
+    Squares of a level are numbered from the page's lowest corner; of a page's boxes those of the
+    least digests, ``SAMPLE`` at most, decide where squares are split.
+    """
+    b = F.col("b")
+    part = F.pmod(F.xxhash64("id"), F.lit(64))
+    order = W.partitionBy(*keys, part).orderBy(F.xxhash64("id", F.lit(1)), "id")
+    some = boxes.select(*keys, "id", "b").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= SAMPLE // 64)
+    ends = boxes.groupBy(*keys).agg(*(f(b[c]).alias(f"_{c}") for c, f in (("x0", F.min), ("y0", F.min), ("x1", F.max), ("y1", F.max))))
+    kinds = dict(boxes.dtypes)
+
+    def leaves(part: pd.DataFrame) -> pd.DataFrame:
+        x0, y0, x1, y1 = (float(part[f"_{c}"].iloc[0]) for c in ("x0", "y0", "x1", "y1"))
+        size = max(x1 - x0, y1 - y0, 1e-9) * 1.0000001
+        px, py = (part["px"].to_numpy() - x0) / size, (part["py"].to_numpy() - y0) / size
+        found, waiting = [], [(0, 0, 0, np.arange(len(part)))]
+        while waiting:
+            level, cx, cy, own = waiting.pop()
+            if len(own) <= LEAF or level == DEEPEST:
+                found.append((level, cx, cy))
+                continue
+            n = 2 << level
+            ix, iy = np.minimum((px[own] * n).astype(int), n - 1), np.minimum((py[own] * n).astype(int), n - 1)
+            waiting += [(level + 1, 2 * cx + i, 2 * cy + j, own[(ix == 2 * cx + i) & (iy == 2 * cy + j)]) for i in (0, 1) for j in (0, 1)]
+        rows = pd.DataFrame(found, columns=["level", "cx", "cy"])
+        rows["square"] = [{"x": x0, "y": y0, "size": size}] * len(rows)
+        return rows.assign(**{k: part[k].iloc[0] for k in keys})[[*keys, "square", "level", "cx", "cy"]]
+
+    sample = some.join(ends, keys).select(*keys, "_x0", "_y0", "_x1", "_y1", b["x0"].alias("px"), b["y0"].alias("py"))
+    schema = "".join(f"`{k}` {kinds[k]}, " for k in keys) + f"square {SQUARE}, level int, cx long, cy long"
+    return sample.groupBy(*keys).applyInPandas(leaves, schema)
+
+
+def in_leaves(rows: DataFrame, trees: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with a box ``b``, once for each leaf that it touches: with level, cx, cy and the leaf's square."""
+    used = trees.groupBy(*keys, "square").agg(F.array_sort(F.collect_set("level")).alias("_levels"))  # DEEPEST numbers at most
+    found = rows.join(used, keys).withColumn("level", F.explode("_levels")).withColumn("_n", F.pow(F.lit(2.0), F.col("level")))
+    cell = lambda edge, low: F.greatest(F.lit(0), F.least(F.col("_n").cast("long") - 1, F.floor((F.col("b")[edge] - F.col("square")[low]) / F.col("square")["size"] * F.col("_n"))))
+    for c, low in (("cx", "x"), ("cy", "y")):
+        found = found.withColumn(c, F.explode(F.sequence(cell(f"{low}0", low), cell(f"{low}1", low))))
+    return found.drop("_levels", "_n").join(trees.drop("square"), [*keys, "level", "cx", "cy"])
+
+
+def reconcile_on_tree(boxes: DataFrame, objects: DataFrame, keys: list[str], least: float = 0.50) -> DataFrame:
+    """``reconcile`` for dense pages: only boxes and objects of one leaf of the page's quad-tree meet.
+
+    A pair that shares several leaves is taken in that which holds the lower corner of its overlap.
+    """
+    trees = materialised(quad_trees(objects, keys))
+    x = in_leaves(boxes.select(*keys, "id", "b"), trees, keys)
+    o = in_leaves(objects.select(*keys, "role", "b"), trees, keys).withColumnRenamed("b", "ob").drop("square")
+    corner = {low: F.greatest(F.col("b")[f"{low}0"], F.col("ob")[f"{low}0"]) for low in ("x", "y")}
+    n = F.pow(F.lit(2.0), F.col("level"))
+    own = lambda low: F.greatest(F.lit(0), F.least(n.cast("long") - 1, F.floor((corner[low] - F.col("square")[low]) / F.col("square")["size"] * n)))
+    near = x.join(o, [*keys, "level", "cx", "cy"]).where((own("x") == F.col("cx")) & (own("y") == F.col("cy")) & (covered_fraction(F.col("b"), F.col("ob")) >= least))
+    rank = F.when(F.col("role") == "ink", 1).when(F.col("role") == "placed_image", 2).when(F.col("role") == "full_page_scan", 3)
+    best = near.groupBy(*keys, "id").agg(F.min(rank).alias("r"))
+    name = F.when(F.col("r") == 1, PRIORITY[0]).when(F.col("r") == 2, PRIORITY[1]).when(F.col("r") == 3, PRIORITY[2]).otherwise("unmatched")
+    return boxes.select(*keys, "id").join(best, [*keys, "id"], "left").select(*keys, "id", name.alias("classification"))
+
+
 def candidates(predictions: DataFrame, truths: DataFrame, keys: list[str], least: float) -> DataFrame:
     """(keys, id, score, b, truth_id, tb, iou): predictions with each truth they overlap by ``least``, or with none."""
     on = [F.col(f"p.{k}") == F.col(f"t.{k}") for k in keys]
@@ -208,7 +278,7 @@ def benchmark_table(predictions: DataFrame, truths: DataFrame, most: int = 100)
     rows = rows.select("label", F.col("x.cell.size").alias("size"), F.col("x.cell.overlap").alias("overlap"), "page", "id", "score", F.col("x.code").alias("code")).where(F.col("code") != IGNORED)
     rows = rows.withColumn("hit", (F.col("code") == HIT).cast("long")).withColumn("one", F.lit(1).cast("long"))
     run = running_totals(rows.drop("code"), ["label", "size", "overlap"], [F.desc("score"), "page", "id"], ["hit", "one"])
-    curve = run.join(F.broadcast(counted), ["label", "size"]).select("label", "size", "overlap", "truths", (F.col("run_hit") / F.col("truths")).alias("recall"), (F.col("run_hit") / F.col("run_one")).alias("precision"))
+    curve = run.join(sent_if_small(counted), ["label", "size"]).select("label", "size", "overlap", "truths", (F.col("run_hit") / F.col("truths")).alias("recall"), (F.col("run_hit") / F.col("run_one")).alias("precision"))
     by = ["label", "size", "overlap"]
     every = counted.select("label", "size", "truths", F.explode(F.array(*map(F.lit, OVERLAPS))).alias("overlap"))
     reached = curve.groupBy(*by).agg(F.max("recall").alias("ar"))
@@ -246,5 +316,14 @@ def average_precision(matches: DataFrame, n_truths: DataFrame) -> DataFrame:
     """101-point interpolated average precision by label from (label, id, score, truth_id)."""
     rows = matches.select("label", "score", "id", F.col("truth_id").isNotNull().cast("long").alias("hit"), F.lit(1).cast("long").alias("one"))
     run = running_totals(rows, ["label"], [F.desc("score"), "id"], ["hit", "one"])
-    curve = run.join(F.broadcast(n_truths), "label").select("label", (F.col("run_hit") / F.col("t")).alias("recall"), (F.col("run_hit") / F.col("run_one")).alias("precision"))
+    curve = run.join(sent_if_small(n_truths), "label").select("label", (F.col("run_hit") / F.col("t")).alias("recall"), (F.col("run_hit") / F.col("run_one")).alias("precision"))
     return n_truths.join(interpolated(curve, ["label"]), "label", "left").select("label", F.coalesce("ap", F.lit(0.0)).alias("ap"))
+
+
+def evaluation_report(points: DataFrame) -> DataFrame:
+    """(report): one JSON document of operating points (conf, tp, fp, fn, recall, precision, pred_over_true), a handful of rows."""
+    share = lambda c, digits: F.format_string(f"%.{digits}f", F.col(c)).alias(c)
+    body = F.to_json(F.struct("tp", "fp", "fn", share("recall", 3), share("precision", 3), share("pred_over_true", 2)))
+    one = points.select(F.struct("conf", F.concat(F.lit('"'), F.format_string("%.1f", "conf"), F.lit('":'), body).alias("text")).alias("p"), (F.col("tp") + F.col("fn")).alias("n_gt"), (F.col("tp") + F.col("fp")).alias("n_pred"))
+    all_ = one.agg(F.max("n_gt").alias("n_gt"), F.max("n_pred").alias("n_pred"), F.array_sort(F.collect_list("p")).alias("ps"))
+    return all_.select(F.concat(F.lit('{"n_gt":'), F.col("n_gt").cast("string"), F.lit(',"n_pred":'), F.col("n_pred").cast("string"), F.lit(',"operating_points":{'), F.array_join("ps.text", ","), F.lit("}}")).alias("report"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.functions.verdicts import band, purpose
+from inkwell.functions.verdicts import band, placement, purpose
 
 
 def long_scores(pairs: DataFrame, scorers: list[str], keep: list[str]) -> DataFrame:
@@ -58,3 +58,29 @@ def histogram(rows: DataFrame, value: str, keys: list[str], low: float, high: fl
     at = F.floor((F.col(value) - low) / ((high - low) / bins))
     inside = rows.where((F.col(value) >= low) & (F.col(value) <= high))
     return inside.groupBy(*keys, F.least(at, F.lit(bins - 1)).cast("bigint").alias("bin")).agg(F.count("*").alias("n"))
+
+
+#: What a place of an observed score says, as the last line of a scorer's summary.
+PLACES = {
+    "both": "inside both ranges: this scorer does not tell them apart",
+    "unrelated": "within the range of unrelated pairs",
+    "same": "within the range of the same writer's pairs",
+    "between": "between the ranges",
+}
+
+
+def summary_lines(scores: DataFrame, observed: DataFrame) -> DataFrame:
+    """(scorer, line, text): the calibration as text, five lines for each scorer.
+
+    ``scores``: (scorer, use, s) with the uses ceiling and floor; ``observed``: (scorer, observed). Scorers
+    without either range have no summary.
+    """
+    of = lambda f, u: f(F.when(F.col("use") == u, F.col("s")))
+    stats = scores.groupBy("scorer").agg(*(of(f, u).alias(f"{u}_{n}") for u in ("ceiling", "floor") for f, n in ((F.count, "n"), (F.avg, "mean"), (F.min, "low"), (F.max, "high"))))
+    rows = stats.where("ceiling_n > 0 and floor_n > 0").join(observed, "scorer")
+    p = placement(F.col("observed"), F.col("ceiling_low"), F.col("floor_high"))
+    told = F.element_at(F.create_map(*(F.lit(x) for pair in PLACES.items() for x in pair)), p["place"])
+    ranged = lambda name, u: F.format_string(f"  {name} (n=%d): mean %.3f, range [%.3f, %.3f]", *(F.col(f"{u}_{c}") for c in ("n", "mean", "low", "high")))
+    way = F.when(p["place"] == "between", F.format_string(", %.0f%% of the way up", F.bround(p["fraction"] * 100))).otherwise("")
+    lines = F.array(F.upper("scorer"), ranged("same writer", "ceiling"), ranged("unrelated", "floor"), F.format_string("  observed: %.3f", F.col("observed")), F.concat(F.lit("  placement: "), told, way))
+    return rows.select("scorer", F.posexplode(lines).alias("line", "text"))

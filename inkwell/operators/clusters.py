@@ -2,8 +2,7 @@
 
 Order-dependent folds are rounds over a neighbour graph: a mark leads if no smaller mark in
 reach leads, which a few joins settle for all marks at once. Distances to clusters come from
-the clusters' sums. Only Ward's clustering needs all distances of a group in one task, and is
-bounded by ``MAX_WARD`` marks.
+the clusters' sums. Ward's clustering of a group beyond a block is done in rounds.
 """
 
 from __future__ import annotations
@@ -15,10 +14,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkwell.operators.pairs import blocked_pairs, in_blocks, pairs_in_groups, unit_vectors
-from inkwell.operators.staging import discarded, materialised
+from inkwell.operators.staging import discarded, leading_values, materialised
+from inkwell.operators.ward import BLOCK_ROWS, ward_labels
 
-#: Marks of a group at most for which hierarchical clustering is tried.
-MAX_WARD = 3000
 #: What the adaptive clustering tries.
 LEADER, SIMPLE, EPS, SAMPLES = 0.85, 0.8, (0.1, 0.15, 0.2, 0.25, 0.3), (2, 3)
 
@@ -199,10 +197,11 @@ def mean_silhouette(vectors: np.ndarray, labels: np.ndarray) -> float:
     return float(np.where((n[at] > 1) & (top > 0) & np.isfinite(b), (b - a) / np.where(top > 0, top, 1), 0.0).mean())
 
 
-def hierarchical_clusters(marks: DataFrame, keys: list[str], max_k: int = 8) -> DataFrame:
+def hierarchical_clusters(marks: DataFrame, keys: list[str], max_k: int = 8, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(keys, sig_id, label, score): Ward clusters of each group, the number of clusters by silhouette.
 
-    All distances of a group are in one task: groups are documents, or at most ``MAX_WARD`` marks.
+    Groups of at most ``block_rows`` marks are done by a task each, larger ones in rounds; both
+    give the same clusters.
     """
     kinds = dict(marks.dtypes)
 
@@ -221,7 +220,18 @@ def hierarchical_clusters(marks: DataFrame, keys: list[str], max_k: int = 8) ->
         return part[[*keys, "sig_id"]].assign(label=best[1].astype("int32"), score=float(max(best[0], -1.0)))
 
     schema = ", ".join(f"{k} {kinds[k]}" for k in [*keys, "sig_id"]) + ", label int, score double"
-    return marks.select(*keys, "sig_id", "v").groupBy(*keys).applyInPandas(block, schema)
+    sizes = materialised(marks.groupBy(*keys).agg(F.count("*").alias("_n")))
+    small = marks.join(sizes.where(F.col("_n") <= block_rows), keys, "left_semi")
+    found = small.select(*keys, "sig_id", "v").groupBy(*keys).applyInPandas(block, schema)
+    if not sizes.where(F.col("_n") > block_rows).limit(1).count():
+        return found
+    large = materialised(marks.join(sizes.where(F.col("_n") > block_rows), keys, "left_semi").select(*keys, "sig_id", "v"))
+    cuts = materialised(ward_labels(large, keys, max_k, block_rows))
+    judged = materialised(scored(cuts, large, keys, ["cut"]).withColumn("score", F.round("score", 12)))
+    best = cuts.join(first_best(judged, keys, ["cut"]), [*keys, "cut"])
+    numbers = best.select(*keys, "label").distinct().withColumn("_no", F.row_number().over(W.partitionBy(*keys).orderBy("label")) - 1)  # max_k rows a group
+    own = best.join(numbers, [*keys, "label"]).select(*keys, F.col("sig_id").cast(kinds["sig_id"]).alias("sig_id"), F.col("_no").cast("int").alias("label"), "score")
+    return found.unionByName(own)
 
 
 def scored(labelled: DataFrame, marks: DataFrame, by: list[str], keep: list[str]) -> DataFrame:
@@ -241,10 +251,9 @@ def adaptive_clusters(marks: DataFrame, by: list[str] | None = None) -> DataFram
     """(by, sig_id, label, method): of hierarchical, leader and density clustering the best by silhouette.
 
     Chosen for each group of ``by`` (none: the whole corpus). Density clustering is tried with
-    all of ``EPS`` and ``SAMPLES`` and judged without its noise; hierarchical clustering only
-    for groups of at most ``MAX_WARD`` marks. A method counts if it finds at least two
-    clusters and fewer than marks; if none does, first leaders at ``SIMPLE`` are taken. One
-    mark is one cluster, two are one from ``LEADER`` on.
+    all of ``EPS`` and ``SAMPLES`` and judged without its noise. A method counts if it finds
+    at least two clusters and fewer than marks; if none does, first leaders at ``SIMPLE`` are
+    taken. One mark is one cluster, two are one from ``LEADER`` on.
     """
     by = by or ["_all"]
     whole = by == ["_all"]
@@ -254,7 +263,7 @@ def adaptive_clusters(marks: DataFrame, by: list[str] | None = None) -> DataFram
     sizes = materialised(marks.groupBy(*by).agg(F.count("*").alias("n")))
     large = marks.join(sizes.where("n > 2"), by, "left_semi")
     labels = [leader_labels(large, edges.where(F.col("cosine") >= LEADER), by).withColumn("method", F.lit(1))]
-    ward = hierarchical_clusters(large.join(sizes.where(F.col("n") <= MAX_WARD), by, "left_semi"), by).drop("score")
+    ward = hierarchical_clusters(large, by).drop("score")
     labels.append(ward.withColumn("label", F.col("label").cast("long")).withColumn("method", F.lit(0)))
     grid = F.explode(F.array(*(F.struct(F.lit(i).alias("no"), F.lit(1 - e).alias("floor"), F.lit(m).alias("need")) for i, (e, m) in enumerate((e, m) for e in EPS for m in SAMPLES))))
     tried = large.select(*by, "sig_id", grid.alias("g")).select(*by, "sig_id", F.col("g.no").alias("no"), F.col("g.need").alias("need"))
@@ -293,7 +302,9 @@ def signer_profiles(marks: DataFrame, labels: DataFrame) -> DataFrame:
     ``documents`` holds the first of their names, 500 characters at most.
     """
     rows = materialised(marks.join(labels.select("sig_id", "label"), "sig_id").select("sig_id", "pdf", "label", "v"))
-    names = rows.select("label", "pdf").distinct().groupBy("label").agg(F.count("*").alias("n_documents"), F.substring(F.array_join(F.array_sort(F.collect_list("pdf")), ","), 1, 500).alias("documents"))
+    names = rows.select("label", "pdf").distinct().groupBy("label").agg(F.count("*").alias("n_documents"))
+    first = leading_values(rows, ["label"], "pdf").select("label", F.substring(F.array_join("first", ","), 1, 500).alias("documents"))
+    names = names.join(first, "label")
     sizes = rows.groupBy("label").agg(F.count("*").alias("n_signatures"), F.min("sig_id").alias("representative"))
     return sizes.join(names, "label").join(confidence(rows, ["label"]), "label")
 

@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 
 def duplicate_sources(files: DataFrame) -> DataFrame:
-    """(sha256, n, paths) of contents that occur more than once; digests are counted before paths are gathered."""
-    several = files.groupBy("sha256").agg(F.count("*").alias("n")).where("n > 1")
-    paths = files.join(several, "sha256").groupBy("sha256", "n").agg(F.array_join(F.array_sort(F.collect_list("rel_path")), ";").alias("paths"))
-    return paths.select("sha256", "n", "paths")
+    """(sha256, n, first_path, rel_path) of contents that occur more than once: a row for each path, as a common content may have any number."""
+    several = files.groupBy("sha256").agg(F.count("*").alias("n"), F.min("rel_path").alias("first_path")).where("n > 1")
+    return files.join(several, "sha256").select("sha256", "n", "first_path", "rel_path")
 
 
 def summed_by_extension(files: DataFrame) -> DataFrame:

@@ -134,17 +134,73 @@ def blocked_top(marks: DataFrame, k: int, block_rows: int = 2000, vector: str =
     return cells.applyInPandas(cell, "sig_a long, sig_b long, cosine double").orderBy(F.desc("cosine"), "sig_a", "sig_b").limit(k)
 
 
+#: Fixed values of the digest of a pair, which any engine with 64-bit whole numbers can follow.
+PRIME, FACTORS = 2**31 - 1, (48271, 69621, 16807, 40692)
+
+
+def pair_digest(a: np.ndarray, b: np.ndarray, seed: int) -> np.ndarray:
+    """62 bits that depend on both ids and the seed: two remainders, of seed and seed + 1, one above the other."""
+    x, y = a % PRIME, b % PRIME
+
+    def remainder(seed):
+        h = (x * FACTORS[0] + y * FACTORS[1] + seed) % PRIME
+        h = (h * h + x * FACTORS[2]) % PRIME
+        return (h * h + y * FACTORS[3]) % PRIME
+
+    return remainder(seed) * (PRIME + 1) + remainder(seed + 1)
+
+
+def digest_sql(a: str, b: str, seed: int) -> str:
+    """The same in SQL."""
+    x, y = (f"((({i} % {PRIME}) + {PRIME}) % {PRIME})" for i in (a, b))
+
+    def remainder(seed):
+        h = f"(({x} * {FACTORS[0]} + {y} * {FACTORS[1]} + {seed}) % {PRIME})"
+        h = f"(({h} * {h} + {x} * {FACTORS[2]}) % {PRIME})"
+        return f"(({h} * {h} + {y} * {FACTORS[3]}) % {PRIME})"
+
+    return f"({remainder(seed)} * {PRIME + 1} + {remainder(seed + 1)})"
+
+
+def floor_trials(marks: DataFrame, k: int = 30, seed: int = 42, by: str = "writer", block_rows: int = 2000, vector: str = "v") -> DataFrame:
+    """(sig_a, sig_b, digest, cosine) of ``k`` pairs of all that differ in ``by``: those of the least digest.
+
+    Each cell of blocks sends its own ``k`` least on, as a sketch that merges, so that the
+    pairs are neither sorted nor written. Marks without a value of ``by`` are in no trial.
+    """
+
+    def cell(part: pd.DataFrame) -> pd.DataFrame:
+        left, right, sims = sides(part)
+        far = ~np.isnan(sims) & (left[by].to_numpy()[:, None] != right[by].to_numpy()[None])
+        i, j = np.nonzero(far)
+        x, y = left["sig_id"].to_numpy(np.int64)[i], right["sig_id"].to_numpy(np.int64)[j]
+        found = pd.DataFrame({"sig_a": np.minimum(x, y), "sig_b": np.maximum(x, y)})
+        found["digest"] = pair_digest(found["sig_a"].to_numpy(), found["sig_b"].to_numpy(), seed)
+        found["cosine"] = sims[i, j]
+        if len(found) > k:
+            found = found[found["digest"] <= np.partition(found["digest"].to_numpy(), k - 1)[k - 1]]
+        return found.sort_values(["digest", "sig_a", "sig_b"]).head(k)
+
+    cells = block_cells(marks.where(F.col(by).isNotNull()), block_rows, vector, [by]).groupBy("lo", "hi")
+    return cells.applyInPandas(cell, "sig_a long, sig_b long, digest long, cosine double").orderBy("digest", "sig_a", "sig_b").limit(k)
+
+
 def in_blocks(left: DataFrame, right: DataFrame, keys: list[str], sides_by: tuple[str, str], step, schema: str, block_rows: int = 4000) -> DataFrame:
     """``step(left rows, right rows)`` for every pair of blocks of two tables that share ``keys``.
 
     Both tables are dealt to blocks by a digest of a column of theirs, so that a task holds
     two blocks, however large a key is; a row is copied once for each block of the other table.
     """
-    n = [max(1, math.ceil(t.count() / block_rows)) for t in (left, right)]
-    of = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
-    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    x = left.withColumn("_l", of(sides_by[0], n[0])).withColumn("_r", every(n[1]))
-    y = right.withColumn("_r", of(sides_by[1], n[1])).withColumn("_l", every(n[0]))
+    of = lambda c, k: F.pmod(F.xxhash64(c), k).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), k - 1))
+    if keys:
+        counts = [t.groupBy(*keys).agg(F.ceil(F.count("*") / block_rows).cast("int").alias(c)) for t, c in ((left, "_nl"), (right, "_nr"))]
+        n = counts[0].join(counts[1], keys, "full").select(*keys, *(F.coalesce(c, F.lit(1)).alias(c) for c in ("_nl", "_nr")))
+        left, right, nl, nr = left.join(n, keys), right.join(n, keys), F.col("_nl"), F.col("_nr")
+    else:
+        nl, nr = (F.lit(max(1, math.ceil(t.count() / block_rows))) for t in (left, right))
+    x = left.withColumn("_l", of(sides_by[0], nl)).withColumn("_r", every(nr))
+    y = right.withColumn("_r", of(sides_by[1], nr)).withColumn("_l", every(nl))
     cells = [*keys, "_l", "_r"]
     return x.groupBy(*cells).cogroup(y.groupBy(*cells)).applyInPandas(step, schema)
 

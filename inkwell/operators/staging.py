@@ -53,3 +53,35 @@ def ranked(df: DataFrame, order: list, name: str) -> DataFrame:
     before = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
     place = F.row_number().over(W.partitionBy("_part").orderBy(*order)) + F.col("_before")
     return parts.join(F.broadcast(before), "_part").withColumn(name, place.cast("bigint")).drop("_part", "_before")
+
+
+def leading_values(rows: DataFrame, by: list[str], value: str, most: int = 500, parts: int = 64) -> DataFrame:
+    """(by, first): the ``most`` smallest distinct values of each key, in order.
+
+    A key's values are ranked in ``parts`` first and those that lead there together then, so
+    that no task holds all of a key's.
+    """
+    place = lambda *keys: F.row_number().over(W.partitionBy(*keys).orderBy(value))
+    own = rows.select(*by, value).distinct().withColumn("_part", F.pmod(F.xxhash64(value), F.lit(parts)))
+    some = own.withColumn("_r", place(*by, "_part")).where(F.col("_r") <= most)
+    top = some.withColumn("_r", place(*by)).where(F.col("_r") <= most)
+    return top.groupBy(*by).agg(F.array_sort(F.collect_list(value)).alias("first"))
+
+
+def ranked_within(df: DataFrame, by: str, order: list, name: str) -> DataFrame:
+    """``df`` with the place of each row, from 1, among those of its key.
+
+    Rows are dealt out by ranges of key and order, so that a key of any size falls into several;
+    what is added up by key is a row for each range that it touches.
+    """
+    parts = materialised(df.repartitionByRange(by, *order).withColumn("_part", F.spark_partition_id()))
+    sizes = parts.groupBy(by, "_part").agg(F.count("*").alias("_n"))
+    before = sizes.select(F.col(by).alias("_by"), F.col("_part").alias("_at"), (F.sum("_n").over(W.partitionBy(by).orderBy("_part")) - F.col("_n")).alias("_before"))
+    own = parts.withColumn("_own", F.row_number().over(W.partitionBy(by, "_part").orderBy(*order)))
+    joined = own.join(before, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_part") == F.col("_at")))
+    return joined.withColumn(name, (F.col("_own") + F.col("_before")).cast("bigint")).drop("_part", "_own", "_by", "_at", "_before")
+
+
+def sent_if_small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """``df`` for all tasks if it has at most ``most`` rows, else as it is; it is counted up to there."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

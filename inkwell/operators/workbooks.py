@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.functions.strings import mark_id
 from inkwell.functions.verdicts import confidence_level, relationship_strength
 
 MISSING = "N/A"
@@ -187,3 +188,33 @@ def file_counts(files: DataFrame, human) -> dict[str, DataFrame]:
     by_dir = files.groupBy(F.col("directory").alias("Directory")).agg(F.count("*").alias("Files"), F.count_if(pdf).alias("PDFs"), F.count_if(image).alias("Images"), size.alias("Size (bytes)"))
     sized = lambda df: df.withColumn("Size", human(F.col("Size (bytes)")))
     return {"Summary": summary, "By extension": sized(by_ext), "By directory": sized(by_dir)}
+
+
+def mark_metadata(marks: DataFrame) -> DataFrame:
+    """Signature_Metadata of (sig_id, pdf, page, number, score, b): a mark's id, place, box and file."""
+    name = F.concat(F.col("pdf").cast("string"), F.lit(".pdf"))
+    ident = mark_id(F.col("pdf").cast("string"), F.col("page"), F.col("number"))
+    return marks.select(
+        ident.alias("unique_id"), name.alias("pdf_name"), F.col("page").alias("page_number"), F.col("number").alias("signature_index"), F.round("score", 4).alias("confidence_score"),
+        F.to_json(F.array(*(F.col("b")[c] for c in ("x0", "y0", "x1", "y1")))).alias("bounding_box"), F.concat(F.lit("signatures/"), ident, F.lit(".png")).alias("signature_path"),
+    )
+
+
+def similarity_analysis_legacy(pairs: DataFrame, methods: list[str], optional: tuple[str, ...] = ()) -> DataFrame:
+    """Similarity_Analysis_Legacy of compared pairs: scores as they are, "N/A" for an optional method without one, and three thresholds."""
+    scores = [F.coalesce(F.round(m, 6).cast("string"), F.lit("N/A")).alias(f"{m}_similarity") if m in optional else F.round(m, 6).alias(f"{m}_similarity") for m in methods]
+    over = [(F.col("combined") >= t / 100).alias(f"similarity_threshold_{t}") for t in (70, 80, 90)]
+    return pairs.select(
+        F.col("pdf").alias("pdf_name"), F.col("sig_a").alias("signature1_id"), F.col("sig_b").alias("signature2_id"), F.col("page_a").alias("signature1_page"), F.col("page_b").alias("signature2_page"),
+        *scores, F.round("combined", 6).alias("combined_similarity"), *over,
+    )
+
+
+def error_analysis(failed: DataFrame) -> DataFrame:
+    """Error_Analysis of (pdf, error)."""
+    return failed.select(F.col("pdf").cast("string").alias("pdf_path"), "error")
+
+
+def detailed_analysis(stats: DataFrame) -> DataFrame:
+    """Detailed_Analysis of (pdf, signer, n): a row for every target and reference signer."""
+    return stats.select(F.col("pdf").alias("PDF_Name"), F.col("signer").alias("Reference_Signer"), F.col("n").alias("Signature_Count"), yes_no(F.col("n") > 0).alias("Present"))

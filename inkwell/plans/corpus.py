@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import geometry, strings
 from inkwell.operators.corpus import duplicate_sources, summed_by_extension
+from inkwell.operators.staging import ranked_within
 from inkwell.plans.base import files, page_objects, query, read, with_views
 
 KIND = """CASE WHEN rel_path LIKE '%.zip' THEN NULL WHEN rel_path LIKE '%.pdf' THEN 'pdf' WHEN rel_path LIKE '%.PNG' THEN 'image'
@@ -36,10 +37,44 @@ def a5(spark, d):
     return summed_by_extension(f)
 
 
-@query("a7_f44_archives", with_views("files") + f" SELECT {EXT} AS ext, count(*) AS n, count_if({EXT} IN ('zip')) AS archives, count_if({EXT} = 'docx') AS zip_documents FROM files GROUP BY 1")
+#: Name ends and first bytes that the documents get in turn, so that each meets each.
+ENDS = (".zip", ".tar", ".tar.gz", ".TGZ", ".tar.bz2", ".tbz", ".tar.xz", ".txz", ".rar", ".part1.rar", ".part2.rar", ".PART02.rar", ".part10.rar", ".r00", ".z01", ".docx", ".docm", ".KMZ", ".whl", ".epub", "", ".dat", ".txt", ".7z")
+HEADS = ("", "504B0304", "504B0506", "504B0708", "1F8B08", "425A68", "FD377A585A00", "377ABCAF271C", "526172211A0700", "526172211A070100", "00" * 257 + "7573746172")
+NAMED = f"""named AS (SELECT doc_id, 'doc' || doc_id || ([{", ".join(f"'{e}'" for e in ENDS)}])[doc_id % {len(ENDS)} + 1] AS name,
+  ([{", ".join(f"'{h}'" for h in HEADS)}])[doc_id // {len(ENDS)} % {len(HEADS)} + 1] || hex(encode(coalesce(text, ''))) AS digits FROM documents),
+kinds AS (SELECT *, CASE WHEN lower(name) LIKE '%.zip' THEN 'zip' WHEN regexp_matches(lower(name), '\\.(tar|tar\\.gz|tgz|tar\\.bz2|tbz|tar\\.xz|txz)$') THEN 'tar' WHEN lower(name) LIKE '%.rar' THEN 'rar' END AS by_name,
+  CASE WHEN starts_with(digits, '504B0304') OR starts_with(digits, '504B0506') OR starts_with(digits, '504B0708') THEN 'zip' WHEN substr(digits, 515, 10) = '7573746172' OR starts_with(digits, '1F8B') OR starts_with(digits, '425A68') OR starts_with(digits, 'FD377A585A00') THEN 'tar'
+  WHEN starts_with(digits, '377ABCAF271C') THEN '7z' WHEN starts_with(digits, '526172211A07') THEN 'rar' END AS by_content,
+  regexp_matches(lower(name), '\\.({"|".join(strings.ZIP_DOCUMENTS)})$') AS zip_document, regexp_matches(lower(name), '(\\.part0*([2-9]|[0-9]{{2,}})\\.rar|\\.[rz][0-9]{{2}})$') AS later_volume FROM named)"""
+
+
+def named(spark, d):
+    """(doc_id, name, content) of the documents with the names and first bytes above."""
+    i = F.col("doc_id")
+    pick = lambda values, k: F.element_at(F.array(*map(F.lit, values)), (k % len(values) + 1).cast("int"))
+    head = F.unhex(pick(HEADS, F.expr(f"doc_id div {len(ENDS)}")))
+    name = F.concat(F.lit("doc"), i.cast("string"), pick(ENDS, i))
+    return read(spark, d, "documents").select("doc_id", name.alias("name"), F.concat(head, F.coalesce("text", F.lit("")).cast("binary")).alias("content"))
+
+
+@query("a6_a7_archive_kinds", f"WITH {NAMED}" + """ SELECT doc_id, name, by_name, by_content, zip_document, later_volume, CASE WHEN NOT zip_document AND NOT later_volume THEN coalesce(by_name, by_content) END AS kind,
+CASE WHEN by_name IS NOT NULL THEN regexp_replace(name, '(?i)(\\.tar\\.bz2|\\.tar\\.gz|\\.tar\\.xz|\\.tar|\\.tgz|\\.tbz|\\.txz|\\.zip|\\.rar)$', '') ELSE regexp_replace(name, '\\.[^./]*$', '') END AS stem FROM kinds""")
+def a6(spark, d):
+    """What each document would be as a file: by name, by content, and what a scan for archives makes of both."""
+    n, c = F.col("name"), F.col("content")
+    return named(spark, d).select(
+        "doc_id", "name", strings.archive_kind(n).alias("by_name"), strings.sniffed_archive(c).alias("by_content"), strings.is_zip_document(n).alias("zip_document"),
+        strings.is_later_volume(n).alias("later_volume"), strings.container_kind(n, c).alias("kind"), strings.archive_stem(n).alias("stem"),
+    )
+
+
+@query("a7_f44_archives", f"WITH {NAMED}" + """ SELECT CASE WHEN regexp_matches(name, '\\.') THEN lower(regexp_extract(name, '\\.([A-Za-z0-9]+)$', 1)) ELSE '' END AS ext, count(*) AS n,
+count(CASE WHEN NOT zip_document AND NOT later_volume THEN coalesce(by_name, by_content) END) AS archives, count_if(zip_document) AS zip_documents, count_if(later_volume) AS later_volumes FROM kinds GROUP BY 1""")
 def a7(spark, d):
-    e = strings.extension(F.col("rel_path"))
-    return files(spark, d).groupBy(e.alias("ext")).agg(F.count("*").alias("n"), F.count_if(e.isin(*strings.ARCHIVES)).alias("archives"), F.count_if(e.isin(*strings.ZIP_DOCUMENTS)).alias("zip_documents"))
+    """Files by extension, as a scan for archives counts them."""
+    n = F.col("name")
+    counts = [F.count(strings.container_kind(n, F.col("content"))).alias("archives"), F.count_if(strings.is_zip_document(n)).alias("zip_documents"), F.count_if(strings.is_later_volume(n)).alias("later_volumes")]
+    return named(spark, d).groupBy(strings.extension(n).alias("ext")).agg(F.count("*").alias("n"), *counts)
 
 
 @query("a16_find_files", with_views("files") + " SELECT rel_path, size FROM files WHERE lower(rel_path) LIKE '%.pdf' OR lower(rel_path) LIKE '%.png'")
@@ -55,7 +90,7 @@ def a18(spark, d):
     return read(spark, d, "events").groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n"), F.count(raw.try_cast("double")).alias("good"), F.count_if(F.lower(F.trim(signed)) == "true").alias("signed"))
 
 
-@query("f1_f3_duplicate_sources", with_views("files") + " SELECT sha256(text) AS sha256, count(*) AS n, array_to_string(list_sort(list(rel_path)), ';') AS paths FROM files GROUP BY 1 HAVING count(*) > 1")
+@query("f1_f3_duplicate_sources", with_views("files") + ", g AS (SELECT sha256(text) AS sha256, count(*) AS n, min(rel_path) AS first_path FROM files GROUP BY 1 HAVING count(*) > 1) SELECT g.sha256, n, first_path, rel_path FROM files JOIN g ON g.sha256 = sha256(text)")
 def f1(spark, d):
     return duplicate_sources(files(spark, d).select(F.sha2("text", 256).alias("sha256"), "rel_path"))
 
@@ -150,10 +185,14 @@ def f5(spark, d):
     return composed(spark, d).groupBy("host").agg(F.count("*").alias("n_pages"), F.count_if(c == "scanned").alias("scanned"), F.count_if(c == "native").alias("native"), F.count_if(c == "image_only").alias("image_only"), F.sum("n_links").alias("links"), F.sum("n_images").alias("images"))
 
 
-@query("f6_fonts_with_several_tags", "SELECT event_type AS base, user_id % 20 AS doc, count(DISTINCT event_id % 3) AS tags FROM events WHERE value > 15 GROUP BY 1, 2 HAVING count(DISTINCT event_id % 3) > 1")
+@query("f6_fonts_with_several_tags", """WITH f AS (SELECT user_id AS doc, (['AAAAAA+', 'BBBBBB+', 'CCCCCC+', ''])[event_id % 4 + 1] || event_type AS font FROM events)
+SELECT doc, regexp_extract(font, '[^+]*$') AS base, count(DISTINCT split_part(font, '+', 1)) AS tags FROM f WHERE contains(font, '+') GROUP BY 1, 2 HAVING count(DISTINCT split_part(font, '+', 1)) > 1""")
 def f6(spark, d):
-    e = read(spark, d, "events").where("value > 15")
-    return e.groupBy(F.col("event_type").alias("base"), (F.col("user_id") % 20).alias("doc")).agg(F.countDistinct(F.col("event_id") % 3).alias("tags")).where("tags > 1")
+    """Fonts that a document holds under several subset tags; event types are the fonts, every fourth without a tag."""
+    tag = F.element_at(F.array(*map(F.lit, ("AAAAAA+", "BBBBBB+", "CCCCCC+", ""))), (F.col("event_id") % 4 + 1).cast("int"))
+    font = F.split(F.concat(tag, F.col("event_type")), r"\+", 2)
+    e = read(spark, d, "events").select(F.col("user_id").alias("doc"), font.alias("f")).where(F.size("f") == 2)
+    return e.groupBy("doc", F.col("f")[1].alias("base")).agg(F.countDistinct(F.col("f")[0]).alias("tags")).where("tags > 1")
 
 
 @query("f8_h4_top_producers", with_views("pg") + " SELECT host, count(*) AS n FROM pg GROUP BY host ORDER BY n DESC, host LIMIT 10")
@@ -161,12 +200,6 @@ def f8(spark, d):
     return page_objects(spark, d).groupBy("host").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "host").limit(10)
 
 
-@query("f12_extraction_totals", """SELECT count(*) AS archives, count_if(doc_id % 7 = 0) AS partial, count_if(doc_id % 11 = 0) AS bad, sum(n_chars)::BIGINT AS bytes, max(doc_id % 4)::BIGINT AS depth FROM documents WHERE doc_id % 5 = 3""")
-def f12(spark, d):
-    i = F.col("doc_id")
-    return read(spark, d, "documents").where(i % 5 == 3).agg(F.count("*").alias("archives"), F.count_if(i % 7 == 0).alias("partial"), F.count_if(i % 11 == 0).alias("bad"), F.sum("n_chars").alias("bytes"), F.max(i % 4).alias("depth"))
-
-
 @query("f17_i2_processing_summary", """WITH s AS (SELECT doc_id, n_chars, 'success' AS status FROM documents WHERE doc_id % 9 <> 0), e AS (SELECT doc_id, 'error' AS status FROM documents WHERE doc_id % 9 = 0)
 SELECT status, count(*) AS n, count(n_chars) AS with_size, coalesce(sum(n_chars), 0)::BIGINT AS size FROM (SELECT doc_id, n_chars, status FROM s UNION ALL SELECT doc_id, NULL, status FROM e) u GROUP BY status""")
 def f17(spark, d):
@@ -201,9 +234,9 @@ def i4(spark, d):
 
 @query("b16_h8_contact_sheets", """WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents) SELECT source, (rn - 1) // 36 AS sheet, count(*) AS n, min(doc_id) AS first FROM r GROUP BY 1, 2""")
 def b16(spark, d):
-    rn = F.row_number().over(W.partitionBy("source").orderBy("doc_id"))
-    r = read(spark, d, "documents").select("source", "doc_id", F.floor((rn - 1) / 36).alias("sheet"))
-    return r.groupBy("source", "sheet").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+    """Sheets of 36 by source: places within a source are counted over ranges, as one may hold a third of all."""
+    r = ranked_within(read(spark, d, "documents").select("source", "doc_id"), "source", ["doc_id"], "rn")
+    return r.groupBy("source", F.floor((F.col("rn") - 1) / 36).alias("sheet")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
 
 
 @query("c37_c38_json", """SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL""")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from inkwell.functions import geometry as g
 from inkwell.operators import boxes as ob
 from inkwell.plans.base import annotations, boxes, objects, query, read, truths, with_views
+from inkwell.streaming.pages import page_lists
 
 r6 = lambda c: F.round(c, 6)
 
@@ -115,6 +116,12 @@ def e5_grid(spark, d):
     return ob.reconcile_on_grid(boxes(spark, d), objects(spark, d), ["page"])
 
 
+@query("e5_box_reconciliation_tree", CLASSIFIED + " SELECT page, id, classification FROM classified")
+def e5_tree(spark, d):
+    """The same over quad-trees, as pages with any number of boxes need it."""
+    return ob.reconcile_on_tree(boxes(spark, d), objects(spark, d), ["page"])
+
+
 @query("f9_f10_mark_counts", CLASSIFIED + """ SELECT page, count_if(classification = 'pasted_image') AS pasted_image, count_if(classification = 'vector_ink') AS vector_ink, count_if(classification = 'scanned_wet_ink') AS scanned_wet_ink,
 count_if(classification = 'unmatched') AS unmatched, count_if(id % 10 = 0) AS crypto_signed, count_if(id % 10 = 1) AS crypto_empty,
 count_if(classification IN ('pasted_image', 'vector_ink')) + count_if(id % 10 = 0) AS total_digital, count(*) AS total_detected FROM classified GROUP BY page""")
@@ -171,6 +178,14 @@ def f40(spark, d):
     return points.select("conf", "tp", "fp", "fn", r6(F.col("recall")).alias("recall"), r6(F.col("precision")).alias("precision"), r6(F.col("pred_over_true")).alias("pred_over_true"))
 
 
+@query("b12_evaluation_report", GREEDY + """, c AS (SELECT conf, count_if(score / 40 >= conf) AS n, count_if(score / 40 >= conf AND truth_id IS NOT NULL) AS tp FROM matches CROSS JOIN (VALUES (0.3::DOUBLE), (0.5), (0.7), (0.9)) v(conf) GROUP BY conf), t AS (SELECT count(*) AS t FROM gt)
+SELECT '{"n_gt":' || max(t) || ',"n_pred":' || max(n) || ',"operating_points":{' || string_agg(printf('"%.1f":{"tp":%d,"fp":%d,"fn":%d,"recall":"%.3f","precision":"%.3f","pred_over_true":"%.2f"}', conf, tp, n - tp, t - tp, tp / t, tp / n, n / t), ',' ORDER BY conf) || '}}' AS report FROM c CROSS JOIN t""")
+def b12(spark, d):
+    """The evaluation as one JSON document."""
+    points = ob.operating_points(boxes(spark, d).withColumn("score", F.col("score") / 40), truths(spark, d), "page")
+    return ob.evaluation_report(points)
+
+
 @query("f41_average_precision", GREEDY + """, t AS (SELECT (id % 3) AS label, count(*) AS t FROM gt GROUP BY 1),
 r AS (SELECT id % 3 AS label, sum(CASE WHEN truth_id IS NULL THEN 0 ELSE 1 END) OVER w AS tp, count(*) OVER w AS n FROM matches WINDOW w AS (PARTITION BY id % 3 ORDER BY score DESC, id ROWS UNBOUNDED PRECEDING)),
 c AS (SELECT r.label, tp / t AS recall, tp / n AS precision FROM r JOIN t ON r.label = t.label), g AS (SELECT label, k, (SELECT max(precision) FROM c WHERE c.label = t.label AND c.recall + 1e-11 >= k / 100) AS p FROM t CROSS JOIN (SELECT unnest(range(101)) AS k) q)
@@ -224,10 +239,11 @@ def g1(spark, d):
     return boxes(spark, d).select("page", "id", F.row_number().over(order).cast("bigint").alias("number"))
 
 
-@query("f29_f30_file_rollup", with_views("box") + """ SELECT page % 10 AS file, count(DISTINCT page) AS total_pages, array_to_string(list_sort(list(DISTINCT CASE WHEN score > 30 THEN page END)), ',') AS pages, count_if(score > 30) AS n FROM box GROUP BY page % 10""")
+@query("f29_f30_file_rollup", with_views("box") + """ SELECT page // 50 AS file, count(DISTINCT page) AS total_pages, coalesce(array_to_string(list_sort(list(DISTINCT CASE WHEN score > 30 THEN page END)), ','), '') AS pages, count_if(score > 30) AS n FROM box GROUP BY 1""")
 def f29(spark, d):
-    hit = F.when(F.col("score") > 30, F.col("page"))
-    return boxes(spark, d).groupBy((F.col("page") % 10).alias("file")).agg(F.countDistinct("page").alias("total_pages"), F.array_join(F.array_sort(F.collect_set(hit)), ",").alias("pages"), F.count_if(F.col("score") > 30).alias("n"))
+    """Files of 50 pages: parts are added up by page, and a file's list is made of its pages."""
+    pages = boxes(spark, d).groupBy(F.expr("page div 50").alias("file"), "page").agg(F.count_if(F.col("score") > 30).alias("n"))
+    return page_lists(pages)
 
 
 @query("c42_g7_otsu", """WITH h AS (SELECT event_type, least(greatest(floor(value), 0), 255) AS bin, count(*) AS n FROM events GROUP BY 1, 2),
@@ -309,11 +325,15 @@ def i1(spark, d):
     return both.groupBy("category_id", "bbox").agg(F.count("*").alias("n"))
 
 
-@query("h6_split_by_image")
+#: A digest of an id in whole numbers, the same in any engine.
+SPLIT = "(((x * 48271 + 42) % 2147483647 * ((x * 48271 + 42) % 2147483647) + x * 16807) % 2147483647)"
+
+
+@query("h6_split_by_image", with_views("ann") + f", d AS (SELECT image_id, image_id % 2147483647 AS x FROM ann) SELECT CASE WHEN {SPLIT} % 100 < 80 THEN 'train' ELSE 'test' END AS part, count(DISTINCT image_id) AS images, count(*) AS boxes FROM d GROUP BY 1")
 def h6(spark, d):
-    """80/20 by a digest of the image, so that all boxes of an image fall on one side."""
-    train = F.pmod(F.xxhash64("image_id", F.lit(42)), F.lit(100)) < 80
-    return annotations(spark, d).groupBy(F.when(train, "train").otherwise("test").alias("part")).agg(F.countDistinct("image_id").alias("images"), F.count("*").alias("boxes"))
+    """80/20 by a seeded digest of the image, so that all boxes of an image fall on one side."""
+    parts = annotations(spark, d).select("image_id", F.expr("image_id % 2147483647").alias("x")).select("image_id", F.expr(f"CASE WHEN {SPLIT} % 100 < 80 THEN 'train' ELSE 'test' END").alias("part"))
+    return parts.groupBy("part").agg(F.countDistinct("image_id").alias("images"), F.count("*").alias("boxes"))
 
 
 @query("l5_shards", "WITH r AS (SELECT page_id, ntile(8) OVER (ORDER BY page_id) - 1 AS shard FROM pages) SELECT shard, count(*) AS n, min(page_id) AS first, max(page_id) AS last FROM r GROUP BY shard")

@@ -6,8 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from inkwell.functions import rasters as r
+from inkwell.operators import regions
 from inkwell.plans.base import query, sig, with_views
 
 SIDE = 8
@@ -131,3 +133,30 @@ def page_measures(spark, d):
         return int(r.ink_patches(m.astype(float), 16).sum()), r.white_fraction(np.where(m, 0, 255)), round(angle, 4), round(cx, 4), round(cy, 4), round(r.ink_aspect(m), 6)
 
     return by_page(spark, d, "sig_id long, inked_patches long, white double, angle double, cx double, cy double, aspect double", measure)
+
+
+#: The pages of a document below each other, with an empty row between them.
+TALL = PAGE + 1
+
+
+@query("c55_c56_parts_by_tiles", PIXELS + """ SELECT uni.pdf, count(px.x) AS ink, true AS whole FROM uni LEFT JOIN px ON uni.sig_id = px.sig_id GROUP BY uni.pdf""")
+def parts_by_tiles(spark, d):
+    """Ink of each document as its connected parts have it, of one tall picture in tiles of 256; ``whole``: as many parts, of the same sizes, as its pages labelled at once have."""
+
+    def dark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [(p, i % 50 * TALL, *np.nonzero(page_of(i, v))) for i, p, v in zip(batch["sig_id"], batch["pdf"], batch["v"], strict=True)]
+            yield pd.DataFrame({"pdf": np.repeat([f[0] for f in found], [len(f[2]) for f in found]), "y": np.concatenate([f[1] + f[2] for f in found]), "x": np.concatenate([f[3] for f in found])})
+
+    s = sig(spark, d).select("sig_id", "pdf", "v")
+    parts = regions.connected_parts(s.mapInPandas(dark, "pdf long, y long, x long"), ["pdf"], 256)
+    sizes = parts.groupBy("pdf").agg(F.sum("n").alias("ink"), F.count("*").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"))
+
+    def at_once(m: np.ndarray) -> tuple:
+        n = np.bincount(r.labelled(m).ravel())[1:]
+        return len(n), int((n * n).sum())
+
+    pages = by_page(spark, d, "sig_id long, n long, squares long", at_once).join(s.select("sig_id", "pdf"), "sig_id")
+    wanted = pages.groupBy("pdf").agg(F.sum("n").alias("want_n"), F.sum("squares").alias("want_squares"))
+    whole = (F.coalesce("n", F.lit(0)) == F.col("want_n")) & (F.coalesce("squares", F.lit(0)) == F.col("want_squares"))
+    return wanted.join(sizes, "pdf", "left").select("pdf", F.coalesce("ink", F.lit(0)).alias("ink"), whole.alias("whole"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from inkwell.functions import verdicts as fv
+from inkwell.functions.vectors import cosine
 from inkwell.operators import calibration as cal
-from inkwell.operators import crossref
+from inkwell.operators import crossref, links, pairs
+from inkwell.operators.pairs import digest_sql
 from inkwell.plans.base import query, read, sig, with_views
 from inkwell.plans.vectors import MATCH_SQL, document_pairs, matched
 
@@ -81,6 +84,19 @@ def f36(spark, d):
     return cal.histogram(s, "s", ["scorer"], -1.0, 1.0)
 
 
+@query("b11_calibration_summary", CASE + """, o AS (SELECT scorer, avg(s) AS observed FROM ls WHERE kind LIKE 'ref-questioned%' GROUP BY scorer),
+c AS (SELECT scorer, count_if(kind LIKE 'ref-ref%') AS cn, avg(CASE WHEN kind LIKE 'ref-ref%' THEN s END) AS cm, min(CASE WHEN kind LIKE 'ref-ref%' THEN s END) AS cl, max(CASE WHEN kind LIKE 'ref-ref%' THEN s END) AS ch,
+ count_if(kind LIKE 'ref-control%') AS fn, avg(CASE WHEN kind LIKE 'ref-control%' THEN s END) AS fm, min(CASE WHEN kind LIKE 'ref-control%' THEN s END) AS fl, max(CASE WHEN kind LIKE 'ref-control%' THEN s END) AS fh FROM ls GROUP BY scorer),
+t AS (SELECT c.scorer, [upper(c.scorer), printf('  same writer (n=%d): mean %.3f, range [%.3f, %.3f]', cn, cm, cl, ch), printf('  unrelated (n=%d): mean %.3f, range [%.3f, %.3f]', fn, fm, fl, fh), printf('  observed: %.3f', observed),
+ '  placement: ' || CASE WHEN observed <= fh AND observed >= cl THEN 'inside both ranges: this scorer does not tell them apart' WHEN observed <= fh THEN 'within the range of unrelated pairs' WHEN observed >= cl THEN 'within the range of the same writer''s pairs'
+ ELSE printf('between the ranges, %.0f%% of the way up', 100 * (observed - fh) / (cl - fh)) END] AS lines FROM c JOIN o ON c.scorer = o.scorer) SELECT scorer, unnest(range(5))::INT AS line, unnest(lines) AS text FROM t""")
+def b11_summary(spark, d):
+    """The calibration of each scorer as text, with the mean of the questioned pairs as the observed score."""
+    s = cal.long_scores(case_pairs(spark, d), SCORERS, ["kind"])
+    observed = s.where(F.col("kind").startswith("ref-questioned")).groupBy("scorer").agg(F.avg("s").alias("observed"))
+    return cal.summary_lines(s.withColumn("use", fv.purpose(F.col("kind"))), observed)
+
+
 @query("f38_f39_correlations", CASE + " SELECT kind, count(*) AS n, CASE WHEN count(*) >= 3 THEN round(corr(vgg, vit), 6) END AS r FROM ck GROUP BY kind")
 def f38(spark, d):
     c = cal.correlation(case_pairs(spark, d), "vgg", "vit", ["kind"])
@@ -197,12 +213,40 @@ def e12(spark, d):
     return joined.select("sig_id", "pdf", F.coalesce("w", F.lit("Unknown")).alias("within_cluster"), F.coalesce("c", F.lit("Unknown")).alias("signer"))
 
 
-@query("e13_e14_metadata_links", with_views("sig") + " SELECT s.sig_id, coalesce(e.event_type, 'unlinked') AS kind FROM sig s LEFT JOIN events e ON e.event_id = s.sig_id * 3 AND e.user_id % 2 = 0")
+#: Marks' files, and records of events whose paths, names, ids or tokens point to one of them, or to none.
+LINKED = with_views("sig") + """, f AS (SELECT sig_id, 'crops/doc' || pdf || '/doc' || pdf || '_p' || page || '_sig' || sig_id || '.png' AS path FROM sig),
+m AS (SELECT event_id AS ord, CASE event_id % 5 WHEN 0 THEN 'crops/doc' || (k // 50) || '/doc' || (k // 50) || '_p' || (k % 7 + 1) || '_sig' || k || '.png' WHEN 1 THEN 'moved/doc' || (k // 50) || '_p' || (k % 7 + 1) || '_sig' || k || '.png'
+ WHEN 2 THEN 'other/run' || event_id || 'x_a.png' WHEN 3 THEN 'raw/sig' || k || '._x' || event_id || '.png' ELSE 'raw/none' || event_id || '_y.png' END AS path,
+ CASE event_id % 5 WHEN 2 THEN 'u1-doc' || (k // 50) || '_p' || (k % 7 + 1) || '_sig' || k || '-' || event_id WHEN 4 THEN NULL ELSE 'id' || event_id END AS unique_id, value, event_type
+ FROM (SELECT *, event_id * 7 % 2500 AS k FROM events) e),
+n AS (SELECT *, regexp_extract(path, '[^/]*$') AS name FROM m), g AS (SELECT *, regexp_extract(path, '[^/]*$') AS name, replace(replace(replace(regexp_extract(path, '[^/]*$'), '.png', ''), '.jpg', ''), '.jpeg', '') AS part FROM f),
+r AS (SELECT sig_id, 1 AS strategy, ord FROM g JOIN n ON g.path = n.path UNION ALL SELECT sig_id, 2, ord FROM g JOIN n ON g.name = n.name UNION ALL SELECT sig_id, 3, ord FROM g JOIN n ON contains(n.unique_id, g.part)
+ UNION ALL SELECT sig_id, 4, ord FROM g JOIN n ON contains(g.name, split_part(n.name, '_', 1)) OR (contains(n.name, '_') AND contains(g.name, split_part(n.name, '_', 2)))),
+b AS (SELECT sig_id, min(strategy * 100000000000 + ord) AS best FROM r GROUP BY sig_id)"""
+
+
+def linked_files(spark, d):
+    """(marks' files, metadata records) as the SQL above has them."""
+    text = lambda *parts: F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
+    s = lambda c: c.cast("string")
+    i, k, doc = F.col("event_id"), F.col("event_id") * 7 % 2500, F.expr("(event_id * 7 % 2500) div 50")
+    stem = lambda doc, page, n: text("doc", s(doc), "_p", s(page), "_sig", s(n))
+    own = stem(F.col("pdf"), F.col("page"), F.col("sig_id"))
+    files = sig(spark, d).select("sig_id", text("crops/doc", s(F.col("pdf")), "/", own, ".png").alias("path"))
+    named = stem(doc, k % 7 + 1, k)
+    path = F.when(i % 5 == 0, text("crops/doc", s(doc), "/", named, ".png")).when(i % 5 == 1, text("moved/", named, ".png")).when(i % 5 == 2, text("other/run", s(i), "x_a.png"))
+    path = path.when(i % 5 == 3, text("raw/sig", s(k), "._x", s(i), ".png")).otherwise(text("raw/none", s(i), "_y.png"))
+    unique = F.when(i % 5 == 2, text("u1-", named, "-", s(i))).when(i % 5 != 4, text("id", s(i)))
+    return files, read(spark, d, "events").select(i.alias("ord"), path.alias("path"), unique.alias("unique_id"), "value", "event_type")
+
+
+@query("e13_e14_metadata_links", LINKED + """ SELECT g.sig_id, coalesce(best // 100000000000, 0) AS strategy, best % 100000000000 AS ord, CASE WHEN best IS NULL THEN g.part ELSE n.unique_id END AS unique_id, coalesce(n.value, 0.8) AS confidence
+FROM g LEFT JOIN b ON g.sig_id = b.sig_id LEFT JOIN n ON n.ord = best % 100000000000""")
 def e13(spark, d):
-    """Metadata is linked by id alone, never by parts of file names."""
-    meta = read(spark, d, "events").where("user_id % 2 = 0").select("event_id", "event_type")
-    keyed = sig(spark, d).select("sig_id", (F.col("sig_id") * 3).alias("event_id"))
-    return keyed.join(meta, "event_id", "left").select("sig_id", F.coalesce("event_type", F.lit("unlinked")).alias("kind"))
+    """Metadata of each mark's file by path, name, id part or token part, in that order, else the default record."""
+    files, records = linked_files(spark, d)
+    found = links.linked(files, records, "sig_id")
+    return found.select("sig_id", "strategy", "ord", "unique_id", F.coalesce("value", F.lit(0.8)).alias("confidence"))
 
 
 @query("e17_page_nests", with_views("sig") + " SELECT pdf, page, count(*) AS n, array_to_string(list_sort(list(sig_id)), ',') AS marks FROM sig GROUP BY pdf, page")
@@ -232,8 +276,17 @@ def f32(spark, d):
     return e.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.isnan("loss")).alias("skipped"), r6(F.avg(F.when(~F.isnan("loss"), F.col("loss")))).alias("loss"))
 
 
-@query("h7_k5_trials")
+TRIALS = 30
+
+
+@query("h7_k5_trials", with_views("pairs") + f""", t AS (SELECT sig_a, sig_b, wa, wb, cosine FROM pairs WHERE wa <> wb ORDER BY {digest_sql("sig_a", "sig_b", 42)}, sig_a, sig_b LIMIT {TRIALS})
+SELECT sig_a, sig_b, wa AS writer_a, wb AS writer_b, round(cosine, 6) AS cosine, round(list_cosine_similarity(list_slice(a.v, 1, 32), list_slice(b.v, 1, 32)), 6) AS vgg,
+round(list_cosine_similarity(list_slice(a.v, 33, 64), list_slice(b.v, 33, 64)), 6) AS vit FROM t JOIN sig a ON sig_a = a.sig_id JOIN sig b ON sig_b = b.sig_id""")
 def h7(spark, d):
-    """Cross-writer trial pairs drawn by a seeded digest: the first 25 of all pairs of a document."""
-    p = document_pairs(spark, d).withColumn("h", F.xxhash64("sig_a", "sig_b", F.lit(42)))
-    return p.orderBy("h", "sig_a", "sig_b").limit(25).select("sig_a", "sig_b", r6(F.col("cosine")).alias("cosine"))
+    """Floor trials: pairs of two writers, drawn from all such pairs of the corpus by a seeded digest, with every score."""
+    s = sig(spark, d).select("sig_id", "writer", "v")
+    p = F.broadcast(pairs.floor_trials(s, TRIALS))  # a fixed number of rows
+    for side in ("a", "b"):
+        p = F.broadcast(p.join(s.select(F.col("sig_id").alias(f"sig_{side}"), F.col("writer").alias(f"writer_{side}"), F.col("v").alias(f"v{side}")), f"sig_{side}"))
+    score = lambda begin: r6(cosine(F.slice("va", begin, 32), F.slice("vb", begin, 32)))
+    return p.select("sig_a", "sig_b", "writer_a", "writer_b", r6(F.col("cosine")).alias("cosine"), score(1).alias("vgg"), score(33).alias("vit"))

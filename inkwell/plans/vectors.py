@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import verdicts
 from inkwell.functions.vectors import cosine, dot, fused, mean_of, norm, normalised, weighted_mean
-from inkwell.operators import clusters, duplicates, pairs
-from inkwell.operators.staging import materialised, ranked
+from inkwell.operators import clusters, duplicates, pairs, sketches
+from inkwell.operators.staging import leading_values, materialised, ranked
 from inkwell.plans.base import query, sig, with_views
+from inkwell.sources import hooks
 
 DIMS = 64
 r6 = lambda c: F.round(c, 6)
@@ -94,12 +95,13 @@ def j12(spark, d):
     return matched(spark, d).select("sig_id", "pdf", "signer", r6(F.col("similarity")).alias("similarity"))
 
 
-@query("e15_mutual_matches", with_views("uni") + """, m AS (SELECT a.pdf AS grp, a.sig_id AS a, b.sig_id AS b, list_dot_product(a.u, b.u) AS s FROM uni a JOIN uni b ON a.pdf = b.pdf AND a.sig_id % 4 = 0 AND b.sig_id % 2 = 1),
+@query("e15_mutual_matches", with_views("uni") + """, m AS (SELECT a.pdf AS grp, a.sig_id AS a, b.sig_id AS b, list_dot_product(a.u, b.u) AS s FROM uni a JOIN uni b ON a.pdf = b.pdf AND a.sig_id % 2 = 0 AND b.sig_id % 2 = 1),
 r AS (SELECT *, row_number() OVER (PARTITION BY grp, a ORDER BY s DESC, b) AS ra, row_number() OVER (PARTITION BY grp, b ORDER BY s DESC, a) AS rb FROM m)
 SELECT grp AS "group", a, b, round(s, 6) AS s FROM r WHERE ra = 1 AND rb = 1 AND s >= 0.05""")
 def e15(spark, d):
+    """Each document's even marks against its odd ones, as two pictures' patches."""
     u = pairs.unit_vectors(sig(spark, d))
-    a, b = u.where("sig_id % 4 = 0").alias("a"), u.where("sig_id % 2 = 1").alias("b")
+    a, b = u.where("sig_id % 2 = 0").alias("a"), u.where("sig_id % 2 = 1").alias("b")
     m = a.join(b, F.col("a.pdf") == F.col("b.pdf")).select(F.col("a.pdf").alias("group"), F.col("a.sig_id").alias("a"), F.col("b.sig_id").alias("b"), dot(F.col("a.v"), F.col("b.v"), DIMS).alias("s"))
     return pairs.mutual_matches(m, 0.05).select("group", "a", "b", r6(F.col("s")).alias("s"))
 
@@ -220,8 +222,31 @@ def j11(spark, d):
 
 @query("f18_signer_profiles", with_views("sig") + """ SELECT writer, count(*) AS n_signatures, count(DISTINCT pdf) AS n_documents, substr(array_to_string(list_sort(list(DISTINCT pdf)), ','), 1, 500) AS documents, min(sig_id) AS representative FROM sig GROUP BY writer""")
 def f18(spark, d):
-    docs = F.array_join(F.array_sort(F.collect_set("pdf")), ",")
-    return sig(spark, d).groupBy("writer").agg(F.count("*").alias("n_signatures"), F.countDistinct("pdf").alias("n_documents"), F.substring(docs, 1, 500).alias("documents"), F.min("sig_id").alias("representative"))
+    s = sig(spark, d)
+    sizes = s.groupBy("writer").agg(F.count("*").alias("n_signatures"), F.min("sig_id").alias("representative"))
+    documents = s.select("writer", "pdf").distinct().groupBy("writer").agg(F.count("*").alias("n_documents"))
+    first = leading_values(s, ["writer"], "pdf").select("writer", F.substring(F.array_join("first", ","), 1, 500).alias("documents"))
+    return sizes.join(documents, "writer").join(first, "writer").select("writer", "n_signatures", "n_documents", "documents", "representative")
+
+
+@query("f18_f20_sketched_documents", with_views("sig") + """ SELECT writer, count(*) AS n_signatures, count(DISTINCT pdf) AS n_documents, true AS within FROM sig GROUP BY writer""")
+def f18_sketched(spark, d):
+    """Documents of each signer from sketches of each page number, merged, beside the exact count: ``within`` five standard errors, or one document."""
+    s = sig(spark, d)
+    parts = materialised(sketches.distinct_sketches(s, ["writer", "page"], "pdf"))
+    exact = s.groupBy("writer").agg(F.count("*").alias("n_signatures"), F.countDistinct("pdf").alias("n_documents"))
+    near = F.abs(F.col("n_distinct") - F.col("n_documents")) <= F.greatest(F.lit(1.0), F.col("n_documents") * 5 * sketches.relative_error())
+    return exact.join(sketches.estimates(parts, ["writer"]).drop("n_rows"), "writer").select("writer", "n_signatures", "n_documents", near.alias("within"))
+
+
+@query("m_scores_by_hook", with_views("docpairs") + """ SELECT sig_a, sig_b, CASE sig_a % 3 WHEN 0 THEN 'cosine' WHEN 1 THEN 'vgg' ELSE 'vit' END AS scorer, round(CASE sig_a % 3 WHEN 0 THEN cosine WHEN 1 THEN vgg ELSE vit END, 6) AS score FROM docpairs WHERE sig_b = sig_a + 1""")
+def scores_by_hook(spark, d):
+    """Neighbours of a document, each pair scored by the scorer that its own column names."""
+    s = sig(spark, d).select("sig_id", "pdf", "v")
+    nxt = s.select((F.col("sig_id") - 1).alias("sig_id"), "pdf", F.col("v").alias("w"))
+    name = F.when(F.col("sig_id") % 3 == 0, "cosine").when(F.col("sig_id") % 3 == 1, "vgg").otherwise("vit")
+    p = s.join(nxt, ["sig_id", "pdf"]).withColumn("scorer", name)
+    return p.select(F.col("sig_id").alias("sig_a"), (F.col("sig_id") + 1).alias("sig_b"), "scorer", r6(hooks.scored(p, "scorer", "v", "w")).alias("score"))
 
 
 @query("f19_cluster_confidence", with_views("pairs") + """, p AS (SELECT wa AS writer, avg(cosine) AS m FROM pairs WHERE wa = wb GROUP BY wa)
@@ -259,6 +284,55 @@ def j14(spark, d):
     return duplicates.levels(crops).select("level", "sig_a", "sig_b")
 
 
+FINDINGS = with_views("sig") + """, crops AS (SELECT sig_id, sig_id AS of, v FROM sig UNION ALL SELECT sig_id + 1000000000, sig_id, CASE sig_id % 4 WHEN 0 THEN v WHEN 1 THEN list_transform(v, lambda x: x * 2 + 1) WHEN 2 THEN list_concat([v[1] + 0.01], list_slice(v, 2, 64))
+  ELSE list_transform(range(1, 65), lambda i: CASE WHEN i % 2 = 1 THEN 2 * v[i] + v[i + 1] / 2 + 1 ELSE 3 * v[i] - v[i - 1] - 2 END) END FROM sig),
+m AS (SELECT c.sig_id, c.v, (['scanned_wet_ink', 'pasted_image', 'crypto_signature', 'vector_ink', 'scanned_wet_ink'])[(of + (c.sig_id <> of)::INT * (of % 3)) % 5 + 1] AS class, s.pdf || '/' || CASE WHEN c.sig_id <> of AND of % 8 >= 4 THEN 'other' ELSE s.page::VARCHAR END AS page_hash FROM crops c JOIN sig s ON c.of = s.sig_id),
+basis AS (SELECT list_transform(range(64), lambda u: list_transform(range(64), lambda k: cos(pi() * (2 * (k // 8) + 1) * (u // 8) / 16) * cos(pi() * (2 * (k % 8) + 1) * (u % 8) / 16))) AS c),
+q AS (SELECT sig_id, v, list_transform(v, lambda x: floor((x - list_min(v)) / (list_max(v) - list_min(v)) * 15 + 0.5)) AS px FROM m),
+f AS (SELECT *, min(sig_id) OVER (PARTITION BY v) AS raw_first, min(sig_id) OVER (PARTITION BY px) AS px_first FROM q), r AS (SELECT * FROM f WHERE sig_id = px_first),
+w AS (SELECT sig_id, v, list_transform(c, lambda b: list_dot_product(v, b)) AS t, list_transform(v, lambda x: x - list_avg(v)) AS z FROM r, basis),
+h AS (SELECT sig_id, z, v, list_transform(t, lambda x: x > list_median(list_slice(t, 2, 64))) AS bits FROM w),
+n AS (SELECT a.sig_id AS sig_a, b.sig_id AS sig_b FROM h a JOIN h b ON a.sig_id < b.sig_id AND len(list_filter(list_zip(a.bits, b.bits), lambda p: p[1] <> p[2])) <= 2
+  AND list_dot_product(a.z, b.z) / sqrt(list_dot_product(a.z, a.z) * list_dot_product(b.z, b.z)) >= 0.99),
+p0 AS (SELECT sig_id, list_transform(range(32), lambda i: v[2 * i + 1]) AS xs, list_transform(range(32), lambda i: v[2 * i + 2]) AS ys FROM h),
+p1 AS (SELECT sig_id, list_transform(xs, lambda x: x - list_avg(xs)) AS xs, list_transform(ys, lambda y: y - list_avg(ys)) AS ys FROM p0),
+p2 AS (SELECT *, list_dot_product(xs, xs) AS a, list_dot_product(xs, ys) AS b, list_dot_product(ys, ys) AS c FROM p1),
+p3 AS (SELECT sig_id, list_transform(xs, lambda x: x / sqrt(a)) AS xs, list_transform(list_zip(xs, ys), lambda p: (p[2] - b / a * p[1]) / sqrt(c - b * b / a)) AS ys FROM p2),
+p4 AS (SELECT *, xs[1] / sqrt(xs[1] * xs[1] + ys[1] * ys[1]) AS co, ys[1] / sqrt(xs[1] * xs[1] + ys[1] * ys[1]) AS si FROM p3),
+p5 AS (SELECT sig_id, list_transform(list_zip(xs, ys), lambda p: p[1] * co + p[2] * si) AS xs, list_transform(list_zip(xs, ys), lambda p: p[2] * co - p[1] * si) AS ys FROM p4),
+p6 AS (SELECT sig_id, list_concat(xs, list_transform(ys, lambda y: y * sign(ys[2]))) AS form FROM p5),
+k AS (SELECT sig_id, s AS shift, list_transform(form, lambda x: floor(x / 1e-4 + s)) AS cells FROM p6, (SELECT unnest([0.0, 0.5]) AS s) g),
+l3 AS (SELECT DISTINCT first AS sig_a, sig_id AS sig_b FROM (SELECT sig_id, min(sig_id) OVER (PARTITION BY shift, cells) AS first FROM k) x WHERE sig_id <> first),
+al AS (SELECT 'L0' AS level, raw_first AS sig_a, sig_id AS sig_b FROM f WHERE sig_id <> raw_first UNION ALL SELECT 'L1', px_first, sig_id FROM f WHERE sig_id = raw_first AND sig_id <> px_first UNION ALL SELECT 'L2', sig_a, sig_b FROM n
+  UNION ALL SELECT 'L3', sig_a, sig_b FROM l3 WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.sig_a = l3.sig_a AND n.sig_b = l3.sig_b))
+SELECT level, sig_a, sig_b, a.class AS class_a, b.class AS class_b, CASE WHEN level IN ('L2', 'L3') THEN NULL WHEN 'crypto_signature' IN (a.class, b.class) THEN 'benign' WHEN a.class = 'scanned_wet_ink' AND b.class = 'scanned_wet_ink' THEN 'anomalous'
+  WHEN a.class = 'pasted_image' AND b.class = 'pasted_image' THEN 'reused' WHEN a.class IN ('pasted_image', 'scanned_wet_ink') AND b.class IN ('pasted_image', 'scanned_wet_ink') THEN 'lifted' ELSE 'unclassified' END AS reading,
+  CASE WHEN level IN ('L0', 'L1') THEN a.class = 'scanned_wet_ink' AND b.class IN ('scanned_wet_ink', 'pasted_image') OR a.class = 'pasted_image' AND b.class = 'scanned_wet_ink' END AS escalate, a.page_hash = b.page_hash AS same_page_context
+FROM al JOIN m a ON sig_a = a.sig_id JOIN m b ON sig_b = b.sig_id"""
+
+
+@query("j14_duplicate_findings", FINDINGS)
+def j14_findings(spark, d):
+    """All four levels with their readings and the pages' context.
+
+    Each mark has a second crop: of every four, one is the same, one brighter, one differs a
+    little in its first value, and one is its path under an affine map. A mark's values serve
+    as a picture of 8 by 8 and as a path of 32 points.
+    """
+    s = sig(spark, d).select("sig_id", "pdf", "page", "v")
+    kind, v, i = F.col("sig_id") % 4, F.col("v"), F.col("sig_id")
+    odd = lambda k: F.when(k % 2 == 0, 2 * F.get(v, k) + F.get(v, k + 1) / 2 + 1).otherwise(3 * F.get(v, k) - F.get(v, k - 1) - 2)
+    second = F.when(kind == 0, v).when(kind == 1, F.transform(v, lambda x: x * 2 + 1)).when(kind == 2, F.concat(F.array(v[0] + 0.01), F.slice(v, 2, 63))).otherwise(F.transform(F.sequence(F.lit(0), F.lit(63)), odd))
+    classes = F.array(*map(F.lit, ("scanned_wet_ink", "pasted_image", "crypto_signature", "vector_ink", "scanned_wet_ink")))
+    named = lambda n: F.element_at(classes, (n % 5 + 1).cast("int"))
+    page = lambda p: F.concat_ws("/", F.col("pdf").cast("string"), p)
+    own = s.select("sig_id", "v", named(i).alias("class"), page(F.col("page").cast("string")).alias("page_hash"))
+    copy = s.select((i + 1000000000).alias("sig_id"), second.alias("v"), named(i + i % 3).alias("class"), page(F.when(i % 8 >= 4, "other").otherwise(F.col("page").cast("string"))).alias("page_hash"))
+    crops = materialised(own.unionByName(copy))
+    path = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: F.struct(F.get("v", 2 * k).alias("x"), F.get("v", 2 * k + 1).alias("y")))
+    return duplicates.findings(crops.withColumn("path", path))
+
+
 @query("j14_perceptual_duplicates", with_views("sig") + """, k AS (SELECT sig_id, array_to_string(list_transform(list_slice(v, 1, 8), lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS bits FROM sig)
 SELECT bits, count(*) AS n, min(sig_id) AS first_id FROM k GROUP BY bits HAVING count(*) > 1""")
 def j14_bands(spark, d):
@@ -271,8 +345,9 @@ def j14_bands(spark, d):
 WHEN (ra = 'reference' AND rb = 'questioned') OR (rb = 'reference' AND ra = 'questioned') THEN 'ref-questioned (THE QUESTION)' WHEN ra = 'questioned' AND rb = 'questioned' THEN 'q-q'
 WHEN ra <> rb THEN 'q-control (diff writer)' ELSE 'control-control (diff writer)' END AS kind, count(*) AS n, count_if(wa <> wb) AS cross_group FROM pairs GROUP BY 1""")
 def k1(spark, d):
-    both = F.concat_ws("/", "role", F.col("writer").cast("string"))
+    # a control character stands in no role, so that the first one ends it whatever the writer's name holds
+    both = F.concat_ws("\x1f", "role", F.col("writer").cast("string"))
     p = pairs.blocked_statistics(sig(spark, d).withColumn("both", both), "both")
-    part = lambda side, i: F.split(side, "/")[i]
+    part = lambda side, i: F.split(side, "\x1f", 2)[i]
     kind = verdicts.pair_type(part("a", 0), part("b", 0))
     return p.groupBy(kind.alias("kind")).agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(part("a", 1) != part("b", 1), F.col("n"))), F.lit(0)).alias("cross_group"))

@@ -13,19 +13,19 @@ from inkwell.functions import strings
 from inkwell.operators import boxes as ob
 from inkwell.operators import clusters, crossref
 from inkwell.operators import workbooks as wb
-from inkwell.operators.staging import fresh_folder
+from inkwell.operators.staging import fresh_folder, materialised
 from inkwell.plans.base import boxes, files, objects, query, read, sig, with_views
 from inkwell.plans.detection import CLASSIFIED
 from inkwell.plans.reports import STATS, target_stats
 from inkwell.plans.vectors import MATCH_SQL, document_pairs, matched
-from inkwell.sources import archives, sinks
+from inkwell.sources import archives, folders, hooks, sinks
 from inkwell.sources import files as fs
 
 METHODS = ["cosine", "vgg", "vit"]
 #: Pairs that count as high here: the tables' vectors are hardly alike.
 HIGH = 0.2
 DOCS = with_views("docpairs") + """, dc AS (SELECT pdf, count(DISTINCT page) AS pages, count(*) AS marks FROM sig GROUP BY pdf), pr AS (SELECT p.*, (cosine + vgg + vit) / 3 AS combined, a.page AS page_a, b.page AS page_b
-FROM docpairs p JOIN sig a ON p.sig_a = a.sig_id JOIN sig b ON p.sig_b = b.sig_id WHERE p.pdf % 4 <> 3),
+FROM docpairs p JOIN sig a ON p.sig_a = a.sig_id JOIN sig b ON p.sig_b = b.sig_id WHERE p.pdf % 5 <> 4),
 bd AS (SELECT dc.pdf, dc.pages, dc.marks, count(pr.sig_a) AS n, coalesce(count_if(combined >= 0.2), 0) AS combined_high, avg(cosine) AS m1, avg(vgg) AS m2, avg(vit) AS m3, coalesce(count_if(cosine >= 0.2), 0) AS h1, coalesce(count_if(vgg >= 0.2), 0) AS h2, coalesce(count_if(vit >= 0.2), 0) AS h3
 FROM dc LEFT JOIN pr ON dc.pdf = pr.pdf WHERE dc.pdf % 5 <> 4 GROUP BY dc.pdf, dc.pages, dc.marks),
 bb AS (SELECT *, CASE WHEN n = 0 THEN 'None' WHEN m1 >= m2 AND m1 >= m3 THEN 'cosine' WHEN m2 >= m3 THEN 'vgg' ELSE 'vit' END AS best FROM bd)"""
@@ -38,8 +38,8 @@ def documents(spark, d):
 
 
 def compared(spark, d):
-    """Pairs of documents that were compared, with their pages."""
-    p = document_pairs(spark, d).where("pdf % 4 <> 3").withColumn("combined", (F.col("cosine") + F.col("vgg") + F.col("vit")) / 3)
+    """Pairs of the documents that were read, with their pages; those that failed have none."""
+    p = document_pairs(spark, d).where("pdf % 5 <> 4").withColumn("combined", (F.col("cosine") + F.col("vgg") + F.col("vit")) / 3)
     for s in ("a", "b"):
         p = p.join(sig(spark, d).select(F.col("sig_id").alias(f"sig_{s}"), F.col("page").alias(f"page_{s}")), f"sig_{s}")
     return p
@@ -73,6 +73,33 @@ def b7_pdfs(spark, d):
     return wb.document_summary(documents(spark, d)[0], compared(spark, d), METHODS, HIGH)
 
 
+@query("b7_signature_metadata", with_views("box") + """, n AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY score DESC, id) AS number FROM box), k AS (SELECT *, (page // 20) || '_page' || printf('%03d', page) || '_sig' || printf('%03d', number) AS stem FROM n),
+u AS (SELECT *, stem || '_' || substr(sha256(stem), 1, 8) AS ident FROM k) SELECT ident AS unique_id, (page // 20) || '.pdf' AS pdf_name, page AS page_number, number AS signature_index, round(score, 4) AS confidence_score,
+x0 AS x0, y0 AS y0, x1 AS x1, y1 AS y1, 'signatures/' || ident || '.png' AS signature_path FROM u""")
+def b7_metadata(spark, d):
+    """Every detection's record; the box is read back from its text."""
+    from pyspark.sql import Window as W
+
+    number = F.row_number().over(W.partitionBy("page").orderBy(F.desc("score"), "id"))
+    m = wb.mark_metadata(boxes(spark, d).withColumn("number", number).withColumn("pdf", F.expr("page div 20")))
+    box = F.from_json("bounding_box", "array<double>")
+    return m.withColumns({c: box[i] for i, c in enumerate(("x0", "y0", "x1", "y1"))}).drop("bounding_box").withColumn("signature_index", F.col("signature_index").cast("bigint"))
+
+
+@query("b7_similarity_analysis_legacy", DOCS + """ SELECT pdf AS pdf_name, sig_a AS signature1_id, sig_b AS signature2_id, page_a AS signature1_page, page_b AS signature2_page, round(cosine, 6) AS cosine_similarity, round(vgg, 6) AS vgg_similarity,
+sig_a % 3 = 0 AS missing, CASE WHEN sig_a % 3 <> 0 THEN round(vit, 6) END AS vit_similarity, round(combined, 6) AS combined_similarity, combined >= 0.7 AS similarity_threshold_70, combined >= 0.8 AS similarity_threshold_80, combined >= 0.9 AS similarity_threshold_90 FROM pr""")
+def b7_legacy(spark, d):
+    """The older form of the comparison sheet; a third of the pairs lack the optional method."""
+    p = compared(spark, d).withColumn("vit", F.when(F.col("sig_a") % 3 != 0, F.col("vit")))
+    rows = wb.similarity_analysis_legacy(p, METHODS, ("vit",))
+    return rows.withColumn("missing", F.col("vit_similarity") == "N/A").withColumn("vit_similarity", F.col("vit_similarity").try_cast("double"))
+
+
+@query("b7_error_analysis", with_views("sig") + " SELECT DISTINCT pdf::VARCHAR AS pdf_path, 'unreadable' AS error FROM sig WHERE pdf % 5 = 4")
+def b7_errors(spark, d):
+    return wb.error_analysis(documents(spark, d)[1])
+
+
 PROFILES = with_views("pairs") + """, cf AS (SELECT wa AS writer, avg(cosine) AS m FROM pairs WHERE wa = wb GROUP BY wa), pf AS (SELECT s.writer, count(*) AS n, count(DISTINCT pdf) AS docs, substr(array_to_string(list_sort(list(DISTINCT pdf)), ','), 1, 500) AS names, min(sig_id) AS first, coalesce(max(cf.m), 0.5) AS conf
 FROM sig s LEFT JOIN cf ON s.writer = cf.writer GROUP BY s.writer)"""
 
@@ -109,10 +136,10 @@ def b8_mapping(spark, d):
     return wb.signer_mapping(s.join(within, "sig_id", "left").join(known, "sig_id", "left"))
 
 
-@query("b8_cross_document_analysis", with_views("sig") + """, s AS (SELECT DISTINCT pdf, 'Signer_' || printf('%03d', writer) AS signer FROM sig WHERE sig_id % 3 = 0) SELECT a.pdf || ' - ' || b.pdf AS "Document_Pair", count(*) AS "Common_Signers", array_to_string(list_sort(list(a.signer)), ', ') AS "Shared_Signer_IDs",
+@query("b8_cross_document_analysis", with_views("sig") + """, s AS (SELECT DISTINCT pdf, 'Signer_' || printf('%03d', writer) AS signer FROM sig) SELECT a.pdf || ' - ' || b.pdf AS "Document_Pair", count(*) AS "Common_Signers", array_to_string(list_sort(list(a.signer)), ', ') AS "Shared_Signer_IDs",
 CASE WHEN count(*) > 2 THEN 'High' WHEN count(*) > 1 THEN 'Medium' ELSE 'Low' END AS "Relationship_Strength" FROM s a JOIN s b ON a.signer = b.signer AND a.pdf < b.pdf GROUP BY a.pdf, b.pdf""")
 def b8_documents(spark, d):
-    s = sig(spark, d).where("sig_id % 3 = 0").select("pdf", F.format_string("Signer_%03d", "writer").alias("signer"))
+    s = sig(spark, d).select("pdf", F.format_string("Signer_%03d", "writer").alias("signer"))
     return wb.cross_documents(crossref.shared_signers(s))
 
 
@@ -122,6 +149,11 @@ def b9_marks(spark, d):
     return wb.mark_similarities(matched(spark, d).join(sig(spark, d).select("sig_id", "page"), "sig_id"))
 
 
+@query("b9_detailed_analysis", STATS + """ SELECT pdf AS "PDF_Name", signer AS "Reference_Signer", n AS "Signature_Count", CASE WHEN n > 0 THEN 'Yes' ELSE 'No' END AS "Present" FROM st""")
+def b9_details(spark, d):
+    return wb.detailed_analysis(target_stats(spark, d))
+
+
 @query("b9_signer_similarity_summary", STATS + """ SELECT pdf AS "PDF_Name", signer AS "Signer_ID", n AS "Match_Count", round(mean, 6) AS "Avg_Similarity", printf('%.1f%%', mean * 100) AS "Avg_Similarity_Percentage", round(top, 6) AS "Max_Similarity", round(low, 6) AS "Min_Similarity",
 CASE WHEN mean > 0.8 THEN 'High' WHEN mean > 0.6 THEN 'Medium' ELSE 'Low' END AS "Confidence_Level" FROM st WHERE n > 0""")
 def b9_signers(spark, d):
@@ -195,22 +227,43 @@ def b5_summary(spark, d):
     return sheets(spark, d)["Summary"]
 
 
-@query("a1_a5_a17_folder_inventory", "SELECT 'source=' || source || '/lang=' || lang AS grp, sum(length(doc_id::VARCHAR) + 1)::BIGINT AS size, 'txt' AS extension, 0::BIGINT AS known_kinds FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL GROUP BY source, lang")
-def folder_inventory(spark, d):
-    """A folder tree of text files, written by Spark, then listed and inventoried."""
+FOLDERS = """WITH t AS (SELECT 'source=' || coalesce(source, '__HIVE_DEFAULT_PARTITION__') || '/lang=' || coalesce(lang, '__HIVE_DEFAULT_PARTITION__') || '/as=' || CASE WHEN doc_id % 3 = 0 THEN 'pdf' ELSE 'text' END AS grp,
+  octet_length(encode(CASE WHEN doc_id % 3 = 0 THEN '%PDF-' ELSE '' END || coalesce(text, ''))) + 1 AS size FROM documents)"""
+
+
+def folder_tree(spark, d):
+    """The whole documents as text files in a tree by source and language; every third begins as a PDF does."""
     root = fresh_folder(spark, "corpus")
-    named = read(spark, d, "documents").where("source is not null and lang is not null").select(F.col("doc_id").cast("string").alias("value"), "source", "lang")
-    named.write.partitionBy("source", "lang").text(root)
-    found = fs.discover(spark, root, "*.txt").groupBy("grp").agg(F.sum("size_bytes").alias("size"), F.count("kind").alias("known_kinds"))
-    listed = fs.walk(spark, root).groupBy(F.col("directory").alias("grp")).agg(F.max("extension").alias("extension"))
-    return found.join(listed, "grp").select("grp", "size", "extension", "known_kinds")
+    pdf = F.col("doc_id") % 3 == 0
+    value = F.concat(F.when(pdf, "%PDF-").otherwise(""), F.coalesce("text", F.lit("")))
+    rows = read(spark, d, "documents").select(value.alias("value"), "source", "lang", F.when(pdf, "pdf").otherwise("text").alias("as"))
+    rows.write.partitionBy("source", "lang", "as").text(root)
+    return root
 
 
-@query("a6_a8_a9_b6_unpacked_archives", """WITH f AS (SELECT doc_id, 'doc' || doc_id || '.zip' AS archive, encode(coalesce(text, '')) AS c FROM documents)
+@query("a1_a5_a17_folder_inventory", FOLDERS + " SELECT grp, sum(size)::BIGINT AS size, 'txt' AS extension, grp LIKE '%/as=pdf' AS known FROM t GROUP BY grp")
+def folder_inventory(spark, d):
+    """A folder tree of whole texts, listed and inventoried: PDFs by content, the others skipped but counted."""
+    files = folders.judged(folders.listing(spark, folder_tree(spark, d), content=True).where(F.col("name").endswith(".txt")))
+    known = F.max(F.col("reason").isNull()).alias("known")
+    return files.groupBy(F.col("directory").alias("grp")).agg(F.sum("size_bytes").alias("size"), F.max(strings.extension(F.col("name"))).alias("extension"), known)
+
+
+@query("a1_skipped_files", FOLDERS + """ SELECT '_SUCCESS' AS name, '' AS directory, 'unknown kind' AS reason, 1 AS least UNION ALL SELECT DISTINCT 'part', grp, 'unknown kind', 1 FROM t WHERE grp LIKE '%/as=text'""")
+def skipped_files(spark, d):
+    """What a walk over the tree passes over, by directory: the writer's own ``_SUCCESS`` and texts of no known kind."""
+    _, skipped = folders.records_and_skipped(folders.listing(spark, folder_tree(spark, d), content=True))
+    parts = skipped.select(F.regexp_extract("rel_path", "^(.*)/[^/]*$", 1).alias("directory"), F.regexp_replace(F.substring_index("rel_path", "/", -1), "^part-.*$", "part").alias("name"), "reason")
+    return parts.groupBy("name", "directory", "reason").agg(F.least(F.count("*"), F.lit(1)).cast("int").alias("least"))
+
+
+UNPACKED = """WITH f AS (SELECT doc_id, 'doc' || doc_id || '.zip' AS archive, encode(coalesce(text, '')) AS c FROM documents)
 SELECT archive, 0 AS depth, CASE WHEN doc_id % 7 = 0 THEN 0 ELSE 1 + (doc_id % 3 = 0)::INT END AS files, (doc_id % 5 = 0 AND doc_id % 7 <> 0)::INT::BIGINT AS unsafe_entries_skipped, CASE WHEN doc_id % 7 = 0 THEN 'bad' WHEN doc_id % 5 = 0 THEN 'partial' ELSE 'ok' END AS status,
 CASE WHEN doc_id % 7 = 0 THEN NULL ELSE sha256(c) END AS text_sha256 FROM f UNION ALL
-SELECT archive || '!inner.zip', 1, 1, 0, 'ok', sha256(encode(doc_id::VARCHAR)) FROM f WHERE doc_id % 3 = 0 AND doc_id % 7 <> 0""")
-def unpacked_archives(spark, d):
+SELECT archive || '!inner.zip', 1, 1, 0, 'ok', sha256(encode(doc_id::VARCHAR)) FROM f WHERE doc_id % 3 = 0 AND doc_id % 7 <> 0"""
+
+
+def packed_documents(spark, d):
     """Archives made of the documents: text, an archive in every third, an unsafe path in every fifth, every seventh broken."""
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -229,13 +282,41 @@ def unpacked_archives(spark, d):
                 rows.append((f"doc{i}.zip", b"broken" if i % 7 == 0 else out.getvalue()))
             yield pd.DataFrame(rows, columns=["rel_path", "content"])
 
-    made = read(spark, d, "documents").select("doc_id", "text").mapInPandas(packed, "rel_path string, content binary")
-    members = archives.unpack_all(made)
+    return read(spark, d, "documents").select("doc_id", "text").mapInPandas(packed, "rel_path string, content binary")
+
+
+def with_manifest(members):
     texts = members.where("member = 'text.txt'").select("archive", "depth", F.sha2("content", 256).alias("text_sha256"))
     manifest = archives.extraction_manifest(members).select("archive", "depth", F.col("files").cast("int").alias("files"), "unsafe_entries_skipped", "status")
     return manifest.join(texts, ["archive", "depth"], "left").select("archive", "depth", "files", "unsafe_entries_skipped", "status", "text_sha256")
 
 
+@query("a6_a8_a9_b6_unpacked_archives", UNPACKED)
+def unpacked_archives(spark, d):
+    return with_manifest(archives.unpack_all(packed_documents(spark, d)))
+
+
+@query("a8_m_extracted_by_hook", UNPACKED)
+def extracted_by_hook(spark, d):
+    """The same through the table function, which a column tells the kind."""
+    level, found = packed_documents(spark, d).withColumn("kind", strings.archive_kind(F.col("rel_path"))), None
+    for depth in range(2):
+        m = materialised(hooks.extracted(level).select(F.col("rel_path").alias("archive"), F.lit(depth).alias("depth"), "member", "status", "size_bytes", "content"))
+        found = m if found is None else found.unionByName(m)
+        inner = m.where("status = 'ok'").withColumn("kind", strings.container_kind(F.col("member"), F.col("content"))).where("kind is not null")
+        level = inner.select(F.concat_ws("!", "archive", "member").alias("rel_path"), "content", "kind")
+    return with_manifest(found)
+
+
+@query("f12_extraction_totals", "WITH u AS (" + UNPACKED + """) SELECT count(*) AS archives, count_if(status = 'ok') AS ok, count_if(status = 'partial') AS partial, count_if(status = 'bad') AS bad,
+sum(files)::BIGINT AS files, sum(unsafe_entries_skipped)::BIGINT AS unsafe_entries_skipped, max(depth)::INT AS depth FROM u""")
+def extraction_totals(spark, d):
+    """Totals over the manifest of all documents' archives and the archives in them."""
+    m = archives.extraction_manifest(archives.unpack_all(packed_documents(spark, d)))
+    status = [F.count_if(F.col("status") == s).alias(s) for s in ("ok", "partial", "bad")]
+    return m.agg(F.count("*").alias("archives"), *status, F.sum("files").alias("files"), F.sum("unsafe_entries_skipped").alias("unsafe_entries_skipped"), F.max("depth").alias("depth"))
+
+
 @query("a19_a21_b2_detection_table", CLASSIFIED + """, k AS (SELECT x.page, x.id, x.score, x.x0, c.classification, CASE x.id % 3 WHEN 0 THEN 'signature' WHEN 1 THEN 'stamp' ELSE 'text' END AS cls FROM box x JOIN classified c ON x.page = c.page AND x.id = c.id)
 SELECT 'p' || page || '.pdf' AS rel_path, count(*) AS n, round(max(score), 6) AS best, count_if(classification = 'vector_ink') AS ink, round(sum(x0), 4) AS left_sum FROM k WHERE cls IN ('signature', 'stamp') AND score >= 10 GROUP BY page""")
 def detection_table(spark, d):

@@ -27,6 +27,10 @@ def unsafe(name: str) -> bool:
 STREAMS = ((b"\x1f\x8b", gzip.open), (b"BZh", bz2.open), (b"\xfd7zXZ\x00", lzma.open))
 
 
+#: First bytes of archives that nothing here opens: RAR and 7z.
+UNSUPPORTED = (b"Rar!\x1a\x07", b"7z\xbc\xaf\x27\x1c")
+
+
 def single(content: bytes, most_bytes: int) -> Iterator[tuple[str, str, int, bytes | None]]:
     """The one file in a compressed stream; it has no name of its own."""
     for magic, opened in STREAMS:
@@ -43,6 +47,9 @@ def single(content: bytes, most_bytes: int) -> Iterator[tuple[str, str, int, byt
 
 def members(content: bytes, most_bytes: int) -> Iterator[tuple[str, str, int, bytes | None]]:
     """(name, status, size, content) of each file in a zip or tar archive, or of the one in a compressed stream."""
+    if content.startswith(UNSUPPORTED):
+        yield "", "unsupported", len(content), None
+        return
     try:
         if zipfile.is_zipfile(io.BytesIO(content)):
             with zipfile.ZipFile(io.BytesIO(content)) as z:
@@ -94,16 +101,19 @@ def unpacked(archives: DataFrame, depth: int, most_bytes: int) -> DataFrame:
 
 
 def is_archive(name, content):
-    """By extension, else by magic; documents that are zip files by nature aren't."""
-    from inkwell.functions.strings import ARCHIVES, ZIP_DOCUMENTS, extension
+    """By name, else by magic; zip-based documents and later volumes aren't."""
+    from inkwell.functions.strings import container_kind
 
-    ext = extension(name)
-    magic = F.hex(F.substring(content, 1, 4)).isin("504B0304") | (F.substring(content, 258, 5).cast("string") == "ustar")
-    return ~ext.isin(*ZIP_DOCUMENTS) & (ext.isin(*ARCHIVES) | F.coalesce(magic, F.lit(False)))
+    return container_kind(name, content).isNotNull()
 
 
 def unpack_all(archives: DataFrame, max_depth: int = 3, most_bytes: int = 1 << 28) -> DataFrame:
-    """Members of archives and of the archives in them, breadth first down to ``max_depth``."""
+    """Members of archives and of the archives in them, breadth first down to ``max_depth``.
+
+    A member is a row and must fit a task: those above ``most_bytes`` are listed as
+    ``too_large``, without content. RAR and 7z archives need a library that isn't there and are
+    ``unsupported``.
+    """
     from inkwell.operators.staging import materialised
 
     found, level = None, archives
@@ -122,6 +132,6 @@ def extraction_manifest(members_: DataFrame) -> DataFrame:
     status = F.col("status")
     m = members_.groupBy("archive", "depth").agg(
         F.count_if(status == "ok").alias("files"), F.coalesce(F.sum(F.when(status == "ok", F.col("size_bytes"))), F.lit(0)).alias("bytes"), F.count_if(status == "unsafe").alias("unsafe_entries_skipped"),
-        F.count_if(status.isin("failed", "encrypted", "too_large")).alias("failed_members"), F.count_if(status == "bad").alias("_bad"),
+        F.count_if(status.isin("failed", "encrypted", "too_large")).alias("failed_members"), F.count_if(status == "bad").alias("_bad"), F.count_if(status == "unsupported").alias("_unsupported"),
     )
-    return m.withColumn("status", F.when(F.col("_bad") > 0, "bad").when(F.col("failed_members") + F.col("unsafe_entries_skipped") > 0, "partial").otherwise("ok")).drop("_bad")
+    return m.withColumn("status", F.when(F.col("_bad") > 0, "bad").when(F.col("_unsupported") > 0, "unsupported").when(F.col("failed_members") + F.col("unsafe_entries_skipped") > 0, "partial").otherwise("ok")).drop("_bad", "_unsupported")

@@ -6,12 +6,11 @@ result is written by ``foreachBatch`` to a folder that all executors share.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkwell.operators.staging import fresh_folder
+
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
@@ -21,22 +20,15 @@ def landing(spark: SparkSession, folder: str, pattern: str, schema: str = EVENTS
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def shared(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="inkwell-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
-def finished(result: DataFrame, mode: str = "complete") -> DataFrame:
+def finished(result: DataFrame, mode: str = "complete", base: str | None = None) -> DataFrame:
     """Runs a streaming result to its end and returns its table.
 
     Complete mode overwrites it with each batch; append mode adds to it, by batch number, so
-    that a repeated batch replaces itself.
+    that a repeated batch replaces itself. With ``base``, a folder of an earlier run, it goes on
+    where that one ended.
     """
     spark = result.sparkSession
-    base = shared(spark)
+    base = base or fresh_folder(spark, "stream")
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={0 if mode == 'complete' else number}")
@@ -46,14 +38,23 @@ def finished(result: DataFrame, mode: str = "complete") -> DataFrame:
     return spark.read.schema(result.schema).parquet(f"{base}/out").select(result.columns)
 
 
+#: Pages of a file, and of a part of a file's page numbers.
+FILE_PAGES = 50
+
+
 def file_rollup(pages: DataFrame, least: float) -> DataFrame:
-    """By file: distinct pages, pages with a detection, detections: state is kept by key across batches."""
-    hit = F.col("value") > least
-    return pages.groupBy((F.col("user_id") % 10).alias("file")).agg(
-        F.size(F.collect_set("user_id")).cast("bigint").alias("total_pages"),
-        F.array_join(F.array_sort(F.collect_set(F.when(hit, F.col("user_id")))), ",").alias("pages"),
-        F.count_if(hit).alias("n"),
-    )
+    """By page of a file: its detections; state is kept by page across batches, and grows with the pages alone.
+
+    ``page_lists`` makes a row for each file of it.
+    """
+    page = F.col("user_id")
+    return pages.groupBy(F.expr(f"user_id div {FILE_PAGES}").alias("file"), page.alias("page")).agg(F.count_if(F.col("value") > least).alias("n"))
+
+
+def page_lists(rollup: DataFrame) -> DataFrame:
+    """(file, total_pages, pages, n): a file holds at most ``FILE_PAGES`` pages, so that its list is bounded."""
+    hits = F.array_join(F.array_sort(F.collect_list(F.when(F.col("n") > 0, F.col("page")))), ",")
+    return rollup.groupBy("file").agg(F.count("*").alias("total_pages"), hits.alias("pages"), F.sum("n").alias("n"))
 
 
 def tumbling(events: DataFrame, width: str, late: str = "10 minutes") -> DataFrame:
