@@ -33,6 +33,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -46,8 +47,8 @@ from inkwell.llm.minhash import mix
 CORE = 36
 #: Offsets in a cell of each round; a whole run first.
 WIDTHS = (None, 16, 4, 1)
-#: Bytes of a long text that are hashed at a time.
-PIECE = 1 << 20
+#: Bytes of a long text, and of short ones together, that are hashed at a time.
+PIECE, TOGETHER = 1 << 20, 1 << 17
 #: Narrow rows travel in larger Arrow batches than texts.
 NARROW = "20000"
 KEY = ["doc_id", "tie"]
@@ -67,21 +68,28 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 class Runs:
-    """Runs of the strings of ``threshold`` bytes in a text, by their anchors."""
+    """Runs of the strings of ``threshold`` bytes in texts, by their anchors."""
 
     def __init__(self, threshold: int):
         self.threshold, self.width = threshold, threshold - CORE + 1
         self.up, self.down = powers(BASE, PIECE), powers(INVERSE, PIECE)
 
-    def of_piece(self, raw: np.ndarray) -> tuple[np.ndarray, ...]:
+    def of(self, raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(first and last starts, anchors, ranks) of the runs in texts side by side that end at ``ends``."""
         n, width = len(raw), self.width
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(BYTE_VALUES[raw] * self.up[:n], out=sums[1:])
         hashes = mix((sums[CORE:] - sums[:-CORE]) * self.down[: n - CORE + 1])
         least = sliding_least(hashes, width)
-        first = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
-        last = np.append(first[1:], len(least)) - 1
-        at = first + (hashes[first[:, None] + np.arange(width)] == least[first][:, None]).argmax(1)
+        inside = np.ones(len(least), bool)  # starts of strings that don't cross into the next text
+        inside[(ends[:-1, None] - np.arange(1, self.threshold)).ravel()] = False
+        edges = np.flatnonzero((least[1:] != least[:-1]) | (inside[1:] != inside[:-1])) + 1
+        first, last = np.append(0, edges), np.append(edges, len(least)) - 1
+        first, last = first[inside[first]], last[inside[first]]
+        at = first + width - 1  # a hash below all before it has just come in
+        known = (first > 0) & (least[first] < least[first - 1])
+        search = first[~known]  # the least hash has gone: the leftmost of those that follow it
+        at[~known] = search + (hashes[search[:, None] + np.arange(width)] == least[search][:, None]).argmax(1)
         several = np.flatnonzero(at < last)  # the least hash again: the leftmost one changes within
         if len(several):
             firsts, lasts, ats = [np.delete(first, several)], [np.delete(last, several)], [np.delete(at, several)]
@@ -96,20 +104,45 @@ class Runs:
             first, last, at = (np.concatenate(x) for x in (firsts, lasts, ats))
             order = np.argsort(first)
             first, last, at = first[order], last[order], at[order]
-        return first, last, at, least[first]
+        return first, last, at, least[first].view(np.int64)
 
-    def __call__(self, text: bytes):
-        """Yields (anchors, least and greatest offsets, ranks) of the text, piece by piece."""
+    def of_long(self, text: bytes):
+        """Yields (anchors, least and greatest offsets, ranks) of a long text, piece by piece."""
         begin = 0
         while len(text) - begin >= self.threshold:
             end = min(begin + PIECE, len(text))
-            first, last, at, rank = self.of_piece(np.frombuffer(text, np.uint8, end - begin, begin))
+            first, last, at, rank = self.of(np.frombuffer(text, np.uint8, end - begin, begin), np.array([end - begin]))
             keep = len(first) - (end < len(text))  # the last run may go on in the next piece
-            yield (at + begin)[:keep], (at - last)[:keep], (at - first)[:keep], rank[:keep].view(np.int64)
+            yield (at + begin)[:keep], (at - last)[:keep], (at - first)[:keep], rank[:keep]
             if end == len(text):
                 return
             begin += int(first[-1])
 
+    def __call__(self, texts: list[bytes]):
+        """Yields (rows, anchors, least and greatest offsets, ranks) of the texts, several at a time."""
+        waiting, size = [], 0
+
+        def done():
+            row, ends = np.array(waiting), np.cumsum([len(texts[i]) for i in waiting])
+            first, last, at, rank = self.of(np.frombuffer(b"".join(texts[i] for i in waiting), np.uint8), ends)
+            k = np.searchsorted(ends, first, "right")
+            return row[k], at - np.append(0, ends)[k], at - last, at - first, rank
+
+        for i, text in enumerate(texts):
+            if len(text) < self.threshold:
+                continue
+            if len(text) > TOGETHER:
+                for at, lo, hi, rank in self.of_long(text):
+                    yield np.full(len(at), i), at, lo, hi, rank
+                continue
+            if size + len(text) > TOGETHER:
+                yield done()
+                waiting, size = [], 0
+            waiting.append(i)
+            size += len(text)
+        if waiting:
+            yield done()
+
 
 def packed(at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return (at.astype(np.int64) << 2 * BITS) | (lo << BITS) | hi
@@ -131,45 +164,73 @@ def first_ranks(texts: DataFrame, threshold: int) -> DataFrame:
     def step(batches):
         runs = Runs(threshold)
         for batch in batches:
-            for i, text in enumerate(utf8(batch, "text")):
-                for at, lo, hi, rank in runs(text):
-                    yield repeated(batch, np.full(len(at), i), place=packed(at, lo, hi), rank=rank)
+            for row, at, lo, hi, rank in runs(utf8(batch, "text")):
+                yield repeated(batch, row, place=packed(at, lo, hi), rank=rank)
 
     return map_arrow(texts, step, "doc_id long, tie long, place long, rank long")
 
 
-def grown(texts: DataFrame, open_runs: DataFrame, threshold: int, width: int | None) -> DataFrame:
+def with_open_runs(source: DataFrame, key: list[str], open_runs: DataFrame) -> DataFrame:
+    """Rows of ``source`` that have open runs, with their ``places`` and ``ranks``."""
+    runs = open_runs.withColumn("anchor", F.shiftright("place", 2 * BITS)).groupBy(*key).agg(F.collect_list("place").alias("places"), F.collect_list("rank").alias("ranks"))
+    other = {k: f"_{k}" for k in key}
+    same = [F.col(k).eqNullSafe(F.col(o)) if k == "doc_id" else F.col(k) == F.col(o) for k, o in other.items()]
+    return source.join(runs.hint("shuffle_hash").withColumnsRenamed(other), same).drop(*other.values())
+
+
+def open_in(batch: pa.RecordBatch):
+    """(texts, row, position in it, anchor, least and greatest offset, rank) of all open runs of a batch."""
+    columns = {n: batch.column(batch.schema.get_field_index(n)) for n in ("places", "ranks", "begin")}
+    place, rank = (np.asarray(columns[n].flatten()) for n in ("places", "ranks"))
+    row = np.repeat(np.arange(batch.num_rows), np.asarray(pc.list_value_length(columns["places"])))
+    at, lo, hi = unpacked(place)
+    return utf8(batch, "text"), row, at - np.asarray(columns["begin"])[row], at, lo, hi, rank
+
+
+def pieces_of(texts: list[bytes], row: np.ndarray, begin: np.ndarray, end: np.ndarray):
+    """The stretches of the rows' texts."""
+    return (texts[i][a:e] for i, a, e in zip(row.tolist(), begin.tolist(), end.tolist(), strict=True))
+
+
+def digests(pieces, seeds: np.ndarray) -> np.ndarray:
+    digest = xxhash.xxh3_64_intdigest
+    return np.array([digest(p, s) for p, s in zip(pieces, seeds.tolist(), strict=True)], np.uint64).view(np.int64)
+
+
+def contexts(texts: DataFrame, open_runs: DataFrame, threshold: int) -> DataFrame:
+    """(doc_id, tie, anchor, begin, text), written: of each open run the bytes that its strings hold together."""
+
+    def step(batches):
+        for batch in batches:
+            texts, row, here, at, lo, hi, _ = open_in(batch)
+            own = list(pieces_of(texts, row, here - hi, here - lo + threshold))
+            yield repeated(batch, row, anchor=at, begin=at - hi, text=own)
+
+    rows = map_arrow(with_open_runs(texts, KEY, open_runs), step, "doc_id long, tie long, anchor long, begin long, text binary")
+    return written(rows, "contexts")
+
+
+def grown(source: DataFrame, key: list[str], open_runs: DataFrame, threshold: int, width: int | None) -> DataFrame:
     """(doc_id, tie, place, rank, added, whole): the cells of open runs, their core and their whole string as hashes."""
-    by_text = open_runs.groupBy(*KEY).agg(F.collect_list("place").alias("places"), F.collect_list("rank").alias("ranks"))
-    joined = texts.join(by_text.hint("shuffle_hash").withColumnsRenamed({"doc_id": "_doc", "tie": "_tie"}), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("tie") == F.col("_tie"))).drop("_doc", "_tie")
     top = threshold - CORE
-    digest = xxhash.xxh3_64_intdigest
 
     def step(batches):
         for batch in batches:
-            columns = {n: batch.column(batch.schema.get_field_index(n)) for n in ("places", "ranks")}
-            for i, text in enumerate(utf8(batch, "text")):
-                place, rank = (columns[n][i].values.to_numpy() for n in columns)
-                at, lo, hi = unpacked(place)
-                if width is None:
-                    hashes = [digest(text[a - h : a - o + threshold], o << BITS | h) for a, o, h in zip(at.tolist(), lo.tolist(), hi.tolist(), strict=True)]
-                    added, whole = np.zeros(len(at), np.int64), np.array(hashes, np.uint64).view(np.int64)
-                else:
-                    n = hi // width - lo // width + 1
-                    cell = np.repeat(lo // width, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    at, rank = np.repeat(at, n), np.repeat(rank, n)
-                    lo, hi = np.maximum(np.repeat(lo, n), cell * width), np.minimum(np.repeat(hi, n), cell * width + width - 1)
-                    core_end = at - np.minimum(cell * width + width - 1, top) + threshold
-                    cores = [digest(text[a:e], c) for a, e, c in zip((at - cell * width).tolist(), core_end.tolist(), cell.tolist(), strict=True)]
-                    added = np.array(cores, np.uint64).view(np.int64)
-                    if width > 1:
-                        hashes = [digest(text[a - h : a - o + threshold], o << BITS | h) for a, o, h in zip(at.tolist(), lo.tolist(), hi.tolist(), strict=True)]
-                        whole = np.array(hashes, np.uint64).view(np.int64)
-                    else:
-                        whole = np.zeros(len(at), np.int64)
-                yield repeated(batch, np.full(len(at), i), place=packed(at, lo, hi), rank=rank, added=added, whole=whole)
-
-    return map_arrow(joined, step, "doc_id long, tie long, place long, rank long, added long, whole long")
+            texts, row, here, at, lo, hi, rank = open_in(batch)
+            added = whole = np.zeros(len(at), np.int64)
+            if width is not None:
+                n = hi // width - lo // width + 1
+                cell = np.repeat(lo // width, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                row, here, at, lo, hi, rank = (np.repeat(x, n) for x in (row, here, at, lo, hi, rank))
+                lo, hi = np.maximum(lo, cell * width), np.minimum(hi, cell * width + width - 1)
+                end = here - np.minimum(cell * width + width - 1, top) + threshold
+                added = digests(pieces_of(texts, row, here - cell * width, end), cell)
+                whole = np.zeros(len(at), np.int64)
+            if width != 1:
+                whole = digests(pieces_of(texts, row, here - hi, here - lo + threshold), lo << BITS | hi)
+            yield repeated(batch, row, place=packed(at, lo, hi), rank=rank, added=added, whole=whole)
+
+    return map_arrow(with_open_runs(source, key, open_runs), step, "doc_id long, tie long, place long, rank long, added long, whole long")
 
 
 def reranked(rows: DataFrame, keys: list[str], alone: bool = True) -> DataFrame:
@@ -231,15 +292,15 @@ def reranked(rows: DataFrame, keys: list[str], alone: bool = True) -> DataFrame:
             yield out(held, later, classes, single, border, 1)
 
     with setting(session_of(rows), ARROW_ROWS, NARROW):
-        parts = written(rows.select(*names).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(step, schema), "ranks")
+        found = written(rows.select(*names).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(step, schema), "ranks")
     # two rows a range: a class at its beginning, and its last row's
-    borders = parts.where("border").groupBy(*keys).agg(F.count("*").alias("_n"), F.min("class").alias("_class"))
-    found = parts.join(F.broadcast(borders), keys, "left")
+    borders = found.where("border").groupBy(*keys).agg(F.count("*").alias("_n"), F.min("class").alias("_class"))
+    sorted_rows, found = found, found.join(F.broadcast(borders), keys, "left")
     first = F.col("is_first") & (F.col("_class").isNull() | (F.col("_class") == F.col("class")))
     single = F.col("is_alone") & (F.coalesce("_n", F.lit(1)) == 1)
     found = found.select(*KEY, "place", *[k for k in keys if k != "rank"], F.col("rank").alias("old_rank"), F.coalesce("_class", "class").alias("rank"), first.alias("first"), single.alias("alone"))
     found = found if alone else found.where("NOT alone")
-    found.__dict__["_parts"] = parts
+    found.__dict__["_parts"] = sorted_rows
     return found
 
 
@@ -250,8 +311,14 @@ def covered_runs(texts: DataFrame, threshold: int) -> DataFrame:
     sorted_runs = reranked(runs, ["rank"], alone=False)
     discarded(runs)
     now, covered, used = sorted_runs.select(*KEY, "place", "rank"), [], [sorted_runs.__dict__["_parts"]]
+    whole_texts, pieces = texts.withColumn("begin", F.lit(0).cast("long")), None
     for width in WIDTHS:
-        cells = written(grown(texts, now, threshold, width), "cells")
+        if width is None:
+            cells = written(grown(whole_texts, KEY, now, threshold, width), "cells")
+        else:
+            if pieces is None:  # few bytes are still open: they serve all further rounds
+                pieces = contexts(whole_texts, now, threshold)
+            cells = written(grown(pieces, [*KEY, "anchor"], now, threshold, width), "cells")
         for table in used:
             discarded(table)
         by_string = reranked(cells, ["rank", "added", "whole"])
@@ -263,6 +330,7 @@ def covered_runs(texts: DataFrame, threshold: int) -> DataFrame:
         firsts = by_string.where("first").select(*KEY, "place", F.col("old_rank").alias("rank"), "added")
         by_core = reranked(firsts, ["rank", "added"], alone=False)
         now, used = by_core.select(*KEY, "place", "rank"), [by_string.__dict__["_parts"], by_core.__dict__["_parts"]]
+    discarded(pieces)
     return reduce(DataFrame.unionByName, covered)
 
 

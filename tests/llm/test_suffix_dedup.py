@@ -61,17 +61,22 @@ def test_one_passage_in_all_rows_over_many_ranges(spark):
     assert found == brute(texts, 100)
 
 
+def strings_of(found):
+    """By the text's row and a string's start, where its anchor stands."""
+    return {(i, a - o): a for i, at, lo, hi in zip(*found[:4], strict=True) for a, o in [(int(at), o) for o in range(lo, hi + 1)]}
+
+
 def test_runs_of_a_long_text_are_those_of_its_pieces(monkeypatch):
     rng = random.Random(7)
-    text = ("".join(rng.choice("abcd") for _ in range(3000)) + "z" * 400 + "xy" * 150).encode()
-    whole = [np.concatenate(c) for c in zip(*suffix_dedup.Runs(100)(text), strict=True)]
-    monkeypatch.setattr(suffix_dedup, "PIECE", 331)
-    pieces = [np.concatenate(c) for c in zip(*suffix_dedup.Runs(100)(text), strict=True)]
-    starts = [a - k for at, lo, hi in zip(*whole[:3], strict=True) for a, k in [(at, o) for o in range(lo, hi + 1)]]
-    assert sorted(starts) == list(range(len(text) - 99))
-    anchors = {a - o: a for at, lo, hi in zip(*whole[:3], strict=True) for a, o in [(at, o) for o in range(lo, hi + 1)]}
-    again = {a - o: a for at, lo, hi in zip(*pieces[:3], strict=True) for a, o in [(at, o) for o in range(lo, hi + 1)]}
-    assert again == anchors
+    texts = [("".join(rng.choice("abcd") for _ in range(n)) + "z" * 400 + "xy" * 150).encode() for n in (3000, 5, 900)] + [b"a" * 99, b"a" * 100, b"q" * 130, b""]
+    apart = [[np.concatenate(c) for c in zip(*([np.full(len(x[0]), i), *x] for x in suffix_dedup.Runs(100).of_long(t)), strict=True)] for i, t in enumerate(texts) if len(t) >= 100]
+    whole = strings_of([np.concatenate(c) for c in zip(*apart, strict=True)])
+    assert sorted(whole) == [(i, k) for i, t in enumerate(texts) for k in range(len(t) - 99)]
+    for piece, together in ((331, 10), (331, 5000), (1 << 20, 1 << 17), (1 << 20, 1500)):
+        monkeypatch.setattr(suffix_dedup, "PIECE", max(piece, together))
+        monkeypatch.setattr(suffix_dedup, "TOGETHER", together)
+        found = [np.concatenate(c) for c in zip(*suffix_dedup.Runs(100)(texts), strict=True)]
+        assert strings_of(found) == whole
 
 
 def test_defined_cases(spark):
