@@ -201,6 +201,7 @@ def in_blocks(left: DataFrame, right: DataFrame, keys: list[str], sides_by: tupl
         nl, nr = (F.lit(max(1, math.ceil(t.count() / block_rows))) for t in (left, right))
     x = left.withColumn("_l", of(sides_by[0], nl)).withColumn("_r", every(nr))
     y = right.withColumn("_r", of(sides_by[1], nr)).withColumn("_l", every(nl))
+    x, y = x.drop("_nl", "_nr"), y.drop("_nl", "_nr")  # a cogroup takes no columns that both sides have from one table
     cells = [*keys, "_l", "_r"]
     return x.groupBy(*cells).cogroup(y.groupBy(*cells)).applyInPandas(step, schema)
 
