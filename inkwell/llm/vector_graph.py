@@ -62,8 +62,12 @@ def usable(vector) -> bytes | None:
     v = np.asarray(vector, np.float64)
     if not np.isfinite(v).all():
         return None
-    norm = np.linalg.norm(v)
-    return (v + 0.0).tobytes() if norm > 0 and np.isfinite(norm) else None  # -0.0 and 0.0 are one value
+    top = np.abs(v).max()
+    if top == 0:
+        return None
+    if not 1e-100 < top < 1e100:
+        v = np.ldexp(v, -np.frexp(top)[1])  # by a power of two: squares neither vanish nor overflow
+    return (v + 0.0).tobytes()  # -0.0 and 0.0 are one value
 
 
 def keyed(vectors: DataFrame) -> DataFrame:
