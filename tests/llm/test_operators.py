@@ -298,6 +298,51 @@ def test_classifier_training_rows(spark):
     assert all(r["predicted"] == i % 2 for i, r in got.items())
 
 
+def test_classifier_scores_plainly(spark):
+    """Ratios, fit, folds and curve built plainly from sets of features."""
+    rng = random.Random(6)
+    texts = [(i, "".join(rng.choice("abcdef " if i % 2 else "uvwxyz ef ") for _ in range(rng.randrange(3, 30)))) for i in range(30)]
+    rows = spark.createDataFrame([(i, t, i % 2) for i, t in texts], "doc_id long, text string, label long")
+    model = quality_classifier.fit(rows, epochs=4000)
+    scratch = np.zeros(quality_classifier.N_FEATURES, bool)
+    sets = {i: set(quality_classifier.features(t.encode(), scratch).tolist()) for i, t in texts}
+    ratio = {f: math.log((sum(f in sets[i] for i in range(1, 30, 2)) + 1) / 17) - math.log((sum(f in sets[i] for i in range(0, 30, 2)) + 1) / 17) for f in set().union(*sets.values())}
+    digest = {r["i"]: r["h"] for r in spark.range(30).select(F.col("id").alias("i"), F.xxhash64("id", F.lit(8)).alias("h")).collect()}
+    order = [i for label in (0, 1) for i in sorted(range(label, 30, 2), key=digest.get)]
+    known = sorted(ratio)
+    x = np.array([[ratio[f] * (f in sets[i]) for f in known] + [1.0] for i in order])
+    y = np.array([1.0 if i % 2 else -1.0 for i in order])
+
+    def solved(own):
+        z = y[own, None] * x[own]
+        alpha, rate = np.zeros(len(own)), 1 / np.linalg.eigvalsh(z @ z.T).max()
+        for _ in range(20_000):
+            alpha = np.clip(alpha + rate * (1 - z @ (z.T @ alpha)), 0, 1.0)
+        return z.T @ alpha
+
+    margins = np.empty(30)
+    for k in range(3):
+        margins[k::3] = x[k::3] @ solved(np.array([i for i in range(30) if i % 3 != k]))
+    scale = np.abs(margins).mean()
+    p = 1 / (1 + np.exp(-(model.slope * margins + model.offset)))
+    assert abs(((p - (y + 1) / 2) * margins / scale).sum() + 0.01 * model.slope * scale) < 0.05 and abs((p - (y + 1) / 2).sum() + 0.01 * model.offset) < 0.05
+    want = 1 / (1 + np.exp(-(model.slope * (x @ solved(np.arange(30))) + model.offset)))
+    assert np.abs(model.scores([dict(texts)[i].encode() for i in order]) - want).max() < 0.01
+
+
+def test_classifier_odd_rows_with_a_model(spark):
+    """Null and empty texts score what the bias alone says; very long ones and repeated rows like any other."""
+    texts = [(i, ("good words here " if i % 2 else "zzz qqq ") * 40) for i in range(100, 160)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(100, 160)], "doc_id long, quality int, toxic int")
+    odd = [*ODD, (50, "zzz qqq " * 100_000), (51, "good words here " * 50_000), (52, texts[1][1]), (52, texts[1][1])]
+    got = quality_classifier.classify(docs_of(spark, texts + odd), labels).collect()
+    assert len(got) == len(texts) + len(odd) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in got)
+    by_id = {}
+    for r in got:
+        by_id.setdefault(r["doc_id"], []).append(r["score"])
+    assert by_id[0] == by_id[1] != [0.5] and by_id[52][0] == by_id[52][1] >= 0.5 and by_id[50][0] < 0.5 <= by_id[51][0]
+
+
 def test_class_counts_against_sets(spark):
     texts = [(i, t) for i, t in enumerate(["aB1", "ab\n", "", "zz zz \u00e9", "aB1", "x"])]
     rows = spark.createDataFrame([(i, t, i % 2) for i, t in texts], "doc_id long, text string, label long")
@@ -329,10 +374,34 @@ def test_url_intervals_and_precedence(spark):
     assert all(r["kept"] for r in url_filter.url_filter(caps, ev.limit(0)).collect())
 
 
-@pytest.mark.parametrize(("hot", "slices", "chunk"), [(100_000, 1, 1 << 21), (30, 3, 64), (0, 2, 300)])
-def test_backoff_against_counters(spark, hot, slices, chunk, monkeypatch):
-    monkeypatch.setattr(backoff_lm, "HOT", hot)
-    monkeypatch.setattr(backoff_lm, "CHUNK_BYTES", chunk)
+def test_words_of_a_long_text_are_those_of_its_pieces(monkeypatch):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abC \n\t") for _ in range(n)) + "z" * (n % 50) for n in (0, 1, 400, 30, 0, 900)]
+    raw, ends = "\n".join(texts).encode(), np.cumsum([len(t) + 1 for t in texts]) - 1
+    whole, counts = backoff_lm.words_of(raw, ends)
+    assert counts.tolist() == [len(t.split()) for t in texts]
+    words = [w.lower() for t in texts for w in t.split()]
+    assert len({*zip(words, whole.tolist())}) == len(set(words)) == len(set(whole.tolist()))
+    backoff_lm.hasher.cache_clear()
+    monkeypatch.setattr(backoff_lm, "CHUNK_BYTES", 64)
+    again, same = backoff_lm.words_of(raw, ends)
+    backoff_lm.hasher.cache_clear()
+    assert again.tolist() == whole.tolist() and same.tolist() == counts.tolist()
+
+
+def test_packed_numbers():
+    rng = np.random.default_rng(9)
+    for n in (1, 50):
+        v = np.unique(rng.integers(2**62, 2**63, n, dtype=np.uint64))
+        assert (backoff_lm.summed_up(backoff_lm.differences(v, np.uint64(2**62)), n, np.uint64(2**62)) == v).all()
+        k = rng.integers(1, 600, n)
+        assert (backoff_lm.numbers(*backoff_lm.small_numbers(k)) == k).all()
+
+
+@pytest.mark.parametrize(("slices", "pack", "parts"), [(1, 4 << 20, 64), (3, 200, 2), (2, 900, 5)])
+def test_backoff_against_counters(spark, slices, pack, parts, monkeypatch):
+    monkeypatch.setattr(backoff_lm, "PACK_BYTES", pack)
+    monkeypatch.setattr(backoff_lm, "PARTS", parts)
     rng = random.Random(5)
     words = [f"w{k}" for k in range(30)]
     texts = [(i, "  ".join(rng.choices(words, [1 / (k + 1) for k in range(30)], k=rng.randrange(0, 60))).replace("w1", "W1")) for i in range(80)]
@@ -465,6 +534,13 @@ def test_near_copies_beyond_a_shard(spark, copies, others, labels, scale, monkey
     assert vector_graph.audit_recall(df) >= 0.99
 
 
+def test_vectors_of_extreme_lengths_link(spark):
+    rows = [(0, [1e-200, 0.0]), (1, [1e-200, 0.0]), (2, [3e200, 0.0]), (3, [0.0, 5e-324]), (4, [0.0, 1e300]), (5, [1.0, 0.0]), (6, [1e308, 1e308]), (7, [1.0, 1.0]), (8, [0.0, 0.0])]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vector_graph.vector_dedup(df).collect()}
+    assert got == {0: (3, 0), 1: (3, 0), 2: (3, 0), 5: (3, 0), 3: (1, 3), 4: (1, 3), 6: (1, 6), 7: (1, 6), 8: (0, 8)}
+
+
 def test_cells_in_reach_hold_every_link():
     rng = np.random.default_rng(4)
     u = rng.normal(size=(300, 8))
