@@ -8,9 +8,11 @@ row without a page), is emitted as incomplete. So what is kept is the open files
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -20,6 +22,10 @@ STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+# the engine's own worker in the driver reads the processor without the files that sessions add
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 class Files(StatefulProcessor):
     """Pages of a file until it is complete; a page that comes again replaces itself."""
 
