@@ -31,20 +31,29 @@ FROM dc LEFT JOIN pr ON dc.pdf = pr.pdf WHERE dc.pdf % 5 <> 4 GROUP BY dc.pdf, d
 bb AS (SELECT *, CASE WHEN n = 0 THEN 'None' WHEN m1 >= m2 AND m1 >= m3 THEN 'cosine' WHEN m2 >= m3 THEN 'vgg' ELSE 'vit' END AS best FROM bd)"""
 
 
+def all_documents(spark, d):
+    return sig(spark, d).groupBy("pdf").agg(F.countDistinct("page").alias("pages"), F.count("*").alias("marks"))
+
+
 def documents(spark, d):
     """Documents that were read; every fifth failed."""
-    marks = sig(spark, d).groupBy("pdf").agg(F.countDistinct("page").alias("pages"), F.count("*").alias("marks"))
+    marks = all_documents(spark, d)
     return marks.where("pdf % 5 <> 4"), marks.where("pdf % 5 = 4").select("pdf", F.lit("unreadable").alias("error"))
 
 
-def compared(spark, d):
-    """Pairs of the documents that were read, with their pages; those that failed have none."""
-    p = document_pairs(spark, d).where("pdf % 5 <> 4").withColumn("combined", (F.col("cosine") + F.col("vgg") + F.col("vit")) / 3)
+def all_compared(spark, d):
+    """Pairs of all documents, with their pages."""
+    p = document_pairs(spark, d).withColumn("combined", (F.col("cosine") + F.col("vgg") + F.col("vit")) / 3)
     for s in ("a", "b"):
         p = p.join(sig(spark, d).select(F.col("sig_id").alias(f"sig_{s}"), F.col("page").alias(f"page_{s}")), f"sig_{s}")
     return p
 
 
+def compared(spark, d):
+    """Pairs of the documents that were read; those that failed have none."""
+    return all_compared(spark, d).where("pdf % 5 <> 4")
+
+
 @query("b7_file_summary", DOCS + """ SELECT pdf::VARCHAR AS "PDF_Name", pages::VARCHAR AS "Total_Pages", marks::VARCHAR AS "Signatures_Detected", n::VARCHAR AS "Total_Comparisons",
 printf('%.4f', coalesce(m1, 0)) AS "Avg_cosine_Similarity", printf('%.4f', coalesce(m2, 0)) AS "Avg_vgg_Similarity", printf('%.4f', coalesce(m3, 0)) AS "Avg_vit_Similarity", h1::VARCHAR AS "High_Sim_cosine_80%", h2::VARCHAR AS "High_Sim_vgg_80%", h3::VARCHAR AS "High_Sim_vit_80%",
 combined_high::VARCHAR AS "High_Sim_Combined_80%", best AS "Best_Method_by_Avg", printf('%.4f', coalesce(greatest(m1, m2, m3), 0)) AS "Best_Avg_Similarity", 'Success' AS "Processing_Status", NULL::VARCHAR AS "Error_Message" FROM bb
@@ -68,9 +77,13 @@ def b7_details(spark, d):
     return wb.detailed_comparisons(compared(spark, d), METHODS)
 
 
-@query("b7_pdf_summary", DOCS + """ SELECT pdf AS "PDF_Name", pages AS "Total_Pages", marks AS "Signatures_Detected", n AS "Similarity_Comparisons", combined_high AS "Combined_High_Similarity_Pairs_80%", best AS "Best_Method" FROM bb""")
+ALL_DOCS = DOCS.replace(" WHERE p.pdf % 5 <> 4", "").replace(" WHERE dc.pdf % 5 <> 4", "")
+
+
+@query("b7_pdf_summary", ALL_DOCS + """ SELECT pdf AS "PDF_Name", pages AS "Total_Pages", marks AS "Signatures_Detected", n AS "Similarity_Comparisons", combined_high AS "Combined_High_Similarity_Pairs_80%", best AS "Best_Method" FROM bb""")
 def b7_pdfs(spark, d):
-    return wb.document_summary(documents(spark, d)[0], compared(spark, d), METHODS, HIGH)
+    """Every document of the table; none counts as failed here."""
+    return wb.document_summary(all_documents(spark, d), all_compared(spark, d), METHODS, HIGH)
 
 
 @query("b7_signature_metadata", with_views("box") + """, n AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY score DESC, id) AS number FROM box), k AS (SELECT *, (page // 20) || '_page' || printf('%03d', page) || '_sig' || printf('%03d', number) AS stem FROM n),
