@@ -14,29 +14,60 @@ from pyspark.sql import functions as F
 from inkwell.functions.vectors import normalised
 
 
+#: Blocks of a table at most, so that what is sent grows with the table and not with its square; rows that a task takes of a block at a time.
+MOST_BLOCKS, PIECE = 24, 1000
+
+
 def unit_vectors(marks: DataFrame, vector: str = "v") -> DataFrame:
     """Normalised once for each mark, before any pair is made."""
     return marks.withColumn(vector, normalised(F.col(vector)))
 
 
 def block_cells(marks: DataFrame, block_rows: int, vector: str, keep: list[str]) -> DataFrame:
-    """Rows (lo, hi, own, sig_id, keep, v): each mark once for every block that its own block meets."""
-    blocks = max(1, math.ceil(marks.count() / block_rows))
-    u = unit_vectors(marks, vector).select("sig_id", *keep, F.col(vector).alias("v"), F.pmod(F.xxhash64("sig_id"), F.lit(blocks)).alias("own"))
+    """Rows (lo, hi, own, sig_id, keep, v): each mark once for every block that its own block meets; blocks are ranges of ids."""
+    blocks = min(MOST_BLOCKS, max(1, math.ceil(marks.count() / block_rows)))
+    ends = marks.approxQuantile("sig_id", [i / blocks for i in range(1, blocks)], 0.1 / blocks) if blocks > 1 else []
+    own = sum((F.when(F.col("sig_id") > int(end), 1).otherwise(0) for end in ends), F.lit(0))
+    u = unit_vectors(marks, vector).select("sig_id", *keep, F.col(vector).alias("v"), own.alias("own"))
     rows = u.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     return rows.select(F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "sig_id", *keep, "v")
 
 
-def sides(cell: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray]:
-    """A cell's two blocks and their cosines, NaN where a pair belongs to its mirror image."""
+class Marks:
+    """Ids in order, vectors and a further column of a block or a piece of it."""
+
+    def __init__(self, ids: np.ndarray, v: np.ndarray, by: np.ndarray | None):
+        self.ids, self.v, self.by = ids, v, by
+
+    @classmethod
+    def of(cls, rows: pd.DataFrame, by: str | None) -> Marks:
+        rows = rows.sort_values("sig_id")
+        return cls(rows["sig_id"].to_numpy(np.int64), np.array(rows["v"].tolist()), None if by is None else rows[by].to_numpy())
+
+    def pieces(self) -> list[Marks]:
+        return [self.at(slice(i, i + PIECE)) for i in range(0, len(self.ids), PIECE)]
+
+    def at(self, rows) -> Marks:
+        return Marks(self.ids[rows], self.v[rows], None if self.by is None else self.by[rows])
+
+
+def sides(batches: Iterator[pd.DataFrame], by: str | None = None) -> Iterator[tuple[Marks, Marks, np.ndarray | None]]:
+    """(lower, higher, mask) pieces of a cell's two blocks: each pair once, where ``mask`` (none: all) holds."""
+    cell = pd.concat(list(batches))
     lo, hi = cell["lo"].iloc[0], cell["hi"].iloc[0]
-    left, right = cell[cell["own"] == lo], cell[cell["own"] == hi]
-    if not len(left) or not len(right):
-        return left, right, np.zeros((len(left), len(right)))
-    sims = np.array(left["v"].tolist()) @ np.array(right["v"].tolist()).T
-    if lo == hi:
-        sims[left["sig_id"].to_numpy()[:, None] >= right["sig_id"].to_numpy()[None]] = np.nan
-    return left, right, sims
+    left, right = (Marks.of(cell[cell["own"] == own], by).pieces() for own in (lo, hi))
+    for i, x in enumerate(left):
+        for j, y in enumerate(right):
+            if lo == hi and i > j:
+                continue
+            if x.ids[-1] < y.ids[0]:
+                yield x, y, None
+            elif y.ids[-1] < x.ids[0]:
+                yield y, x, None
+            else:
+                yield x, y, x.ids[:, None] < y.ids[None]
+                if lo != hi or i != j:
+                    yield y, x, y.ids[:, None] < x.ids[None]
 
 
 def pairs_in_groups(marks: DataFrame, keys: list[str], scores: dict[str, tuple[int, int]], floor: float | None = None, block_rows: int = 2000) -> DataFrame:
@@ -78,36 +109,63 @@ def pairs_in_groups(marks: DataFrame, keys: list[str], scores: dict[str, tuple[i
 def blocked_pairs(marks: DataFrame, floor: float, block_rows: int = 2000, vector: str = "v") -> DataFrame:
     """(sig_a, sig_b, cosine) of all pairs of at least ``floor``, without a nested-loop join.
 
-    Marks are dealt to blocks; each pair of blocks is one task's matrix product, and only
-    pairs above the floor leave it. Rows are copied once for each block, not for each mark.
+    Marks are dealt to blocks; each pair of blocks is one task's matrix products, and only
+    pairs above the floor leave it, piece by piece. Rows are copied once for each block, not for each mark.
     """
 
-    def cell(part: pd.DataFrame) -> pd.DataFrame:
-        left, right, sims = sides(part)
-        i, j = np.nonzero(sims >= floor)
-        a, b = left["sig_id"].to_numpy()[i], right["sig_id"].to_numpy()[j]
-        return pd.DataFrame({"sig_a": np.minimum(a, b), "sig_b": np.maximum(a, b), "cosine": sims[i, j]})
+    def cell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x, y, mask in sides(batches):
+            sims = x.v @ y.v.T
+            i, j = np.nonzero(sims >= floor if mask is None else (sims >= floor) & mask)
+            yield pd.DataFrame({"sig_a": x.ids[i], "sig_b": y.ids[j], "cosine": sims[i, j]})
 
     return block_cells(marks, block_rows, vector, []).groupBy("lo", "hi").applyInPandas(cell, "sig_a long, sig_b long, cosine double")
 
 
+def by_group(ufunc: np.ufunc, table: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """``table`` reduced by groups of rows and columns that begin at ``rows`` and ``columns``."""
+    if len(rows) > 64:
+        return ufunc.reduceat(ufunc.reduceat(table, rows, 0), columns, 1)
+    ends = [*rows[1:], len(table)]
+    return ufunc.reduceat(np.array([ufunc.reduce(table[i:j], 0) for i, j in zip(rows, ends, strict=True)]), columns, 1)
+
+
 def blocked_statistics(marks: DataFrame, by: str, block_rows: int = 2000, vector: str = "v") -> DataFrame:
     """(a, b, n, total, top) of all pairs by the value of ``by`` of the lower and the higher id.
 
-    Each cell adds up its pairs, so that what leaves it has a row for each two values.
+    Each cell adds up its pairs, so that what leaves it has a row for each two values. Where all
+    ids of a piece are lower than all of another, numbers and sums follow from each value's own.
     """
 
-    def cell(part: pd.DataFrame) -> pd.DataFrame:
-        left, right, sims = sides(part)
-        names, at = np.unique(np.concatenate([left[by].to_numpy(), right[by].to_numpy()]), return_inverse=True)
-        i, j = np.nonzero(~np.isnan(sims))
-        s, x, y = sims[i, j], at[: len(left)][i], at[len(left) :][j]
-        first = left["sig_id"].to_numpy()[i] < right["sig_id"].to_numpy()[j]
-        code = np.where(first, x, y) * len(names) + np.where(first, y, x)
-        order = np.argsort(code, kind="stable")
-        found, begin, n = np.unique(code[order], return_index=True, return_counts=True)
-        total, top = (f.reduceat(s[order], begin) if len(found) else s for f in (np.add, np.maximum))
-        return pd.DataFrame({"a": names[found // max(len(names), 1)], "b": names[found % max(len(names), 1)], "n": n, "total": total, "top": top})
+    def grouped(x: Marks) -> tuple[Marks, np.ndarray, np.ndarray, np.ndarray]:
+        names, at = np.unique(x.by, return_inverse=True)
+        x = x.at(np.argsort(at, kind="stable"))
+        n = np.bincount(at, minlength=len(names))
+        return x, names, n, np.cumsum(n) - n
+
+    def summed(x: Marks, y: Marks, ordered: bool) -> pd.DataFrame:
+        (x, left, n, rows), (y, right, k, columns) = grouped(x), grouped(y)
+        sims = x.v @ y.v.T
+        if ordered and np.isfinite(x.v).all() and np.isfinite(y.v).all():
+            count, total = n[:, None] * k[None], np.add.reduceat(x.v, rows, 0) @ np.add.reduceat(y.v, columns, 0).T
+        else:
+            mask = ~np.isnan(sims) if ordered else (x.ids[:, None] < y.ids[None]) & ~np.isnan(sims)
+            count, total = by_group(np.add, mask.astype(np.int64), rows, columns), by_group(np.add, np.where(mask, sims, 0.0), rows, columns)
+            sims = np.where(mask, sims, -np.inf)
+        top = by_group(np.maximum, sims, rows, columns)
+        i, j = np.nonzero(count)
+        return pd.DataFrame({"a": left[i], "b": right[j], "n": count[i, j], "total": total[i, j], "top": top[i, j]})
+
+    def cell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts, size = [], 0
+        for x, y, mask in sides(batches, by):
+            parts.append(summed(x, y, mask is None))
+            size += len(parts[-1])
+            if size > 2_000_000:
+                yield pd.concat(parts)
+                parts, size = [], 0
+        if parts:
+            yield pd.concat(parts).groupby(["a", "b"], as_index=False, dropna=False).agg({"n": "sum", "total": "sum", "top": "max"})
 
     kind = dict(marks.dtypes)[by]
     parts = block_cells(marks, block_rows, vector, [by]).groupBy("lo", "hi").applyInPandas(cell, f"a {kind}, b {kind}, n long, total double, top double")
@@ -120,15 +178,19 @@ def blocked_top(marks: DataFrame, k: int, block_rows: int = 2000, vector: str =
     A cell sends its own ``k`` best.
     """
 
-    def cell(part: pd.DataFrame) -> pd.DataFrame:
-        left, right, sims = sides(part)
-        sims = np.where(np.isnan(sims), -np.inf, sims)
-        at = np.flatnonzero(sims.ravel() >= (np.partition(sims.ravel(), -k)[-k] if sims.size > k else -np.inf))
-        i, j = np.unravel_index(at, sims.shape)
-        a, b = left["sig_id"].to_numpy()[i], right["sig_id"].to_numpy()[j]
-        found = pd.DataFrame({"sig_a": np.minimum(a, b), "sig_b": np.maximum(a, b), "cosine": sims[i, j]})
-        found = found[np.isfinite(found["cosine"])]
-        return found.sort_values(["cosine", "sig_a", "sig_b"], ascending=[False, True, True]).head(k)
+    def cell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = pd.DataFrame({"sig_a": [], "sig_b": [], "cosine": []}).astype({"sig_a": "int64", "sig_b": "int64"})
+        for x, y, mask in sides(batches):
+            sims = x.v @ y.v.T
+            least = best["cosine"].iloc[-1] if len(best) == k else -np.inf
+            near = sims >= least if least > -np.inf else np.isfinite(sims)
+            near = near if mask is None else near & mask
+            if np.count_nonzero(near) > 4 * k:
+                near &= sims >= np.partition(sims[near], -k)[-k]
+            i, j = np.nonzero(near)
+            found = pd.DataFrame({"sig_a": x.ids[i], "sig_b": y.ids[j], "cosine": sims[i, j]})
+            best = pd.concat([best, found]).sort_values(["cosine", "sig_a", "sig_b"], ascending=[False, True, True]).head(k)
+        yield best
 
     cells = block_cells(marks, block_rows, vector, []).groupBy("lo", "hi")
     return cells.applyInPandas(cell, "sig_a long, sig_b long, cosine double").orderBy(F.desc("cosine"), "sig_a", "sig_b").limit(k)
@@ -150,6 +212,29 @@ def pair_digest(a: np.ndarray, b: np.ndarray, seed: int) -> np.ndarray:
     return remainder(seed) * (PRIME + 1) + remainder(seed + 1)
 
 
+def rest_of_prime(x: np.ndarray) -> np.ndarray:
+    """``x`` below 2**63 and not negative, modulo ``PRIME``, in place: bits above the 31st count as those below."""
+    for _ in range(2):
+        high = x >> 31
+        x &= PRIME
+        x += high
+    x[x >= PRIME] -= PRIME
+    return x
+
+
+def upper_digest(a: np.ndarray, b: np.ndarray, seed: int) -> np.ndarray:
+    """The upper part of the digest of all pairs of two lists of ids."""
+    x, y = a[:, None] % PRIME, b[None] % PRIME
+    h = x * FACTORS[0] % PRIME + (y * FACTORS[1] + seed) % PRIME
+    rest_of_prime(h)
+    h *= h
+    h += x * FACTORS[2]
+    rest_of_prime(h)
+    h *= h
+    h += y * FACTORS[3]
+    return rest_of_prime(h)
+
+
 def digest_sql(a: str, b: str, seed: int) -> str:
     """The same in SQL."""
     x, y = (f"((({i} % {PRIME}) + {PRIME}) % {PRIME})" for i in (a, b))
@@ -166,20 +251,34 @@ def floor_trials(marks: DataFrame, k: int = 30, seed: int = 42, by: str = "write
     """(sig_a, sig_b, digest, cosine) of ``k`` pairs of all that differ in ``by``: those of the least digest.
 
     Each cell of blocks sends its own ``k`` least on, as a sketch that merges, so that the
-    pairs are neither sorted nor written. Marks without a value of ``by`` are in no trial.
+    pairs are neither sorted nor written. A pair whose digest's upper part is above that of the
+    ``k`` least so far is looked at no further; only those that stay are scored. Marks without a
+    value of ``by`` are in no trial.
     """
 
-    def cell(part: pd.DataFrame) -> pd.DataFrame:
-        left, right, sims = sides(part)
-        far = ~np.isnan(sims) & (left[by].to_numpy()[:, None] != right[by].to_numpy()[None])
-        i, j = np.nonzero(far)
-        x, y = left["sig_id"].to_numpy(np.int64)[i], right["sig_id"].to_numpy(np.int64)[j]
-        found = pd.DataFrame({"sig_a": np.minimum(x, y), "sig_b": np.maximum(x, y)})
-        found["digest"] = pair_digest(found["sig_a"].to_numpy(), found["sig_b"].to_numpy(), seed)
-        found["cosine"] = sims[i, j]
-        if len(found) > k:
-            found = found[found["digest"] <= np.partition(found["digest"].to_numpy(), k - 1)[k - 1]]
-        return found.sort_values(["digest", "sig_a", "sig_b"]).head(k)
+    def cell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best, most = [], PRIME
+        for x, y, mask in sides(batches, by):
+            x, y = (m.at(np.isfinite(m.v).all(1)) for m in (x, y))
+            for begin in range(0, len(x.ids), 128):
+                part = x.at(slice(begin, begin + 128))
+                i, j = np.nonzero(upper_digest(part.ids, y.ids, seed) <= most)
+                keep = part.by[i] != y.by[j]
+                i, j = i[keep], j[keep]
+                if mask is not None:
+                    keep = part.ids[i] < y.ids[j]
+                    i, j = i[keep], j[keep]
+                if not len(i):
+                    continue
+                found = pd.DataFrame({"sig_a": part.ids[i], "sig_b": y.ids[j], "digest": pair_digest(part.ids[i], y.ids[j], seed)})
+                if len(found) > k:
+                    least = (found["digest"] <= np.partition(found["digest"].to_numpy(), k - 1)[k - 1]).to_numpy()
+                    found, i, j = found[least], i[least], j[least]
+                best = pd.concat([*best, found.assign(cosine=np.einsum("ij,ij->i", part.v[i], y.v[j]))])
+                best = [best.sort_values(["digest", "sig_a", "sig_b"]).head(k)]
+                if len(best[0]) == k:
+                    most = int(best[0]["digest"].iloc[-1]) // (PRIME + 1)
+        yield from best
 
     cells = block_cells(marks.where(F.col(by).isNotNull()), block_rows, vector, [by]).groupBy("lo", "hi")
     return cells.applyInPandas(cell, "sig_a long, sig_b long, digest long, cosine double").orderBy("digest", "sig_a", "sig_b").limit(k)
@@ -222,9 +321,13 @@ def best_signers(targets: DataFrame, references: DataFrame, threshold: float, bl
         if not len(left) or not len(right):
             return left[keys].assign(signer=None, s=0.0).head(0)
         right = right.sort_values("signer", ignore_index=True)
-        sims = np.maximum(np.array(left["v"].tolist()) @ np.array(right["v"].tolist()).T, 0.0)
-        at = sims.argmax(1)  # the first of ties, and so the first signer
-        return left[keys].assign(signer=right["signer"].to_numpy()[at], s=sims[np.arange(len(left)), at])
+        x, y = np.array(left["v"].tolist()), np.array(right["v"].tolist()).T
+        at, s = np.zeros(len(x), int), np.zeros(len(x))
+        for i in range(0, len(x), 250):  # a table of a few MB at a time
+            sims = np.maximum(x[i : i + 250] @ y, 0.0)
+            at[i : i + 250] = sims.argmax(1)  # the first of ties, and so the first signer
+            s[i : i + 250] = sims.max(1)
+        return left[keys].assign(signer=right["signer"].to_numpy()[at], s=s)
 
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, "signer"]) + ", s double"
     cells = in_blocks(t, r, [], (keys[0], "v"), best, schema, block_rows)
