@@ -7,13 +7,16 @@ the clusters' sums. Ward's clustering of a group beyond a block is done in round
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from inkwell.operators.pairs import blocked_pairs, in_blocks, pairs_in_groups, unit_vectors
+from inkwell.operators.pairs import MOST_BLOCKS, block_cells, blocked_pairs, in_blocks, pairs_in_groups, sides, unit_vectors
 from inkwell.operators.staging import discarded, leading_values, materialised
 from inkwell.operators.ward import BLOCK_ROWS, ward_labels
 
@@ -152,6 +155,72 @@ def density_clusters(marks: DataFrame, edges: DataFrame, min_samples, by: list[s
     return found.select(*by, F.col("a").alias("sig_id"), F.coalesce("root", "near", F.lit(-1)).alias("label"))
 
 
+def joined(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``root`` after edges between ``a`` and ``b``: each component goes by its smallest place."""
+    while len(a):
+        x, y = root[a], root[b]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+        open_ = root[a] != root[b]
+        a, b = a[open_], b[open_]
+    return root
+
+
+def blocked_density(marks: DataFrame, floor: float, min_samples: int, block_rows: int = 2000) -> DataFrame:
+    """(sig_id, label): DBSCAN of all marks, those of a cosine of at least ``floor`` in reach, without a table of their pairs.
+
+    Cells of blocks count what is in reach of a mark; cells of core marks send a forest each,
+    at most a row for each of their marks, and border marks ask for the lowest label in reach.
+    """
+
+    def near(x, y, mask) -> np.ndarray:
+        found = x.v @ y.v.T >= floor
+        return found if mask is None else found & mask
+
+    def degrees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = pd.Series(dtype="int64")
+        for x, y, mask in sides(batches):
+            reach = near(x, y, mask)
+            total = total.add(pd.Series(reach.sum(1), x.ids), fill_value=0).add(pd.Series(reach.sum(0), y.ids), fill_value=0)
+        yield pd.DataFrame({"sig_id": total.index.to_numpy(np.int64), "n": total.to_numpy(np.int64)})
+
+    def forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cell = list(sides(batches))
+        ids = np.unique(np.concatenate([m.ids for x, y, _ in cell for m in (x, y)]))
+        root = np.arange(len(ids))
+        for x, y, mask in cell:
+            a, b = np.searchsorted(ids, x.ids), np.searchsorted(ids, y.ids)
+            i, j = np.nonzero(near(x, y, mask) & (root[a][:, None] != root[b][None]))
+            root = joined(root, a[i], b[j])
+        own = root != np.arange(len(ids))
+        yield pd.DataFrame({"a": ids[root[own]], "b": ids[own]})
+
+    def lowest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"sig_id": [], "near": []}).astype("int64")
+        right = right.sort_values("root", ignore_index=True)
+        x, y, found = np.array(left["v"].tolist()), np.array(right["v"].tolist()).T, []
+        for i in range(0, len(x), 250):
+            reach = x[i : i + 250] @ y >= floor
+            some = reach.any(1)
+            found.append(pd.DataFrame({"sig_id": left["sig_id"].to_numpy()[i : i + 250][some], "near": right["root"].to_numpy()[reach.argmax(1)[some]]}))
+        return pd.concat(found)
+
+    marks = materialised(marks.select(F.col("sig_id").cast("long").alias("sig_id"), "v"))
+    reached = block_cells(marks, block_rows, "v", []).groupBy("lo", "hi").applyInPandas(degrees, "sig_id long, n long").groupBy("sig_id").agg(F.sum("n").alias("n"))
+    core = materialised(reached.where(F.col("n") + 1 >= min_samples).select("sig_id"))
+    inner = materialised(marks.join(core, "sig_id"))
+    edges = materialised(block_cells(inner, block_rows, "v", []).groupBy("lo", "hi").applyInPandas(forest, "a long, b long"))
+    roots = materialised(density_clusters(inner, edges, 1))
+    outer = materialised(unit_vectors(marks.join(core, "sig_id", "left_anti")))
+    found = marks.select("sig_id").join(roots, "sig_id", "left")
+    rows = max(4000, math.ceil(max(outer.count(), inner.count()) / MOST_BLOCKS))
+    named = unit_vectors(inner.join(roots, "sig_id")).select(F.col("sig_id").alias("core"), "v", F.col("label").alias("root"))
+    border = in_blocks(outer, named, [], ("sig_id", "core"), lowest, "sig_id long, near long", rows).groupBy("sig_id").agg(F.min("near").alias("near"))
+    return found.join(border, "sig_id", "left").select("sig_id", F.coalesce("label", "near", F.lit(-1)).alias("label"))
+
+
 def ward_cuts(vectors: np.ndarray, most: int) -> dict[int, np.ndarray]:
     """By number of clusters up to ``most``: labels of Ward's clustering on cosine distances, ties to the lowest pair."""
     n = len(vectors)

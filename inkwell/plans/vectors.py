@@ -184,8 +184,7 @@ core AS (SELECT a FROM e GROUP BY a HAVING count(*) + 1 >= 3), ce AS (SELECT e.a
 root AS (SELECT a, min(r) AS root FROM reach GROUP BY a), border AS (SELECT e.a, min(root.root) AS near FROM e JOIN root ON e.b = root.a GROUP BY e.a)
 SELECT s.sig_id, coalesce(root.root, border.near, -1) AS label FROM sig s LEFT JOIN root ON s.sig_id = root.a LEFT JOIN border ON s.sig_id = border.a""")
 def j4(spark, d):
-    edges = materialised(pairs.blocked_pairs(sig(spark, d), 0.3).select(F.col("sig_a").alias("a"), F.col("sig_b").alias("b")))
-    return clusters.density_clusters(sig(spark, d), edges, 3)
+    return clusters.blocked_density(sig(spark, d), 0.3, 3)
 
 
 @query("j5_silhouette", with_views("uni") + """, n AS (SELECT writer, count(*) AS n FROM uni GROUP BY writer),
