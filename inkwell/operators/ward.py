@@ -8,15 +8,20 @@ updated; blocks of clusters meet in matrix products.
 
 A round finds each cluster's nearest one and merges those that are each other's. Ward's
 distance is reducible: such pairs merge in any order of merging, so that the rounds give the
-tree that merging the nearest pair of all, one after the other, gives. Where no more than a
-block of a group's clusters is left, one task merges the rest.
+tree that merging the nearest pair of all, one after the other, gives. Where no more than two
+blocks of a group's clusters are left, one task merges the rest.
 
 A cluster goes by its smallest mark, so that every mark but a group's smallest is merged into a
 smaller one exactly once: the tree is a pointer and a height for each mark. The highest
 merges are cut; each mark's cluster is where its pointers end.
 
-A task holds two blocks of ``block_rows`` clusters with d (d + 3) / 2 numbers each, for vectors of
-length d, and their distances: about 100 MB for 2000 clusters of 64.
+A cluster's nearest one stays so until it is merged itself, as what others merge into comes no
+nearer; a round asks only for clusters whose nearest one is gone. Equal vectors are merged
+first, without a round. Clusters of few marks keep the marks' unit vectors, whose products
+cost less than those of sums of outer products, of d (d + 1) / 2 numbers each for vectors of length d.
+
+A group falls into at most ``MOST_BLOCKS`` blocks, so that what is sent grows with the group, not
+with its square; a task goes through its two blocks in pieces of ``PIECE`` marks.
 """
 
 from __future__ import annotations
@@ -33,6 +38,13 @@ from inkwell.operators.staging import discarded, materialised
 BLOCK_ROWS = 2000
 #: Parts of a group whose highest merges are found apart.
 PARTS = 64
+#: A cluster of so many marks at most keeps their unit vectors.
+MEMBERS = 32
+#: Blocks of a group, and marks of a piece of a block.
+MOST_BLOCKS, PIECE = 16, 3000
+STATE = "id long, n long, within double, w array<double>, s array<double>, m array<double>"
+#: What a product of two marks costs, in products of single numbers.
+PRODUCT = 100
 
 
 def outer_products(v: np.ndarray) -> np.ndarray:
@@ -42,24 +54,68 @@ def outer_products(v: np.ndarray) -> np.ndarray:
 
 
 class Clusters:
-    """Sizes, sums of vectors, sums of outer products and sums of squared distances within."""
+    """Sizes, sums of squared distances within, sums of vectors, and what gives those of outer products."""
 
     def __init__(self, rows: pd.DataFrame):
-        self.n = rows["n"].to_numpy(float)
-        self.s = np.array(rows["s"].tolist(), float).reshape(len(rows), -1)
-        single = rows["m"].isna().to_numpy()
-        self.m = np.zeros((len(rows), self.s.shape[1] * (self.s.shape[1] + 1) // 2))
-        self.m[single] = outer_products(self.s[single])
-        if not single.all():
-            self.m[~single] = np.array(rows["m"][~single].tolist())
-        self.within = self.n**2 - 2 * (self.s**2).sum(1) + (self.m**2).sum(1)
+        self.n, self.within = rows["n"].to_numpy(float), rows["within"].to_numpy(float)
+        self.few = rows["m"].isna().to_numpy()
+        size = rows["n"].to_numpy()[self.few]
+        self.starts = np.cumsum(size) - size
+        dims = len(rows["s"].iloc[0]) if not self.few[0] else len(rows["w"].iloc[0]) // int(self.n[0])
+        self.u = np.concatenate([np.zeros(0), *rows["w"][self.few]]).reshape(-1, dims)
+        self.m = np.array(rows["m"][~self.few].tolist()).reshape(-1, dims * (dims + 1) // 2)
+        self.s = np.empty((len(rows), dims))
+        self.s[self.few] = self.added(self.u)
+        self.s[~self.few] = np.array(rows["s"][~self.few].tolist()).reshape(-1, dims)
+
+    def added(self, x: np.ndarray, axis: int = 0) -> np.ndarray:
+        """Marks' rows or columns added up by cluster of few marks."""
+        return x if len(self.starts) == x.shape[axis] else np.add.reduceat(x, self.starts, axis)
+
+    def outer(self) -> np.ndarray:
+        """Sums of outer products of the clusters of few marks."""
+        ends = np.append(self.starts, len(self.u))
+        found = np.empty((len(self.starts), self.m.shape[1]))
+        for i in range(0, len(self.starts), 100):
+            j = min(i + 100, len(self.starts))
+            found[i:j] = np.add.reduceat(outer_products(self.u[ends[i] : ends[j]]), self.starts[i:j] - ends[i], 0)
+        return found
+
+    def squares(self, other: Clusters) -> np.ndarray:
+        """Sums of squared products of the marks of all clusters with those of another block's."""
+        found, few, big = np.empty((len(self.n), len(other.n))), np.ix_(self.few, other.few), ~self.few
+        by_mark = len(self.u) * len(other.u) * PRODUCT < len(self.starts) * len(other.starts) * self.m.shape[1]
+        x = None if by_mark and other.few.all() else self.outer()
+        y = None if by_mark and self.few.all() else other.outer()
+        if by_mark:
+            p = self.u @ other.u.T
+            np.multiply(p, p, out=p)
+            found[few] = other.added(self.added(p), 1)
+        else:
+            found[few] = x @ y.T
+        if x is not None:
+            found[np.ix_(self.few, ~other.few)] = x @ other.m.T
+        if y is not None:
+            found[np.ix_(big, other.few)] = self.m @ y.T
+        found[np.ix_(big, ~other.few)] = self.m @ other.m.T
+        return found
 
     def distances(self, other: Clusters) -> np.ndarray:
         """Squared Ward distances of all clusters to all of another block."""
         n, k = self.n[:, None], other.n[None]
-        between = n * k - 2 * self.s @ other.s.T + self.m @ other.m.T
-        inner = (self.within / self.n**2)[:, None] / 2 + (other.within / other.n**2)[None] / 2
-        return np.maximum(2 * n * k / (n + k) * (between / (n * k) - inner), 0.0)
+        d = self.squares(other)
+        d -= 2 * self.s @ other.s.T
+        d /= n * k
+        d += 1 - (self.within / self.n**2)[:, None] / 2
+        d -= (other.within / other.n**2)[None] / 2
+        d *= 2 * n * k / (n + k)
+        return np.maximum(d, 0.0, out=d)
+
+
+def pieces(rows: pd.DataFrame) -> list[pd.DataFrame]:
+    """``rows`` in stretches of about ``PIECE`` marks; a cluster of many counts as one."""
+    at = np.cumsum(np.where(rows["m"].isna(), rows["n"], 1)) // PIECE
+    return [x for _, x in rows.groupby(at)]
 
 
 def symmetric(d: np.ndarray) -> np.ndarray:
@@ -68,53 +124,101 @@ def symmetric(d: np.ndarray) -> np.ndarray:
     return d
 
 
-def blocks_of(clusters: DataFrame, keys: list[str], block_rows: int) -> DataFrame:
-    """Each cluster once for every block of its group that its own block meets: with _own, _lo and _hi."""
-    sizes = clusters.groupBy(*keys).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("_n"))
-    rows = clusters.join(sizes, keys).withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"))
-    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    return rows.withColumns({"_lo": F.least("_own", "_other"), "_hi": F.greatest("_own", "_other")}).drop("_n", "_other")
-
-
 def key_schema(clusters: DataFrame, keys: list[str]) -> str:
     kinds = dict(clusters.dtypes)
     return "".join(f"`{k}` {kinds[k]}, " for k in keys)
 
 
-def nearest(clusters: DataFrame, keys: list[str], block_rows: int) -> DataFrame:
-    """(keys, id, d, other): each cluster's nearest one of its group, the smallest id of ties."""
+def started(marks: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Clusters (keys, id, n, within, w, s, m) of equal unit vectors, and their merges (keys, b, a, d, step); both written."""
+    u = materialised(unit_vectors(marks).select(*keys, F.col("sig_id").cast("long").alias("id"), "v"))
+    same = materialised(u.groupBy(*keys, "v").agg(F.min("id").alias("id"), F.count("*").alias("n")))
+
+    def step(batches):
+        for batch in batches:
+            rows = []
+            for v, n in zip(batch["v"], batch["n"], strict=True):
+                many = n > MEMBERS
+                rows.append((n * n * (1 - v @ v) ** 2, None if many else np.tile(v, n), n * v if many else None, n * outer_products(v[None])[0] if many else None))
+            yield batch[[*keys, "id", "n"]].assign(**dict(zip(("within", "w", "s", "m"), map(list, zip(*rows)), strict=True))) if rows else batch[[*keys, "id", "n"]].assign(within=0.0, w=None, s=None, m=None)
+
+    now = materialised(same.mapInPandas(step, key_schema(u, keys) + STATE))
+    several = same.where("n > 1").select(*keys, "v", F.col("id").alias("a"))
+    copies = u.join(several, [*keys, "v"]).where("id <> a")
+    merges = materialised(copies.select(*keys, F.col("id").alias("b"), "a", F.lit(0.0).alias("d"), F.lit(0).cast("long").alias("step")))
+    discarded(u, same)
+    return now, merges
+
+
+def nearest(clusters: DataFrame, open_: DataFrame, keys: list[str], block_rows: int) -> DataFrame:
+    """(keys, id, d, other): the nearest ones of the clusters ``open_`` in their groups, the smallest id of ties."""
 
     def cell(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("id", ignore_index=True)
-        own, lo, hi = part["_own"].to_numpy(), part["_lo"].iloc[0], part["_hi"].iloc[0]
-        one, two = part[own == lo], part[own == hi]
+        one, two = (part[part["_side"] == side] for side in (0, 1))
         if not len(one) or not len(two):
             return pd.DataFrame(columns=[*keys, "id", "d", "other"])
-        x = Clusters(one)
-        d = symmetric(x.distances(x)) if lo == hi else x.distances(Clusters(two))
-        found = []
-        for rows, others, table in ((one, two, d), (two, one, d.T))[: 1 + (lo != hi)]:
-            at = table.argmin(1)
-            found.append(rows[[*keys, "id"]].assign(d=table[np.arange(len(rows)), at], other=others["id"].to_numpy()[at]))
+        found, own = [], [(x, Clusters(x)) for x in pieces(one)]
+        for rows, _ in own:
+            found.append(rows[[*keys, "id"]].assign(d=np.inf, other=-1))
+        for rows in pieces(two):
+            y, ids = Clusters(rows), rows["id"].to_numpy()
+            for (_, x), best in zip(own, found, strict=True):
+                d = x.distances(y)
+                _, i, j = np.intersect1d(best["id"].to_numpy(), ids, return_indices=True)
+                d[i, j] = np.inf
+                at = d.argmin(1)
+                d = d[np.arange(len(d)), at]
+                nearer = d < best["d"].to_numpy()  # later pieces have larger ids
+                best["other"] = np.where(nearer, ids[at], best["other"])
+                best["d"] = np.where(nearer, d, best["d"])
         found = pd.concat(found)
         return found[np.isfinite(found["d"])]
 
-    cells = blocks_of(clusters, keys, block_rows).groupBy(*keys, "_lo", "_hi").applyInPandas(cell, key_schema(clusters, keys) + "id long, d double, other long")
+    blocks = lambda name: F.least(F.ceil(F.count("*") / block_rows), F.lit(MOST_BLOCKS)).cast("int").alias(name)
+    counts = clusters.groupBy(*keys).agg(blocks("_nr")).join(open_.groupBy(*keys).agg(blocks("_nl")), keys)
+    own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rows = clusters.join(counts, keys)
+    some = rows.join(open_.select(*keys, "id"), [*keys, "id"], "left_semi").withColumn("_lo", own(F.col("_nl"))).withColumn("_hi", every("_nr"))
+    rows = rows.withColumn("_hi", own(F.col("_nr"))).withColumn("_lo", every("_nl")).withColumn("_side", F.lit(1))
+    rows = rows.unionByName(some.withColumn("_side", F.lit(0))).drop("_nl", "_nr")
+    cells = rows.groupBy(*keys, "_lo", "_hi").applyInPandas(cell, key_schema(clusters, keys) + "id long, d double, other long")
     best = cells.groupBy(*keys, "id").agg(F.min(F.struct("d", "other")).alias("best"))
     return best.select(*keys, "id", "best.d", "best.other")
 
 
 def merged(clusters: DataFrame, merges: DataFrame, keys: list[str]) -> DataFrame:
-    """``clusters`` after ``merges`` (keys, a, b): the sums of each pair under its smaller id."""
-    side = lambda end: clusters.select(*keys, F.col("id").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in ("n", "s", "m")))
-    pairs = merges.select(*keys, "a", "b").join(side("a"), [*keys, "a"]).join(side("b"), [*keys, "b"])
+    """``clusters`` after ``merges`` (keys, a, b, d): the sums of each pair under its smaller id."""
+    parts = ("n", "within", "w", "s", "m")
+    side = lambda end: clusters.select(*keys, F.col("id").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in parts))
+    pairs = merges.select(*keys, "a", "b", "d").join(side("a"), [*keys, "a"]).join(side("b"), [*keys, "b"])
+
+    def sums(w, s, m):
+        if m is not None:
+            return np.asarray(s), np.asarray(m)
+        u = np.asarray(w).reshape(-1, dims[0])
+        return u.sum(0), outer_products(u).sum(0)
+
+    dims = [0]
 
     def step(batches):
         for batch in batches:
-            one, two = (Clusters(batch[[f"{c}_{e}" for c in ("n", "s", "m")]].set_axis(["n", "s", "m"], axis=1)) for e in ("a", "b"))
-            yield batch[[*keys]].assign(id=batch["a"], n=batch["n_a"] + batch["n_b"], s=list(one.s + two.s), m=list(one.m + two.m))
-
-    new = pairs.mapInPandas(step, key_schema(clusters, keys) + "id long, n long, s array<double>, m array<double>")
+            rows = []
+            for r in batch.itertuples(index=False):
+                dims[0] = len(r.s_a) if r.s_a is not None else len(r.w_a) // r.n_a
+                n, k = r.n_a, r.n_b
+                between = r.d * (n + k) / 2 + n * k * (r.within_a / n**2 + r.within_b / k**2) / 2
+                if n + k <= MEMBERS:
+                    kept = np.concatenate([r.w_a, r.w_b]), None, None
+                else:
+                    one, two = sums(r.w_a, r.s_a, r.m_a), sums(r.w_b, r.s_b, r.m_b)
+                    kept = None, one[0] + two[0], one[1] + two[1]
+                rows.append((r.a, n + k, r.within_a + r.within_b + 2 * between, *kept))
+            found = pd.DataFrame(rows, columns=["id", *parts])
+            yield batch[[*keys]].assign(**{c: found[c].to_list() for c in found})
+
+    new = pairs.mapInPandas(step, key_schema(clusters, keys) + STATE)
     gone = merges.select(*keys, F.explode(F.array("a", "b")).alias("id"))
     return clusters.join(gone, [*keys, "id"], "left_anti").unionByName(new)
 
@@ -146,8 +250,9 @@ def in_one_task(keys: list[str], step: int):
 
     def merges(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("id", ignore_index=True)
-        x, ids = Clusters(part), part["id"].to_numpy()
-        rows = [(ids[j], ids[i], h, step + k) for k, (i, j, h) in enumerate(folded(symmetric(x.distances(x)), x.n))]
+        ids, own = part["id"].to_numpy(), [Clusters(x) for x in pieces(part)]
+        d = np.vstack([np.hstack([x.distances(y) for y in own]) for x in own])
+        rows = [(ids[j], ids[i], h, step + k) for k, (i, j, h) in enumerate(folded(symmetric(d), part["n"].to_numpy()))]
         found = pd.DataFrame(rows, columns=["b", "a", "d", "step"])
         return found.assign(**{k: part[k].iloc[0] for k in keys})[[*keys, "b", "a", "d", "step"]]
 
@@ -156,27 +261,38 @@ def in_one_task(keys: list[str], step: int):
 
 def ward_tree(marks: DataFrame, keys: list[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(keys, b, a, d, step), written: every merge of the cluster of mark ``b`` into that of ``a``, its squared height, and when."""
-    empty = F.lit(None).cast("array<double>").alias("m")
-    now = materialised(unit_vectors(marks).select(*keys, F.col("sig_id").cast("long").alias("id"), F.lit(1).cast("long").alias("n"), F.col("v").alias("s"), empty))
-    found, step = None, 0
+    now, found = started(marks, keys)
+    known, step = None, 1
     while True:
-        sizes = now.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > block_rows)
-        large = materialised(now.join(sizes.select(*keys), keys, "left_semi"))
-        rest = now.join(sizes.select(*keys), keys, "left_anti")
-
-        done = materialised(rest.groupBy(*keys).applyInPandas(in_one_task(keys, step), key_schema(now, keys) + "b long, a long, d double, step long"))
-        found = done if found is None else found.unionByName(done)
-        discarded(now)
-        if not large.limit(1).count():
-            return found
-        near = materialised(nearest(large, keys, block_rows))
+        sizes = materialised(now.groupBy(*keys).agg(F.count("*").alias("_n")))
+        small = sizes.where(F.col("_n") <= 2 * block_rows).select(*keys)
+        if small.limit(1).count():
+            done = now.join(small, keys, "left_semi").groupBy(*keys).applyInPandas(in_one_task(keys, step), key_schema(now, keys) + "b long, a long, d double, step long")
+            found = found.unionByName(materialised(done))
+            if not sizes.where(F.col("_n") > 2 * block_rows).limit(1).count():
+                discarded(now, sizes)
+                return found
+            before, now = now, materialised(now.join(small, keys, "left_anti"))
+            discarded(before)
+        ids = now.select(*keys, "id")
+        if known is None:
+            near = materialised(nearest(now, ids, keys, block_rows))
+        else:
+            known = known.join(small, keys, "left_anti")
+            new = nearest(now, materialised(ids.join(known, [*keys, "id"], "left_anti")), keys, block_rows)
+            near = materialised(known.unionByName(new))
         back = near.select(*keys, F.col("id").alias("other"), F.col("other").alias("id"))
-        pairs = near.join(back, [*keys, "id", "other"]).where("id < other")
-        merges = materialised(pairs.select(*keys, F.col("other").alias("b"), F.col("id").alias("a"), "d", F.lit(step).cast("long").alias("step")))
-        discarded(near)
+        pairs = near.join(back, [*keys, "id", "other"]).where("id < other").select(*keys, F.col("other").alias("b"), F.col("id").alias("a"), "d")
+        # where rounding leaves no two that are each other's, the nearest two are merged
+        least = F.min(F.struct("d", F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))).alias("x")
+        alone = near.groupBy(*keys).agg(least).join(pairs.select(*keys), keys, "left_anti").select(*keys, "x.b", "x.a", "x.d")
+        merges = materialised(pairs.unionByName(alone).withColumn("step", F.lit(step).cast("long")))
         found, step = found.unionByName(merges), step + 1
-        now = materialised(merged(large, merges, keys))
-        discarded(large)
+        before, now = now, materialised(merged(now, merges, keys))
+        gone = merges.select(*keys, F.explode(F.array("a", "b")).alias("id"))
+        left = near.join(gone, [*keys, "id"], "left_anti").join(gone.withColumnRenamed("id", "other"), [*keys, "other"], "left_anti")
+        known = materialised(left.select(*keys, "id", "d", "other"))
+        discarded(before, near, sizes)
 
 
 def highest(tree: DataFrame, keys: list[str], k: int) -> DataFrame:
