@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from functools import reduce
 from operator import and_
 
@@ -198,7 +199,7 @@ HIT, MISS, IGNORED = 1, 0, 2
 def benchmark_matches(predictions: DataFrame, truths: DataFrame, most: int = 100) -> DataFrame:
     """(page, label, id, score, codes) of the ``most`` best predictions of a page and label.
 
-    ``codes`` holds HIT, MISS or IGNORED for every size range and overlap. In each of them
+    ``codes`` holds HIT, MISS or IGNORED, a byte for every size range and overlap. In each of them
     predictions take their best free truth of the range in turn; what finds only truths of
     other sizes, or finds none and is of another size itself, is ignored.
     """
@@ -208,17 +209,30 @@ def benchmark_matches(predictions: DataFrame, truths: DataFrame, most: int = 100
     area = lambda b: (F.col(f"{b}.x1") - F.col(f"{b}.x0")) * (F.col(f"{b}.y1") - F.col(f"{b}.y0"))
     rows = in_turn(candidates(kept, truths, keys, OVERLAPS[0]), keys).select(*keys, "id", "score", area("b").alias("area"), "truth_id", area("tb").alias("t_area"), "iou")
 
-    def judged(area: float, found: list, taken: list[set]) -> list[int]:
-        codes = []
+    least_of = [o - 1e-10 for o in OVERLAPS]
+
+    def judged(area: float, found: list, taken: list[set]) -> bytes:
+        codes = bytearray()
+        # overlaps beyond the best one found leave nothing to choose
+        within = bisect.bisect_right(least_of, max(v for _, _, v in found)) if found else 0
         for s, (_, low, high) in enumerate(SIZES):
-            for o, least in enumerate(OVERLAPS):
-                mine = taken[s * len(OVERLAPS) + o]
-                free = [(t, low <= a <= high) for t, a, v in found if v >= least - 1e-10 and t not in mine]
-                inside = [t for t, fits in free if fits]
-                if free:
-                    mine.add(inside[0] if inside else free[0][0])
-                codes.append(HIT if inside else IGNORED if free or not low <= area <= high else MISS)
-        return codes
+            none = MISS if low <= area <= high else IGNORED
+            for o in range(within):
+                mine, other, code = taken[s * len(OVERLAPS) + o], None, none
+                for t, a, v in found:
+                    if v >= least_of[o] and t not in mine:
+                        if low <= a <= high:
+                            mine.add(t)
+                            code = HIT
+                            break
+                        other = t if other is None else other
+                else:
+                    if other is not None:
+                        mine.add(other)
+                        code = IGNORED
+                codes.append(code)
+            codes.extend([none] * (len(OVERLAPS) - within))
+        return bytes(codes)
 
     def take(batches):
         here, taken, turn, found = None, [], None, []
@@ -242,10 +256,11 @@ def benchmark_matches(predictions: DataFrame, truths: DataFrame, most: int = 100
             yield from rows_of([closed()])
 
     def rows_of(out):
-        yield pa.RecordBatch.from_pylist([dict(zip(("page", "label", "id", "score", "codes"), r, strict=True)) for r in out], schema)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     kinds = dict(kept.dtypes)
-    columns = ", ".join(f"{c} {kinds[c]}" for c in ("page", "label", "id", "score")) + ", codes array<int>"
+    columns = ", ".join(f"{c} {kinds[c]}" for c in ("page", "label", "id", "score")) + ", codes binary"
     schema = to_arrow_schema(T._parse_datatype_string(columns))
     return rows.mapInArrow(take, columns)
 
@@ -265,25 +280,111 @@ def running_totals(rows: DataFrame, by: list[str], order: list, sums: list[str])
     return found.select(*rows.columns, *((F.sum(c).over(inside) + F.col(f"_b_{c}")).alias(f"run_{c}") for c in sums))
 
 
+CELLS = [(name, least) for name, _, _ in SIZES for least in OVERLAPS]
+#: Recalls at which precision is read.
+POINTS = 101
+
+
+def benchmark_points(matches: DataFrame, counted: DataFrame) -> DataFrame:
+    """(label, cell, up_to, p, recall) of what ``benchmark_matches`` gives and of (label, truths), a number for each cell.
+
+    The predictions of a label in one order, by falling score, page and id: ``p`` is the best
+    precision of those that reach a recall of ``up_to`` hundredths and no more, ``recall`` the
+    largest of them. A prediction is one row with the codes of all cells. Rows are dealt out by
+    ranges of the order; a range's totals travel to the next ones as one row for each label, ahead
+    of its predictions, and what leaves a range is at most a row for each label, cell and recall.
+    """
+    order = [F.desc("score"), "page", "id"]
+    kinds, n = dict(matches.dtypes), len(CELLS)
+    parts = materialised(materialised(matches).repartitionByRange("label", *order).withColumn("_part", F.spark_partition_id()))
+
+    def codes_of(batch: pa.RecordBatch) -> np.ndarray:
+        return np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint8).reshape(-1, n)
+
+    def runs(batch: pa.RecordBatch, *keys: str) -> list[tuple]:
+        """(first, end, values of the keys) of consecutive rows that agree in them."""
+        values = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
+        starts = [i for i in range(len(values)) if not i or values[i] != values[i - 1]]
+        return [(i, j, *values[i]) for i, j in zip(starts, [*starts[1:], len(values)], strict=True)]
+
+    def summed(batches):
+        for batch in batches:
+            codes, out = codes_of(batch), []
+            for i, j, label, part in runs(batch, "label", "_part"):
+                hits, counts = (codes[i:j] == HIT).sum(0), (codes[i:j] != IGNORED).sum(0)
+                out.append((label, part, hits.tolist(), counts.tolist()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), totals_schema, strict=True)], schema=totals_schema)
+
+    columns = f"label {kinds['label']}, _part int, hits array<long>, counts array<long>"
+    totals_schema = to_arrow_schema(T._parse_datatype_string(columns))
+    sums = parts.select("label", "_part", "codes").mapInArrow(summed, columns)
+    cell = sums.select("label", "_part", F.posexplode(F.arrays_zip("hits", "counts")).alias("cell", "x"))
+    cell = cell.groupBy("label", "_part", "cell").agg(F.sum("x.hits").alias("h"), F.sum("x.counts").alias("c"))
+    earlier = W.partitionBy("label", "cell").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    cell = cell.select("label", "_part", "cell", *(F.coalesce(F.sum(x).over(earlier), F.lit(0)).alias(x) for x in ("h", "c")))
+    listed = F.array_sort(F.collect_list(F.struct("cell", "h", "c")))
+    text = lambda values: F.array_join(values.cast("array<string>"), ",")
+    before = cell.groupBy("label", "_part").agg(listed.alias("x")).join(sent_if_small(counted), "label").select("label", "_part", F.concat_ws(";", text(F.col("x.h")), text(F.col("x.c")), text(F.col("truths"))).alias("totals"))
+
+    heads = before.select("label", "_part", F.lit(0).alias("_row"), *(F.lit(None).cast(kinds[c]).alias(c) for c in ("score", "page", "id")), F.lit(None).cast("binary").alias("codes"), "totals")
+    rows = parts.select("label", "_part", F.lit(1).alias("_row"), "score", "page", "id", "codes", F.lit(None).cast("string").alias("totals"))
+    whole = heads.unionByName(rows).repartition("_part").sortWithinPartitions("_part", "label", "_row", *order).select("label", "_part", "_row", "codes", "totals")
+
+    def read(batches):
+        hits = counts = truths = best = top = None
+
+        def closed(label):
+            at, up = np.nonzero(best >= 0)
+            yield pa.RecordBatch.from_arrays([pa.array([label] * len(at), schema.field(0).type), pa.array(at, pa.int32()), pa.array(up, pa.int64()), pa.array(best[at, up]), pa.array(top[at])], schema=schema)
+
+        here = None
+        for batch in batches:
+            for i, j, label, part, row in runs(batch, "label", "_part", "_row"):
+                if (label, part) != here:
+                    if best is not None:
+                        yield from closed(here[0])
+                    here, best = (label, part), None
+                if row == 0:
+                    hits, counts, truths = (np.array(x.split(","), np.int64) for x in batch.column("totals")[i].as_py().split(";"))
+                    best, top = np.full((n, POINTS), -1.0), np.zeros(n)
+                elif best is not None:  # else a label without truths
+                    codes = codes_of(batch.slice(i, j - i))
+                    hit = codes == HIT
+                    run_hits, run_counts = hits + hit.cumsum(0), counts + (codes != IGNORED).cumsum(0)
+                    k, at = np.nonzero(hit.T)  # precision peaks and recall grows at hits alone
+                    if len(k):
+                        recall = run_hits[at, k] / truths[k]
+                        place = k * POINTS + np.minimum(np.floor(recall * 100 + 1e-9), 100).astype(int)
+                        first = np.flatnonzero(np.diff(place, prepend=-1))  # places don't fall within a cell
+                        peaks, flat = np.maximum.reduceat(run_hits[at, k] / run_counts[at, k], first), best.reshape(-1)
+                        flat[place[first]] = np.maximum(flat[place[first]], peaks)
+                        last = np.flatnonzero(np.diff(k, append=n))
+                        top[k[last]] = recall[last]
+                    hits, counts = run_hits[-1], run_counts[-1]
+        if best is not None:
+            yield from closed(here[0])
+
+    columns = f"label {kinds['label']}, cell int, up_to long, p double, recall double"
+    schema = to_arrow_schema(T._parse_datatype_string(columns))
+    return whole.mapInArrow(read, columns)
+
+
 def benchmark_table(predictions: DataFrame, truths: DataFrame, most: int = 100) -> DataFrame:
     """(label, size, overlap, truths, ap, ar): 101-point average precision and recall of every label, size and overlap.
 
     Labels and sizes without truths are left out.
     """
     area = (F.col("b.x1") - F.col("b.x0")) * (F.col("b.y1") - F.col("b.y0"))
-    sizes = F.explode(F.array(*(F.struct(F.lit(n).alias("size"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for n, lo, hi in SIZES)))
-    counted = truths.select("label", area.alias("area"), sizes.alias("s")).where((F.col("area") >= F.col("s.lo")) & (F.col("area") <= F.col("s.hi"))).groupBy("label", F.col("s.size").alias("size")).agg(F.count("*").alias("truths"))
-    cells = F.array(*(F.struct(F.lit(n).alias("size"), F.lit(o).alias("overlap")) for n, _, _ in SIZES for o in OVERLAPS))
-    rows = benchmark_matches(predictions, truths, most).select("label", "page", "id", "score", F.explode(F.arrays_zip(cells.alias("cell"), F.col("codes").alias("code"))).alias("x"))
-    rows = rows.select("label", F.col("x.cell.size").alias("size"), F.col("x.cell.overlap").alias("overlap"), "page", "id", "score", F.col("x.code").alias("code")).where(F.col("code") != IGNORED)
-    rows = rows.withColumn("hit", (F.col("code") == HIT).cast("long")).withColumn("one", F.lit(1).cast("long"))
-    run = running_totals(rows.drop("code"), ["label", "size", "overlap"], [F.desc("score"), "page", "id"], ["hit", "one"])
-    curve = run.join(sent_if_small(counted), ["label", "size"]).select("label", "size", "overlap", "truths", (F.col("run_hit") / F.col("truths")).alias("recall"), (F.col("run_hit") / F.col("run_one")).alias("precision"))
-    by = ["label", "size", "overlap"]
-    every = counted.select("label", "size", "truths", F.explode(F.array(*map(F.lit, OVERLAPS))).alias("overlap"))
-    reached = curve.groupBy(*by).agg(F.max("recall").alias("ar"))
-    found = every.join(interpolated(curve, by), by, "left").join(reached, by, "left")
-    return found.select(*by, "truths", F.coalesce("ap", F.lit(0.0)).alias("ap"), F.coalesce("ar", F.lit(0.0)).alias("ar"))
+    sized = [F.count_if((area >= lo) & (area <= hi)) for _, lo, hi in SIZES]
+    counted = materialised(truths.groupBy("label").agg(F.array(*(x for x in sized for _ in OVERLAPS)).alias("truths")))
+    points = materialised(benchmark_points(benchmark_matches(predictions, truths, most), counted))
+    by = ["label", "cell"]
+    reached = points.groupBy(*by).agg(F.max("recall").alias("ar"))
+    every = counted.select("label", F.posexplode("truths").alias("cell", "truths")).where("truths > 0")
+    found = every.join(steps(points, by), by, "left").join(reached, by, "left")
+    at = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("cell") + 1)
+    return found.select("label", at([n for n, _ in CELLS]).alias("size"), at([o for _, o in CELLS]).alias("overlap"), "truths", F.coalesce("ap", F.lit(0.0)).alias("ap"), F.coalesce("ar", F.lit(0.0)).alias("ar"))
 
 
 def operating_points(predictions: DataFrame, truths: DataFrame, key: str, thresholds: tuple[float, ...] = (0.3, 0.5, 0.7, 0.9), least: float = 0.5) -> DataFrame:
@@ -307,9 +408,14 @@ def operating_points(predictions: DataFrame, truths: DataFrame, key: str, thresh
 
 def interpolated(curve: DataFrame, by: list[str]) -> DataFrame:
     """(by, ap) of (by, recall, precision): the mean over 101 recalls of the best precision there or beyond."""
-    points = curve.groupBy(*by, F.least(F.floor(F.col("recall") * 100 + 1e-9), F.lit(100)).alias("up_to")).agg(F.max("precision").alias("p"))
-    steps = points.select(*by, F.explode(F.sequence(F.lit(0), F.col("up_to"))).alias("at"), "p").groupBy(*by, "at").agg(F.max("p").alias("p"))
-    return steps.groupBy(*by).agg((F.sum("p") / 101).alias("ap"))
+    return steps(curve.select(*by, F.least(F.floor(F.col("recall") * 100 + 1e-9), F.lit(100)).alias("up_to"), F.col("precision").alias("p")), by)
+
+
+def steps(points: DataFrame, by: list[str]) -> DataFrame:
+    """(by, ap) of (by, up_to, p): precisions at recalls in hundredths."""
+    best = points.groupBy(*by, "up_to").agg(F.max("p").alias("p"))
+    each = best.select(*by, F.explode(F.sequence(F.lit(0).cast("long"), F.col("up_to"))).alias("at"), "p").groupBy(*by, "at").agg(F.max("p").alias("p"))
+    return each.groupBy(*by).agg((F.sum("p") / POINTS).alias("ap"))
 
 
 def average_precision(matches: DataFrame, n_truths: DataFrame) -> DataFrame:
