@@ -6,7 +6,7 @@ import io
 import zipfile
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from inkwell.functions import strings
@@ -279,23 +279,27 @@ SELECT archive || '!inner.zip', 1, 1, 0, 'ok', sha256(encode(doc_id::VARCHAR)) F
 def packed_documents(spark, d):
     """Archives made of the documents: text, an archive in every third, an unsafe path in every fifth, every seventh broken."""
 
-    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for i, text in zip(batch["doc_id"], batch["text"], strict=True):
-                out, inner = io.BytesIO(), io.BytesIO()
-                with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as z:
-                    z.writestr("text.txt", (text or "").encode())
-                    if i % 3 == 0:
-                        with zipfile.ZipFile(inner, "w") as y:
-                            y.writestr("text.txt", str(i))
-                        z.writestr("inner.zip", inner.getvalue())
-                    if i % 5 == 0:
-                        z.writestr("../up.txt", "no")
-                rows.append((f"doc{i}.zip", b"broken" if i % 7 == 0 else out.getvalue()))
-            yield pd.DataFrame(rows, columns=["rel_path", "content"])
-
-    return read(spark, d, "documents").select("doc_id", "text").mapInPandas(packed, "rel_path string, content binary")
+    columns = "rel_path string, content binary"
+    schema = archives.arrow_schema(columns)
+
+    def packed(i: int, text: str | None) -> bytes:
+        if i % 7 == 0:
+            return b"broken"
+        out, inner = io.BytesIO(), io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as z:
+            z.writestr("text.txt", (text or "").encode())
+            if i % 3 == 0:
+                with zipfile.ZipFile(inner, "w") as y:
+                    y.writestr("text.txt", str(i))
+                z.writestr("inner.zip", inner.getvalue())
+            if i % 5 == 0:
+                z.writestr("../up.txt", "no")
+        return out.getvalue()
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return archives.in_batches(((f"doc{i}.zip", packed(i, text)) for i, text in archives.rows_of(batches)), schema)
+
+    return read(spark, d, "documents").select("doc_id", "text").mapInArrow(step, columns)
 
 
 def with_manifest(members):

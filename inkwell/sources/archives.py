@@ -8,11 +8,13 @@ import io
 import lzma
 import tarfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 MEMBERS = "archive string, depth int, member string, status string, size_bytes long, content binary"
 
@@ -87,17 +89,44 @@ def members(content: bytes, most_bytes: int) -> Iterator[tuple[str, str, int, by
         yield "", "bad", len(content), None
 
 
+def arrow_schema(columns: str) -> pa.Schema:
+    """The Arrow form of a schema's text; made on the driver."""
+    return to_arrow_schema(T._parse_datatype_string(columns))
+
+
+def in_batches(rows: Iterable[tuple], schema: pa.Schema, most_rows: int = 1000, most_bytes: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Rows as Arrow batches that end with the row that reaches ``most_rows``, or ``most_bytes`` of text and content."""
+    some, held = [], 0
+
+    def made() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), schema, strict=True)], schema=schema)
+
+    for row in rows:
+        some.append(row)
+        held += sum(len(v) for v in row if isinstance(v, bytes | str))
+        if len(some) >= most_rows or held >= most_bytes:
+            yield made()
+            some, held = [], 0
+    if some:
+        yield made()
+
+
+def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows of Arrow batches, one at a time."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield tuple(c[i].as_py() for c in batch.columns)
+
+
 def unpacked(archives: DataFrame, depth: int, most_bytes: int) -> DataFrame:
     """Members of rows (rel_path, content)."""
+    schema = arrow_schema(MEMBERS)
 
-    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["rel_path"], batch["content"], strict=True):
-                rows = [(path, depth, *m) for m in members(content, most_bytes)]
-                if rows:
-                    yield pd.DataFrame(rows, columns=["archive", "depth", "member", "status", "size_bytes", "content"])
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = ((path, depth, *m) for path, content in rows_of(batches) for m in members(content, most_bytes))
+        return in_batches(found, schema)
 
-    return archives.select("rel_path", "content").mapInPandas(step, MEMBERS)
+    return archives.select("rel_path", "content").mapInArrow(step, MEMBERS)
 
 
 def is_archive(name, content):
