@@ -37,46 +37,61 @@ class Files(StatefulProcessor):
         self.pages = handle.getMapState("pages", "page bigint", "detections bigint")
         self.about = handle.getValueState("about", "total_pages bigint, seen bigint, timer bigint")
 
-    def result(self, key: tuple, status: str) -> pd.DataFrame:
-        """The file's row; its state and timer go."""
-        total, _, timer = self.about.get() if self.about.exists() else (None, 0, None)
-        found = {int(k[0]): int(v[0]) for k, v in self.pages.iterator()}
+    def result(self, key: tuple, status: str, state: tuple | None, more: dict[int, int], total: int | None) -> pd.DataFrame:
+        """The file's row, of what is kept and of ``more``; its state and timer go."""
+        found = {}
+        if state is not None:
+            found = {int(k[0]): int(v[0]) for k, v in self.pages.iterator()}
+            self.forgotten(state)
+        found |= more
         hits = ",".join(str(p) for p in sorted(found) if found[p] > 0)
+        return pd.DataFrame([(key[0], total, len(found), hits, sum(found.values()), status)], columns=["file", "total_pages", "seen_pages", "pages", "total_detections", "status"])
+
+    def forgotten(self, state: tuple) -> None:
         self.pages.clear()
         self.about.clear()
-        if timer:
-            self.handle.deleteTimer(timer)
-        return pd.DataFrame([(key[0], total, len(found), hits, sum(found.values()), status)], columns=["file", "total_pages", "seen_pages", "pages", "total_detections", "status"])
+        if state[2]:
+            self.handle.deleteTimer(state[2])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        total, seen, timer = self.about.get() if self.about.exists() else (None, 0, None)
-        last, closed, any_page = None, False, seen > 0
+        """Each call on the state goes to the engine and back: a file that is new asks for no page, one that ends keeps none."""
+        state = self.about.get()
+        total, seen, timer = state if state is not None else (None, 0, None)
+        last, closed, more = None, False, {}
         for batch in rows:
-            pages = batch[batch["page"].notna()]
-            closed |= len(pages) < len(batch)
-            for page, n in zip(pages["page"].astype("int64").tolist(), pages["detections"].fillna(0).astype("int64").tolist(), strict=True):
-                seen += not self.pages.containsKey((page,))
-                self.pages.updateValue((page,), (n,))
-                any_page = True
-            if batch["total_pages"].notna().any():
-                total = int(batch["total_pages"].max()) if total is None else max(total, int(batch["total_pages"].max()))
-            if len(pages):
-                last = max(pages["ts"].max(), last) if last is not None else pages["ts"].max()
-        if last is not None:
-            if timer:
-                self.handle.deleteTimer(timer)
-            timer = int(last.timestamp() * 1000) + self.patience_ms
-            self.handle.registerTimer(timer)
-        self.about.update((total, seen, timer))
+            for page, n, of, ts in zip(*(batch[c].tolist() for c in ("page", "detections", "total_pages", "ts")), strict=True):
+                if of == of and of is not None:
+                    total = int(of) if total is None else max(total, int(of))
+                if page != page or page is None:
+                    closed = True
+                    continue
+                more[int(page)] = 0 if n != n or n is None else int(n)
+                if ts == ts and ts is not None and (last is None or ts > last):
+                    last = ts
+        had = seen > 0
+        seen += len(more) if not had else sum(not self.pages.containsKey((page,)) for page in more)
+        any_page = had or bool(more)
         if total is not None and any_page and seen >= total:
-            yield self.result(key, "success")
+            yield self.result(key, "success", state, more, total)
         elif closed and any_page:
-            yield self.result(key, "incomplete")
+            yield self.result(key, "incomplete", state, more, total)
         elif closed:
-            self.about.clear()
+            if state is not None:
+                self.forgotten(state)
+        else:
+            for page, n in more.items():
+                self.pages.updateValue((page,), (n,))
+            until = timer if last is None else int(last.timestamp() * 1000) + self.patience_ms
+            if until != timer:
+                if timer:
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(until)
+            self.about.update((total, seen, until))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self.result(key, "incomplete")
+        state = self.about.get()
+        if state is not None:
+            yield self.result(key, "incomplete", (*state[:2], None), {}, state[0])
 
     def close(self) -> None:
         pass
