@@ -9,8 +9,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from inkwell.functions.rasters import labelled
 from inkwell.operators.staging import discarded, materialised
@@ -19,29 +22,51 @@ from inkwell.operators.staging import discarded, materialised
 ROW = 1 << 31
 
 
+def packed(pixels: DataFrame, keys: list[str], side: int) -> DataFrame:
+    """(keys, _ty, _tx, places): dark pixels (keys, y, x) of a tile that come in one batch, as one row with eight bytes for each."""
+    kinds = dict(pixels.dtypes)
+    tile = [*keys, "_ty", "_tx"]
+    columns = "".join(f"`{k}` {kinds[k]}, " for k in keys) + "_ty long, _tx long, places binary"
+    schema = to_arrow_schema(T._parse_datatype_string(columns))
+
+    def pack(batches):
+        for batch in batches:
+            if batch.num_rows:
+                found = pa.Table.from_batches([batch]).group_by(tile, use_threads=False).aggregate([("_at", "list")]).combine_chunks()
+                places = [np.asarray(p.values).tobytes() for p in found.column("_at_list")]
+                values = [found.column(k).combine_chunks().cast(schema.field(k).type) for k in tile]
+                yield pa.RecordBatch.from_arrays([*values, pa.array(places, pa.binary())], schema=schema)
+
+    y, x = F.col("y").cast("long"), F.col("x").cast("long")
+    rows = pixels.select(*keys, F.expr(f"cast(y as long) div {side}").alias("_ty"), F.expr(f"cast(x as long) div {side}").alias("_tx"), (y * ROW + x).alias("_at"))
+    return rows.mapInArrow(pack, columns)
+
+
 def tile_parts(pixels: DataFrame, keys: list[str], side: int) -> DataFrame:
-    """(keys, id, n, y0, x0, y1, x1, border) of each tile's parts of dark pixels (keys, y, x); ``border``: those on the tile's edge."""
+    """(keys, id, n, y0, x0, y1, x1, border) of each tile's parts of dark pixels (keys, y, x); ``border``: those on the tile's edge.
+
+    A pixel may come more than once.
+    """
     kinds = dict(pixels.dtypes)
 
     def label(tile: pd.DataFrame) -> pd.DataFrame:
-        y, x = tile["y"].to_numpy(), tile["x"].to_numpy()
+        place = np.unique(np.frombuffer(b"".join(tile["places"]), np.int64))
+        y, x = place // ROW, place % ROW
         top, left = y[0] // side * side, x[0] // side * side
         mask = np.zeros((side, side), bool)
         mask[y - top, x - left] = True
         parts = labelled(mask)[y - top, x - left]
+        order = np.argsort(parts, kind="stable")
+        y, x, place = y[order], x[order], place[order]
+        first = np.flatnonzero(np.diff(parts[order], prepend=0))
         edge = (y == top) | (y == top + side - 1) | (x == left) | (x == left + side - 1)
-        place = y.astype(np.int64) * ROW + x
-        rows = []
-        for k in range(1, parts.max() + 1):
-            own = parts == k
-            rows.append((int(place[own].min()), int(own.sum()), int(y[own].min()), int(x[own].min()), int(y[own].max()), int(x[own].max()), place[own & edge].tolist()))
-        found = pd.DataFrame(rows, columns=["id", "n", "y0", "x0", "y1", "x1", "border"])
+        least, most = np.minimum.reduceat, np.maximum.reduceat
+        found = pd.DataFrame({"id": place[first], "n": np.diff(first, append=len(place)), "y0": least(y, first), "x0": least(x, first), "y1": most(y, first), "x1": most(x, first)})
+        found["border"] = [p[e].tolist() for p, e in zip(np.split(place, first[1:]), np.split(edge, first[1:]), strict=True)]
         return found.assign(**{k: tile[k].iloc[0] for k in keys})[[*keys, *found.columns]]
 
     schema = "".join(f"`{k}` {kinds[k]}, " for k in keys) + "id long, n long, y0 long, x0 long, y1 long, x1 long, border array<long>"
-    own = pixels.select(*keys, F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x")).distinct()
-    tiles = own.withColumn("_ty", F.expr(f"y div {side}")).withColumn("_tx", F.expr(f"x div {side}"))
-    return tiles.groupBy(*keys, "_ty", "_tx").applyInPandas(label, schema)
+    return packed(pixels, keys, side).groupBy(*keys, "_ty", "_tx").applyInPandas(label, schema)
 
 
 def touching(parts: DataFrame, keys: list[str]) -> DataFrame:
