@@ -107,13 +107,20 @@ def silhouette(marks: DataFrame, label: str = "label", by: list[str] | None = No
         out = left[columns].assign(a=np.nan, b=np.nan)
         if not len(left) or not len(right):
             return out
-        v, n = np.array(left["v"].tolist()), right["n"].to_numpy(float)
-        product = v @ np.array(right["total"].tolist()).T
-        own = left["label"].to_numpy()[:, None] == right["label"].to_numpy()[None]
-        inside = np.where(n > 1, 1 - (product - (v * v).sum(1)[:, None]) / np.maximum(n - 1, 1), np.nan)
-        out["a"] = np.where(own, np.nan_to_num(inside, nan=-1.0), -1.0).max(1)
-        out["b"] = np.where(own, np.inf, 1 - product / n).min(1)
-        return out
+        v, n, total = np.array(left["v"].tolist()), right["n"].to_numpy(float), np.array(right["total"].tolist()).T
+        label, labels = left["label"].to_numpy(), right["label"].to_numpy()
+        a, b = np.full(len(v), -1.0), np.empty(len(v))
+        for begin in range(0, len(v), 250):  # a table of a few MB at a time
+            at = slice(begin, begin + 250)
+            product = v[at] @ total
+            i, j = np.nonzero(label[at, None] == labels[None])
+            some = n[j] > 1
+            i, j, own = i[some], j[some], (i, j)
+            a[begin + i] = np.nan_to_num(1 - (product[i, j] - (v[begin + i] ** 2).sum(1)) / (n[j] - 1), nan=-1.0)
+            far = 1 - product / n
+            far[own] = np.inf
+            b[at] = far.min(1)
+        return out.assign(a=a, b=b)
 
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", a double, b double"
     cells = in_blocks(u, materialised(sums), by, ("sig_id", "label"), distances, schema)

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkwell.functions.vectors import normalised
-
+from inkwell.operators.staging import materialised, sent_if_small
 
 #: Blocks of a table at most, so that what is sent grows with the table and not with its square; rows that a task takes of a block at a time.
 MOST_BLOCKS, PIECE = 24, 1000
@@ -78,8 +78,8 @@ def pairs_in_groups(marks: DataFrame, keys: list[str], scores: dict[str, tuple[i
     reaches it are given.
     """
     kinds = dict(marks.dtypes)
-    blocks = marks.groupBy(*keys).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("_n"))
-    rows = marks.select(*keys, "sig_id", "v").join(blocks, keys)
+    blocks = marks.groupBy(*keys).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("_n"), F.count("*").alias("_rows"))
+    rows = marks.select(*keys, "sig_id", "v").join(blocks.where("_rows > 1").drop("_rows"), keys)  # one mark has no pair
     rows = rows.withColumn("_own", F.pmod(F.xxhash64("sig_id"), F.col("_n")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     rows = rows.select(*keys, "sig_id", "v", "_own", F.least("_own", "_other").alias("_lo"), F.greatest("_own", "_other").alias("_hi"))
     names = [*keys, "sig_a", "sig_b", *scores]
@@ -88,22 +88,20 @@ def pairs_in_groups(marks: DataFrame, keys: list[str], scores: dict[str, tuple[i
         part = part.sort_values("sig_id", ignore_index=True)
         ids, x = part["sig_id"].to_numpy(), np.array(part["v"].tolist())
         one, two = (np.flatnonzero(part["_own"].to_numpy() == part[c].iloc[0]) for c in ("_lo", "_hi"))
-        if part["_lo"].iloc[0] == part["_hi"].iloc[0]:
-            i, j = np.triu_indices(len(one), 1)
-        else:
-            i, j = (k.ravel() for k in np.indices((len(one), len(two))))
-        found = {}
+        same, found = part["_lo"].iloc[0] == part["_hi"].iloc[0], {}
         for name, (a, b) in scores.items():
             part_of = x[:, a:b] / np.maximum(np.linalg.norm(x[:, a:b], axis=1, keepdims=True), 1e-300)
-            found[name] = (part_of[one] @ part_of[two].T)[i, j]
-            if floor is not None and name == next(iter(scores)):
-                keep = found[name] >= floor
-                i, j, found[name] = i[keep], j[keep], found[name][keep]
+            table = part_of[one] @ part_of[two].T
+            if name == next(iter(scores)):
+                keep = np.ones(table.shape, bool) if floor is None else table >= floor
+                i, j = np.nonzero(np.triu(keep, 1) if same else keep)
+            found[name] = table[i, j]
         a, b = ids[one[i]], ids[two[j]]
         return pd.DataFrame({k: part[k].iloc[0] for k in keys} | {"sig_a": np.minimum(a, b), "sig_b": np.maximum(a, b)} | found, columns=names)
 
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), f"sig_a {kinds['sig_id']}", f"sig_b {kinds['sig_id']}", *(f"{s} double" for s in scores)])
-    return rows.groupBy(*keys, "_lo", "_hi").applyInPandas(cell, schema)
+    # dealt out by all three, as a join by the keys leaves a large group in one task
+    return rows.repartition(*keys, "_lo", "_hi").groupBy(*keys, "_lo", "_hi").applyInPandas(cell, schema)
 
 
 def blocked_pairs(marks: DataFrame, floor: float, block_rows: int = 2000, vector: str = "v") -> DataFrame:
@@ -288,13 +286,15 @@ def in_blocks(left: DataFrame, right: DataFrame, keys: list[str], sides_by: tupl
     """``step(left rows, right rows)`` for every pair of blocks of two tables that share ``keys``.
 
     Both tables are dealt to blocks by a digest of a column of theirs, so that a task holds
-    two blocks, however large a key is; a row is copied once for each block of the other table.
+    two blocks; a row is copied once for each block of the other table. A key has at most
+    ``MOST_BLOCKS`` blocks of each, which ``step`` is to go through in pieces.
     """
     of = lambda c, k: F.pmod(F.xxhash64(c), k).cast("int")
     every = lambda k: F.explode(F.sequence(F.lit(0), k - 1))
     if keys:
-        counts = [t.groupBy(*keys).agg(F.ceil(F.count("*") / block_rows).cast("int").alias(c)) for t, c in ((left, "_nl"), (right, "_nr"))]
+        counts = [t.groupBy(*keys).agg(F.least(F.ceil(F.count("*") / block_rows), F.lit(MOST_BLOCKS)).cast("int").alias(c)) for t, c in ((left, "_nl"), (right, "_nr"))]
         n = counts[0].join(counts[1], keys, "full").select(*keys, *(F.coalesce(c, F.lit(1)).alias(c) for c in ("_nl", "_nr")))
+        n = sent_if_small(materialised(n))  # else a join by a few keys leaves all copies of a row to one task
         left, right, nl, nr = left.join(n, keys), right.join(n, keys), F.col("_nl"), F.col("_nr")
     else:
         nl, nr = (F.lit(max(1, math.ceil(t.count() / block_rows))) for t in (left, right))
